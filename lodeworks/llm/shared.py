@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +46,30 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups, with where each begins: rows come sorted by the first `keys` columns, all integers.
+
+    The last group of a batch waits for the next batch, so no more than a batch and one group is held.
+    """
+
+    def borders(table: pa.Table) -> np.ndarray:
+        columns = np.stack([table.column(i).to_numpy() for i in range(keys)])
+        return np.flatnonzero(np.append(True, (columns[:, 1:] != columns[:, :-1]).any(axis=0)))
+
+    rest: pa.Table | None = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        now = pa.Table.from_batches([batch])
+        rest = now if rest is None else pa.concat_tables([rest, now])
+        starts = borders(rest)
+        if len(starts) > 1:
+            yield rest.slice(0, int(starts[-1])).combine_chunks(), starts[:-1]
+            rest = rest.slice(int(starts[-1]))
+    if rest is not None:
+        yield rest.combine_chunks(), np.zeros(1, np.int64)
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
