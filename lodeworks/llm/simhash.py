@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import components, cut
@@ -41,15 +41,15 @@ def fingerprint(text: bytes, words: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """(doc_id, fp long) of every row; a null text counts as empty and has fingerprint zero."""
+    """(doc_id, copy, fp) of every row, copy a hash of its text; a null text counts as empty and has fingerprint zero."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t or b"", words) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            found = np.array([fingerprint(t or b"", words) for t in batch.column(2).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], ["doc_id", "copy", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(each, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("copy"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(each, "doc_id long, copy long, fp long")
 
 
 def _syndromes() -> np.ndarray:
@@ -189,6 +189,16 @@ def links(distinct: DataFrame, largest: int = 20_000) -> DataFrame:
     return grouped.mapInArrow(_groups, "a long, b long")
 
 
+def _placed(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints (doc_id, copy, fp) of all rows, and the component of each distinct one (fp, component, component_id)."""
+    prints = cut(fingerprints(docs, words), "simhash-prints")
+    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    linked = components(links(nodes)).withColumnRenamed("node", "fp")
+    placed = nodes.join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    return prints, cut(placed.join(least, "component").select("fp", "component", "component_id"), "simhash-placed")
+
+
 def near_duplicates(docs: DataFrame, words: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id, kept) for every row of docs (doc_id, text); other columns are ignored.
 
@@ -196,15 +206,28 @@ def near_duplicates(docs: DataFrame, words: int = 4) -> DataFrame:
     kept marks the document with that id. Null and empty texts have fingerprint zero and link like any other. Rows
     without doc_id take part and get the smallest id of their component, if any; exact repeats of a row all stay.
     """
-    prints = cut(fingerprints(docs, words), "simhash-prints")
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    linked = components(links(nodes)).withColumnRenamed("node", "fp")
-    placed = nodes.join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    placed = cut(placed.join(least, "component").select("fp", "component_id"), "simhash-placed")
+    prints, placed = _placed(docs, words)
     return prints.join(placed, "fp").select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
         F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"),
     )
+
+
+def keep_representatives(docs: DataFrame, words: int = 4) -> DataFrame:
+    """One row of each component of near-duplicates, of the smallest doc_id; all columns stay as they are.
+
+    Rows without doc_id come after all others; of rows with one id, the text of the least hash stays, and of equal
+    rows one.
+    """
+    prints, placed = _placed(docs, words)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy")).alias("first")
+    kept = prints.join(placed, "fp").groupBy("component").agg(first).select(F.col("first.doc_id").alias("kept_id"), F.col("first.copy").alias("kept_copy"))
+    kept = cut(kept, "simhash-kept")
+    id_, copy = docs["doc_id"].cast("long"), F.xxhash64(docs["text"])
+    chosen = docs.join(kept, id_.eqNullSafe(F.col("kept_id")) & (copy == F.col("kept_copy")), "left_semi")
+    if prints.groupBy("doc_id", "copy").count().filter("count > 1").isEmpty():
+        return chosen
+    order = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64(*docs.columns))
+    return chosen.select(F.struct(*docs.columns).alias("row"), F.row_number().over(order).alias("n")).filter("n = 1").select("row.*")

@@ -98,3 +98,12 @@ def test_odd_rows(spark):
     assert all(r.fingerprint == "0" * 16 for d in (1, 2, 3) for r in by[d])
     assert {r.component_id for d in (4, 5, None) for r in by[d]} == {4} and len(by[5]) == 2
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_representatives(spark):
+    rows = [(3, None, "x"), (1, "", "x"), (5, "One two", "y"), (4, "one TWO", None), (4, "one TWO", None), (6, "other words here", "y"), (None, "one two", "z"), (None, "nothing like it at all", "z"), (None, "and again not like it", "z"), (7, "a", "1"), (7, "b", "1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")
+    got = simhash.keep_representatives(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == sorted([(1, ""), (4, "one TWO"), (6, "other words here"), (0, "nothing like it at all"), (0, "and again not like it"), (7, "a"), (7, "b")])
+    assert simhash.keep_representatives(docs.limit(0)).count() == 0
