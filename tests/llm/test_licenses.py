@@ -34,7 +34,7 @@ def test_long_and_edited_notices(spark):
     mit = licenses.TEMPLATES["mit"][2]
     edited = mit.replace("free of charge", "at no charge").replace("associated", "related")
     filler = "some other words that say nothing of the kind " * 40
-    rows = [(1, filler + mit.upper().replace(" ", "\n * ") + filler), (2, filler + mit[: len(mit) // 2] + filler), (3, f"{filler}{edited}{filler}{mit}")]
+    rows = [(1, filler + mit.upper().replace(" ", "\n * ") + ". " + filler), (2, filler + mit[: len(mit) // 2] + filler), (3, f"{filler}{edited}. {filler}{mit}")]
     rows += [(4, "license " * 50), (5, " ".join(t for ts in licenses.TEMPLATES.values() for t in ts))]
     got = {}
     for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
