@@ -1,4 +1,6 @@
 """All queries over the given tables, by name, and the SQL that each equals where SQL can express it."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import retrieval  # noqa: F401  registers its queries
+from .base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
