@@ -63,7 +63,7 @@ def deadline(value: Column) -> Column:
     text = collapse(value)
     shapes = (r"^(\d{4})年(\d{1,2})月(\d{1,2})日$", r"^(\d{4})-(\d{1,2})-(\d{1,2})$", r"^(\d{4})/(\d{1,2})/(\d{1,2})$")
     part = lambda i: F.coalesce(*[F.nullif(F.regexp_extract(text, s, i), F.lit("")) for s in shapes])
-    date = F.try_to_date(F.concat_ws("-", part(1), part(2), part(3)), F.lit("yyyy-M-d"))
+    date = F.try_to_date(F.concat_ws("-", part(1), part(2), part(3)), "yyyy-M-d")
     stated = F.coalesce(text != "", F.lit(False))
     shaped = F.coalesce(part(1).isNotNull(), F.lit(False))
     status = F.when(~stated, "not_stated").when(shaped & date.isNotNull(), "normalized").otherwise("manual_review_required")
