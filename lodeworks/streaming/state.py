@@ -2,11 +2,138 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import tempfile
+import uuid
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
 def conversation_window(turns: DataFrame, most: int = 12) -> DataFrame:
     """The last turns (conv_id, turn, ..) of each conversation: the twin of stream_conversations."""
     ranked = turns.withColumn("_n", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn"))))
     return ranked.filter(F.col("_n") <= most).drop("_n")
+
+
+def preference_log(writes: DataFrame) -> DataFrame:
+    """writes (owner, key, seq, deletes) to (owner, key, revision): writes since the owner's last delete."""
+    last = Window.partitionBy("owner")
+    rows = writes.withColumn("gone", F.max(F.when(F.col("deletes"), F.col("seq"))).over(last))
+    kept = rows.filter(~F.col("deletes") & (F.col("seq") > F.coalesce("gone", F.lit(-1))))
+    return kept.groupBy("owner", "key").agg(F.count(F.lit(1)).alias("revision"))
+
+
+class Snapshots(StatefulProcessor):
+    """Contents of a source with version and times, and which one is current; arrivals in the order of seq."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.contents = handle.getMapState("contents", "sha string", "version int, first long, last long")
+        self.current = handle.getValueState("current", "sha string")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        known = {k[0]: list(v) for k, v in self.contents.iterator()}
+        current = self.current.get()
+        sha = current[0] if current else None
+        for row in pd.concat(list(rows)).sort_values("seq").itertuples():
+            at = int(row.us)
+            if row.sha in known:
+                known[row.sha][2] = max(known[row.sha][2], at)
+            else:
+                known[row.sha] = [len(known) + 1, at, at]
+            sha = row.sha
+        for k, v in known.items():
+            self.contents.updateValue((k,), tuple(v))
+        self.current.update((sha,))
+        out = [(key[0], k, v[0], v[1], v[2], k == sha) for k, v in known.items()]
+        yield pd.DataFrame(out, columns=["source", "sha", "version", "first_us", "last_us", "is_current"])
+
+    def close(self) -> None:
+        pass
+
+
+class Preferences(StatefulProcessor):
+    """Revisions by key of an owner; a delete empties them, so the next write begins at 1."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.revisions = handle.getMapState("revisions", "key string", "revision long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        known = {k[0]: v[0] for k, v in self.revisions.iterator()}
+        for k in known:
+            self.revisions.removeKey((k,))
+        for row in pd.concat(list(rows)).sort_values("seq").itertuples():
+            if row.deletes:
+                known = {}
+            else:
+                known[row.key] = known.get(row.key, 0) + 1
+        for k, v in known.items():
+            self.revisions.updateValue((k,), (v,))
+        out = [(key[0], k, v) for k, v in known.items()] or [(key[0], None, 0)]  # a row says that nothing is left
+        yield pd.DataFrame(out, columns=["owner", "key", "revision"])
+
+    def close(self) -> None:
+        pass
+
+
+class Conversations(StatefulProcessor):
+    """The last turns of a thread, twelve at most."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.turns = handle.getListState("turns", "turn long, role string")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        kept = [tuple(t) for t in self.turns.get()]
+        kept += [(int(r.turn), r.role) for r in pd.concat(list(rows)).itertuples()]
+        kept = sorted(kept)[-12:]
+        self.turns.put(kept)
+        yield pd.DataFrame([(key[0], *t) for t in kept], columns=["conv_id", "turn", "role"])
+
+    def close(self) -> None:
+        pass
+
+
+def _folder(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-stream-")
+    return f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
+
+
+def drain(stream: DataFrame, mode: str = "update") -> DataFrame:
+    """Runs a stream over what is there now; its rows with the batch that wrote them, from files of the shared folder.
+
+    A batch that runs again overwrites its own folder, so each is written once.
+    """
+    spark, folder = stream.sparkSession, _folder(stream.sparkSession)
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch}")
+
+    run = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start()
+    run.awaitTermination()
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])
+    return spark.read.schema(schema).parquet(f"{folder}/rows")
+
+
+def latest(drained: DataFrame, key: str) -> DataFrame:
+    """Of each key the rows of the last batch that wrote it: the state as it is at the end."""
+    last = drained.groupBy(key).agg(F.max("batch").alias("batch"))
+    return drained.join(last, [key, "batch"], "left_semi").drop("batch")
+
+
+def keyed(rows: DataFrame, key: str, processor: Callable[[], StatefulProcessor], schema: str) -> DataFrame:
+    return rows.groupBy(key).transformWithStateInPandas(processor(), outputStructType=schema, outputMode="update", timeMode="none")
+
+
+def read_stream(spark: SparkSession, path: str) -> DataFrame:
+    """A table's files as a stream, one file after another."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 4)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
+        return reader.parquet(path)
+    folder, _, name = path.rpartition("/")  # a stream reads folders: this one's file of that name
+    return reader.option("pathGlobFilter", name).parquet(folder)
