@@ -67,15 +67,28 @@ def domain_registry_scan(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("problems", problems).withColumn("verified_at", verified)
 
 
-def qrels_scan(spark: SparkSession, path: str) -> DataFrame:
-    """(dataset_id, case_id, query, id, grade) of a nested JSON gold set."""
+def qrels_scan(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(dataset_id, case_id, query, id, grade) of a nested JSON gold set: one to a file, or one to a line."""
     judgment = "struct<evidence_id:string,relevance_grade:int,evidence_text:string>"
     schema = f"dataset_id string, annotation_status string, document_sha256 string, chunker_version string, tokenizer_version string, cases array<struct<case_id:string,query:string,judgments:array<{judgment}>>>"
-    rows = spark.read.schema(schema).option("multiLine", True).json(path).select("dataset_id", F.explode("cases").alias("c"))
+    rows = spark.read.schema(schema).option("multiLine", not lines).json(path).select("dataset_id", F.explode("cases").alias("c"))
     rows = rows.select("dataset_id", "c.case_id", "c.query", F.explode("c.judgments").alias("j"))
     return rows.select("dataset_id", "case_id", "query", F.col("j.evidence_id").alias("id"), F.col("j.relevance_grade").alias("grade"))
 
 
+def gold_dataset_scan(texts: DataFrame, case_keys: list[str], case_schema: str) -> DataFrame:
+    """texts (json) of gold sets `{dataset_id, cases}` to (dataset_id, case, problem): a set or case must have exactly its keys."""
+    cases = F.from_json("json", "dataset_id string, cases array<string>")
+    exact = F.array_sort(F.json_object_keys("json")) == F.array(F.lit("cases"), F.lit("dataset_id"))
+    rows = texts.select("json", cases.alias("d"), F.coalesce(exact, F.lit(False)).alias("exact"))
+    bad = rows.filter(~F.col("exact")).select(F.col("d.dataset_id").alias("dataset_id"), F.lit(None).cast(f"struct<{case_schema}>").alias("case"), F.lit("dataset-keys").alias("problem"))
+    each = rows.filter("exact").select("d.dataset_id", F.explode("d.cases").alias("c"))
+    wanted = F.array(*[F.lit(k) for k in sorted(case_keys)])
+    same = F.coalesce(F.array_sort(F.json_object_keys("c")) == wanted, F.lit(False))
+    good = each.select("dataset_id", F.from_json("c", f"struct<{case_schema}>").alias("case"), F.when(~same, "case-keys").alias("problem"))
+    return good.unionByName(bad)
+
+
 def beir_scan(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """corpus (id, text, problem), queries (query, text) and qrels (query, id, grade > 0) of a BEIR folder."""
     docs = spark.read.schema("_id string, title string, text string").json(f"{folder}/corpus.jsonl")
