@@ -116,8 +116,9 @@ def plan(narrow: DataFrame, recipe: Recipe) -> DataFrame:
     return cut(target.join(border, LEAF, "left"), "mix-plan")
 
 
-def _keyed(docs: DataFrame, target: DataFrame, recipe: Recipe) -> DataFrame:
-    rows = docs.join(target, LEAF).withColumn("key", _order_key(recipe))
+def _keyed(docs: DataFrame, target: DataFrame, recipe: Recipe, most: int = 100_000) -> DataFrame:
+    """docs with their leaf's row of target: sent to every task while there are `most` leaves or fewer, else joined by key."""
+    rows = docs.join(F.broadcast(target) if target.count() <= most else target, LEAF).withColumn("key", _order_key(recipe))
     return rows.withColumn("bucket", F.substring("key", 1, _DIGITS))
 
 
