@@ -82,8 +82,11 @@ def _filter_rows(quote: str = "'") -> str:
     return ", ".join(f"({i}, {cell(c)}, {cell(k)}, {cell(d)})" for i, c, k, d in _FILTERS)
 
 
-@query(f"""WITH {DUCK_FACTS}, f(case_id, company, kind, after) AS (VALUES {_filter_rows()})
-SELECT case_id, count(recs.id) AS found, coalesce(md5(string_agg(recs.id::VARCHAR, ',' ORDER BY recs.id::VARCHAR)), '') AS ids FROM f LEFT JOIN recs ON (f.company IS NULL OR lower(f.company) = lower(recs.company)) AND (f.kind IS NULL OR f.kind = recs.kind) AND (f.after IS NULL OR recs.deadline >= f.after::DATE) GROUP BY case_id""")
+@query(f"""WITH {DUCK_FACTS}, f(case_id, company, kind, after) AS (VALUES {_filter_rows()}),
+slim AS MATERIALIZED (SELECT id, lower(company) AS c, kind, deadline FROM recs),
+hit AS (SELECT case_id, slim.id FROM f CROSS JOIN slim WHERE (f.company IS NULL OR lower(f.company) = c) AND (f.kind IS NULL OR f.kind = slim.kind) AND (f.after IS NULL OR slim.deadline >= f.after::DATE)),
+agg AS (SELECT case_id, count(*) AS found, md5(string_agg(id::VARCHAR, ',' ORDER BY id::VARCHAR)) AS ids FROM hit GROUP BY case_id)
+SELECT case_id, coalesce(found, 0) AS found, coalesce(ids, '') AS ids FROM f LEFT JOIN agg USING (case_id)""")
 def job_search_batch(spark, sf):
     cases = spark.createDataFrame(_FILTERS, "case_id int, f_company string, f_kind string, f_after string")
     meets = (F.col("f_company").isNull() | (T.company_key(F.col("f_company")) == T.company_key(F.col("company")))) & (F.col("f_kind").isNull() | (F.col("f_kind") == F.col("kind")))

@@ -58,6 +58,7 @@ def main(argv):
             found = differ(queries[name](spark, sf_dir), con, oracles[name])
         except Exception as e:
             found = f"{type(e).__name__}: {str(e)[:600]}"
+            con = duck(sf_dir)  # a fatal error ends a connection
         bad += found is not None
         print(f"{'ok  ' if found is None else 'FAIL'} {name} {time.time() - start:.1f} s {found or ''}", flush=True)
     return bad
