@@ -4,13 +4,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cut
-
 # Notices by which texts name their license, in their usual wording.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "apache-2.0": (
@@ -75,24 +72,23 @@ def anchors(templates: dict[str, tuple[str, ...]]) -> list[str]:
     return sorted(found)
 
 
-def _template_shingles(spark: SparkSession, templates: dict[str, tuple[str, ...]]) -> DataFrame:
-    """(license, template, size, total, h): the distinct shingles of the templates, a bounded table."""
+def _bands(own: Column) -> Column:
+    """The band values of a window's shingle hashes: each of two MinHash values and the band's number."""
+    least = lambda i: F.array_min(F.transform(own, lambda h: F.xxhash64(h, i)))
+    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, *[least(b * ROWS + r) for r in range(ROWS)]))
+
+
+def _template_table(spark: SparkSession, templates: dict[str, tuple[str, ...]]) -> DataFrame:
+    """(license, template, size, shingles, bands), a row for each template: a fixed, small table."""
     rows = []
     for name, texts in sorted(templates.items()):
         for i, text in enumerate(texts):
             words = words_of(text)
             shingles = sorted({" ".join(words[k : k + SHINGLE]) for k in range(max(1, len(words) - SHINGLE + 1))})
-            size = 1 << (len(shingles) - 1).bit_length()  # the windows that it is looked for in
-            rows += [(name, i, size, len(shingles), s) for s in shingles]
-    frame = spark.createDataFrame(rows, "license string, template int, size int, total int, shingle string")
-    return frame.withColumn("h", F.xxhash64("shingle")).drop("shingle")
-
-
-def _bands(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """A row (keys, band, value) for each band of the MinHash of column h by keys; groups are combined before the shuffle."""
-    mins = rows.groupBy(*keys).agg(*[F.min(F.xxhash64("h", F.lit(i))).alias(f"m{i}") for i in range(BANDS * ROWS)])
-    values = [F.struct(F.lit(b).alias("band"), F.xxhash64(*[f"m{b * ROWS + r}" for r in range(ROWS)]).alias("value")) for b in range(BANDS)]
-    return mins.select(*keys, F.inline(F.array(*values)))
+            rows.append((name, i, 1 << (len(shingles) - 1).bit_length(), shingles))
+    frame = spark.createDataFrame(rows, "license string, template int, size int, texts array<string>")
+    frame = frame.withColumn("shingles", F.transform("texts", lambda t: F.xxhash64(t))).drop("texts")
+    return frame.withColumn("bands", _bands(F.col("shingles")))
 
 
 def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, contained: float = CONTAINED) -> DataFrame:
@@ -101,59 +97,47 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, c
     docs: doc_id, text; other columns are ignored. Texts are cut in runs of a-z and 0-9, lower-cased, and in shingles of
     five words. Windows of as many shingles as a template has, up to the next power of two, start every quarter of their
     size; a window whose MinHash agrees with a template's in a band is a candidate, and is verified, with its whole
-    size more on both sides, by the exact share of the template's shingles that it has: `contained` or more. containment is the
-    best window's, `at` the first word's place of the earliest such window. Texts without a license word share no shingle
-    with a template and are passed over early. Null and empty texts have none; a template of fewer than five words is one
-    shingle; rows without doc_id are scanned too; repeated rows with one doc_id count as one document.
+    size more on both sides, by the exact share of the template's shingles that it has: `contained` or more. Windows
+    without any shingle of a template can't agree in a band and aren't made; texts without a license word share no
+    shingle with a template and are passed over early. containment is the best window's, `at` the first word's place of
+    the earliest such window. Null and empty texts have none; a template of fewer than five words is one shingle; rows
+    without doc_id are scanned too, as one document; repeated rows with one doc_id count as one document.
+
+    All of it happens within a text's row, against the few templates; only found notices are shuffled.
     """
     spark = docs.sparkSession
     templates = TEMPLATES if templates is None else templates
-    wanted = _template_shingles(spark, templates)
+    if not any(templates.values()):
+        return spark.createDataFrame([], "doc_id long, license string, template int, containment double, at long")
+    wanted = _template_table(spark, templates)
+    known: dict[int, set[int]] = {}
+    for row in wanted.select("size", "shingles").collect():  # of the templates alone
+        known.setdefault(row["size"], set()).update(row["shingles"])
     pattern = "(?i)(?:" + "|".join(anchors(templates)) + ")"
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter(F.col("text").rlike(pattern))
-    listed = wanted.select("size", "h").collect()  # of the templates alone
-    sizes, known = sorted({r["size"] for r in listed}), sorted({r["h"] for r in listed})
-    if not sizes:
-        return spark.createDataFrame([], "doc_id long, license string, template int, containment double, at long")
-    reach = 2 * sizes[-1]  # no window around a shared shingle, and no room for its verification, is longer
 
     def hashes(w: Column) -> Column:
         last = F.greatest(F.size(w) - SHINGLE, F.lit(0))
         return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.concat_ws(" ", *[F.get(w, i + k) for k in range(SHINGLE)])))
 
-    def around_shared(hs: Column) -> Column:
-        """(pos, h) of the shingles near one that a template has."""
-        shared = F.filter(F.transform(hs, lambda h, i: F.when(h.isin(known), i)), lambda i: i.isNotNull())
-        near = F.transform(shared, lambda p: F.sequence(F.greatest(p - reach, F.lit(0)), F.least(p + reach, F.size(hs) - 1)))
-        return F.transform(F.array_distinct(F.flatten(near)), lambda p: F.struct(p.alias("pos"), F.get(hs, p).alias("h")))
-
-    found_near = _let(_let(_words(F.col("text")), hashes), around_shared)
-    placed = cut(texts.select("doc_id", F.xxhash64("text").alias("copy"), F.inline(found_near)).distinct(), "license-shingles")
-
-    def windows(size: int) -> DataFrame:
+    def windows(hs: Column, size: int) -> Column:
         step = max(1, size // 4)
-        starts = F.sequence(F.greatest(F.lit(0), F.floor((F.col("pos") - size) / step) + 1), F.floor(F.col("pos") / step))
-        return placed.select("doc_id", "copy", F.lit(size).alias("size"), F.explode(starts).alias("window"), "h")
-
-    parts = reduce(DataFrame.unionByName, map(windows, sizes))
-    ours = F.broadcast(wanted.select("h", "size").distinct())  # the templates' shingles: a fixed, small table
-    live = parts.join(ours, ["h", "size"], "left_semi").select("doc_id", "copy", "size", "window").distinct()
-    keys = ["doc_id", "copy", "size", "window"]
-    alive = live.select(*[F.col(k).alias(f"live_{k}") for k in keys])
-    here = parts.join(alive, reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"live_{k}")) for k in keys]), "left_semi")
-    signed = _bands(here, keys)
-    template_bands = _bands(wanted, ["license", "template", "size", "total"])
-    found = signed.join(F.broadcast(template_bands), ["size", "band", "value"]).select(*keys, "license", "template", "total").distinct()
-    step, wide = F.greatest(F.lit(1), F.floor(F.col("size") / 4)), F.col("size")
-    around = found.select(
-        F.col("doc_id").alias("d"), F.col("copy").alias("c"), F.col("license").alias("l"), F.col("template").alias("t"), "total", "window",
-        (F.col("window") * step - wide).alias("lo"), (F.col("window") * step + F.col("size") + wide).alias("hi"),
-    )
-    hits = placed.join(F.broadcast(wanted.select("license", "template", "h")), "h")
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("copy") == F.col("c")) & (F.col("license") == F.col("l")) & (F.col("template") == F.col("t"))
-    inside = hits.join(around, same & (F.col("pos") >= F.col("lo")) & (F.col("pos") < F.col("hi")))
-    counted = inside.groupBy("doc_id", "license", "template", "total", "copy", "window").agg(F.countDistinct("h").alias("n"), F.min("pos").alias("at"))
-    counted = counted.withColumn("containment", F.col("n") / F.col("total")).filter(F.col("containment") >= contained)
+        shared = F.filter(F.transform(hs, lambda h, i: F.when(h.isin(sorted(known[size])), i)), lambda i: i.isNotNull())
+        around = F.transform(shared, lambda p: F.sequence(F.greatest(F.lit(0), F.floor((p - size) / step).cast("int") + 1), F.floor(p / step).cast("int")))
+
+        def window(k: Column) -> Column:
+            start = F.greatest(k * step - size, F.lit(0))
+            wide = F.slice(hs, start + 1, k * step - start + 2 * size)
+            return F.struct(F.lit(size).alias("size"), start.alias("start"), _let(F.slice(hs, k * step + 1, F.lit(size)), _bands).alias("bands"), wide.alias("wide"))
+
+        return F.transform(F.array_distinct(F.flatten(around)), window)
+
+    made = _let(_let(_words(F.col("text")), hashes), lambda hs: F.concat(*[windows(hs, s) for s in sorted(known)]))
+    found = texts.select("doc_id", F.inline(made).alias("size", "start", "bands", "own"))
+    candidates = found.join(F.broadcast(wanted.withColumnRenamed("bands", "template_bands")), "size").filter(F.arrays_overlap("bands", "template_bands"))
+    share = F.size(F.array_intersect("own", "shingles")) / F.size("shingles")
+    first = F.array_min(F.transform("own", lambda h, i: F.when(F.array_contains("shingles", h), i)))
+    verified = candidates.select("doc_id", "license", "template", share.alias("containment"), (F.col("start") + first).alias("at")).filter(F.col("containment") >= contained)
     best = F.max(F.struct("containment", (-F.col("at")).alias("early"))).alias("best")
-    rows = counted.groupBy("doc_id", "license", "template").agg(best)
+    rows = verified.groupBy("doc_id", "license", "template").agg(best)
     return rows.select("doc_id", "license", "template", F.col("best.containment").alias("containment"), (-F.col("best.early")).cast("long").alias("at"))
