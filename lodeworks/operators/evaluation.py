@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from ..functions.text import collapse
 
 
 def report_compare(baseline: DataFrame, candidate: DataFrame, key: str, metric: str) -> DataFrame:
@@ -63,6 +67,12 @@ def quality_gate(metrics: DataFrame, rules: dict[str, tuple[str, str, float]]) -
     return metrics.select(*keys, F.inline(F.filter(F.array(*broken), lambda x: x.isNotNull())))
 
 
+@F.pandas_udf(StringType())
+def nfkc(text: pd.Series) -> pd.Series:
+    """Unicode compatibility normalization; there is no built-in function for it."""
+    return text.str.normalize("NFKC")
+
+
 def word_distance(a: Column, b: Column) -> Column:
     """Edit distance of two texts by words: each word of the case becomes one character of its own."""
     words = lambda x: F.filter(F.split(x, r"\s+"), lambda w: w != "")
@@ -75,8 +85,13 @@ def word_distance(a: Column, b: Column) -> Column:
     return F.get(F.transform(F.array(kinds), lambda k: F.levenshtein(coded(a, k), coded(b, k))), F.lit(0))
 
 
-def ocr_error_rates(pairs: DataFrame) -> DataFrame:
-    """pairs (.., expected, actual), white space collapsed, with exact, edits and rates by characters and words."""
+def ocr_error_rates(pairs: DataFrame, normalize: bool = False) -> DataFrame:
+    """pairs (.., expected, actual), white space collapsed, with exact, edits and rates by characters and words.
+
+    With `normalize` both texts are put in NFKC and collapsed first; texts that are so already don't need it.
+    """
+    if normalize:
+        pairs = pairs.withColumns({c: collapse(nfkc(F.col(c))) for c in ("expected", "actual")})
     n_words = F.size(F.filter(F.split("expected", r"\s+"), lambda w: w != ""))
     rows = pairs.withColumn("char_edits", F.levenshtein("expected", "actual")).withColumn("word_edits", word_distance(F.col("expected"), F.col("actual")))
     rows = rows.withColumn("chars", F.length("expected")).withColumn("words", n_words)

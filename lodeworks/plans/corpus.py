@@ -61,13 +61,13 @@ def record_fingerprint(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", T.canonical_sha(fields).alias("fingerprint"))
 
 
-_BUCKETS = "SELECT b, sha256(string_agg(digest, ',' ORDER BY digest)) AS part, count(*) AS n FROM (SELECT *, substring(digest, 1, 2) AS b FROM (SELECT {digest} AS digest FROM {table})) GROUP BY b"
+_BUCKETS = "SELECT b, sha256(string_agg(digest, ',' ORDER BY digest)) AS part, count(*) AS n FROM (SELECT *, substring(digest, 1, 4) AS b FROM (SELECT {digest} AS digest FROM {table})) GROUP BY b"
 
 
 @query("WITH p AS (" + _BUCKETS.format(digest="sha256(concat(doc_id, ':', sha256(text)))", table="documents") + ") SELECT sha256(string_agg(part, ',' ORDER BY b)) AS fingerprint, sum(n)::BIGINT AS members FROM p")
 def corpus_fingerprint(spark, sf):
     rows = table(spark, sf, "documents").select(F.sha2(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.sha2("text", 256)), 256).alias("digest"))
-    parts = rows.groupBy(F.substring("digest", 1, 2).alias("b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("digest")), ","), 256).alias("part"), F.count(F.lit(1)).alias("n"))
+    parts = rows.groupBy(F.substring("digest", 1, 4).alias("b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("digest")), ","), 256).alias("part"), F.count(F.lit(1)).alias("n"))
     whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "part"))), lambda x: x["part"]), ",")
     return parts.agg(F.sha2(whole, 256).alias("fingerprint"), F.sum("n").alias("members"))
 
@@ -82,7 +82,7 @@ def manifest_freeze(spark, sf):
 @query("WITH p AS (" + _BUCKETS.format(digest="sha256(concat(o_orderkey, '|', o_orderstatus))", table="orders") + ") SELECT sha256(string_agg(part, ',' ORDER BY b)) AS fingerprint, sum(n)::BIGINT AS members FROM p")
 def manifest_identity(spark, sf):
     rows = table(spark, sf, "orders").select(F.sha2(F.concat_ws("|", "o_orderkey", "o_orderstatus"), 256).alias("digest"))
-    parts = rows.groupBy(F.substring("digest", 1, 2).alias("b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("digest")), ","), 256).alias("part"), F.count(F.lit(1)).alias("n"))
+    parts = rows.groupBy(F.substring("digest", 1, 4).alias("b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("digest")), ","), 256).alias("part"), F.count(F.lit(1)).alias("n"))
     whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "part"))), lambda x: x["part"]), ",")
     return parts.agg(F.sha2(whole, 256).alias("fingerprint"), F.sum("n").alias("members"))
 
@@ -186,7 +186,6 @@ SELECT b.id, b.snapshot, min(a.snapshot) AS linked_to FROM b JOIN a ON a.id = b.
 def link_conflicts(spark, sf):
     docs = table(spark, sf, "documents").select(F.md5(F.col("text").cast("binary")).alias("id"), F.col("doc_id").alias("snapshot"))
     # the smallest and next smallest snapshot of an id say whether another one has it
-    order = F.sort_array(F.collect_set("snapshot"))
     least = docs.groupBy("id").agg(F.min("snapshot").alias("m1"))
     second = docs.join(least, "id").filter("snapshot <> m1").groupBy("id").agg(F.min("snapshot").alias("m2"))
     known = least.join(second, "id")

@@ -99,6 +99,8 @@ def test_recognition_rates(spark):
     assert (a.char_edits, a.word_edits, a.exact, b.exact) == (1, 1, False, True)
     m = evaluation.ocr_error_rates(pairs).agg(F.avg("cer").alias("macro"), (F.sum("char_edits") / F.sum("chars")).alias("micro")).first()
     assert m.micro < m.macro
+    wide = evaluation.ocr_error_rates(spark.createDataFrame([("ＡＢ　c", "AB c")], "expected string, actual string"), normalize=True).first()
+    assert wide.exact and wide.char_edits == 0
 
 
 def test_conversation_window(spark):
