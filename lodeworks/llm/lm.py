@@ -1,25 +1,33 @@
-"""N-gram scoring by a weighted backoff automaton: n-grams are states, failure arcs lead to shorter ones."""
+"""N-gram scoring by a weighted backoff automaton: n-grams are states, failure arcs lead to shorter ones.
+
+The weight of a text's path is taken apart: every n-gram seen in training adds its arc less the failure path that it
+replaces, and the failure weight of the state that it leads to. So a text's score is a sum over its n-grams, the model is
+a table with a row for each n-gram, and n-grams that aren't sent to the tasks are resolved by one partitioned join.
+"""
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import cut, held_out
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: The end of a text as a word of the counts; no word has a blank.
+#: The end of a text as a word of the counts, and its start as a history; no word has a blank.
 END = b" "
-_SHIFT = 21  # bits of a word's number in an n-gram's key
+START = b"  "
+DISCOUNT = 0.75
+LEAST = 2
 _FLUSH = 400_000
+_CHUNK = 1 << 19
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -27,6 +35,20 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_LOWER).split()
 
 
+class _Codes(dict):
+    """Odd 64-bit codes of words, kept for the next time up to a bound."""
+
+    def __init__(self, salt: int):
+        super().__init__()
+        self.salt = salt.to_bytes(8, "little")
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= _FLUSH:
+            self.clear()
+        found = self[word] = int.from_bytes(blake2b(word, digest_size=8, salt=self.salt).digest(), "little", signed=True) | 1
+        return found
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter[bytes] = Counter()
 
@@ -36,279 +58,298 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays(parts, ["word", "n"])
 
     for batch in batches:
-        for text in batch.column(0):
-            counts.update(words_of(text.as_py()))
-            counts[END] += 1
+        for text, learned in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            words = [*words_of(text.as_py()), END]
+            counts.update(words if learned else dict.fromkeys(words, 0))
             if len(counts) > _FLUSH:
                 yield out()
     if counts:
         yield out()
 
 
-@dataclass(frozen=True)
-class Vocabulary:
-    """The frequent words by number (at most 1 / share of them), and the sums over all training tokens."""
-
-    words: list[bytes]
-    counts: np.ndarray
-    tokens: int
-    kinds: int
-    discount: float
-    docs: int
+def _coded_words(rows: DataFrame) -> tuple[DataFrame, int]:
+    """(word, code, n) of all words of rows (text, learned), n of the learned texts alone, and the salt of the codes.
 
-    def base(self, count: np.ndarray) -> np.ndarray:
-        return np.log10((count + 0.1) / (self.tokens + 0.1 * (self.kinds + 1)))
+    Another salt is taken until no two words of the table share a code (or have that of START), so codes stand for words.
+    """
+    counts = cut(rows.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
+    for salt in range(8):
 
-    def single(self, count: np.ndarray) -> np.ndarray:
-        """log10 of the discounted share of a known word; all unseen words share what the discounts leave."""
-        if not self.tokens:
-            return np.zeros(np.shape(count))
-        unseen = max(self.discount * self.kinds, 1e-9)
-        return np.log10(np.where(count > 0, np.maximum(count - self.discount, 1e-9), unseen) / self.tokens)
+        def each(batches: Iterator[pa.RecordBatch], salt: int = salt) -> Iterator[pa.RecordBatch]:
+            codes = _Codes(salt)
+            for batch in batches:
+                found = pa.array([codes[w] for w in batch.column(0).to_pylist()], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0), found, batch.column(1)], ["word", "code", "n"])
 
-    @property
-    def start(self) -> int:
-        return len(self.words)
+        coded = cut(counts.mapInArrow(each, "word binary, code long, n long"), "lm-codes")
+        seen = coded.select("code").unionByName(coded.sparkSession.range(1).select(F.lit(_Codes(salt)[START]).alias("code")))
+        if not seen.groupBy("code").count().filter("count > 1").take(1):
+            return coded, salt
+    raise RuntimeError("words share codes with every salt")
 
 
-def _numbered(vocabulary: Vocabulary) -> Callable[[bytes | None], np.ndarray]:
-    index = {w: i for i, w in enumerate(vocabulary.words)}
-    end = index.get(END, -1)
+def mixed(codes: list[np.ndarray]) -> np.ndarray:
+    """64 bits of each n-gram, given by the codes of its words."""
+    x = np.zeros(len(codes[0]), np.uint64)
+    for c in codes:
+        x = (x ^ c.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(32)
+    return x
 
-    def numbers(text: bytes | None) -> np.ndarray:
-        """Numbers of the words and the end; -1 for those that aren't frequent."""
-        words = words_of(text)
-        return np.append(np.fromiter(map(index.get, words, repeat(-1)), np.int64, len(words)), end)
 
-    return numbers
+@dataclass(frozen=True)
+class Sieve:
+    """Bits of a set of n-grams, at most 2^28 of them at any size. It never denies a member, so it only spares work."""
 
+    bits: int
+    words: np.ndarray
 
-def _merge(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+    @staticmethod
+    def places(mix: np.ndarray, bits: int) -> list[np.ndarray]:
+        shift = np.uint64(64 - bits)
+        return [mix >> shift, mix * np.uint64(0x9E3779B97F4A7C15) >> shift]
 
+    def may_have(self, mix: np.ndarray) -> np.ndarray:
+        found = np.ones(len(mix), bool)
+        for at in self.places(mix, self.bits):
+            found &= (self.words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return found
 
-def _count_ngrams(train: DataFrame, vocabulary: Vocabulary, shorter: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and counts of the bigrams of frequent words (trigrams of the kept bigrams, `shorter`) with a count of `least` or more.
 
-    An n-gram is no more frequent than its parts, so only n-grams whose parts reach `least` are counted at all.
-    The result is bounded: `least` is a share of all tokens.
-    """
-    sent = train.sparkSession.sparkContext.broadcast((vocabulary, shorter))
+def _sieve(grams: DataFrame, names: list[str]) -> Sieve:
+    bits = min(28, max(10, (16 * grams.count()).bit_length()))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, shorter = sent.value
-        numbers, start = _numbered(vocabulary), vocabulary.start
-        often = np.append(vocabulary.counts, vocabulary.docs) >= least
-
-        def grams(texts: list[np.ndarray]) -> np.ndarray:
-            flat = np.concatenate([np.append(start, t) for t in texts])
-            flat = np.where(often[flat] & (flat >= 0), flat, -1)
-            a, b = flat[:-1], flat[1:]
-            pairs = np.where((a >= 0) & (b >= 0) & (b != start), a << _SHIFT | b, -1)
-            if shorter is None:
-                return pairs[pairs >= 0]
-            place = np.searchsorted(shorter, pairs)
-            known = (pairs >= 0) & (shorter[np.minimum(place, len(shorter) - 1)] == pairs)
-            both = np.flatnonzero(known[:-1] & known[1:])
-            return place[both] << _SHIFT | flat[both + 2]
+        for batch in batches:
+            if len(batch):
+                at = np.concatenate(Sieve.places(mixed([c.to_numpy() for c in batch.columns]), bits))
+                parts = [pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))]
+                yield pa.RecordBatch.from_arrays(parts, ["at", "bits"])
+
+    rows = grams.select(*names).mapInArrow(each, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros(1 << (bits - 6), np.uint64)
+    words[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return Sieve(bits, words)
+
+
+def _chunks(texts: pa.Array, codes: _Codes) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first text, codes, text of each code) of runs of texts, each text with its start and end."""
+    first, parts, size = 0, [], 0
+
+    def out() -> tuple[int, np.ndarray, np.ndarray]:
+        return first, np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+
+    for i, text in enumerate(texts):
+        words = [START, *words_of(text.as_py()), END]
+        parts.append(np.fromiter(map(codes.__getitem__, words), np.int64, len(words)))
+        size += len(words)
+        if size > _CHUNK:
+            yield out()
+            first, parts, size = i + 1, [], 0
+    if parts:
+        yield out()
+
+
+def _grams(flat: np.ndarray, text: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The n-grams within texts, as the codes of their words, and their texts."""
+    size = max(len(flat) - order + 1, 0)
+    whole = np.flatnonzero(text[:size] == text[order - 1 :])
+    return [flat[whole + i] for i in range(order)], text[whole]
+
 
+def _runs(columns: list[np.ndarray], mix: np.ndarray, text: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal rows begin after sorting, as places of the given rows, and how long they are."""
+    order = np.argsort(mix, kind="stable") if text is None else np.lexsort((mix, text))
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in columns if text is None else [*columns, text]:
+        now = c[order]
+        new[1:] |= now[1:] != now[:-1]
+    starts = np.flatnonzero(new)
+    return order[starts], np.diff(np.append(starts, len(order)))
+
+
+def _count_ngrams(train: DataFrame, salt: int, order: int, shorter: Sieve) -> DataFrame:
+    """(a, b[, c], n) of every n-gram of `order` words seen LEAST times or more; its parts are seen no less often."""
+    sent = train.sparkSession.sparkContext.broadcast(shorter)
+    names = ["a", "b", "c"][:order]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shorter, codes = sent.value, _Codes(salt)
         for batch in batches:
-            texts, size, found = [], 0, []
-            for text in batch.column(0):
-                texts.append(numbers(text.as_py()))
-                size += len(texts[-1])
-                if size > 1 << 20:
-                    found.append(_merge(k := grams(texts), np.ones(len(k), np.int64)))
-                    texts, size = [], 0
-            if texts:
-                found.append(_merge(k := grams(texts), np.ones(len(k), np.int64)))
-            if found:
-                keys, counts = _merge(np.concatenate([k for k, _ in found]), np.concatenate([n for _, n in found]))
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["key", "n"])
-
-    counted = train.mapInArrow(each, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    found = counted.toArrow()
-    keys, counts = found["key"].to_numpy(), found["n"].to_numpy()
-    order = np.argsort(keys)
-    return keys[order], counts[order]
-
-
-class Automaton:
-    """States are the histories of kept n-grams, the root the empty one.
-
-    arcs: state and word to log10 probability and next state; a word without an arc takes the failure arc, with its
-    weight, to the state of the history less its first word. At the root every word has a probability.
-    """
+            for _, flat, text in _chunks(batch.column(0), codes):
+                grams, _ = _grams(flat, text, order)
+                may = shorter.may_have(mixed(grams[:-1])) & shorter.may_have(mixed(grams[1:]))
+                grams = [g[may] for g in grams]
+                first, n = _runs(grams, mixed(grams))
+                yield pa.RecordBatch.from_arrays([*[pa.array(g[first]) for g in grams], pa.array(n)], [*names, "n"])
+
+    kinds = ", ".join(f"{c} long" for c in [*names, "n"])
+    counted = train.mapInArrow(each, kinds).groupBy(*names).agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST)
+    return cut(counted, f"lm-counts-{order}")
 
-    def __init__(self, vocabulary: Vocabulary, pairs: tuple[np.ndarray, np.ndarray], triples: tuple[np.ndarray, np.ndarray], discount: float = 0.75):
-        self.single = vocabulary.single(vocabulary.counts).tolist()
-        n_words, mask = vocabulary.start + 1, (1 << _SHIFT) - 1
-        keys, counts = pairs
-        first, second = keys >> _SHIFT, keys & mask
-        total = np.append(vocabulary.counts, vocabulary.docs).astype(float)
-        p2 = np.maximum(counts - discount, 1e-9) / total[first]
-        place3, third = triples[0] >> _SHIFT, triples[0] & mask
-        p3 = np.maximum(triples[1] - discount, 1e-9) / np.maximum(counts[place3], 1)
-        single = 10.0 ** np.array([*self.single, -99.0])
-        of_pair = {int(k): i for i, k in enumerate(keys)}
-        # word states, then pair states
-        histories, deep = np.unique(first), np.unique(place3)
-        self.word_state = [0] * n_words
-        for s, w in enumerate(histories.tolist(), 1):
-            self.word_state[w] = s
-        base = 1 + len(histories)
-        pair_state = {int(i): base + s for s, i in enumerate(deep)}
-        left, below = np.ones(base + len(deep)), np.ones(base + len(deep))
-        word_state = np.array(self.word_state)
-        np.subtract.at(left, word_state[first], p2)
-        np.subtract.at(below, word_state[first], single[second])
-        lower = np.array([p2[i] if (i := of_pair.get(int(b) << _SHIFT | int(c), -1)) >= 0 else 0.0 for b, c in zip(second[place3], third, strict=True)])
-        deep_of = np.array([pair_state[int(i)] for i in place3], np.int64)
-        np.subtract.at(left, deep_of, p3)
-        np.subtract.at(below, deep_of, lower)
-        weight = np.log10(np.maximum(left, 1e-9) / np.maximum(below, 1e-9))
-        weight[0] = 0.0
-        self.fail = [0] * (base + len(deep))
-        for i, s in pair_state.items():
-            self.fail[s] = self.word_state[int(second[i])]
-        self.weight = weight.tolist()
-        self.to_root = [0.0] * len(self.fail)
-        for s in range(1, len(self.fail)):
-            self.to_root[s] = self.weight[s] + self.to_root[self.fail[s]] if self.fail[s] else self.weight[s]
-        self.arcs: dict[int, tuple[float, int]] = {}
-        for i, (a, b, p) in enumerate(zip(first.tolist(), second.tolist(), np.log10(p2).tolist(), strict=True)):
-            self.arcs[self.word_state[a] << _SHIFT | b] = (p, pair_state.get(i, self.word_state[b]))
-        for i, c, p in zip(place3.tolist(), third.tolist(), np.log10(p3).tolist(), strict=True):
-            longer = of_pair.get(int(second[i]) << _SHIFT | c, -1)
-            self.arcs[pair_state[i] << _SHIFT | c] = (p, pair_state.get(longer, self.word_state[c]))
-        self.begin = self.word_state[vocabulary.start]
-
-    def traverse(self, numbers: list[int]) -> float:
-        """log10 probability from left to right; for a word that isn't frequent (-1) only the way to the root."""
-        state, total = self.begin, 0.0
-        arcs, fail, weight, single, word_state, to_root = self.arcs.get, self.fail, self.weight, self.single, self.word_state, self.to_root
-        for w in numbers:
-            if w < 0:
-                total += to_root[state]
-                state = 0
-                continue
-            while state:
-                arc = arcs(state << _SHIFT | w)
-                if arc is not None:
-                    total += arc[0]
-                    state = arc[1]
-                    break
-                total += weight[state]
-                state = fail[state]
-            else:
-                total += single[w]
-                state = word_state[w]
-        return total
+
+@dataclass(frozen=True)
+class Hot:
+    """The n-grams of one order that are sent to tasks, sorted by their mixed bits, with what they add."""
+
+    mix: np.ndarray
+    codes: list[np.ndarray]
+    v: np.ndarray
+    base: np.ndarray
+    known: np.ndarray
+
+    def places(self, grams: list[np.ndarray], mix: np.ndarray) -> np.ndarray:
+        """The place of each n-gram, -1 for those that aren't here."""
+        if not len(self.mix):
+            return np.full(len(mix), -1)
+        at = np.minimum(np.searchsorted(self.mix, mix), len(self.mix) - 1)
+        same = self.mix[at] == mix
+        for own, given in zip(self.codes, grams, strict=True):
+            same &= own[at] == given
+        return np.where(same, at, -1)
 
 
 @dataclass(frozen=True)
 class Fitted:
-    vocabulary: Vocabulary
-    pairs: tuple[np.ndarray, np.ndarray]
-    triples: tuple[np.ndarray, np.ndarray]
+    salt: int
+    tokens: int
+    hot: list[Hot]
+    sieves: list[Sieve]
+
 
+def _backoff(grams: DataFrame, history: list[str]) -> DataFrame:
+    """log10 of the failure weight of each history: what its arcs leave over what their lower probabilities leave."""
+    left, below = (F.greatest(1 - F.sum(c), F.lit(1e-9)) for c in ("p", "lower"))
+    return grams.groupBy(*history).agg(F.log10(left / below).alias("weight"))
 
-def fit(docs: DataFrame, parts: int = 10, word_share: float = 1e-6, ngram_share: float = 1e-5) -> tuple[Fitted, DataFrame]:
-    """The model's bounded part, and the table (word, n) of all training tokens.
 
-    Counts cover every training text. A word is frequent from word_share of all tokens (and 2) on, an n-gram is kept
-    from ngram_share (and 2) on: shares, so that at most their inverse can be sent to each task at any size.
+def fit(docs: DataFrame, parts: int = 10, share: float = 1e-6) -> tuple[Fitted, DataFrame]:
+    """What is sent to tasks of the model, and the table (a, b, c, v, base, known) of all else that is in it.
+
+    Counts cover every training text, and every n-gram seen LEAST times or more is in the model, at any size. Those of a
+    share of all tokens of `share` or more, at most its inverse for each order, are sent.
     """
-    train = docs.filter(~held_out(F.col("doc_id"), parts)).select(F.col("text").cast("binary").alias("text"))
-    counted = train.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = cut(counted, "lm-words")
+    learned = ~held_out(F.col("doc_id"), parts)
+    rows = docs.select(F.col("text").cast("binary").alias("text"), learned.alias("learned"))
+    train = rows.filter("learned").select("text")
+    coded, salt = _coded_words(rows)
+    seen = coded.filter("n > 0")
     once, twice = (F.count(F.when(F.col("n") == i, 1)) for i in (1, 2))
-    sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), once, twice, F.coalesce(F.sum(F.when(F.col("word") == END, F.col("n"))), F.lit(0))).first()
+    sums = seen.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), once, twice, F.coalesce(F.sum(F.when(F.col("word") == END, F.col("n"))), F.lit(0))).first()
     tokens, kinds, n1, n2, n_docs = sums
-    least = max(2.0, word_share * tokens)
-    frequent = counts.filter(F.col("n") >= least).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
-    vocabulary = Vocabulary(
-        frequent["word"].to_pylist(), frequent["n"].to_numpy().astype(np.int64), tokens, kinds, n1 / (n1 + 2 * n2) if n1 and n2 else 0.5, n_docs
-    )
-    none = np.zeros(0, np.int64)
-    pairs = triples = (none, none)
-    often = max(2.0, ngram_share * tokens)
-    if vocabulary.words:
-        pairs = _count_ngrams(train, vocabulary, None, often)
-    if len(pairs[0]):
-        triples = _count_ngrams(train, vocabulary, pairs[0], often)
-    return Fitted(vocabulary, pairs, triples), counts.filter(F.col("n") < least)
-
-
-def score(docs: DataFrame, parts: int = 10) -> DataFrame:
+    discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+    start = coded.sparkSession.range(1).select(F.lit(_Codes(salt)[START]).alias("a"), F.lit(n_docs).cast("long").alias("n"))
+    words = coded.select(F.col("code").alias("a"), "n").unionByName(start)
+
+    def single(n: Column) -> Column:
+        """The discounted share of a known word; all unseen words share what the discounts leave."""
+        if not tokens:
+            return F.lit(1.0)
+        return F.when(n > 0, F.greatest(n - discount, F.lit(1e-9))).otherwise(F.lit(max(discount * kinds, 1e-9))) / F.lit(float(tokens))
+
+    often = _sieve(words.filter(F.col("n") >= LEAST), ["a"])
+    two = _count_ngrams(train, salt, 2, often)
+    of, next_ = words.select("a", F.col("n").alias("of")), words.select(F.col("a").alias("b"), single(F.col("n")).alias("lower"))
+    discounted = F.greatest(F.col("n") - DISCOUNT, F.lit(1e-9))
+    pairs = cut(two.join(of, "a").join(next_, "b").select("a", "b", "n", (discounted / F.col("of")).alias("p"), "lower"), "lm-pairs")
+    sieve2 = _sieve(pairs, ["a", "b"])
+    three = _count_ngrams(train, salt, 3, sieve2)
+    of, next_ = pairs.select("a", "b", F.col("n").alias("of")), pairs.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("p").alias("lower"))
+    triples = cut(three.join(of, ["a", "b"]).join(next_, ["b", "c"]).select("a", "b", "c", "n", (discounted / F.col("of")).alias("p"), "lower"), "lm-triples")
+    sieve3 = _sieve(triples, ["a", "b", "c"])
+
+    fail1, fail2 = _backoff(pairs, ["a"]), _backoff(triples, ["a", "b"])
+    own = F.log10("p") - F.col("weight") - F.log10("lower")
+    none, no, further = F.lit(0).cast("long"), F.lit(0.0), F.coalesce("further", F.lit(0.0))
+    is_start = F.col("a") == _Codes(salt)[START]
+    base = F.log10((F.col("n") + 0.1) / (tokens + 0.1 * (kinds + 1)))
+    known = (F.col("n") > 0) & ~is_start
+    v1 = F.when(is_start, 0.0).otherwise(F.log10(single(F.col("n")))) + F.coalesce("weight", F.lit(0.0))
+    of_words = words.join(fail1, "a", "left").select("a", none.alias("b"), none.alias("c"), "n", v1.alias("v"), F.when(is_start, 0.0).otherwise(base).alias("base"), known.cast("long").alias("known"))
+    longer = pairs.join(fail1, "a").join(fail2.withColumnRenamed("weight", "further"), ["a", "b"], "left")
+    of_pairs = longer.select("a", "b", none.alias("c"), "n", (own + further).alias("v"), no.alias("base"), none.alias("known"))
+    of_triples = triples.join(fail2, ["a", "b"]).select("a", "b", "c", "n", own.alias("v"), no.alias("base"), none.alias("known"))
+    model = cut(of_words.unionByName(of_pairs).unionByName(of_triples), "lm-model")
+
+    least = max(float(LEAST), share * tokens)
+    found = model.filter(F.col("n") >= least).toArrow()
+    columns = {c: found[c].to_numpy() for c in found.column_names}
+    order_of = 1 + (columns["b"] != 0).astype(int) + (columns["c"] != 0)
+    hot = []
+    for order in (1, 2, 3):
+        rows_of = np.flatnonzero(order_of == order)
+        mix = mixed([columns[c][rows_of] for c in "abc"[:order]])
+        rows_of, mix = rows_of[np.argsort(mix)], np.sort(mix)
+        hot.append(Hot(mix, [columns[c][rows_of] for c in "abc"[:order]], *(columns[c][rows_of] for c in ("v", "base", "known"))))
+    return Fitted(salt, tokens, hot, [sieve2, sieve3]), model.filter(F.col("n") < least).drop("n")
+
+
+def score(docs: DataFrame, parts: int = 10, share: float = 1e-6) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs (doc_id, text).
 
     A null text counts as empty: it has one token, its end. The model learns from the rows that aren't held out; rows
     without an id are scored, never learned from, and count as held out. Each repeated row is learned from and scored.
     With nothing learned both scores are 0. Other columns are ignored.
 
-    One traversal gives each text what its frequent words add; each rare word goes, with its number of times in the
-    text, to the one row of the table of counts that knows it, and their sums return to the text.
+    What the hot n-grams of a text add is summed in its task; each other n-gram goes, with its number of times in the
+    text, to the one row of the model that knows it, and their sums return to the text. `share` only says which are hot.
     """
-    fitted, rare = fit(docs, parts)
+    fitted, rest = fit(docs, parts, share)
     sent = docs.sparkSession.sparkContext.broadcast(fitted)
-    names = ["row", "doc_id", "n_tokens", "n_known", "base_score", "score", "word", "times"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64()]
+    names = ["row", "a", "b", "c", "times", "doc"]
+    fields = pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        vocabulary = model.vocabulary
-        automaton = Automaton(vocabulary, model.pairs, model.triples)
-        index = {w: i for i, w in enumerate(vocabulary.words)}
-        end, base = index.get(END, -1), vocabulary.base(vocabulary.counts)
-        row = TaskContext.get().partitionId() << 40
+        codes, row = _Codes(model.salt), TaskContext.get().partitionId() << 40
         for batch in batches:
-            out: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = words_of(text.as_py())
-                numbers = list(map(index.get, words, repeat(-1)))
-                numbers.append(end)
-                known = np.array(numbers)
-                others = Counter(w for w, i in zip(words, numbers, strict=False) if i < 0)
-                if end < 0:
-                    others[END] += 1
-                known = known[known >= 0]
-                row += 1
-                out.append((row, doc, len(numbers), len(known), float(base[known].sum()), automaton.traverse(numbers), b" %d" % row, 0))
-                out += [(row, None, 0, 0, 0.0, 0.0, w, n) for w, n in others.items()]
-                if len(out) > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
-
-    kinds = "row long, doc_id long, n_tokens long, n_known long, base_score double, score double, word binary, times long"
+            for first, flat, text in _chunks(batch.column(1), codes):
+                n = int(text[-1]) + 1
+                tokens = np.bincount(text, minlength=n) - 1
+                totals = {c: np.zeros(n) for c in ("known", "base", "v")}
+                for order, hot in enumerate(model.hot, 1):
+                    grams, of = _grams(flat, text, order)
+                    mix = mixed(grams)
+                    at = hot.places(grams, mix)
+                    here = np.flatnonzero(at >= 0)
+                    for c, total in totals.items():
+                        total += np.bincount(of[here], getattr(hot, c)[at[here]], n)
+                    away = at < 0
+                    if order > 1:
+                        away &= model.sieves[order - 2].may_have(mix)
+                    grams, of, mix = [g[away] for g in grams], of[away], mix[away]
+                    if not len(of):
+                        continue
+                    one, times = _runs(grams, mix, of)
+                    columns = [g[one] for g in grams] + [np.zeros(len(one), np.int64)] * (3 - order)
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, (row + of[one], *columns, times)), pa.nulls(len(one), fields)], names)
+                rows = row + np.arange(n)
+                whole = [batch.column(0).slice(first, n), *map(pa.array, (tokens, totals["known"].astype(np.int64), totals["base"], totals["v"]))]
+                zeros = pa.array(np.zeros(n, np.int64))  # codes are odd: an even one finds nothing
+                yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(2 * rows), zeros, zeros, zeros, pa.StructArray.from_arrays(whole, fields=list(fields))], names)
+                row += n
+
+    kinds = "row long, a long, b long, c long, times long, doc struct<doc_id: long, n_tokens: long, n_known: long, base_score: double, score: double>"
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(each, kinds)
-    v = fitted.vocabulary
-    count = F.coalesce("n", F.lit(0))
-    total = F.lit(float(max(v.tokens, 1)))
-    single = F.log10(F.when(count > 0, F.greatest(count - v.discount, F.lit(1e-9))).otherwise(F.lit(max(v.discount * v.kinds, 1e-9))) / total)
-    if not v.tokens:
-        single = F.lit(0.0)
-    base = F.log10((count + 0.1) / (v.tokens + 0.1 * (v.kinds + 1)))
-    joined = rows.join(rare, "word", "left").select(
+    joined = rows.join(rest, ["a", "b", "c"], "left").filter("doc is not null or v is not null")
+    of_doc, times = (lambda c: F.coalesce(f"doc.{c}", F.lit(0))), F.col("times")
+    added = joined.select(
         "row",
-        "doc_id",
-        "n_tokens",
-        (F.col("n_known") + F.when(count > 0, F.col("times")).otherwise(0)).alias("n_known"),
-        (F.col("base_score") + F.col("times") * base).alias("base_score"),
-        (F.col("score") + F.col("times") * single).alias("score"),
+        F.col("doc.doc_id").alias("doc_id"),
+        of_doc("n_tokens").alias("n_tokens"),
+        (of_doc("n_known") + times * F.coalesce("known", F.lit(0))).alias("n_known"),
+        (of_doc("base_score") + times * F.coalesce("base", F.lit(0.0))).alias("base_score"),
+        (of_doc("score") + times * F.coalesce("v", F.lit(0.0))).alias("score"),
     )
-    sums = joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
+    sums = added.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
     return sums.select(
         "doc_id",
         held_out(F.col("doc_id"), parts).alias("held_out"),
         "n_tokens",
         "n_known",
-        F.lit(v.tokens).cast("long").alias("train_tokens"),
+        F.lit(fitted.tokens).cast("long").alias("train_tokens"),
         "base_score",
         "score",
     )

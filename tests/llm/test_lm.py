@@ -95,3 +95,55 @@ def test_odd_rows(spark):
     none = lm.score(frame.filter("doc_id is null")).collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in none] == [(3, 0, 0, 0.0, 0.0)]
     assert lm.score(frame.limit(0)).count() == 0
+
+
+def test_ngrams_seen_twice_count_however_large_the_corpus(spark):
+    """Over 400,000 training tokens a pair or triple seen twice is under a share of 1e-5, and is kept all the same."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 50, 60)) for _ in range(8000)]
+    for i in range(300):
+        texts[2 * i] += f" r{i} s{i} t{i}"
+        texts[2 * i + 1001] += f" r{i} s{i} t{i}"
+    rows = list(enumerate(texts))
+    train = [t for i, t in rows if not out(i)]
+    some = [*range(0, 600, 60), 7999]
+    want, uni = brute_of_tables(train, [texts[i] for i in some])
+    assert sum(uni.values()) > 400_000
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for share in (1e-6, 1e-3, 1.0):  # whatever is sent, the scores are the same
+        got = {r.doc_id: r.score for r in lm.score(frame, share=share).collect()}
+        for i, w in zip(some, want, strict=True):
+            assert math.isclose(got[i], w, rel_tol=1e-9, abs_tol=1e-9), (share, i, got[i], w)
+
+
+def brute_of_tables(train, texts):
+    """The backoff of brute(), with the sums of each history taken once."""
+    seqs = [tokens(t) for t in train]
+    uni = Counter(t for s in seqs for t in s)
+    total, kinds = sum(uni.values()), len(uni)
+    n1, n2 = (sum(c == i for c in uni.values()) for i in (1, 2))
+    d1 = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+    p1 = lambda w: (uni[w] - d1) / total if w in uni else d1 * kinds / total
+    bi = {p: c for p, c in Counter(p for s in seqs for p in zip(["<s>", *s], s)).items() if c >= 2}
+    tri = {p: c for p, c in Counter(p for s in seqs for p in zip(["<s>", *s], s, s[1:])).items() if c >= 2}
+    of = {"<s>": len(seqs)} | uni
+    left2, below2, left3, below3 = (Counter() for _ in range(4))
+    for (a, b), c in bi.items():
+        left2[a] += (c - 0.75) / of[a]
+        below2[a] += p1(b)
+
+    def p2(a, w):
+        return (bi[a, w] - 0.75) / of[a] if (a, w) in bi else (1 - left2[a]) / (1 - below2[a]) * p1(w)
+
+    for (a, b, c), n in tri.items():
+        left3[a, b] += (n - 0.75) / bi[a, b]
+        below3[a, b] += p2(b, c)
+
+    def p3(a, b, w):
+        return (tri[a, b, w] - 0.75) / bi[a, b] if (a, b, w) in tri else (1 - left3[a, b]) / (1 - below3[a, b]) * p2(b, w)
+
+    scores = []
+    for text in texts:
+        own = tokens(text)
+        scores.append(math.log10(p2("<s>", own[0])) + sum(math.log10(p3(a, b, w)) for a, b, w in zip(["<s>", *own], own, own[1:])))
+    return scores, uni
