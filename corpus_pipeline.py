@@ -31,8 +31,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences in the order of training, with their places in the shards."""
-    return token_shards.materialize(docs)
+    """Token sequences in the order of training, written as shards, and read from them with their places."""
+    return token_shards.write(docs)
 
 
 STAGES = [

@@ -12,7 +12,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_shards.materialize(table(spark, sf_dir, "documents"))
+    return token_shards.write(table(spark, sf_dir, "documents"))
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

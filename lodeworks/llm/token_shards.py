@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -16,14 +17,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, shared_dir
 
 #: Word pattern of the byte-level BPE vocabularies (a public, fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 END = 50256
 SEQUENCE = 512
-#: Record: document, place in it and number of tokens, then SEQUENCE little-endian 16-bit ids, zeros behind the last.
+#: Record: document, place in it (its complement without a document's id) and number of tokens, then SEQUENCE
+#: little-endian 16-bit ids, zeros behind the last.
 HEADER = "<qii"
 SHARD_RECORDS = 1 << 14
 
@@ -201,7 +203,8 @@ def write_shards(ordered: DataFrame, folder: str, length: int = SEQUENCE) -> Dat
                         done.append(state.close())
                     attempt = TaskContext.get().taskAttemptId()
                     state = _Open(store, f"{base}/shard-{shard:08d}.bin", attempt, shard, slot)
-                state.add(struct.pack(HEADER, -1 if doc is None else doc, place, n) + tokens.ljust(2 * length, b"\0"))
+                head = struct.pack(HEADER, -1, ~place, n) if doc is None else struct.pack(HEADER, doc, place, n)
+                state.add(head + tokens.ljust(2 * length, b"\0"))
         if state is not None:
             done.append(state.close())
         columns = list(zip(*done, strict=True)) or [()] * 6
@@ -230,10 +233,49 @@ class _Open:
         return self.shard, self.path, self.slot, self.records, self.bytes, self.crc
 
 
+def shard_rows(manifest: DataFrame, length: int = SEQUENCE) -> DataFrame:
+    """(slot, shard, offset, doc_id, place, n_tokens, tokens) of the files of a manifest, read from them; a partition holds
+    whole shards in order. A file that isn't what was written (records, crc32) fails its task."""
+    kind = np.dtype([("doc", "<i8"), ("place", "<i4"), ("n", "<i4"), ("ids", f"V{2 * length}")])
+    names = ["slot", "shard", "offset", "doc_id", "place", "n_tokens", "tokens"]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, path, slot, records, crc in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                store, at = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+                done = found = 0
+                with store.open_input_stream(at) as file:
+                    while data := file.read(kind.itemsize * 1024):
+                        rows, found = np.frombuffer(data, kind), zlib.crc32(data, found)
+                        none, place = np.arange(done, done + len(rows)), rows["place"]
+                        tokens = [r[16 : 16 + 2 * n] for r, n in zip((data[i : i + kind.itemsize] for i in range(0, len(data), kind.itemsize)), rows["n"].tolist(), strict=True)]
+                        columns = [pa.array(slot + none), pa.array(np.full(len(rows), shard, np.int32)), pa.array(none * kind.itemsize)]
+                        columns += [pa.array(rows["doc"].copy(), mask=place < 0), pa.array(np.where(place < 0, ~place, place)), pa.array(rows["n"].copy()), pa.array(tokens, pa.binary())]
+                        yield pa.RecordBatch.from_arrays(columns, names)
+                        done += len(rows)
+                if (done, found) != (records, crc):
+                    raise OSError(f"{path}: {done} records with crc32 {found}, {records} with {crc} were written")
+
+    shards = manifest.count()
+    part = max(1, -(-shards // 20_000))
+    files = manifest.select("shard", "path", "first_slot", "records", "crc32")
+    files = files.repartitionById(max(1, -(-shards // part)), F.floor(F.col("shard") / part).cast("int")).sortWithinPartitions("shard")
+    return files.mapInArrow(each, "slot long, shard int, offset long, doc_id long, place int, n_tokens int, tokens binary")
+
+
+def write(docs: DataFrame, key: int = 20240607, vocabulary: str = VOCABULARY, length: int = SEQUENCE, shard_records: int = SHARD_RECORDS, end: int = END) -> DataFrame:
+    """The rows of materialize(), written as shards into a new folder of the shared one and read from their files."""
+    folder = f"{shared_dir(docs.sparkSession)}/shards-{uuid.uuid4().hex}"
+    if folder.startswith("file:/"):
+        folder = "/" + folder.removeprefix("file:").lstrip("/")
+    manifest = write_shards(materialize(docs, key, vocabulary, length, shard_records, end), folder, length)
+    return shard_rows(manifest, length)
+
+
 @dataclass(frozen=True)
 class Record:
     slot: int
-    doc_id: int
+    doc_id: int | None
     place: int
     tokens: np.ndarray
 
@@ -249,4 +291,5 @@ def read_shards(folder: str, start: int, stop: int, length: int = SEQUENCE, shar
             for slot in range(lo, hi):
                 record = file.read(size)
                 doc, place, n = struct.unpack_from(HEADER, record)
+                doc, place = (None, ~place) if place < 0 else (doc, place)
                 yield Record(slot, doc, place, np.frombuffer(record, "<u2", n, struct.calcsize(HEADER)))

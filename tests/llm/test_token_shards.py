@@ -74,3 +74,37 @@ def test_odd_rows(spark, decode):
     long = np.frombuffer(b"".join(bytes(r.tokens) for r in sorted(by[3], key=lambda r: r.place)), "<u2")
     assert decode.decode(long[:-1].tolist()) == "word " * 50_000
     assert token_shards.materialize(docs.limit(0)).count() == 0
+
+
+def test_query_and_pipeline_write_shards(spark, sf_dir, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(token_shards, "shared_dir", lambda spark: str(tmp_path))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, run in enumerate((lambda: QUERIES["op1_token_shards"](spark, sf_dir), lambda: corpus_pipeline.write_tokens(spark, docs, sf_dir)), 1):
+        rows = run().collect()
+        folders = sorted(tmp_path.glob("shards-*"), key=lambda p: p.stat().st_mtime)
+        assert len(folders) == i
+        got = list(token_shards.read_shards(str(folders[-1]), 0, len(rows)))
+        want = {r.slot: (r.doc_id, r.place, bytes(r.tokens)) for r in rows}
+        assert {r.slot: (r.doc_id, r.place, r.tokens.tobytes()) for r in got} == want and len(want) == len(rows)
+
+
+def test_written_rows_equal_those_in_order(spark):
+    docs = spark.createDataFrame([(None, "no id"), (-1, "an id"), (2, None), (3, "word " * 3000)], "doc_id long, text string").coalesce(1)
+    kinds = {"length": 64, "shard_records": 10}
+    written = token_shards.write(docs, **kinds)
+    assert sorted(map(tuple, written.collect()), key=lambda r: r[0]) == sorted(map(tuple, token_shards.materialize(docs, **kinds).collect()), key=lambda r: r[0])
+    assert {r.doc_id for r in written.collect()} == {None, -1, 2, 3}
+    assert token_shards.write(docs.limit(0)).count() == 0
+
+
+def test_changed_shards_fail(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "some words")], "doc_id long, text string")
+    manifest = token_shards.write_shards(token_shards.materialize(docs), str(tmp_path))
+    path = tmp_path / "shard-00000000.bin"
+    data = bytearray(path.read_bytes())
+    data[-1] ^= 1
+    path.write_bytes(data)
+    with pytest.raises(Exception, match="crc32"):
+        token_shards.shard_rows(manifest).collect()
