@@ -35,6 +35,10 @@ CONTAINERS = frozenset(("article", "main"))
 #: A start tag that closes an open element of these kinds (its end tag may be left out).
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
+#: Start tags that close an open p, and elements whose inside doesn't reach a p around them.
+CLOSES_P = BLOCK - frozenset("body caption html legend tbody td tfoot th thead tr".split())
+P_SCOPE = frozenset("button caption html marquee object table td template th".split())
+
 
 @dataclass
 class Line:
@@ -42,6 +46,8 @@ class Line:
     tags: int = 1
     path: tuple[int, ...] = ()
     furniture: bool = False
+    inside: tuple[int, ...] = ()  # open elements that are furniture by their name, or forms
+    boxed: bool = False  # within an article or main that isn't such an element itself
 
 
 class Lines(HTMLParser):
@@ -51,6 +57,7 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = [Line()]
         self.open: list[tuple[str, int, bool]] = []  # name, number, furniture
+        self.named: set[int] = set()  # furniture by name, or forms: decided when the page is known
         self.inner: dict[int, str] = {}
         self.number = 0
 
@@ -63,6 +70,8 @@ class Lines(HTMLParser):
         if tag in BLOCK:
             self._new()
         self.lines[-1].tags += 1
+        if tag in CLOSES_P:
+            self._close_p()
         if tag in CLOSES and self.open and self.open[-1][0] in CLOSES[tag]:
             self.open.pop()
         if tag == "br":
@@ -71,6 +80,8 @@ class Lines(HTMLParser):
             return
         self.number += 1
         self.inner[self.number] = tag
+        if self._named(tag, dict(attrs)):
+            self.named.add(self.number)
         self.open.append((tag, self.number, bool(self.open) and self.open[-1][2] or self._furniture(tag, dict(attrs))))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -78,19 +89,34 @@ class Lines(HTMLParser):
         if tag not in VOID and tag in ("script", "style", "svg", "path"):
             self.handle_endtag(tag)
 
+    def _close_p(self) -> None:
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i][0] == "p":
+                del self.open[i:]
+            elif self.open[i][0] not in P_SCOPE:
+                continue
+            return
+
+    def _outside(self) -> bool:
+        return not any(name in CONTAINERS for name, _, _ in self.open)
+
+    def _named(self, tag: str, attrs: dict[str, str | None]) -> bool:
+        if tag in ("html", "body"):
+            return False
+        names = [attrs.get(k) or "" for k in ("class", "id")]
+        header = self._outside() and any(re.search(r"(?:^|\s)header(?:$|\s)", n, re.I) for n in names)
+        return tag == "form" or header or any(FURNITURE_NAMES.search(n) for n in names)
+
     def _furniture(self, tag: str, attrs: dict[str, str | None]) -> bool:
         if tag in FURNITURE:
+            return tag != "form"
+        if tag == "header" and self._outside():
             return True
-        outside = not any(name in CONTAINERS for name, _, _ in self.open)
-        if outside and (tag == "header" or any(re.search(r"(?:^|\s)header(?:$|\s)", attrs.get(k) or "", re.I) for k in ("class", "id"))):
-            return tag not in ("html", "body")
         if tag in ("html", "body"):
             return False
         if (attrs.get("role") or "").lower() in FURNITURE_ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true":
             return True
-        if re.search(r"display\s*:\s*none", attrs.get("style") or "", re.I):
-            return True
-        return any(FURNITURE_NAMES.search(attrs.get(k) or "") for k in ("class", "id"))
+        return bool(re.search(r"display\s*:\s*none", attrs.get("style") or "", re.I))
 
     def handle_endtag(self, tag: str) -> None:
         self.lines[-1].tags += 1
@@ -104,13 +130,15 @@ class Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         line = self.lines[-1]
         furniture = bool(self.open) and self.open[-1][2]
-        if line.text and line.furniture != furniture and data.strip():
+        inside = tuple(n for _, n, _ in self.open if n in self.named)
+        if line.text and (line.furniture, line.inside) != (furniture, inside) and data.strip():
             if any(t.strip() for t in line.text):
                 self.lines.append(line := Line())
             else:
                 line.text.clear()
         if not line.text or not any(t.strip() for t in line.text):
             line.furniture, line.path = furniture, tuple(n for name, n, _ in self.open if name in BLOCK)
+            line.inside, line.boxed = inside, any(name in CONTAINERS and n not in self.named for name, n, _ in self.open)
         line.text.append(data)
 
 
@@ -119,8 +147,21 @@ def parse(html: str) -> tuple[list[tuple[str, int, tuple[int, ...], bool]], dict
     parser = Lines()
     parser.feed(html)
     parser.close()
-    found = [(" ".join("".join(x.text).split()), x.tags, x.path, x.furniture) for x in parser.lines]
-    return [x for x in found if x[0]], parser.inner
+    lines = [(text, x) for x in parser.lines if (text := " ".join("".join(x.text).split()))]
+    dropped = parser.named - _wrappers([(len(text), x) for text, x in lines if not x.furniture])
+    return [(text, x.tags, x.path, x.furniture or not dropped.isdisjoint(x.inside)) for text, x in lines], parser.inner
+
+
+def _wrappers(lines: list[tuple[int, Line]]) -> set[int]:
+    """Elements named like furniture, and forms, around most of the page: more than half of the text of its <article>
+    and <main> elements, or of all text where they have none. They lay out the page, and aren't its furniture."""
+    text = [x for x in lines if x[1].boxed] or lines
+    weight: dict[int, int] = {}
+    for length, line in text:
+        for n in line.inside:
+            weight[n] = weight.get(n, 0) + length
+    half = sum(length for length, _ in text) / 2
+    return {n for n, w in weight.items() if w > half}
 
 
 def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:

@@ -56,3 +56,21 @@ def test_odd_rows(spark):
     assert [r.page_id for r in got] == [1, 2, 3, None, 5, 5]
     assert (got[0].text, got[0].n_chars, got[1].text) == ("", 0, "") and got[3].text == LONG
     assert got[4].text == "\n".join([LONG] * 3000) and got[5].text == "plain text only"
+
+
+def test_wrappers_named_like_furniture():
+    body = f"<h1>Head</h1><p>{LONG}</p><p>{LONG} two</p>"
+    want = f"Head\n{LONG}\n{LONG} two"
+    side, related = f"<div class='sidebar'><p>{LONG} side</p></div>", f"<div class='related'><article><p>{LONG}</p></article></div>"
+    for name in ("div class='layout has-sidebar'", "div class='with-sidebar'", "div class='no-comments'", "div id='search-page'", "form"):
+        end = name.split()[0]
+        for box in ("article", "main", "div"):
+            page = f"<body><{name}>{side}<{box}>{body}</{box}>{related if box != 'div' else ''}</{end}><footer>{LONG}</footer></body>"
+            assert html_text.main_text(page) == want, page
+    inner = f"<article><div class='no-comments'>{body}</div><div class='comments'><p>{LONG}</p></div></article>"
+    assert html_text.main_text(inner) == want
+
+
+def test_open_paragraphs_end_at_the_next_block():
+    page = f"<article><p class='notice'>{LONG} notice<p>{LONG}<div>{LONG} div</div><ul><li><p class=ad>x<li>{LONG} item</ul></article>"
+    assert html_text.main_text(page) == f"{LONG}\n{LONG} div\n{LONG} item"
