@@ -32,6 +32,10 @@ FURNITURE_NAMES = re.compile(
     re.I,
 )
 CONTAINERS = frozenset(("article", "main"))
+#: Parts of an article that are never its region.
+PARTS = frozenset(
+    "p li span ul ol dl dt dd table caption thead tbody tfoot tr td th pre blockquote figure figcaption address h1 h2 h3 h4 h5 h6 summary legend".split()
+)
 #: A start tag that closes an open element of these kinds (its end tag may be left out).
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
@@ -189,9 +193,10 @@ def threshold(values: np.ndarray, rounds: int = 30) -> float:
 def main_text(html: str | None, sigma: float = 1.0) -> str:
     """The article's blocks, joined by line feeds.
 
-    Ratios of text to tags are smoothed over the lines and parted in two clusters; the region whose content lines
-    hold the most text is the article (an <article> or <main> element where there is one, else the innermost block
-    that has at least nine tenths of it). Of the region, all lines stay but page furniture, in page order.
+    Ratios of text to tags are smoothed over the lines and parted in two clusters. The article is in the outermost
+    <article> and <main> elements with content lines, where these hold half of the content or more, else in the innermost
+    block that holds all content lines and isn't only a part of an article, such as a list or a table. Of these regions,
+    all lines stay but page furniture, in page order.
     """
     lines, names = parse(html or "")
     lengths = np.array([0 if f else len(t) for t, _, _, f in lines], float)
@@ -202,18 +207,20 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     content = (lengths > 0) & (scores >= border)
     if not content.any():
         content = lengths > 0
-    weight: dict[int, float] = {}
     total = float(lengths[content].sum())
+    weight: dict[int, float] = {}
+    boxes: dict[int, float] = {}
     for i in np.flatnonzero(content):
         for block in set(lines[i][2]):
             weight[block] = weight.get(block, 0.0) + lengths[i]
-    named = {b: w for b, w in weight.items() if names[b] in CONTAINERS}
-    if named and max(named.values()) >= 0.5 * total:
-        region = max(named, key=lambda b: (named[b], -b))
+        outer = next((b for b in lines[i][2] if names[b] in CONTAINERS), None)
+        if outer is not None:
+            boxes[outer] = boxes.get(outer, 0.0) + lengths[i]
+    if boxes and sum(boxes.values()) >= 0.5 * total:
+        regions = set(boxes)
     else:
-        inner = [b for b, w in weight.items() if w >= 0.9 * total and names[b] not in ("p", "li", "span")]
-        region = max(inner, default=None)
-    kept = (t for t, _, path, furniture in lines if not furniture and (region is None or region in path))
+        regions = {max(whole)} if (whole := [b for b, w in weight.items() if w >= total and names[b] not in PARTS]) else set()
+    kept = (t for t, _, path, furniture in lines if not furniture and (not regions or not regions.isdisjoint(path)))
     return "\n".join(kept)
 
 

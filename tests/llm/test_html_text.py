@@ -74,3 +74,23 @@ def test_wrappers_named_like_furniture():
 def test_open_paragraphs_end_at_the_next_block():
     page = f"<article><p class='notice'>{LONG} notice<p>{LONG}<div>{LONG} div</div><ul><li><p class=ad>x<li>{LONG} item</ul></article>"
     assert html_text.main_text(page) == f"{LONG}\n{LONG} div\n{LONG} item"
+
+
+def test_no_content_is_left_out_beside_a_long_inner_block():
+    many = [f"{LONG} {i}" for i in range(20)]
+    rows = {
+        "div": "".join(f"<p>{x}</p>" for x in many),
+        "ul": "".join(f"<li>{x}" for x in many),
+        "table": "".join(f"<tr><td>{x}" for x in many),
+        "blockquote": "".join(f"<p>{x}</p>" for x in many),
+    }
+    for kind, inner in rows.items():
+        page = f"<body><div><p>{LONG} lead</p><{kind}>{inner}</{kind}><p>{LONG} end</p></div></body>"
+        assert html_text.main_text(page) == "\n".join([f"{LONG} lead", *many, f"{LONG} end"]), kind
+    only = f"<body><div><h2>Head</h2><ul>{rows['ul']}</ul></div></body>"
+    assert html_text.main_text(only) == "\n".join(["Head", *many])
+
+
+def test_all_articles_with_content_stay():
+    page = f"<body><article><h1>One</h1><p>{LONG} 1</p><p>{LONG} 2</p></article><div>x</div><article><p>{LONG} 3</p></article></body>"
+    assert html_text.main_text(page) == f"One\n{LONG} 1\n{LONG} 2\n{LONG} 3"
