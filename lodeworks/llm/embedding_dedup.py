@@ -15,19 +15,56 @@ from .shared import components, cut, whole_groups
 COSINE = 0.98
 _BITS = 48
 _BLOCK = 4096
+#: The most passes of one turn; turns are repeated while they join components.
+_PASSES = 96
 
 
-def passes_for(largest: int, window: int, cosine: float, miss: float = 1e-3) -> int:
+def passes_for(largest: int, window: int, cosine: float, miss: float = 1e-3, spread: float = 1.0) -> int:
     """How many sorted passes find a pair at the threshold but for `miss`, when `largest` vectors share a label.
 
     Two vectors at an angle a agree on a random bit with 1 - a / pi; agreeing on the bits that single out window / 2
-    of the vectors, they are within the window.
+    of the vectors, they are within the window. spread: the mean square of the vectors' distances to their mean, from
+    which they are hashed; the less it is, the wider is the angle of a pair seen from there. It counts as no less than
+    1 - cosine: below it the label's vectors link with their mean's surroundings, and so with one another.
     """
     bits = max(0.0, math.log2(max(2.0 * largest / window, 1.0)))
-    found = (1 - math.acos(cosine) / math.pi) ** bits
+    seen = max(-1.0, 1 - (1 - cosine) / max(min(spread, 1.0), 1 - cosine))
+    found = (1 - math.acos(seen) / math.pi) ** bits
     return 4 if found > 0.999 else max(4, math.ceil(math.log(miss) / math.log(1 - found)))
 
 
+def _means(nodes: DataFrame, window: int, cosine: float) -> DataFrame:
+    """(label, width, mean binary, passes): the mean of each label's vectors, and the passes that its spread asks for.
+
+    Tasks sum what they hold; the partial sums of a label, one or few from each task, are added in one row's fold.
+    """
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums: dict[tuple[int, int], list] = {}
+            for label, unit in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = sums.setdefault((label, len(unit)), [0, 0.0])
+                own[0], own[1] = own[0] + 1, own[1] + np.frombuffer(unit)
+            columns = list(zip(*((lab, width, n, total.tolist()) for (lab, width), (n, total) in sums.items()), strict=True)) or [()] * 4
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["label", "width", "n", "total"])
+
+    sums = nodes.select("label", "unit").mapInArrow(partial, "label long, width long, n long, total array<double>")
+    placed = sums.select("label", "width", "n", F.posexplode("total").alias("place", "x"))
+    each = placed.groupBy("label", "width", "place").agg((F.sum("x") / F.sum("n")).alias("x"), F.sum("n").alias("n"))
+    whole = each.groupBy("label", "width").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("place", "x"))), lambda p: p["x"]).alias("mean"),
+        F.max("n").alias("n"),
+        (1 - F.sum(F.col("x") * F.col("x"))).alias("spread"),
+    )
+
+    @F.udf("int")
+    def passes(n: int, spread: float) -> int:
+        return min(_PASSES, passes_for(n, window, cosine, spread=spread))
+
+    return cut(whole.select("label", "width", "mean", passes("n", "spread").alias("passes")), "vector-means")
+
+
 def _pairs(window: int, cosine: float):
     """(a, b) of the nodes of each block at most `window` places apart, with equal labels and a cosine that suffices."""
 
@@ -70,12 +107,15 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
     return rows.mapInArrow(each, "vec_id long, label long, unit binary")
 
 
-def _blocks(nodes: DataFrame, passes: int, window: int, seed: int) -> DataFrame:
-    """(block, node, unit, label): every node once in each pass's sorted order, in blocks that overlap by a window.
+def _blocks(nodes: DataFrame, means: DataFrame, window: int, seed: list[int]) -> DataFrame:
+    """(block, node, unit, label): every node once in the sorted order of each of its label's passes, in blocks that
+    overlap by a window. Vectors are hashed from their label's mean, so that a common direction spends no bits.
 
     Rows are ranked by (pass, label, bits, node) with a range partitioning and the row counts of its partitions.
     """
 
+    passes = means.agg(F.max("passes")).first()[0] or 4
+
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         weights = 1 << np.arange(_BITS, dtype=np.int64)[::-1]
@@ -84,15 +124,18 @@ def _blocks(nodes: DataFrame, passes: int, window: int, seed: int) -> DataFrame:
             for width in {len(u) for u in units}:
                 rows = np.array([i for i, u in enumerate(units) if len(u) == width])
                 x = np.frombuffer(b"".join(units[i] for i in rows)).reshape(len(rows), -1)
+                x = x - np.array(batch.column(3).take(pa.array(rows)).to_pylist())
                 if width not in planes:
-                    planes[width] = np.random.default_rng([seed, width]).normal(size=(x.shape[1], passes * _BITS))
-                bits = (x @ planes[width] > 0).reshape(len(rows), passes, _BITS).astype(np.int64) @ weights
-                some = batch.take(pa.array(rows))
-                for p in range(passes):
-                    columns = [pa.array(np.full(len(rows), p, np.int32)), pa.array(np.full(len(rows), width, np.int32)), pa.array(bits[:, p])]
-                    yield pa.RecordBatch.from_arrays([*columns, *some.columns], ["pass", "width", "bits", "node", "label", "unit"])
-
-    keyed = nodes.select("node", "label", "unit").mapInArrow(keys, "pass int, width int, bits long, node long, label long, unit binary")
+                    planes[width] = np.random.default_rng([*seed, width]).normal(size=(passes, x.shape[1], _BITS))
+                asked, some = batch.column(4).to_numpy()[rows], batch.select(["node", "label", "unit"]).take(pa.array(rows))
+                for p in range(int(asked.max())):
+                    own = np.flatnonzero(asked > p)
+                    bits = (x[own] @ planes[width][p] > 0).astype(np.int64) @ weights
+                    columns = [pa.array(np.full(len(own), p, np.int32)), pa.array(np.full(len(own), width, np.int32)), pa.array(bits)]
+                    yield pa.RecordBatch.from_arrays([*columns, *some.take(pa.array(own)).columns], ["pass", "width", "bits", "node", "label", "unit"])
+
+    centred = nodes.withColumn("width", F.length("unit").cast("long")).join(means, ["label", "width"])
+    keyed = centred.select("node", "label", "unit", "mean", "passes").mapInArrow(keys, "pass int, width int, bits long, node long, label long, unit binary")
     order = ["pass", "width", "label", "bits", "node"]
     spread = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
     spread = cut(spread.select("*", F.spark_partition_id().alias("part"), (F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).alias("place")), "vector-passes", "lz4")
@@ -152,8 +195,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, window: int = 32
 
     Vectors link if their labels are equal and not null and their cosine, in double precision, is `cosine` or more.
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, and so do those of
-    different lengths. Equal unit vectors of a label are one node with copies; passes of sorted random projections
-    find pairs of nodes within a window, the pairs found make components, and within each component all links are
+    different lengths. Equal unit vectors of a label are one node with copies; passes of sorted random projections, as
+    many as the label's size and spread ask for, find pairs of nodes within a window; they are repeated with other
+    projections until none joins two components. The pairs found make components, and within each component all links are
     counted exactly. component_id is the smallest vec_id reachable, kept marks the row with it. Repeated rows count as
     vectors of their own; a row without vec_id takes part, and has the smallest id of its component, if any.
     """
@@ -161,11 +205,22 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, window: int = 32
     usable = units.filter("label is not null and unit is not null")
     grouped = usable.groupBy("label", "unit").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least"))
     nodes = cut(grouped.withColumn("node", F.monotonically_increasing_id()), "vector-nodes", "lz4")
-    largest = nodes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    passes = passes_for(largest, window, cosine)
-    blocks = _blocks(nodes, passes, window, seed)
-    found = cut(blocks.mapInArrow(_pairs(window, cosine), "a long, b long").distinct(), "vector-pairs")
-    linked = cut(components(found), "vector-components")
+    means = _means(nodes, window, cosine)
+    linked, turn = None, 0
+    while True:  # each turn but the last joins components, so it ends
+        blocks = _blocks(nodes, means, window, [seed, turn])
+        found = cut(blocks.mapInArrow(_pairs(window, cosine), "a long, b long").distinct(), "vector-pairs")
+        if linked is not None:
+            of_a, of_b = (linked.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in ("a", "b"))
+            apart = found.join(of_a, "a", "left").join(of_b, "b", "left").filter("of_a is null or of_b is null or of_a <> of_b").select("a", "b")
+            found = cut(apart, "vector-pairs-new")
+            if not found.take(1):
+                break
+            found = found.unionByName(linked.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        elif not found.take(1):
+            linked = cut(components(found), "vector-components")
+            break
+        linked, turn = cut(components(found), "vector-components"), turn + 1
     links = _degrees(nodes, linked, cosine)
     least = nodes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = least.groupBy("component").agg(F.min("least").alias("component_id"))

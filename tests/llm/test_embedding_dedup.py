@@ -65,3 +65,21 @@ def test_odd_rows(spark):
 def test_more_passes_for_more_vectors():
     counts = [embedding_dedup.passes_for(n, 32, 0.98) for n in (10, 1000, 10**5, 10**8)]
     assert counts == sorted(counts) and counts[0] < counts[-1] < 60
+
+
+def test_clustered_label_equals_brute_force(spark):
+    """12,000 vectors of one label around one direction (mean cosine 0.9), 300 of them near a copy at 0.981."""
+    rng = np.random.default_rng(5)
+    center = rng.normal(size=64)
+    x = 3 * center / np.linalg.norm(center) + rng.normal(size=(12_000, 64)) / 8
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    d = rng.normal(size=(300, 64))
+    d -= (d * x[:300]).sum(1)[:, None] * x[:300]
+    d /= np.linalg.norm(d, axis=1)[:, None]
+    x[300:600] = 0.981 * x[:300] + np.sqrt(1 - 0.981**2) * d
+    frame = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(frame).collect()}
+    links = np.concatenate([(x[i : i + 1000] @ x.T >= 0.98).sum(1) - 1 for i in range(0, len(x), 1000)])
+    want = {i: int(n) for i, n in enumerate(links)}
+    wrong = [i for i in want if got[i] != want[i]]
+    assert sum(n > 0 for n in want.values()) >= 600 and len(wrong) <= 6, (len(wrong), links.sum())
