@@ -1,33 +1,38 @@
 """N-gram scoring by a weighted backoff automaton: n-grams are states, failure arcs lead to shorter ones.
 
-The weight of a text's path is taken apart: every n-gram seen in training adds its arc less the failure path that it
-replaces, and the failure weight of the state that it leads to. So a text's score is a sum over its n-grams, the model is
-a table with a row for each n-gram, and n-grams that aren't sent to the tasks are resolved by one partitioned join.
+Texts are coded once, in chunks of many texts with words of their own. Whatever a chunk must know of the whole corpus it
+asks for: it sends the distinct keys that it holds (words, pairs, triples, histories) with what it adds to them, hashed over
+buckets; a bucket adds up all chunks' parts and answers each with the totals, in the order asked. So every n-gram is counted
+over the whole corpus, goes out once from each chunk however often it occurs, and no table of the model is ever sent to all.
+With the answers a chunk has all arcs, failure weights and states that its texts meet, and walks them from left to right.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
-from hashlib import blake2b
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, held_out
+from .shared import Scratch, held_out
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: The end of a text as a word of the counts, and its start as a history; no word has a blank.
 END = b" "
 START = b"  "
 DISCOUNT = 0.75
+#: N-grams of two words and more are in the model from so many occurrences on, at any size of the corpus.
 LEAST = 2
-_FLUSH = 400_000
-_CHUNK = 1 << 19
+#: Words of a chunk, and keys that a bucket adds up, about. Neither changes a score.
+CHUNK = 1 << 20
+BUCKET = 1 << 22
+_PARTITIONS = 1 << 14
+_TINY = 1e-9
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -35,321 +40,365 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_LOWER).split()
 
 
-class _Codes(dict):
-    """Odd 64-bit codes of words, kept for the next time up to a bound."""
-
-    def __init__(self, salt: int):
-        super().__init__()
-        self.salt = salt.to_bytes(8, "little")
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _FLUSH:
-            self.clear()
-        found = self[word] = int.from_bytes(blake2b(word, digest_size=8, salt=self.salt).digest(), "little", signed=True) | 1
-        return found
-
+def mixed(codes: list[np.ndarray]) -> np.ndarray:
+    """64 bits of each n-gram, given by the codes of its words, or of its history and its last word."""
+    x = np.zeros(len(codes[0]), np.uint64)
+    for c in codes:
+        x = (x ^ c) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(32)
+    return x
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter[bytes] = Counter()
 
-    def out() -> pa.RecordBatch:
-        parts = [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())]
-        counts.clear()
-        return pa.RecordBatch.from_arrays(parts, ["word", "n"])
+def _planes(numbers: np.ndarray) -> bytes:
+    """64-bit numbers by the place of their bytes, so that the zeros of small ones lie together and pack well."""
+    return numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
 
-    for batch in batches:
-        for text, learned in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            words = [*words_of(text.as_py()), END]
-            counts.update(words if learned else dict.fromkeys(words, 0))
-            if len(counts) > _FLUSH:
-                yield out()
-    if counts:
-        yield out()
 
+def _numbers(planes: bytes, columns: int = 1) -> np.ndarray:
+    """The numbers of one or more columns of equal length, each by its planes."""
+    own = np.frombuffer(planes, np.uint8).reshape(columns, 8, -1)
+    return np.ascontiguousarray(own.transpose(0, 2, 1)).view("<u8")[:, :, 0]
 
-def _coded_words(rows: DataFrame) -> tuple[DataFrame, int]:
-    """(word, code, n) of all words of rows (text, learned), n of the learned texts alone, and the salt of the codes.
 
-    Another salt is taken until no two words of the table share a code (or have that of START), so codes stand for words.
-    """
-    counts = cut(rows.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
-    for salt in range(8):
+class _Local(dict):
+    """Numbers of a chunk's words in the order in which they come."""
 
-        def each(batches: Iterator[pa.RecordBatch], salt: int = salt) -> Iterator[pa.RecordBatch]:
-            codes = _Codes(salt)
-            for batch in batches:
-                found = pa.array([codes[w] for w in batch.column(0).to_pylist()], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0), found, batch.column(1)], ["word", "code", "n"])
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
 
-        coded = cut(counts.mapInArrow(each, "word binary, code long, n long"), "lm-codes")
-        seen = coded.select("code").unionByName(coded.sparkSession.range(1).select(F.lit(_Codes(salt)[START]).alias("code")))
-        if not seen.groupBy("code").count().filter("count > 1").take(1):
-            return coded, salt
-    raise RuntimeError("words share codes with every salt")
 
+@dataclass
+class _Builder:
+    local: _Local = field(default_factory=_Local)
+    at: list[np.ndarray] = field(default_factory=list)
+    texts: list[tuple] = field(default_factory=list)
+    size: int = 0
 
-def mixed(codes: list[np.ndarray]) -> np.ndarray:
-    """64 bits of each n-gram, given by the codes of its words."""
-    x = np.zeros(len(codes[0]), np.uint64)
-    for c in codes:
-        x = (x ^ c.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(32)
-    return x
+    def add(self, words: list[bytes], skip: int, row: int, doc: int | None, learned: bool) -> None:
+        self.at.append(np.fromiter(map(self.local.__getitem__, words), np.uint32, len(words)))
+        self.texts.append((row, doc, len(words), skip, learned))
+        self.size += len(words)
 
+    def out(self, number: int, seed: int) -> pa.RecordBatch:
+        codes = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w, seed) for w in self.local]), "<u8").reshape(-1, 2)
+        rows, docs, lengths, skips, learned = zip(*self.texts, strict=True)
+        parts = [[number], [self.size], [sum(x and s == 1 for x, s in zip(learned, skips, strict=True))], [codes[:, 0].tobytes()], [codes[:, 1].astype("<u4").tobytes()], [np.concatenate(self.at).tobytes()]]
+        parts += [[list(rows)], [list(docs)], [list(lengths)], [list(skips)], [list(learned)]]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.bool_())]
+        return pa.RecordBatch.from_arrays([pa.array(p, k) for p, k in zip(parts, kinds, strict=True)], _CHUNK_NAMES)
 
-@dataclass(frozen=True)
-class Sieve:
-    """Bits of a set of n-grams, at most 2^28 of them at any size. It never denies a member, so it only spares work."""
 
-    bits: int
-    words: np.ndarray
+_CHUNK_NAMES = ["chunk", "size", "firsts", "codes", "checks", "at", "rows", "docs", "lengths", "skips", "learned"]
+_CHUNK_KINDS = "chunk long, size long, firsts long, codes binary, checks binary, at binary, rows array<long>, docs array<long>, lengths array<int>, skips array<int>, learned array<boolean>"
 
-    @staticmethod
-    def places(mix: np.ndarray, bits: int) -> list[np.ndarray]:
-        shift = np.uint64(64 - bits)
-        return [mix >> shift, mix * np.uint64(0x9E3779B97F4A7C15) >> shift]
 
-    def may_have(self, mix: np.ndarray) -> np.ndarray:
-        found = np.ones(len(mix), bool)
-        for at in self.places(mix, self.bits):
-            found &= (self.words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
-        return found
+def encode(rows: DataFrame, chunk: int = CHUNK, seed: int = 0) -> DataFrame:
+    """The chunks of rows (doc_id, text, learned): texts of about `chunk` words as numbers of the chunk's own words.
 
-
-def _sieve(grams: DataFrame, names: list[str]) -> Sieve:
-    bits = min(28, max(10, (16 * grams.count()).bit_length()))
+    A longer text is cut in pieces; each begins with the two words before it (one, START, at the beginning), `skips` says
+    how many, which are histories there and are counted and scored elsewhere.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        row, number, built = part << 40, part << 32, _Builder()
         for batch in batches:
-            if len(batch):
-                at = np.concatenate(Sieve.places(mixed([c.to_numpy() for c in batch.columns]), bits))
-                parts = [pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))]
-                yield pa.RecordBatch.from_arrays(parts, ["at", "bits"])
-
-    rows = grams.select(*names).mapInArrow(each, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-    words = np.zeros(1 << (bits - 6), np.uint64)
-    words[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
-    return Sieve(bits, words)
-
-
-def _chunks(texts: pa.Array, codes: _Codes) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first text, codes, text of each code) of runs of texts, each text with its start and end."""
-    first, parts, size = 0, [], 0
-
-    def out() -> tuple[int, np.ndarray, np.ndarray]:
-        return first, np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-
-    for i, text in enumerate(texts):
-        words = [START, *words_of(text.as_py()), END]
-        parts.append(np.fromiter(map(codes.__getitem__, words), np.int64, len(words)))
-        size += len(words)
-        if size > _CHUNK:
-            yield out()
-            first, parts, size = i + 1, [], 0
-    if parts:
-        yield out()
-
-
-def _grams(flat: np.ndarray, text: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """The n-grams within texts, as the codes of their words, and their texts."""
-    size = max(len(flat) - order + 1, 0)
-    whole = np.flatnonzero(text[:size] == text[order - 1 :])
-    return [flat[whole + i] for i in range(order)], text[whole]
-
-
-def _runs(columns: list[np.ndarray], mix: np.ndarray, text: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Where runs of equal rows begin after sorting, as places of the given rows, and how long they are."""
-    order = np.argsort(mix, kind="stable") if text is None else np.lexsort((mix, text))
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for c in columns if text is None else [*columns, text]:
-        now = c[order]
-        new[1:] |= now[1:] != now[:-1]
-    starts = np.flatnonzero(new)
-    return order[starts], np.diff(np.append(starts, len(order)))
-
-
-def _count_ngrams(train: DataFrame, salt: int, order: int, shorter: Sieve) -> DataFrame:
-    """(a, b[, c], n) of every n-gram of `order` words seen LEAST times or more; its parts are seen no less often."""
-    sent = train.sparkSession.sparkContext.broadcast(shorter)
-    names = ["a", "b", "c"][:order]
+            for doc, text, learned in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                words = [START, *words_of(text.as_py()), END]
+                begin = 1
+                while begin < len(words):
+                    first, end = max(0, begin - 2), min(len(words), begin + chunk)
+                    built.add(words[first:end], begin - first, row, doc, learned)
+                    begin = end
+                    if built.size >= chunk:
+                        yield built.out(number, seed)
+                        number, built = number + 1, _Builder()
+                row += 1
+        if built.size:
+            yield built.out(number, seed)
+
+    return rows.mapInArrow(each, _CHUNK_KINDS)
+
+
+class Chunk:
+    """A chunk's arrays: its tokens as places in its words, and its distinct pairs and triples as places in theirs."""
+
+    def __init__(self, row: dict):
+        self.number = row["chunk"]
+        self.codes = np.frombuffer(row["codes"], "<u8")
+        self.at = np.frombuffer(row["at"], "<u4").astype(np.int64)
+        lengths = np.array(row["lengths"], np.int64)
+        self.rows, self.docs, self.n = row["rows"], row["docs"], len(lengths)
+        self.text = np.repeat(np.arange(self.n), lengths)
+        place = np.arange(len(self.at)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        self.place, self.own = place, place >= np.repeat(np.array(row["skips"]), lengths)
+        self.trained = self.own & np.repeat(np.array(row["learned"], bool), lengths)
+
+    def word_counts(self, start: int) -> np.ndarray:
+        """Training occurrences of each word; START's are the texts that begin here."""
+        n = np.bincount(self.at[self.trained], minlength=len(self.codes))
+        first = (self.place[:-1] == 0) & self.trained[1:]  # only START stands before the first word of a text
+        return n + np.bincount(self.at[:-1][first & (self.codes[self.at[:-1]] == np.uint64(start))], minlength=len(self.codes))
+
+    def set_pairs(self, counts: np.ndarray) -> None:
+        """Distinct pairs of words that may be in the model, by their last token's place: `pair` is -1 for the others."""
+        often = counts >= LEAST
+        last = np.flatnonzero((self.place >= 1) & often[self.at])
+        last = last[often[self.at[last - 1]]]
+        width = max(1, len(self.codes))
+        keys, found = np.unique(self.at[last - 1] * width + self.at[last], return_inverse=True)
+        self.pair = np.full(len(self.at), -1)
+        self.pair[last] = found
+        self.a, self.b = np.divmod(keys, width)
+        self.pair_n = np.bincount(found[self.trained[last]], minlength=len(keys))
+        self.pair_keys = mixed([self.codes[self.a], self.codes[self.b]])
+
+    def set_triples(self, pair_counts: np.ndarray) -> None:
+        """Distinct triples both of whose pairs are in the model, by their last token's place."""
+        kept = np.append(pair_counts >= LEAST, False)  # a place of -1 means none
+        last = np.flatnonzero((self.place >= 2) & self.own & kept[self.pair])
+        last = last[kept[self.pair[last - 1]]]
+        width = max(1, len(self.codes))
+        keys, found = np.unique(self.pair[last - 1] * width + self.at[last], return_inverse=True)
+        self.triple = np.full(len(self.at), -1)
+        self.triple[last] = found
+        self.history, word = np.divmod(keys, width)
+        self.lower = np.zeros(len(keys), np.int64)  # the pair of a triple's last two words
+        self.lower[found] = self.pair[last]
+        self.triple_n = np.bincount(found[self.trained[last]], minlength=len(keys))
+        self.triple_keys = mixed([self.pair_keys[self.history], self.codes[word]])
+
+
+_ASKED = "phase int, bucket long, chunk long, n int, keys binary, adds binary"
+_ANSWERED = "phase int, bucket long, chunk long, totals binary, owned binary, kinds long, once long, twice long, total long, clash boolean"
+
+
+def _asked(phase: int, chunk: int, keys: np.ndarray, adds: list[np.ndarray], bits: int) -> list[tuple]:
+    """Rows of _ASKED: keys in ascending order by their first `bits`, as steps, with what the chunk adds to each."""
+    if not len(keys):
+        return []
+    order = np.argsort(keys)
+    keys, adds = keys[order], [a[order] for a in adds]
+    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    return [
+        (phase, int(bucket[lo]), chunk, hi - lo, _planes(np.diff(keys[lo:hi], prepend=np.uint64(0))), b"".join(_planes(a[lo:hi]) for a in adds))
+        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True)
+    ]
+
+
+def _table(rows: list[tuple], kinds: str) -> pa.Table:
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
+    names = [x.split() for x in kinds.split(", ")]
+    columns = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.table([pa.array(c, types[k]) for c, (_, k) in zip(columns, names, strict=True)], [n for n, _ in names])
+
+
+def _answers(asked: DataFrame, columns: dict[int, int], bits: int, check: bool = False) -> DataFrame:
+    """What all chunks add to each key, for each chunk that asked: _ANSWERED. Of a key's chunks one owns it. columns: by phase.
+
+    Over a bucket's keys, kinds counts those with a first total above 0, once and twice those with 1 and 2, total sums it.
+    check: the last column isn't added up but must be the same for a key everywhere; clash says that it wasn't.
+    """
+    parts = min(1 << bits, _PARTITIONS)
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shorter, codes = sent.value, _Codes(salt)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+        held: list[tuple] = []
         for batch in batches:
-            for _, flat, text in _chunks(batch.column(0), codes):
-                grams, _ = _grams(flat, text, order)
-                may = shorter.may_have(mixed(grams[:-1])) & shorter.may_have(mixed(grams[1:]))
-                grams = [g[may] for g in grams]
-                first, n = _runs(grams, mixed(grams))
-                yield pa.RecordBatch.from_arrays([*[pa.array(g[first]) for g in grams], pa.array(n)], [*names, "n"])
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[0][:2] != row[:2]:
+                    yield held
+                    held = []
+                held.append(row)
+        if held:
+            yield held
 
-    kinds = ", ".join(f"{c} long" for c in [*names, "n"])
-    counted = train.mapInArrow(each, kinds).groupBy(*names).agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST)
-    return cut(counted, f"lm-counts-{order}")
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole(batches):
+            sizes = [r[3] for r in rows]
+            borders = np.cumsum(sizes)[:-1]
+            key, of = np.unique(np.concatenate([np.cumsum(_numbers(r[4])[0], dtype=np.uint64) for r in rows]), return_inverse=True)
+            adds = np.concatenate([_numbers(r[5], columns[r[0]]).astype(np.int64) for r in rows], axis=1)
+            first = np.zeros(len(key), np.int64)
+            first[of[::-1]] = np.arange(len(of))[::-1]
+            clash = check and bool((adds[-1] != adds[-1][first[of]]).any())
+            totals = [np.bincount(of, a).astype(np.int64) for a in (adds[:-1] if check else adds)]
+            owned = np.split(first[of] == np.arange(len(of)), borders)
+            answered = [np.split(t[of], borders) for t in totals]
+            n = totals[0]
+            sums = (int((n > 0).sum()), int((n == 1).sum()), int((n == 2).sum()), int(n.sum()), clash)
+            out = [(r[0], r[1], r[2], b"".join(_planes(a[i]) for a in answered), np.packbits(owned[i]).tobytes(), *(sums if i == 0 else (0, 0, 0, 0, False))) for i, r in enumerate(rows)]
+            yield from _table(out, _ANSWERED).to_batches()
+
+    dealt = asked.repartitionById(parts, F.shiftright("bucket", max(0, bits - parts.bit_length() + 1)).cast("int")).sortWithinPartitions("phase", "bucket")
+    return dealt.mapInArrow(each, _ANSWERED)
+
+
+def _told(answers: list[dict], phase: int, keys: np.ndarray, columns: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The totals of keys asked for in a phase, and which of them the chunk owns."""
+    order = np.argsort(keys)
+    rows = sorted((r for r in answers if r["phase"] == phase), key=lambda r: r["bucket"])
+    got = [_numbers(r["totals"], columns).astype(np.int64) for r in rows]
+    totals, owned = np.zeros((columns, len(keys)), np.int64), np.zeros(len(keys), bool)
+    if rows:
+        totals[:, order] = np.concatenate(got, axis=1)
+        owned[order] = np.concatenate([np.unpackbits(np.frombuffer(r["owned"], np.uint8), count=g.shape[1]) for r, g in zip(rows, got, strict=True)]).astype(bool)
+    return list(totals), owned
 
 
 @dataclass(frozen=True)
-class Hot:
-    """The n-grams of one order that are sent to tasks, sorted by their mixed bits, with what they add."""
-
-    mix: np.ndarray
-    codes: list[np.ndarray]
-    v: np.ndarray
-    base: np.ndarray
-    known: np.ndarray
-
-    def places(self, grams: list[np.ndarray], mix: np.ndarray) -> np.ndarray:
-        """The place of each n-gram, -1 for those that aren't here."""
-        if not len(self.mix):
-            return np.full(len(mix), -1)
-        at = np.minimum(np.searchsorted(self.mix, mix), len(self.mix) - 1)
-        same = self.mix[at] == mix
-        for own, given in zip(self.codes, grams, strict=True):
-            same &= own[at] == given
-        return np.where(same, at, -1)
+class Counts:
+    """Sums over the training tokens, ends counted as tokens."""
 
-
-@dataclass(frozen=True)
-class Fitted:
-    salt: int
     tokens: int
-    hot: list[Hot]
-    sieves: list[Sieve]
-
-
-def _backoff(grams: DataFrame, history: list[str]) -> DataFrame:
-    """log10 of the failure weight of each history: what its arcs leave over what their lower probabilities leave."""
-    left, below = (F.greatest(1 - F.sum(c), F.lit(1e-9)) for c in ("p", "lower"))
-    return grams.groupBy(*history).agg(F.log10(left / below).alias("weight"))
-
+    kinds: int
+    discount: float
+    bits: int
 
-def fit(docs: DataFrame, parts: int = 10, share: float = 1e-6) -> tuple[Fitted, DataFrame]:
-    """What is sent to tasks of the model, and the table (a, b, c, v, base, known) of all else that is in it.
 
-    Counts cover every training text, and every n-gram seen LEAST times or more is in the model, at any size. Those of a
-    share of all tokens of `share` or more, at most its inverse for each order, are sent.
-    """
-    learned = ~held_out(F.col("doc_id"), parts)
-    rows = docs.select(F.col("text").cast("binary").alias("text"), learned.alias("learned"))
-    train = rows.filter("learned").select("text")
-    coded, salt = _coded_words(rows)
-    seen = coded.filter("n > 0")
-    once, twice = (F.count(F.when(F.col("n") == i, 1)) for i in (1, 2))
-    sums = seen.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), once, twice, F.coalesce(F.sum(F.when(F.col("word") == END, F.col("n"))), F.lit(0))).first()
-    tokens, kinds, n1, n2, n_docs = sums
-    discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-    start = coded.sparkSession.range(1).select(F.lit(_Codes(salt)[START]).alias("a"), F.lit(n_docs).cast("long").alias("n"))
-    words = coded.select(F.col("code").alias("a"), "n").unionByName(start)
-
-    def single(n: Column) -> Column:
-        """The discounted share of a known word; all unseen words share what the discounts leave."""
-        if not tokens:
-            return F.lit(1.0)
-        return F.when(n > 0, F.greatest(n - discount, F.lit(1e-9))).otherwise(F.lit(max(discount * kinds, 1e-9))) / F.lit(float(tokens))
-
-    often = _sieve(words.filter(F.col("n") >= LEAST), ["a"])
-    two = _count_ngrams(train, salt, 2, often)
-    of, next_ = words.select("a", F.col("n").alias("of")), words.select(F.col("a").alias("b"), single(F.col("n")).alias("lower"))
-    discounted = F.greatest(F.col("n") - DISCOUNT, F.lit(1e-9))
-    pairs = cut(two.join(of, "a").join(next_, "b").select("a", "b", "n", (discounted / F.col("of")).alias("p"), "lower"), "lm-pairs")
-    sieve2 = _sieve(pairs, ["a", "b"])
-    three = _count_ngrams(train, salt, 3, sieve2)
-    of, next_ = pairs.select("a", "b", F.col("n").alias("of")), pairs.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("p").alias("lower"))
-    triples = cut(three.join(of, ["a", "b"]).join(next_, ["b", "c"]).select("a", "b", "c", "n", (discounted / F.col("of")).alias("p"), "lower"), "lm-triples")
-    sieve3 = _sieve(triples, ["a", "b", "c"])
-
-    fail1, fail2 = _backoff(pairs, ["a"]), _backoff(triples, ["a", "b"])
-    own = F.log10("p") - F.col("weight") - F.log10("lower")
-    none, no, further = F.lit(0).cast("long"), F.lit(0.0), F.coalesce("further", F.lit(0.0))
-    is_start = F.col("a") == _Codes(salt)[START]
-    base = F.log10((F.col("n") + 0.1) / (tokens + 0.1 * (kinds + 1)))
-    known = (F.col("n") > 0) & ~is_start
-    v1 = F.when(is_start, 0.0).otherwise(F.log10(single(F.col("n")))) + F.coalesce("weight", F.lit(0.0))
-    of_words = words.join(fail1, "a", "left").select("a", none.alias("b"), none.alias("c"), "n", v1.alias("v"), F.when(is_start, 0.0).otherwise(base).alias("base"), known.cast("long").alias("known"))
-    longer = pairs.join(fail1, "a").join(fail2.withColumnRenamed("weight", "further"), ["a", "b"], "left")
-    of_pairs = longer.select("a", "b", none.alias("c"), "n", (own + further).alias("v"), no.alias("base"), none.alias("known"))
-    of_triples = triples.join(fail2, ["a", "b"]).select("a", "b", "c", "n", own.alias("v"), no.alias("base"), none.alias("known"))
-    model = cut(of_words.unionByName(of_pairs).unionByName(of_triples), "lm-model")
-
-    least = max(float(LEAST), share * tokens)
-    found = model.filter(F.col("n") >= least).toArrow()
-    columns = {c: found[c].to_numpy() for c in found.column_names}
-    order_of = 1 + (columns["b"] != 0).astype(int) + (columns["c"] != 0)
-    hot = []
-    for order in (1, 2, 3):
-        rows_of = np.flatnonzero(order_of == order)
-        mix = mixed([columns[c][rows_of] for c in "abc"[:order]])
-        rows_of, mix = rows_of[np.argsort(mix)], np.sort(mix)
-        hot.append(Hot(mix, [columns[c][rows_of] for c in "abc"[:order]], *(columns[c][rows_of] for c in ("v", "base", "known"))))
-    return Fitted(salt, tokens, hot, [sieve2, sieve3]), model.filter(F.col("n") < least).drop("n")
-
-
-def score(docs: DataFrame, parts: int = 10, share: float = 1e-6) -> DataFrame:
+_WORDS, _PAIRS, _OF_WORD, _TRIPLES, _OF_PAIR = range(5)
+
+
+class Walk:
+    """What a chunk knows of the model so far: each step takes its answers and asks for what comes next."""
+
+    def __init__(self, row: dict, answers: list[dict], counts: Counts):
+        self.chunk, self.answers, self.counts = Chunk(row), answers, counts
+        (self.n1,), _ = _told(answers, _WORDS, self.chunk.codes, 1)
+        self.chunk.set_pairs(self.n1)
+
+    def pairs(self) -> list[tuple]:
+        c = self.chunk
+        return _asked(_PAIRS, c.number, c.pair_keys, [c.pair_n], self.counts.bits)
+
+    def _know_pairs(self) -> None:
+        c = self.chunk
+        (self.n2,), self.own2 = _told(self.answers, _PAIRS, c.pair_keys, 1)
+        self.kept2 = self.n2 >= LEAST
+        self.histories = np.flatnonzero(self.n1 >= LEAST)  # of arcs that other chunks may have
+        c.set_triples(self.n2)
+
+    def of_words_and_triples(self) -> list[tuple]:
+        """Asks for each history's arcs: sums of their counts, their number, and sums of their last words' counts; and for triples."""
+        self._know_pairs()
+        c, mine = self.chunk, self.kept2 & self.own2
+        adds = [np.bincount(c.a[mine], w, len(c.codes)).astype(np.int64)[self.histories] for w in (self.n2[mine], np.ones(int(mine.sum())), self.n1[c.b[mine]])]
+        return _asked(_OF_WORD, c.number, c.codes[self.histories], adds, self.counts.bits) + _asked(_TRIPLES, c.number, c.triple_keys, [c.triple_n], self.counts.bits)
+
+    def of_pairs(self) -> list[tuple]:
+        self._know_pairs()
+        c = self.chunk
+        (n3,), own3 = _told(self.answers, _TRIPLES, c.triple_keys, 1)
+        mine, asked = (n3 >= LEAST) & own3, np.flatnonzero(self.kept2)
+        adds = [np.bincount(c.history[mine], w, len(self.n2)).astype(np.int64)[asked] for w in (n3[mine], np.ones(int(mine.sum())), self.n2[c.lower[mine]])]
+        return _asked(_OF_PAIR, c.number, c.pair_keys[asked], adds, self.counts.bits)
+
+    def scores(self) -> list[tuple]:
+        """(row, doc_id, n_tokens, n_known, base_score, score) of each text, or of its piece."""
+        self._know_pairs()
+        c, all_ = self.chunk, self.counts
+        own = np.flatnonzero(c.own)
+        text, word = c.text[own], c.at[own]
+        tokens = np.bincount(text, minlength=c.n)
+        n = self.n1[word]
+        if not all_.tokens:
+            zeros = np.zeros(c.n)
+            return list(zip(c.rows, c.docs, tokens.tolist(), zeros.astype(int).tolist(), zeros.tolist(), zeros.tolist(), strict=True))
+        base = np.log10((n + 0.1) / (all_.tokens + 0.1 * (all_.kinds + 1)))
+        single = np.log10(np.where(n > 0, np.maximum(n - all_.discount, _TINY), max(all_.discount * all_.kinds, _TINY)) / all_.tokens)
+
+        def failure(sums: list[np.ndarray], of: np.ndarray, off: float, below: np.ndarray | float) -> np.ndarray:
+            """log10 of what a state's arcs leave over what their lower probabilities leave."""
+            seen, arcs, lower = sums
+            left, rest = 1 - (seen - DISCOUNT * arcs) / of, 1 - (lower - off * arcs) / below
+            return np.log10(np.maximum(left, _TINY) / np.maximum(rest, _TINY))
+
+        fail1, fail2 = np.zeros(len(c.codes)), np.zeros(len(self.n2))
+        sums, _ = _told(self.answers, _OF_WORD, c.codes[self.histories], 3)
+        fail1[self.histories] = failure(sums, self.n1[self.histories], all_.discount, float(all_.tokens))
+        asked = np.flatnonzero(self.kept2)
+        sums, _ = _told(self.answers, _OF_PAIR, c.pair_keys[asked], 3)
+        fail2[asked] = failure(sums, self.n2[asked], DISCOUNT, self.n1[c.b[asked]])
+        (n3,), _ = _told(self.answers, _TRIPLES, c.triple_keys, 1)
+
+        # The walk: at each token the state is the longest history in the model, its pair, else its word. The token's arc is
+        # taken from there if there is one; else the failure arc's weight is added, and the shorter history's state is next.
+        pair, before = c.pair[own], c.pair[own - 1]
+        of_pair = (before >= 0) & np.append(self.kept2, False)[before] & (c.place[own] >= 2)
+        triple = c.triple[own]
+        arc3 = (triple >= 0) & np.append(n3 >= LEAST, False)[triple]
+        arc2 = (pair >= 0) & np.append(self.kept2, False)[pair]
+        steps = np.zeros(len(own))
+        steps[arc3] = np.log10((n3[triple[arc3]] - DISCOUNT) / self.n2[before[arc3]])
+        fails = of_pair & ~arc3
+        steps[fails] += fail2[before[fails]]
+        at2 = ~arc3 & arc2
+        steps[at2] += np.log10((self.n2[pair[at2]] - DISCOUNT) / self.n1[c.a[pair[at2]]])
+        at1 = ~arc3 & ~arc2
+        steps[at1] += fail1[c.at[own[at1] - 1]] + single[at1]
+        sums = [np.bincount(text, w, c.n) for w in (n > 0, base, steps)]
+        return list(zip(c.rows, c.docs, tokens.tolist(), sums[0].astype(int).tolist(), sums[1].tolist(), sums[2].tolist(), strict=True))
+
+
+_SCORED = "row long, doc_id long, n_tokens long, n_known long, base_score double, score double"
+
+
+def score(docs: DataFrame, parts: int = 10, chunk: int = CHUNK, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs (doc_id, text).
 
     A null text counts as empty: it has one token, its end. The model learns from the rows that aren't held out; rows
     without an id are scored, never learned from, and count as held out. Each repeated row is learned from and scored.
-    With nothing learned both scores are 0. Other columns are ignored.
-
-    What the hot n-grams of a text add is summed in its task; each other n-gram goes, with its number of times in the
-    text, to the one row of the model that knows it, and their sums return to the text. `share` only says which are hot.
+    With nothing learned both scores are 0. Other columns are ignored. Words are told apart by 64 bits, and checked by 32
+    more: should two share a code, all is coded anew with another seed; pairs and triples are told apart by 64 bits.
     """
-    fitted, rest = fit(docs, parts, share)
-    sent = docs.sparkSession.sparkContext.broadcast(fitted)
-    names = ["row", "a", "b", "c", "times", "doc"]
-    fields = pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
-        codes, row = _Codes(model.salt), TaskContext.get().partitionId() << 40
-        for batch in batches:
-            for first, flat, text in _chunks(batch.column(1), codes):
-                n = int(text[-1]) + 1
-                tokens = np.bincount(text, minlength=n) - 1
-                totals = {c: np.zeros(n) for c in ("known", "base", "v")}
-                for order, hot in enumerate(model.hot, 1):
-                    grams, of = _grams(flat, text, order)
-                    mix = mixed(grams)
-                    at = hot.places(grams, mix)
-                    here = np.flatnonzero(at >= 0)
-                    for c, total in totals.items():
-                        total += np.bincount(of[here], getattr(hot, c)[at[here]], n)
-                    away = at < 0
-                    if order > 1:
-                        away &= model.sieves[order - 2].may_have(mix)
-                    grams, of, mix = [g[away] for g in grams], of[away], mix[away]
-                    if not len(of):
-                        continue
-                    one, times = _runs(grams, mix, of)
-                    columns = [g[one] for g in grams] + [np.zeros(len(one), np.int64)] * (3 - order)
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, (row + of[one], *columns, times)), pa.nulls(len(one), fields)], names)
-                rows = row + np.arange(n)
-                whole = [batch.column(0).slice(first, n), *map(pa.array, (tokens, totals["known"].astype(np.int64), totals["base"], totals["v"]))]
-                zeros = pa.array(np.zeros(n, np.int64))  # codes are odd: an even one finds nothing
-                yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(2 * rows), zeros, zeros, zeros, pa.StructArray.from_arrays(whole, fields=list(fields))], names)
-                row += n
-
-    kinds = "row long, a long, b long, c long, times long, doc struct<doc_id: long, n_tokens: long, n_known: long, base_score: double, score: double>"
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(each, kinds)
-    joined = rows.join(rest, ["a", "b", "c"], "left").filter("doc is not null or v is not null")
-    of_doc, times = (lambda c: F.coalesce(f"doc.{c}", F.lit(0))), F.col("times")
-    added = joined.select(
-        "row",
-        F.col("doc.doc_id").alias("doc_id"),
-        of_doc("n_tokens").alias("n_tokens"),
-        (of_doc("n_known") + times * F.coalesce("known", F.lit(0))).alias("n_known"),
-        (of_doc("base_score") + times * F.coalesce("base", F.lit(0.0))).alias("base_score"),
-        (of_doc("score") + times * F.coalesce("v", F.lit(0.0))).alias("score"),
-    )
-    sums = added.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
-    return sums.select(
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "lm")
+    learned = ~held_out(F.col("doc_id"), parts)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), learned.alias("learned"))
+    for seed in range(8):
+        chunks = scratch.bucketed(encode(rows, chunk, seed), f"chunks-{seed}", "chunk")
+        start = int.from_bytes(xxhash.xxh3_128_digest(START, seed)[:8], "little")
+        size, firsts = chunks.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("firsts"), F.lit(0))).first()
+        bits = max(1, (size // bucket).bit_length())
+
+        def words(batches: Iterator[pa.RecordBatch], start: int = start, bits: int = bits) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    here = Chunk(row)
+                    checks = np.frombuffer(row["checks"], "<u4").astype(np.int64)
+                    yield from _table(_asked(_WORDS, here.number, here.codes, [here.word_counts(start), checks], bits), _ASKED).to_batches()
+
+        answers = scratch.table(_answers(chunks.mapInArrow(words, _ASKED), {_WORDS: 2}, bits, check=True), f"words-{seed}")
+        kinds, once, twice, tokens, clash = (answers.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("kinds", "once", "twice", "total")], F.coalesce(F.max("clash"), F.lit(False))).first())
+        if not clash:
+            break
+    else:
+        raise RuntimeError("words share codes with every seed")
+    tokens, kinds, once, twice = tokens - firsts, kinds - (firsts > 0), once - (firsts == 1), twice - (firsts == 2)  # less START
+    counts = Counts(tokens, kinds, once / (once + 2 * twice) if once and twice else 0.5, bits)
+
+    def step(what: Callable[[Walk], list[tuple]], kinds: str) -> DataFrame:
+        def each(left: pa.Table, right: pa.Table) -> pa.Table:
+            told = right.to_pylist()
+            return _table([x for row in left.to_pylist() for x in what(Walk(row, told, counts))], kinds)
+
+        return chunks.groupBy("chunk").cogroup(answers.select("phase", "bucket", "chunk", "totals", "owned").groupBy("chunk")).applyInArrow(each, kinds)
+
+    answers = answers.unionByName(scratch.table(_answers(step(Walk.pairs, _ASKED), {_PAIRS: 1}, bits), "pairs"))
+    answers = answers.unionByName(scratch.table(_answers(step(Walk.of_words_and_triples, _ASKED), {_OF_WORD: 3, _TRIPLES: 1}, bits), "triples"))
+    answers = answers.unionByName(scratch.table(_answers(step(Walk.of_pairs, _ASKED), {_OF_PAIR: 3}, bits), "of-pairs"))
+    pieces = step(Walk.scores, _SCORED)
+    sums = pieces.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
+    scored = scratch.table(sums, "scores")
+    scratch.drop_all_but("scores")
+    return scored.select(
         "doc_id",
         held_out(F.col("doc_id"), parts).alias("held_out"),
         "n_tokens",
         "n_known",
-        F.lit(fitted.tokens).cast("long").alias("train_tokens"),
+        F.lit(tokens).cast("long").alias("train_tokens"),
         "base_score",
         "score",
     )

@@ -23,7 +23,9 @@ def shared_dir(spark: SparkSession) -> str:
     if folder is None:
         folder = context.getCheckpointDir()
     if folder is None:
-        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")  # one machine
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -37,6 +39,38 @@ def cut(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that a job writes on its way, in a folder of the shared one; emptied once nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.id = spark, uuid.uuid4().hex
+        self.folder = f"{shared_dir(spark)}/tables/{name}-{self.id}"
+        self.written: dict[str, str | None] = {}
+
+    def table(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+        df.write.option("compression", compression).parquet(f"{self.folder}/{name}")
+        self.written[name] = None
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def bucketed(self, df: DataFrame, name: str, column: str) -> DataFrame:
+        """df in as many buckets by a column as there are shuffle partitions: joins on it leave this side where it is."""
+        known = f"scratch_{self.id}_{len(self.written)}"
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.option("compression", "zstd").option("path", f"{self.folder}/{name}").format("parquet").bucketBy(n, column).saveAsTable(known)
+        self.written[name] = known
+        return self.spark.table(known)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            known = self.written.pop(name)
+            if known is not None:
+                self.spark.sql(f"DROP TABLE {known}")
+            self.spark.range(0).write.mode("overwrite").parquet(f"{self.folder}/{name}")
+
+    def drop_all_but(self, *names: str) -> None:
+        self.drop(*[n for n in self.written if n not in names])
+
+
 def held_out(doc_id: Column, parts: int) -> Column:
     """True where crc32 of the id as text leaves no remainder; rows without an id are never learned from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == 0, F.lit(True))

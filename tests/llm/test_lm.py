@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lodeworks.llm import lm
 from lodeworks.llm.queries import QUERIES
@@ -79,14 +80,15 @@ def test_scores_equal_plain_backoff(spark):
     rows = list(enumerate(texts))
     train = [t for i, t in rows if not out(i)]
     want, _ = brute(train, texts)
-    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    for i, w in enumerate(want):
-        assert math.isclose(got[i], w, rel_tol=1e-9, abs_tol=1e-9), (texts[i], got[i], w)
+    for chunk, bucket in ((lm.CHUNK, lm.BUCKET), (37, 100), (2, 1 << 20)):  # texts in many chunks, and cut in pieces
+        got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), chunk=chunk, bucket=bucket).collect()}
+        for i, w in enumerate(want):
+            assert math.isclose(got[i], w, rel_tol=1e-9, abs_tol=1e-9), (chunk, texts[i], got[i], w)
 
 
 def test_odd_rows(spark):
     rows = [(i, "the same old words again", 1) for i in range(30)] + [(100, None, 1), (101, " \n", 1), (None, "the words", 1), (102, "w " * 100_000, 1), (102, "x", 1)]
-    frame = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    frame = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, n int, chunk string").withColumn("row", F.lit(1))
     got = lm.score(frame).collect()
     assert len(got) == len(rows)
     by = {r.doc_id: r for r in got}
@@ -110,10 +112,10 @@ def test_ngrams_seen_twice_count_however_large_the_corpus(spark):
     want, uni = brute_of_tables(train, [texts[i] for i in some])
     assert sum(uni.values()) > 400_000
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    for share in (1e-6, 1e-3, 1.0):  # whatever is sent, the scores are the same
-        got = {r.doc_id: r.score for r in lm.score(frame, share=share).collect()}
+    for chunk, bucket in ((lm.CHUNK, lm.BUCKET), (5000, 1 << 14)):  # however it is dealt, the scores are the same
+        got = {r.doc_id: r.score for r in lm.score(frame, chunk=chunk, bucket=bucket).collect()}
         for i, w in zip(some, want, strict=True):
-            assert math.isclose(got[i], w, rel_tol=1e-9, abs_tol=1e-9), (share, i, got[i], w)
+            assert math.isclose(got[i], w, rel_tol=1e-9, abs_tol=1e-9), (chunk, i, got[i], w)
 
 
 def brute_of_tables(train, texts):
