@@ -34,46 +34,75 @@ def test_split_words_give_the_same_ids(decode):
         assert tokenizer.ids(text) == np.array(decode.encode_ordinary(text), "<u2").tobytes(), repr(text)
 
 
+def pieces(rows):
+    """{document: its tokens}, put together from the sequences that hold it; each sequence's parts must fill it."""
+    by = defaultdict(list)
+    for r in rows:
+        ends = [*r.starts[1:], len(np.frombuffer(bytes(r.tokens), "<u2"))]
+        assert r.starts[0] == 0 and len(r.doc_ids) == len(r.starts) == len(r.places)
+        for doc, lo, hi, place in zip(r.doc_ids, r.starts, ends, r.places, strict=True):
+            by[doc].append((place, np.frombuffer(bytes(r.tokens), "<u2")[lo:hi].tolist()))
+    return by
+
+
+def whole(parts):
+    parts = sorted(parts)
+    tokens = []
+    for place, some in parts:
+        assert place == len(tokens)
+        tokens += some
+    return tokens
+
+
 def test_query_round_trip(spark, sf_dir, decode):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = QUERIES["op1_token_shards"](spark, sf_dir).collect()
     assert sorted(r.slot for r in rows) == list(range(len(rows)))
-    parts = defaultdict(dict)
     for r in rows:
         assert (r.shard, r.offset) == (r.slot // token_shards.SHARD_RECORDS, r.slot % token_shards.SHARD_RECORDS * token_shards.stride())
         assert 2 * r.n_tokens == len(r.tokens)
-        parts[r.doc_id][r.place] = bytes(r.tokens)
+    assert sum(r.n_tokens < token_shards.SEQUENCE for r in rows) <= 8  # the last of each task
+    parts = pieces(rows)
+    assert parts.keys() == texts.keys()
     for doc, text in texts.items():
-        ids = np.frombuffer(b"".join(parts[doc][i] for i in range(len(parts[doc]))), "<u2").tolist()
+        ids = whole(parts[doc])
         assert ids[-1] == token_shards.END and decode.decode(ids[:-1]) == text
 
 
-def test_shards_are_written_and_read_from_any_slot(spark, sf_dir, tmp_path):
+def test_shards_are_read_from_any_slot(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    ordered = token_shards.materialize(docs, length=64, shard_records=100)
-    want = {r.slot: (r.doc_id, r.place, np.frombuffer(bytes(r.tokens), "<u2").tolist()) for r in ordered.collect()}
-    manifest = token_shards.write_shards(ordered, str(tmp_path), length=64).orderBy("shard").collect()
-    assert sum(m.records for m in manifest) == len(want)
-    assert all(m.first_slot == 100 * m.shard and m.bytes == m.records * token_shards.stride(64) for m in manifest)
-    for start, stop in ((0, len(want)), (250, 333), (99, 101), (5, 5)):
-        got = list(token_shards.read_shards(str(tmp_path), start, stop, length=64, shard_records=100))
-        assert [r.slot for r in got] == list(range(start, stop))
-        assert all(want[r.slot] == (r.doc_id, r.place, r.tokens.tolist()) for r in got)
+    kinds = {"length": 64, "shard_records": 100}
+    want = {r.slot: r for r in token_shards.write(docs, folder=str(tmp_path), **kinds).collect()}
+    assert sorted(want) == list(range(len(want))) and all(r.shard == r.slot // 100 for r in want.values())
+    assert len(list(tmp_path.iterdir())) == 2 * -(-len(want) // 100)
+    for start, stop in ((0, len(want)), (250, 333), (99, 101), (5, 5), (len(want) - 3, len(want) + 1000), (len(want) + 500, len(want) + 600)):
+        got = list(token_shards.read_shards(str(tmp_path), start, stop, **kinds))
+        assert [r.slot for r in got] == list(range(start, max(start, min(stop, len(want)))))
+        for r in got:
+            w = want[r.slot]
+            assert (r.doc_ids, r.starts, r.places, r.tokens.astype("<u2").tobytes()) == (w.doc_ids, w.starts, w.places, bytes(w.tokens))
 
 
 def test_odd_rows(spark, decode):
-    rows = [(1, None, 0), (2, "", 0), (None, "no id", 0), (3, "word " * 50_000, 0), (4, "same", 0), (4, "same", 0)]
+    rows = [(1, None, 0), (2, "", 0), (None, "no id", 0), (-1, "an id", 0), (3, "word " * 50_000, 0), (4, "same", 0), (4, "same", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, slot int")
-    got = token_shards.materialize(docs).collect()
+    got = token_shards.write(docs).collect()
     assert sorted(r.slot for r in got) == list(range(len(got)))
-    by = defaultdict(list)
-    for r in got:
-        by[r.doc_id].append(r)
-    assert [np.frombuffer(bytes(by[d][0].tokens), "<u2").tolist() for d in (1, 2)] == [[token_shards.END]] * 2
-    assert len(by[4]) == 2 and len(by[None]) == 1
-    long = np.frombuffer(b"".join(bytes(r.tokens) for r in sorted(by[3], key=lambda r: r.place)), "<u2")
-    assert decode.decode(long[:-1].tolist()) == "word " * 50_000
-    assert token_shards.materialize(docs.limit(0)).count() == 0
+    parts = pieces(got)
+    assert whole(parts[1]) == whole(parts[2]) == [token_shards.END]
+    assert decode.decode(whole(parts[None])[:-1]) == "no id" and decode.decode(whole(parts[-1])[:-1]) == "an id"
+    assert len(parts[4]) == 2 and {decode.decode(t[:-1]) for _, t in parts[4]} == {"same"}
+    assert decode.decode(whole(parts[3])[:-1]) == "word " * 50_000
+    assert token_shards.write(docs.limit(0)).count() == 0
+
+
+def test_many_blocks_and_shards_of_a_task(spark, sf_dir, monkeypatch):
+    """The same rows however much a task sorts at once, and where a partition holds several shards."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = {r.slot: tuple(r) for r in token_shards.write(docs, length=64, shard_records=50).collect()}
+    monkeypatch.setattr(token_shards, "_PARTITIONS", 3)
+    monkeypatch.setattr(token_shards, "DEAL_BYTES", 1)
+    assert {r.slot: tuple(r) for r in token_shards.write(docs, length=64, shard_records=50).collect()} == want
 
 
 def test_query_and_pipeline_write_shards(spark, sf_dir, tmp_path, monkeypatch):
@@ -86,25 +115,15 @@ def test_query_and_pipeline_write_shards(spark, sf_dir, tmp_path, monkeypatch):
         folders = sorted(tmp_path.glob("shards-*"), key=lambda p: p.stat().st_mtime)
         assert len(folders) == i
         got = list(token_shards.read_shards(str(folders[-1]), 0, len(rows)))
-        want = {r.slot: (r.doc_id, r.place, bytes(r.tokens)) for r in rows}
-        assert {r.slot: (r.doc_id, r.place, r.tokens.tobytes()) for r in got} == want and len(want) == len(rows)
-
-
-def test_written_rows_equal_those_in_order(spark):
-    docs = spark.createDataFrame([(None, "no id"), (-1, "an id"), (2, None), (3, "word " * 3000)], "doc_id long, text string").coalesce(1)
-    kinds = {"length": 64, "shard_records": 10}
-    written = token_shards.write(docs, **kinds)
-    assert sorted(map(tuple, written.collect()), key=lambda r: r[0]) == sorted(map(tuple, token_shards.materialize(docs, **kinds).collect()), key=lambda r: r[0])
-    assert {r.doc_id for r in written.collect()} == {None, -1, 2, 3}
-    assert token_shards.write(docs.limit(0)).count() == 0
+        assert {r.slot: r.tokens.tobytes() for r in got} == {r.slot: bytes(r.tokens) for r in rows} and len(got) == len(rows)
 
 
 def test_changed_shards_fail(spark, tmp_path):
     docs = spark.createDataFrame([(1, "some words")], "doc_id long, text string")
-    manifest = token_shards.write_shards(token_shards.materialize(docs), str(tmp_path))
+    written = token_shards.write(docs, folder=str(tmp_path))
     path = tmp_path / "shard-00000000.bin"
     data = bytearray(path.read_bytes())
     data[-1] ^= 1
     path.write_bytes(data)
     with pytest.raises(Exception, match="crc32"):
-        token_shards.shard_rows(manifest).collect()
+        written.collect()
