@@ -14,6 +14,7 @@ RECRUITMENT_ALIASES = {
     "experienced": ("experienced", "experienced hire", "social recruitment", "社招", "社会招聘"),
 }
 CJK = r"\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}"
+FIRST_CJK = "\u3400"
 TOKEN = rf"[{CJK}]+|[A-Za-z0-9][A-Za-z0-9+#._-]*"
 BEARER = r"(?i)bearer\s+[a-z0-9._-]+"
 TURN_CHARS = 600
@@ -41,12 +42,12 @@ def location_key(place: Column) -> Column:
 
 
 def lexical_tokens(text: Column) -> Column:
-    """CJK runs as overlapping pairs (a single character stays), ASCII words folded and stripped of `._-`."""
+    """CJK runs as overlapping pairs (a single character stays), ASCII words folded and stripped of `._-` at the end."""
     pieces = F.regexp_extract_all(text, F.lit(f"({TOKEN})"), 1)
-    pairs = lambda s: F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.substring(s, i, F.lit(2)))
-    word = lambda s: F.array(F.regexp_replace(F.lower(s), r"^[._-]+|[._-]+$", ""))
-    cut = F.transform(pieces, lambda s: F.when(s.rlike(f"^[{CJK}]"), F.when(F.length(s) > 1, pairs(s)).otherwise(F.array(s))).otherwise(word(s)))
-    return F.filter(F.flatten(cut), lambda t: t != "")
+    pairs = lambda s: F.when(F.length(s) > 1, F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.substring(s, i, F.lit(2)))).otherwise(F.array(s))
+    word = lambda s: F.rtrim(F.lower(s), F.lit("._-"))  # noqa: E731  words begin with a letter or digit
+    mixed = F.flatten(F.transform(pieces, lambda s: F.when(s >= FIRST_CJK, pairs(s)).otherwise(F.array(word(s)))))
+    return F.when(text.rlike(f"[{CJK}]"), mixed).otherwise(F.transform(pieces, word))
 
 
 def recruitment_type(value: Column) -> Column:

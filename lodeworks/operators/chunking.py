@@ -2,40 +2,51 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_sha, collapse
 
+# Fixed value: the characters that end a sentence.
 ENDINGS = "。！？!?；;"
+_TO_ONE = str.maketrans(ENDINGS, ENDINGS[0] * len(ENDINGS))
+
+
+def _pieces(flat: str, most: int, overlap: int) -> list[str]:
+    """One text's pieces, from its white space collapsed; each step looks at one window, so time follows the text."""
+    half, start, n, found = max(1, most // 2), 0, len(flat), []
+    marks = flat.translate(_TO_ONE)
+    while True:
+        end = min(start + most, n)
+        if end < n:
+            sentence = marks.rfind(ENDINGS[0], start + half, end)
+            blank = flat.rfind(" ", start + half, end)
+            end = sentence + 1 if sentence >= 0 else blank if blank >= 0 else end
+        if piece := flat[start:end].strip(" "):
+            found.append(piece)
+        if end >= n:
+            return found
+        start = max(start + 1, end - overlap)
+        if start < end and flat[start] == " ":
+            start += 1
 
 
 def chunk_texts(text: Column, most: int = 800, overlap: int = 100) -> Column:
-    """Overlapping pieces of a text: cut behind a sentence, else at a blank, in the second half of a window, else hard."""
-    flat, half = collapse(text), max(1, most // 2)
-    steps = F.sequence(F.lit(0), (F.length(flat) / max(1, half - overlap)).cast("int"))
-
-    def last(tail: Column, mark: str) -> Column:
-        """Characters of tail up to its last mark; 0 if there is none."""
-        at = F.locate(mark, F.reverse(tail))
-        return F.when(at > 0, F.length(tail) - at + 1).otherwise(0)
-
-    def step(state: Column, flat: Column) -> Column:
-        start, n = state["start"], F.length(flat)
-        tail = F.substring(flat, start + half + 1, F.lit(most - half))
-        sentence, blank = last(F.translate(tail, ENDINGS, ENDINGS[0] * len(ENDINGS)), ENDINGS[0]), last(tail, " ")
-        soft = F.when(sentence > 0, start + half + sentence).when(blank > 0, start + half + blank - 1).otherwise(start + most)
-        end = F.when(start + most >= n, n).otherwise(soft)
-        following = F.greatest(start + 1, end - overlap)
-        skip = F.when((following < end) & (F.substring(flat, following + 1, F.lit(1)) == " "), 1).otherwise(0)
-        piece = F.trim(F.substring(flat, start + 1, end - start))
-        pieces = F.when(piece != "", F.concat(state["pieces"], F.array(piece))).otherwise(state["pieces"])
-        moved = F.struct((following + skip).cast("int").alias("start"), (end >= n).alias("done"), pieces.alias("pieces"))
-        return F.when(state["done"], state).otherwise(moved)
-
-    begin = F.struct(F.lit(0).alias("start"), F.lit(False).alias("done"), F.array().cast("array<string>").alias("pieces"))
-    once = lambda flat: F.aggregate(steps, begin, lambda state, _: step(state, flat), lambda state: state["pieces"])
-    return F.when(F.length(flat) <= most, F.array(flat)).otherwise(F.get(F.transform(F.array(flat), once), F.lit(0)))
+    """Overlapping pieces of a text: cut behind a sentence, else at a blank, in the second half of a window, else hard.
+
+    Null stays null, and a blank text is one empty piece. Cutting is a walk over each text, so it takes Arrow batches.
+    """
+
+    @F.pandas_udf("array<string>")
+    def pieces(flat: pd.Series) -> pd.Series:
+        return flat.map(lambda x: None if x is None else [x] if len(x) <= most else _pieces(x, most, overlap))
+
+    return pieces(collapse(text))
 
 
 def version(most: int = 800, overlap: int = 100) -> str:
@@ -59,12 +70,41 @@ def evidence_id(document_sha: Column, source: Column, fragment: Column, chunk: C
     return F.concat(F.lit("ev_"), canonical_sha(fields | {"source_fragment_ordinal": fragment, "source_reference": source, "text": text}))
 
 
-def set_fingerprint(digests: DataFrame, column: str = "digest", buckets: int = 4096) -> DataFrame:
-    """One digest of a whole set of digests, whatever their order: hashed by bucket, then the buckets' hashes together.
+def set_fingerprint(digests: DataFrame, column: str = "digest", digits: int = 4) -> DataFrame:
+    """(fingerprint, members): one digest of a whole set of hexadecimal digests, whatever their order: hashed by their first
+    `digits`, then these buckets' hashes together.
 
     No task holds more than a bucket's digests, and the last step as many as there are buckets.
     """
-    bucket = F.pmod(F.crc32(F.col(column).cast("binary")), F.lit(buckets)).alias("bucket")
+    bucket = F.substring(column, 1, digits).alias("bucket")
     parts = digests.groupBy(bucket).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(column)), ","), 256).alias("part"), F.count(F.lit(1)).alias("n"))
     whole = F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "part"))), lambda x: x["part"]), ","), 256)
     return parts.agg(whole.alias("fingerprint"), F.sum("n").alias("members"))
+
+
+def ordered_digest(rows: DataFrame, item: str, *order: str, before: str = "", between: str = ",", after: str = "") -> DataFrame:
+    """(digest, members): SHA-256 of the items of all rows, joined in a global order: `before`, items with `between`, `after`.
+
+    One digest over one text is a walk in order by its nature: rows are sorted in parallel, and then pass through one hash,
+    batch by batch, so that nothing is held. Where a digest of another definition will do, set_fingerprint() hashes in
+    parallel.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, members = hashlib.sha256(before.encode()), 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                digest.update((between if members else "").encode() + text.encode())
+                members += 1
+        digest.update(after.encode())
+        yield pa.RecordBatch.from_arrays([pa.array([digest.hexdigest()]), pa.array([members])], ["digest", "members"])
+
+    ordered = rows.select(F.col(item).cast("string").alias("_item"), *order).orderBy(*order).select("_item")
+    return ordered.coalesce(1).mapInArrow(each, "digest string, members long")
+
+
+def corpus_fingerprint(chunks: DataFrame) -> DataFrame:
+    """(fingerprint, members) of chunks (evidence_id, document_sha256, chunker_version), by content and in the order of ids."""
+    item = F.to_json(F.struct("chunker_version", "document_sha256", "evidence_id"))
+    whole = ordered_digest(chunks.select("evidence_id", item.alias("item")), "item", "evidence_id", before="[", after="]")
+    return whole.select(F.concat(F.lit("corpus_"), "digest").alias("fingerprint"), "members")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .chunking import ordered_digest
+
 
 def first_of(rows: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     """The first row of each key in the given order."""
@@ -77,3 +79,68 @@ def violations(rows: DataFrame, id_: str, rules: dict[str, Column]) -> DataFrame
     """(id, rule) for every rule that a row breaks, in one pass."""
     broken = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()]), lambda r: r.isNotNull())
     return rows.select(F.col(id_).alias("id"), F.explode(broken).alias("rule"))
+
+
+def verify_manifest(entries: DataFrame, files: DataFrame) -> DataFrame:
+    """entries (.., path, content_sha256) with a verdict against files (path, actual): outside-root, missing, hash-mismatch, verified."""
+    verdict = F.when(F.col("path").rlike(r"^/|(^|/)\.\.(/|$)"), "outside-root").when(F.col("actual").isNull(), "missing")
+    verdict = verdict.when(F.col("actual") != F.col("content_sha256"), "hash-mismatch").otherwise("verified")
+    return entries.join(files.select("path", "actual"), "path", "left").withColumn("verdict", verdict).drop("actual")
+
+
+def link_conflicts(known: DataFrame, incoming: DataFrame) -> DataFrame:
+    """(id, snapshot, linked_to) of incoming links (id, snapshot) whose id is already linked to another snapshot: the least such.
+
+    The two least snapshots of an id say whether another one has it, so an id's links never meet in one row.
+    """
+    least = known.groupBy("id").agg(F.min("snapshot").alias("m1"))
+    second = known.join(least, "id").filter("snapshot <> m1").groupBy("id").agg(F.min("snapshot").alias("m2"))
+    linked = F.when(F.col("m1") != F.col("snapshot"), F.col("m1")).otherwise(F.col("m2"))
+    rows = incoming.join(least, "id").join(second, "id", "left").select("id", "snapshot", linked.alias("linked_to"))
+    return rows.filter("linked_to is not null")
+
+
+def sets_equal(expected: DataFrame, actual: DataFrame, by: str, id_: str) -> DataFrame:
+    """(by, expected, actual, equal): numbers of distinct ids on either side, and whether the sets are the same.
+
+    Ids meet one by one in a full join, so no set is held. A group that only one side has isn't equal.
+    """
+    one = lambda rows, name: rows.select(by, id_).distinct().withColumn(name, F.lit(1))
+    both = one(expected, "e").join(one(actual, "a"), [by, id_], "full")
+    return both.groupBy(by).agg(F.count("e").alias("expected"), F.count("a").alias("actual"), F.bool_and(F.col("e").isNotNull() & F.col("a").isNotNull()).alias("equal"))
+
+
+def match_documents(entries: DataFrame, artifacts: DataFrame, key: str) -> DataFrame:
+    """(key, verdict) of manifest entries (key, source, content_sha256) and artifacts of the same columns: matched, hash-differs,
+    source-differs, or which side is missing."""
+    other = artifacts.select(key, F.col("source").alias("_source"), F.col("content_sha256").alias("_sha"))
+    verdict = F.when(F.col("content_sha256").isNull(), "entry-missing").when(F.col("_sha").isNull(), "artifact-missing")
+    verdict = verdict.when(F.col("content_sha256") != F.col("_sha"), "hash-differs").when(~F.col("source").eqNullSafe(F.col("_source")), "source-differs")
+    return entries.join(other, key, "full").select(key, verdict.otherwise("matched").alias("verdict"))
+
+
+def judged_outside(judged: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(id, problem) of judged (id, document_sha256) that aren't in corpus (id, document_sha256), or there with another hash."""
+    rows = judged.join(corpus.select("id", F.col("document_sha256").alias("_sha")), "id", "left")
+    problem = F.when(F.col("_sha").isNull(), "outside-corpus").when(F.col("_sha") != F.col("document_sha256"), "wrong-hash")
+    return rows.select("id", problem.alias("problem")).filter("problem is not null")
+
+
+def profile(documents: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Documents, bytes and distinct contents of documents (.., text), by each of the columns and over all (level as in grouping_id)."""
+    rows = documents.select(*by, F.octet_length("text").alias("bytes"), F.sha2("text", 256).alias("sha"))
+    sets = [[c] for c in by] + [[]]
+    return rows.groupingSets(sets, *by).agg(F.count(F.lit(1)).alias("documents"), F.sum("bytes").alias("bytes"), F.countDistinct("sha").alias("contents"), F.grouping_id().cast("int").alias("level"))
+
+
+def freeze_manifest(entries: DataFrame, folder: str) -> DataFrame:
+    """Writes entries (source_id, entry: canonical JSON) below folder in a place named by their content; (identity, entries, path).
+
+    The same entries have the same place, where writing them again changes nothing; entries that differ have another one.
+    """
+    digest = ordered_digest(entries, "entry", "source_id", before='{"entries":[', after="]}")
+    found = digest.select(F.concat(F.lit("manifest_"), "digest").alias("identity"), F.col("members").alias("entries")).first()
+    path = f"{folder}/identity={found.identity}"
+    spark = entries.sparkSession
+    entries.select("entry").write.mode("ignore").text(path)
+    return spark.createDataFrame([(found.identity, found.entries, path)], "identity string, entries long, path string")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,27 @@ def plan_status(plan: Column, tools: Sequence[str]) -> Column:
     return status.when((d["decision"] == "call_tool") & payload, "tool-not-allowed").otherwise("invalid-plan-contract")
 
 
+def judgment_status(json: Column, exact: bool = False) -> Column:
+    """valid, or what is wrong with a judgment: not JSON, a label that isn't one, a blank rationale; with `exact` also other keys."""
+    d, keys = F.from_json(json, "label string, rationale string"), F.json_object_keys(json)
+    more = F.array_sort(keys) != F.array(F.lit("label"), F.lit("rationale")) if exact else F.lit(False)
+    status = F.when(keys.isNull(), "invalid-json").when(more, "invalid-keys")
+    status = status.when(~F.coalesce(d["label"].isin("supported", "unsupported", "uncertain"), F.lit(False)), "invalid-label")
+    return status.when(F.coalesce(F.trim(d["rationale"]) == "", F.lit(True)), "blank-rationale").otherwise("valid")
+
+
+def answer_status(json: Column) -> Column:
+    """answered, refused, or what is wrong with an answer: an answer has claims with citations each and no fallback, a refusal
+    a fallback and no claims."""
+    d = F.from_json(json, "status string, claims array<struct<text:string,citations:array<string>>>, fallback string")
+    n = F.size(d["claims"])
+    cited = F.forall(d["claims"], lambda c: F.coalesce(F.size(c["citations"]) > 0, F.lit(False)))
+    answered = (d["status"] == "answered") & (n > 0) & cited & d["fallback"].isNull()
+    refused = (d["status"] == "insufficient_evidence") & (n == 0) & d["fallback"].isNotNull()
+    status = F.when(F.json_object_keys(json).isNull(), "invalid-answer-json").when(answered, "answered")
+    return status.when(refused, "refused").otherwise("invalid-answer-contract")
+
+
 def record_status(json: Column) -> Column:
     """valid, or the first rule that a record breaks: exact fields, a citation for what is stated only, unique citations and values."""
     schema = ", ".join([f"{n} {_FACT}" for n in SCALAR_FACTS] + [f"{n} array<{_FACT}>" for n in LIST_FACTS])
@@ -59,32 +81,35 @@ def region_filter(regions: DataFrame, least: float = 0.5) -> DataFrame:
     return rows.withColumn("problem", F.when(outside, "outside-page")).drop("polygon")
 
 
-def reading_order(regions: DataFrame, page: str) -> DataFrame:
-    """(page, text): a page's regions as lines, greedily grouped by a vertical overlap of half the smaller height or more.
+def _lines(regions: list[tuple[float, float, float, str]]) -> str:
+    """Text of one page's regions (top, left, bottom, text), as reading_order() says."""
+    lines: list[list] = []  # top, bottom, [(left, text)]
+    for top, left, bottom, text in sorted(regions):
+        for line in lines:
+            shared = min(line[1], bottom) - max(line[0], top)
+            if shared >= 0.5 * min(line[1] - line[0], bottom - top) - 1e-12:
+                line[0], line[1] = min(line[0], top), max(line[1], bottom)
+                line[2].append((left, text))
+                break
+        else:
+            lines.append([top, bottom, [(left, text)]])
+    return "\n".join(" ".join(t for _, t in sorted(items)) for _, _, items in sorted(lines))
+
+
+def reading_order(regions: DataFrame, *page: str) -> DataFrame:
+    """(page columns, text): a page's regions as lines, greedily grouped by a vertical overlap of half the smaller height or more.
 
     Regions come from the top; each joins the first line that it overlaps enough with, else begins one. Lines go by
-    their top, regions of a line by their left.
+    their top, regions of a line by their left. A page's regions meet in one row, as many as a page holds.
     """
-    region = F.struct("top", "left", "bottom", "text")
-    pages = regions.groupBy(page).agg(F.sort_array(F.collect_list(region)).alias("rs"))
-    kind = "array<struct<top:double,bottom:double,items:array<struct<left:double,text:string>>>>"
-
-    def step(lines: Column, r: Column) -> Column:
-        def fits(line: Column) -> Column:
-            shared = F.least(line["bottom"], r["bottom"]) - F.greatest(line["top"], r["top"])
-            return shared >= 0.5 * F.least(line["bottom"] - line["top"], r["bottom"] - r["top"]) - 1e-12
-
-        item = F.array(F.struct(r["left"].cast("double").alias("left"), r["text"].alias("text")))
-        places = F.filter(F.transform(lines, lambda line, i: F.when(fits(line), i)), lambda i: i.isNotNull())
-        place = F.get(places, F.lit(0))
-        grown = lambda line: F.struct(F.least(line["top"], r["top"]).alias("top"), F.greatest(line["bottom"], r["bottom"]).alias("bottom"), F.concat(line["items"], item).alias("items"))
-        joined = F.transform(lines, lambda line, i: F.when(i == place, grown(line)).otherwise(line))
-        new = F.array(F.struct(r["top"].cast("double").alias("top"), r["bottom"].cast("double").alias("bottom"), item.alias("items")))
-        return F.when(place.isNull(), F.concat(lines, new)).otherwise(joined)
-
-    lines = F.aggregate("rs", F.array().cast(kind), step)
-    text = F.array_join(F.transform(F.sort_array(lines), lambda line: F.array_join(F.transform(F.sort_array(line["items"]), lambda x: x["text"]), " ")), "\n")
-    return pages.select(page, text.alias("text"))
+    region = F.struct(*[F.col(c).cast("double").alias(c) for c in ("top", "left", "bottom")], "text")
+    pages = regions.groupBy(*page).agg(F.collect_list(region).alias("rs"))
+
+    @F.pandas_udf("string")
+    def lines(rs: pd.Series) -> pd.Series:
+        return rs.map(lambda page: _lines([(r["top"], r["left"], r["bottom"], r["text"]) for r in page]))
+
+    return pages.select(*page, lines("rs").alias("text"))
 
 
 def verdict(task: Column, checks: dict[str, tuple[Sequence[str], Column]]) -> Column:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import unicodedata
+from collections.abc import Callable, Iterator, Sequence
+from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql import types as T
 
-from ..functions.text import collapse
+from ..sources.scratch import numbered
 
 
 def report_compare(baseline: DataFrame, candidate: DataFrame, key: str, metric: str) -> DataFrame:
@@ -28,28 +31,55 @@ def draw(seed: str, *parts: Column) -> Column:
 
 
 def resampled(groups: DataFrame, resamples: int, seed: str) -> DataFrame:
-    """groups (diff, n) resampled with replacement: (sample, diff, n) sums of as many draws as there are groups.
+    """groups (key, diff, n) resampled with replacement: (sample, diff, n) sums of as many draws as there are groups.
 
-    groups are few (one row for each query, or source): they are numbered and sent to each task; the draws, resamples
-    times groups, are spread.
+    Groups are numbered in the order of their keys, and draws join them by number; sums are taken by sample with map-side
+    combination, so neither the groups nor a sample's draws meet in one row.
     """
     spark = groups.sparkSession
-    packed = groups.agg(F.sort_array(F.collect_list(F.struct("key", "diff", "n"))).alias("g"))
-    draws = spark.range(resamples).withColumnRenamed("id", "sample").repartition(8).crossJoin(F.broadcast(packed))  # one row
-    size = F.size("g")
-    picked = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.get("g", (draw(seed, F.col("sample").cast("string"), i.cast("string")) % size).cast("int")))
-    add = lambda c: F.aggregate("p", F.lit(0.0), lambda s, x: s + x[c])
-    return draws.filter(size > 0).select("sample", picked.alias("p")).select("sample", add("diff").alias("diff"), add("n").alias("n"))
-
-
-def tool_call_metrics(calls: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Accuracy, failures, latency and token use of calls (expected, actual, latency, tokens, failed)."""
-    ok = F.col("expected") == F.col("actual")
-    wanted = F.col("expected") != "answer"
+    placed = numbered(groups.repartitionByRange("key").sortWithinPartitions("key"), "place")
+    size = placed.count()
+    draws = spark.range(resamples).select(F.col("id").alias("sample"), F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("i")) if size else spark.range(0).select(F.col("id").alias("sample"), F.lit(0).alias("i"))
+    drawn = draws.select("sample", (draw(seed, F.col("sample").cast("string"), F.col("i").cast("string")) % F.lit(max(size, 1))).alias("place"))
+    return drawn.join(placed, "place").groupBy("sample").agg(F.sum("diff").alias("diff"), F.sum("n").alias("n"))
+
+
+def same_arguments(tool: Column, expected: Column, actual: Column, normalizers: dict[str, Callable[[Column], Column]]) -> Column:
+    """Whether a call's arguments (maps) are the expected ones. A tool's normalizer, an expression over a map, comes first; it
+    gives null for arguments that don't fit, which equal nothing."""
+    pick = lambda arguments: _by_tool(tool, arguments, normalizers)
+    entries = lambda arguments: F.array_sort(F.map_entries(arguments))
+    return F.coalesce(entries(pick(expected)) == entries(pick(actual)), F.lit(False))
+
+
+def _by_tool(tool: Column, arguments: Column, normalizers: dict[str, Callable[[Column], Column]]) -> Column:
+    chosen = arguments
+    for name, normalizer in normalizers.items():
+        chosen = F.when(tool == name, normalizer(arguments)).otherwise(chosen)
+    return chosen
+
+
+def tool_call_metrics(calls: DataFrame, by: Sequence[str] = (), normalizers: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """Accuracy, failures, latency and token use of calls.
+
+    calls: expected_decision, actual_decision (call_tool or refuse), expected_tool, actual_tool, expected_arguments,
+    actual_arguments (maps), latency, tokens (null: not reported), failed. A refusal is right if nothing was called, a call if
+    decision, tool and arguments are. Tool and argument rates are over the cases that expect a call, null without any; a
+    failed call is right in nothing.
+    """
+    wanted, done = F.col("expected_decision") == "call_tool", ~F.col("failed")
+    decision = done & F.coalesce(F.col("expected_decision") == F.col("actual_decision"), F.lit(False))
+    tool = done & wanted & F.coalesce(F.col("expected_tool") == F.col("actual_tool"), F.lit(False))
+    arguments = tool & same_arguments(F.col("expected_tool"), F.col("expected_arguments"), F.col("actual_arguments"), normalizers or {})
+    passed = F.when(wanted, decision & tool & arguments).otherwise(decision & F.col("actual_tool").isNull())
+    rate = lambda ok, of: F.round(F.try_divide(F.count_if(ok), F.count_if(of)), 6)
+    every = F.lit(True)
     return calls.groupBy(*by).agg(
         F.count(F.lit(1)).alias("cases"),
-        F.round(F.try_divide(F.count_if(ok & ~F.col("failed")), F.count(F.lit(1))), 6).alias("case_accuracy"),
-        F.round(F.try_divide(F.count_if(wanted & ok), F.count_if(wanted)), 6).alias("tool_accuracy"),
+        rate(decision, every).alias("decision_accuracy"),
+        rate(tool, wanted).alias("tool_accuracy"),
+        rate(arguments, wanted).alias("arguments_accuracy"),
+        rate(passed, every).alias("case_accuracy"),
         F.count_if("failed").alias("failed_calls"),
         F.round(F.avg("latency"), 6).alias("mean_latency"),
         F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"),
@@ -57,6 +87,71 @@ def tool_call_metrics(calls: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def tool_case_preflight(cases: DataFrame, tools: DataFrame, normalizers: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """One row of counts over cases (case_id, expected_decision, expected_tool, expected_arguments) before a run.
+
+    tools: (tool) that are registered. repeated_ids counts rows beyond the first of an id, unregistered_tools and
+    invalid_arguments calls that expect an unknown tool, or arguments that its normalizer refuses.
+    """
+    known = cases.join(tools.select(F.col("tool").alias("expected_tool")).distinct().withColumn("known", F.lit(True)), "expected_tool", "left")
+    call = F.col("expected_decision") == "call_tool"
+    refused = _by_tool(F.col("expected_tool"), F.col("expected_arguments"), normalizers or {}).isNull()
+    ids = known.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(call).alias("calls"), F.count_if(call & F.col("known").isNull()).alias("unknown"), F.count_if(call & F.col("known").isNotNull() & refused).alias("refused"))
+    add = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return ids.agg(
+        add("n").alias("cases"), add("calls").alias("call_tool_cases"), (add("n") - add("calls")).alias("refusal_cases"),
+        add(F.col("n") - 1).alias("repeated_ids"), add("unknown").alias("unregistered_tools"), add("refused").alias("invalid_arguments"),
+    )
+
+
+def answer_metrics(answers: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Rates over answers (expected, actual status, grounded, model_called): of right status, over all, over those that
+    should be answered and refused; of grounded ones among the answered; of model calls. An empty subset has rate 0."""
+    right = (F.col("expected") == F.col("actual")).cast("double")
+    answered = F.col("expected") == "answered"
+    rate = lambda v, c: F.round(F.coalesce(F.avg(F.when(c, v)), F.lit(0.0)), 6)
+    return answers.groupBy(*by).agg(
+        rate(right, F.lit(True)).alias("status_accuracy"),
+        rate(right, answered).alias("answered_accuracy"),
+        rate(right, ~answered).alias("refusal_accuracy"),
+        rate(F.col("grounded").cast("double"), F.col("actual") == "answered").alias("grounding_pass_rate"),
+        rate(F.col("model_called").cast("double"), F.lit(True)).alias("model_call_rate"),
+    )
+
+
+def evaluation_problems(gold: DataFrame, corpus: DataFrame, *, tokenizer: str, chunker: str, allow_provisional: bool = False) -> DataFrame:
+    """(dataset_id, problem, cases): why a gold set may not be scored against a corpus; no rows if it may.
+
+    gold: dataset_id, status, tokenizer_version, chunker_version, document_sha256, id (judged); corpus: id, document_sha256.
+    """
+    known = corpus.select("id", F.col("document_sha256").alias("sha")).distinct()
+    rows = gold.join(known, "id", "left")
+    rules = {
+        "provisional": (F.col("status") == "provisional") & F.lit(not allow_provisional),
+        "tokenizer-version": F.col("tokenizer_version") != tokenizer,
+        "chunker-version": F.col("chunker_version") != chunker,
+        "outside-corpus": F.col("sha").isNull(),
+        "wrong-document-hash": F.col("sha") != F.col("document_sha256"),
+    }
+    broken = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()]), lambda r: r.isNotNull())
+    found = rows.select("dataset_id", F.explode(broken).alias("problem")).groupBy("dataset_id", "problem").agg(F.count(F.lit(1)).alias("cases"))
+    if not corpus.isEmpty():
+        return found
+    return found.unionByName(gold.groupBy("dataset_id").agg(F.lit("empty-corpus").alias("problem"), F.count(F.lit(1)).alias("cases")))
+
+
+def experiment_axes(runs: DataFrame) -> DataFrame:
+    """(baseline, candidate, axis) for each two runs (run, dataset, model, prompt) of one dataset, the earlier one first.
+
+    Of a pair's model and prompt one may differ and names the axis; with none it is repeatability, with both the pair is
+    rejected. Runs of a dataset are few; each pair of them is a row of the result.
+    """
+    other = runs.select("dataset", F.col("run").alias("candidate"), F.col("model").alias("_model"), F.col("prompt").alias("_prompt"))
+    moved, reworded = ~F.col("model").eqNullSafe(F.col("_model")), ~F.col("prompt").eqNullSafe(F.col("_prompt"))
+    axis = F.when(moved & reworded, "rejected").when(moved, "model").when(reworded, "prompt").otherwise("repeatability")
+    return runs.join(other, "dataset").filter(F.col("run") < F.col("candidate")).select(F.col("run").alias("baseline"), "candidate", axis.alias("axis"))
+
+
 def quality_gate(metrics: DataFrame, rules: dict[str, tuple[str, str, float]]) -> DataFrame:
     """(code, actual, threshold) for each broken rule {code: (metric, '<' or '>', threshold)} of a metrics row."""
     broken = [
@@ -67,90 +162,185 @@ def quality_gate(metrics: DataFrame, rules: dict[str, tuple[str, str, float]]) -
     return metrics.select(*keys, F.inline(F.filter(F.array(*broken), lambda x: x.isNotNull())))
 
 
-@F.pandas_udf(StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    """Unicode compatibility normalization; there is no built-in function for it."""
-    return text.str.normalize("NFKC")
-
-
-def word_distance(a: Column, b: Column) -> Column:
-    """Edit distance of two texts by words: each word of the case becomes one character of its own."""
-    words = lambda x: F.filter(F.split(x, r"\s+"), lambda w: w != "")
-    kinds = F.array_distinct(F.concat(words(a), words(b)))
-
-    def coded(x: Column, kinds: Column) -> Column:
-        letter = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(kinds, w) + 0x4E00), 4, "0")), "UTF-16BE")
-        return F.array_join(F.transform(words(x), letter), "")
-
-    return F.get(F.transform(F.array(kinds), lambda k: F.levenshtein(coded(a, k), coded(b, k))), F.lit(0))
-
-
-def ocr_error_rates(pairs: DataFrame, normalize: bool = False) -> DataFrame:
-    """pairs (.., expected, actual), white space collapsed, with exact, edits and rates by characters and words.
-
-    With `normalize` both texts are put in NFKC and collapsed first; texts that are so already don't need it.
+def edit_distance(a: Sequence, b: Sequence) -> int:
+    """Least number of items put in, left out or changed from a to b: the bits of one number hold a whole column of the table,
+    so that a step takes a few operations on it, and only one column is held."""
+    start = 0
+    while start < min(len(a), len(b)) and a[start] == b[start]:
+        start += 1
+    end = 0
+    while end < min(len(a), len(b)) - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[start : len(a) - end], b[start : len(b) - end]
+    if not a or not b:
+        return max(len(a), len(b))
+    masks: dict = {}
+    for i, x in enumerate(a):
+        masks[x] = masks.get(x, 0) | 1 << i
+    full, top = (1 << len(a)) - 1, len(a) - 1
+    plus, minus, score = full, 0, len(a)
+    for x in b:
+        eq = masks.get(x, 0)
+        across = (((eq & plus) + plus) ^ plus) | eq
+        down = minus | full & ~(across | plus)
+        up = plus & across
+        score += (down >> top & 1) - (up >> top & 1)
+        down, up = (down << 1 | 1) & full, up << 1 & full
+        across = eq | minus
+        plus, minus = up | full & ~(across | down), down & across
+    return score
+
+
+_EDITS = T.StructType([T.StructField(c, T.StringType()) for c in ("expected", "actual")] + [T.StructField(c, T.IntegerType()) for c in ("chars", "words", "char_edits", "word_edits")])
+
+
+@F.pandas_udf(_EDITS)
+def _edits(expected: pd.Series, actual: pd.Series) -> pd.DataFrame:
+    """Both texts in compatibility form with white space collapsed, lengths of the expected one, and edits between them."""
+    rows = []
+    for pair in zip(expected, actual, strict=True):
+        e, a = (" ".join(unicodedata.normalize("NFKC", x or "").split()) for x in pair)
+        rows.append((e, a, len(e), len(e.split()), edit_distance(e, a), edit_distance(e.split(), a.split())))
+    return pd.DataFrame(rows, columns=["expected", "actual", "chars", "words", "char_edits", "word_edits"])
+
+
+def ocr_error_rates(pairs: DataFrame) -> DataFrame:
+    """pairs (.., expected, actual) with exact, edits and rates by characters and words.
+
+    Both texts are put in Unicode's compatibility form with white space collapsed; null counts as empty. Whole texts are
+    compared, of any length. Pairs whose expected text is blank have no rates and go.
     """
-    if normalize:
-        pairs = pairs.withColumns({c: collapse(nfkc(F.col(c))) for c in ("expected", "actual")})
-    n_words = F.size(F.filter(F.split("expected", r"\s+"), lambda w: w != ""))
-    rows = pairs.withColumn("char_edits", F.levenshtein("expected", "actual")).withColumn("word_edits", word_distance(F.col("expected"), F.col("actual")))
-    rows = rows.withColumn("chars", F.length("expected")).withColumn("words", n_words)
-    return rows.withColumn("exact", F.col("expected") == F.col("actual")).withColumn("cer", F.try_divide("char_edits", "chars")).withColumn("wer", F.try_divide("word_edits", "words"))
+    rest = [c for c in pairs.columns if c not in ("expected", "actual")]
+    rows = pairs.select(*rest, _edits("expected", "actual").alias("e")).select(*rest, "e.*").filter("chars > 0")
+    rows = rows.withColumn("exact", F.col("expected") == F.col("actual"))
+    return rows.withColumn("cer", F.try_divide("char_edits", "chars")).withColumn("wer", F.try_divide("word_edits", "words"))
+
+
+def ocr_batch(rates: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row for a run of ocr_error_rates(): cases, exact rate, rates averaged over cases (macro) and over all text (micro)."""
+    micro = lambda a, b: F.round(F.try_divide(F.sum(a), F.sum(b)), 6)
+    return rates.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("cases"), F.round(F.avg(F.col("exact").cast("double")), 6).alias("exact_rate"), F.round(F.avg("cer"), 6).alias("macro_cer"), micro("char_edits", "chars").alias("micro_cer"),
+        F.round(F.avg("wer"), 6).alias("macro_wer"), micro("word_edits", "words").alias("micro_wer"),
+    )
 
 
-def latency_summary(calls: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Mean, nearest-rank percentiles, extremes and outcome counts of calls (value, failed)."""
-    p = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY value)")
-    return calls.groupBy(*by).agg(
-        F.round(F.avg("value"), 6).alias("mean"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.min("value").alias("least"), F.max("value").alias("most"),
-        F.count_if(~F.col("failed")).alias("succeeded"), F.count_if("failed").alias("failed"),
-    )
+def ocr_fields(fields: DataFrame) -> DataFrame:
+    """(field, fields, exact_rate, critical_rate) of fields (case_id, field, exact, critical), by field and over all (field
+    null); critical_rate is over the critical ones alone, null without any. A field of a case that comes twice counts once."""
+    exact = F.col("exact").cast("double")
+    one = fields.groupBy("case_id", "field").agg(F.bool_and("exact").alias("exact"), F.bool_or("critical").alias("critical"))
+    return one.groupingSets([["field"], []], "field").agg(F.count(F.lit(1)).alias("fields"), F.round(F.avg(exact), 6).alias("exact_rate"), F.round(F.avg(F.when(F.col("critical"), exact)), 6).alias("critical_rate"))
 
 
-def heading_paths(blocks: DataFrame) -> DataFrame:
-    """blocks (page, ordinal, level 0-6, text) with heading_path: a heading cuts the stack to its level less one and is pushed.
+def latency_summary(calls: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Mean, nearest-rank percentiles, extremes and outcomes of calls (value in seconds, failed, started), and calls a second.
 
-    The stack is one of places: h3 and then h2 keeps the h3's text in front. A page's blocks are folded in order.
+    A group's percentiles come from its distinct values and how often each is there, added up before they meet.
+    throughput is over the time from the first start to the last; null if that is none.
     """
-    ordered = blocks.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("ordinal", "level", "text"))).alias("bs"))
-    none = F.array().cast("array<string>")
-    entry = "array<struct<ordinal:int,level:int,text:string,heading_path:array<string>>>"
-    begin = F.struct(none.alias("path"), F.array().cast(entry).alias("out"))
+    by = list(by)
+    values = calls.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("n"), F.count_if("failed").alias("failed"), F.min("started").alias("began"), F.max("started").alias("ended"))
+    upto = Window.partitionBy(*by).orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = values.filter("value is not null").withColumn("upto", F.sum("n").over(upto))
+    sums = values.groupBy(*by).agg(
+        F.sum("n").alias("n"), F.sum(F.when(F.col("value").isNotNull(), F.col("n"))).alias("valued"), F.sum("failed").alias("failed"), F.min("began").alias("began"), F.max("ended").alias("ended"),
+        (F.sum(F.col("value") * F.col("n")) / F.sum(F.when(F.col("value").isNotNull(), F.col("n")))).alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"),
+    )
+    joined = placed.join(sums.select(*by, "valued"), by) if by else placed.crossJoin(F.broadcast(sums.select("valued")))
+    rank = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.lit(q) * F.col("valued")), F.col("value")))
+    ranks = joined.groupBy(*by).agg(*[rank(q).alias(name) for name, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))])
+    whole = sums.join(ranks, by, "left") if by else sums.crossJoin(F.broadcast(ranks))
+    seconds = (F.unix_micros(F.col("ended").cast("timestamp")) - F.unix_micros(F.col("began").cast("timestamp"))) / 1e6
+    return whole.select(*by, F.round("mean", 6).alias("mean"), "p50", "p95", "p99", "least", "most", (F.col("n") - F.col("failed")).alias("succeeded"), "failed", F.round(F.try_divide(F.col("n"), seconds), 6).alias("throughput"))
 
-    def step(state: Column, b: Column) -> Column:
-        path = F.when(b["level"] > 0, F.concat(F.slice(state["path"], F.lit(1), b["level"] - 1), F.array(b["text"]))).otherwise(state["path"])
-        one = F.struct(b["ordinal"].alias("ordinal"), b["level"].alias("level"), b["text"].alias("text"), path.alias("heading_path"))
-        return F.struct(path.alias("path"), F.concat(state["out"], F.array(one)).alias("out"))
 
-    folded = F.aggregate("bs", begin, step, lambda s: s["out"])
-    return ordered.select("page", F.inline(folded))
+def _pushed(path: list[str], level: int, text: str) -> list[str]:
+    """The stack of headings behind a block: a heading cuts it to its level less one, by places, and is put on it."""
+    return [*path[: level - 1], text] if level else path
 
 
-_CONTENT = ("h1", "h2", "h3", "h4", "h5", "h6", "p", "li")
+def heading_paths(blocks: DataFrame) -> DataFrame:
+    """blocks (page long, ordinal int, level 0-6, text) with heading_path. The stack is one of places: h3 and then h2 keeps the
+    h3's text in front. A page's blocks are walked in order, batch after batch, so a page may be of any length."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, path = None, []
+        for batch in batches:
+            out = []
+            for p, level, text in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                path = _pushed(path if p == page else [], level, text)
+                page = p
+                out.append(path)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.string()))], ["page", "ordinal", "level", "text", "heading_path"])
+
+    rows = blocks.select(F.col("page").cast("long"), F.col("ordinal").cast("int"), F.col("level").cast("int"), "text")
+    ordered = rows.repartition("page").sortWithinPartitions("page", "ordinal")
+    return ordered.mapInArrow(each, "page long, ordinal int, level int, text string, heading_path array<string>")
+
+
+# The elements whose text makes a block, and those whose text is none.
+_CONTENT = frozenset(("h1", "h2", "h3", "h4", "h5", "h6", "p", "li"))
+_SILENT = frozenset(("script", "style"))
+
+
+class _Blocks(HTMLParser):
+    """Blocks of one page, by parser events: a content tag opens one and closes the one before, its end tag closes it."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.found: list[tuple[str, int, str, list[str]]] = []
+        self.tag: str | None = None
+        self.parts: list[str] = []
+        self.path: list[str] = []
+        self.silent = 0
+
+    def _end(self) -> None:
+        text = " ".join(" ".join(self.parts).split())
+        if self.tag is not None and text:
+            level = int(self.tag[1]) if self.tag[0] == "h" else 0
+            self.path = _pushed(self.path, level, text)
+            self.found.append((self.tag, level, text, self.path))
+        self.tag, self.parts = None, []
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in _SILENT:
+            self.silent += 1
+        elif tag in _CONTENT and not self.silent:
+            self._end()
+            self.tag = tag
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in _SILENT:
+            self.silent = max(0, self.silent - 1)
+        elif tag == self.tag and not self.silent:
+            self._end()
+
+    def handle_data(self, data: str) -> None:
+        if self.tag is not None and not self.silent:
+            self.parts.append(data)
 
 
 def html_fragments(pages: DataFrame) -> DataFrame:
-    """pages (page, html) to (page, ordinal, tag, level, text): text of headings, paragraphs and list items, in order.
+    """pages (page long, html) to (page, ordinal, tag, level, text, heading_path): headings, paragraphs and list items in order.
 
-    A new content tag closes the block before; text outside of blocks goes. Tags and text are rows of a page, blocks
-    running counts over them.
+    Tags, references and quoting are read as HTML parsers do; text outside of blocks and in scripts and styles goes. A null
+    or empty page, or one without such blocks, has no rows.
     """
-    clean = F.regexp_replace("html", r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>", "")
-    toks = pages.select("page", F.posexplode(F.regexp_extract_all(clean, F.lit(r"(<[^>]*>|[^<]+)"), 1)).alias("pos", "tok"))
-    tag = F.lower(F.regexp_extract("tok", r"^</?([a-zA-Z][a-zA-Z0-9]*)", 1))
-    is_tag, closing = F.col("tok").startswith("<"), F.col("tok").startswith("</")
-    rows = toks.select("page", "pos", "tok", tag.alias("tag"), is_tag.alias("is_tag"), (is_tag & ~closing & tag.isin(*_CONTENT)).alias("opens"), closing.alias("closing"))
-    order = Window.partitionBy("page").orderBy("pos")
-    rows = rows.withColumn("block", F.sum(F.col("opens").cast("int")).over(order)).filter("block > 0")
-    inner = Window.partitionBy("page", "block").orderBy("pos")
-    rows = rows.withColumn("own", F.first("tag").over(inner))
-    rows = rows.withColumn("closed", F.max((F.col("closing") & (F.col("tag") == F.col("own"))).cast("int")).over(inner))
-    texts = rows.filter("not is_tag and closed = 0").groupBy("page", "block", "own").agg(F.sort_array(F.collect_list(F.struct("pos", "tok"))).alias("ts"))
-    text = F.array_join(F.transform("ts", lambda t: t["tok"]), " ")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    text = F.trim(F.regexp_replace(text, r"\s+", " "))
-    level = F.when(F.col("own").rlike("^h[1-6]$"), F.substring("own", 2, 1).cast("int")).otherwise(0)
-    kept = texts.select("page", "block", F.col("own").alias("tag"), level.alias("level"), text.alias("text")).filter("text <> ''")
-    ordinal = F.row_number().over(Window.partitionBy("page").orderBy("block")) - 1
-    return kept.select("page", ordinal.cast("int").alias("ordinal"), "tag", "level", "text")
+    names = ["page", "ordinal", "tag", "level", "text", "heading_path"]
+    kinds = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.string()))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for page, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                blocks = _Blocks()
+                blocks.feed(html or "")
+                blocks.close()
+                blocks._end()
+                rows += [(page, i, *block) for i, block in enumerate(blocks.found)]
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    rows = pages.select(F.col("page").cast("long"), F.col("html").cast("string"))
+    return rows.mapInArrow(each, "page long, ordinal int, tag string, level int, text string, heading_path array<string>")

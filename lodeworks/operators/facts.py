@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fold, location_key, quote_key
+from ..functions.text import company_key, fold, location_key, quote_key
 
 
 def citation_issues(citations: DataFrame, evidence: DataFrame, claim: Sequence[str] | None = None) -> DataFrame:
@@ -60,7 +61,9 @@ def job_filter(records: DataFrame, *, company: str | None = None, title: str | N
 
 
 def has_code(title: Column, code: str) -> Column:
-    """A code as a whole token of the title: the cheap search first, then the exact one."""
+    """A code, `J` and up to twenty digits, as a whole token of the title: the cheap search first, then the exact one."""
+    if not re.fullmatch("[Jj][0-9]{1,20}", code):
+        raise ValueError(f"{code!r} is no job code")
     return F.contains(F.lower(title), F.lit(code.lower())) & title.rlike(rf"(?i)(?<![A-Za-z0-9]){code}(?![A-Za-z0-9])")
 
 
@@ -71,3 +74,68 @@ def job_order() -> list[Column]:
 def support_counts(judged: DataFrame, key: str) -> DataFrame:
     """(key, supported, unsupported, uncertain) of judged (key, label)."""
     return judged.groupBy(key).agg(*[F.count_if(F.col("label") == x).alias(x) for x in ("supported", "unsupported", "uncertain")])
+
+
+def meets(case: dict[str, Column], record: dict[str, Column]) -> Column:
+    """Whether a record (company, kind, deadline) meets a case's filters (company, kind, after), each null where it doesn't ask."""
+    company = case["company"].isNull() | (company_key(case["company"]) == company_key(record["company"]))
+    kind = case["kind"].isNull() | (case["kind"] == record["kind"])
+    return company & kind & (case["after"].isNull() | F.coalesce(record["deadline"] >= case["after"].cast("date"), F.lit(False)))
+
+
+def job_search_batch(records: DataFrame, cases: DataFrame, most_cases: int = 10_000) -> DataFrame:
+    """(case_id, id) of the records (id, company, kind, deadline) that meet each case (case_id, company, kind, after).
+
+    Cases that name a company or kind find their records by equi-joins on it; only what asks for neither meets every record,
+    and its rows are that large by what is asked. Cases, counted first, may be `most_cases` at most.
+    """
+    if cases.count() > most_cases:
+        raise ValueError(f"more than {most_cases} cases at once")
+    own = {c: F.col(f"_{c}") for c in ("company", "kind", "after")}
+    asked = cases.select("case_id", *[F.col(c).alias(f"_{c}") for c in own])
+    record = {c: F.col(c) for c in ("company", "kind", "deadline")}
+    wanted = F.broadcast(asked)  # of a counted size
+    by_company = records.join(wanted.filter("_company is not null"), company_key(own["company"]) == company_key(record["company"]))
+    by_kind = records.join(wanted.filter("_company is null and _kind is not null"), own["kind"] == record["kind"])
+    by_none = records.join(wanted.filter("_company is null and _kind is null"))
+    return by_company.unionByName(by_kind).unionByName(by_none).filter(meets(own, record)).select("case_id", "id")
+
+
+def constraints_retained(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """(id, retained): whether each of an id's expected filters (id, k, v) is among its actual ones (id, k, v), folded."""
+    given = actual.select("id", "k", F.col("v").alias("_a"))
+    same = F.coalesce(fold(F.trim("v")) == fold(F.trim("_a")), F.lit(False))
+    return expected.join(given, ["id", "k"], "left").groupBy("id", "k", "v").agg(F.bool_or(same).alias("same")).groupBy("id").agg(F.bool_and("same").alias("retained"))
+
+
+def filter_problem(kind: Column, after: Column, before: Column, limit: Column, most: int = 50) -> Column:
+    """What is wrong with a search's filters, or valid: an unknown type, a reversed range of deadlines, a limit out of bounds."""
+    verdict = F.when(kind.isNull(), "unknown-type").when(after > before, "reversed-range").when(~limit.between(1, most), "limit-out-of-bounds")
+    return verdict.otherwise("valid")
+
+
+def both_current(records: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """The last record (source, sha, seq, ..) of each snapshot, where the snapshot (source, sha, is_current) is current too."""
+    last = records.groupBy("source", "sha").agg(F.max_by(F.struct(*records.columns), "seq").alias("r")).select("r.*")
+    return last.join(snapshots.filter("is_current").select("source", "sha"), ["source", "sha"], "left_semi")
+
+
+def unlinked_citations(citations: DataFrame, links: DataFrame) -> DataFrame:
+    """The citations (record, snapshot, evidence_id) whose evidence isn't linked to their record's snapshot; links: snapshot, evidence_id."""
+    return citations.join(links.select("snapshot", "evidence_id").distinct(), ["snapshot", "evidence_id"], "left_anti")
+
+
+def report_rows(records: DataFrame, claims: DataFrame, scope: DataFrame) -> DataFrame:
+    """Sections of a report: (kind, id, heading, body, cited, problem).
+
+    records: id, company, title, kind, deadline, evidence_id; claims: id, text, evidence_id, grounded; scope: evidence_id that
+    may be cited. Unknown facts get a wording; a section without a source, of an ungrounded claim, or that cites outside the
+    scope says so in problem.
+    """
+    none = F.lit("not stated")
+    body = F.concat_ws("; ", F.concat(F.lit("type: "), F.coalesce("kind", none)), F.concat(F.lit("deadline: "), F.coalesce(F.date_format("deadline", "yyyy-MM-dd"), none)))
+    jobs = records.select(F.lit("job").alias("section"), "id", F.concat("title", F.lit(" at "), "company").alias("heading"), body.alias("body"), "evidence_id", F.lit(True).alias("grounded"))
+    said = claims.select(F.lit("claim").alias("section"), "id", F.lit("claim").alias("heading"), F.col("text").alias("body"), "evidence_id", "grounded")
+    rows = jobs.unionByName(said).join(scope.select("evidence_id").distinct().withColumn("_in", F.lit(True)), "evidence_id", "left")
+    problem = F.when(F.col("evidence_id").isNull(), "missing-source").when(~F.col("grounded"), "invalid-grounding").when(F.col("_in").isNull(), "outside-scope")
+    return rows.select("section", "id", "heading", "body", F.col("evidence_id").alias("cited"), problem.alias("problem"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import CJK, TOKEN
+from ..operators.matching import containing
+from ..sources.scratch import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,16 +33,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sql(spark: SparkSession, sf_dir: str, text: str, *tables: str, **frames: DataFrame) -> DataFrame:
-    """Spark SQL over the named tables and frames."""
-    given = {name: table(spark, sf_dir, name) for name in tables} | frames
-    return _with_views(spark, text, given)
-
-
-def _with_views(spark: SparkSession, text: str, given: dict[str, DataFrame]) -> DataFrame:
-    for name, frame in given.items():
-        frame.createOrReplaceTempView(name)
-    return spark.sql(text)
+def sql(spark: SparkSession, sf_dir: str, text: str, *tables: str) -> DataFrame:
+    """Spark SQL over the named tables, under names of their own that go again: no view of the session is touched."""
+    views = {name: f"{name}_{uuid.uuid4().hex}" for name in tables}
+    for name, view in views.items():
+        table(spark, sf_dir, name).createTempView(view)
+    try:
+        return spark.sql(re.sub(r"\b(FROM|JOIN) (\w+)\b", lambda m: f"{m[1]} {views.get(m[2], m[2])}", text))
+    finally:
+        for view in views.values():
+            spark.catalog.dropTempView(view)
 
 
 def duck_tokens(text: str) -> str:
@@ -77,9 +81,8 @@ def chunks_of(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
 
 
 def qrels_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query, id, grade): documents that contain a passage; grade 2 for those of quality 1."""
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    items = queries_of(spark, sf_dir).withColumnRenamed("text", "passage")
-    found = docs.join(items, F.contains(docs["text"], F.col("passage"))).select("query", "doc_id")
-    graded = found.join(labels.select("doc_id", "quality"), "doc_id", "left")
-    return graded.select("query", F.col("doc_id").alias("id"), F.when(F.col("quality") == 1, 2).otherwise(1).alias("grade"))
+    """(query, id, grade): documents that contain a passage; grade 2 for those of quality 1. Sought once, then a written table."""
+    labels, items = table(spark, sf_dir, "labels"), queries_of(spark, sf_dir).withColumnRenamed("query", "item")
+    found = containing(chunks_of(spark, sf_dir), items)
+    graded = found.select(F.col("item").alias("query"), F.col("id").alias("doc_id")).join(labels.select("doc_id", "quality"), "doc_id", "left")
+    return written(graded.select("query", F.col("doc_id").alias("id"), F.when(F.col("quality") == 1, 2).otherwise(1).alias("grade")), "qrels")

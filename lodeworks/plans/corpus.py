@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import chunking as C
 from ..operators import corpus as O
+from ..operators.matching import AT_LETTERS, containing
+from ..sources.scratch import new_folder
 from .base import query, table
 
 W = T.WS
@@ -61,30 +63,30 @@ def record_fingerprint(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", T.canonical_sha(fields).alias("fingerprint"))
 
 
-_BUCKETS = "SELECT b, sha256(string_agg(digest, ',' ORDER BY digest)) AS part, count(*) AS n FROM (SELECT *, substring(digest, 1, 4) AS b FROM (SELECT {digest} AS digest FROM {table})) GROUP BY b"
+_JSON_CHUNK = """'{"chunker_version":"structure-v1","document_sha256":"' || sha256(text) || '","evidence_id":"ev_' || sha256(doc_id || ':' || sha256(text)) || '"}'"""
 
 
-@query("WITH p AS (" + _BUCKETS.format(digest="sha256(concat(doc_id, ':', sha256(text)))", table="documents") + ") SELECT sha256(string_agg(part, ',' ORDER BY b)) AS fingerprint, sum(n)::BIGINT AS members FROM p")
+@query(f"""WITH i AS (SELECT 'ev_' || sha256(doc_id || ':' || sha256(text)) AS id, {_JSON_CHUNK} AS item FROM documents) SELECT 'corpus_' || sha256('[' || string_agg(item, ',' ORDER BY id) || ']') AS fingerprint, count(*) AS members FROM i""")
 def corpus_fingerprint(spark, sf):
-    rows = table(spark, sf, "documents").select(F.sha2(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.sha2("text", 256)), 256).alias("digest"))
-    parts = rows.groupBy(F.substring("digest", 1, 4).alias("b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("digest")), ","), 256).alias("part"), F.count(F.lit(1)).alias("n"))
-    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "part"))), lambda x: x["part"]), ",")
-    return parts.agg(F.sha2(whole, 256).alias("fingerprint"), F.sum("n").alias("members"))
+    sha = F.sha2("text", 256)
+    id_ = F.concat(F.lit("ev_"), F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), sha), 256))
+    return C.corpus_fingerprint(table(spark, sf, "documents").select(id_.alias("evidence_id"), sha.alias("document_sha256"), F.lit("structure-v1").alias("chunker_version")))
 
 
-@query("SELECT sha256('[' || string_agg('{\"name\":\"' || n_name || '\",\"source_id\":' || n_nationkey || '}', ',' ORDER BY n_nationkey) || ']') AS identity, count(*) AS entries FROM nation", name="manifest_freeze")
+@query("SELECT 'manifest_' || sha256('{\"entries\":[' || string_agg('{\"content_sha256\":\"' || sha256(o_orderpriority) || '\",\"source_id\":' || o_orderkey || '}', ',' ORDER BY o_orderkey) || ']}') AS identity, count(*) AS entries FROM orders")
 def manifest_freeze(spark, sf):
-    entries = F.sort_array(F.collect_list(F.struct(F.col("n_nationkey").alias("k"), F.struct(F.col("n_name").alias("name"), F.col("n_nationkey").alias("source_id")).alias("e"))))
-    one = table(spark, sf, "nation").agg(entries.alias("es"), F.count(F.lit(1)).alias("entries"))
-    return one.select(F.sha2(F.to_json(F.transform("es", lambda x: x["e"])), 256).alias("identity"), "entries")
+    entry = F.to_json(F.struct(F.sha2("o_orderpriority", 256).alias("content_sha256"), F.col("o_orderkey").alias("source_id")))
+    frozen = O.freeze_manifest(table(spark, sf, "orders").select(F.col("o_orderkey").alias("source_id"), entry.alias("entry")), new_folder(spark, "manifests"))
+    return frozen.select("identity", "entries")
+
+
+_BUCKETS = "SELECT b, sha256(string_agg(digest, ',' ORDER BY digest)) AS part, count(*) AS n FROM (SELECT *, substring(digest, 1, 4) AS b FROM (SELECT {digest} AS digest FROM {table})) GROUP BY b"
 
 
 @query("WITH p AS (" + _BUCKETS.format(digest="sha256(concat(o_orderkey, '|', o_orderstatus))", table="orders") + ") SELECT sha256(string_agg(part, ',' ORDER BY b)) AS fingerprint, sum(n)::BIGINT AS members FROM p")
 def manifest_identity(spark, sf):
     rows = table(spark, sf, "orders").select(F.sha2(F.concat_ws("|", "o_orderkey", "o_orderstatus"), 256).alias("digest"))
-    parts = rows.groupBy(F.substring("digest", 1, 4).alias("b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("digest")), ","), 256).alias("part"), F.count(F.lit(1)).alias("n"))
-    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "part"))), lambda x: x["part"]), ",")
-    return parts.agg(F.sha2(whole, 256).alias("fingerprint"), F.sum("n").alias("members"))
+    return C.set_fingerprint(rows)
 
 
 @query("""SELECT 'page-' || page_id || '.html' AS path, 'html' AS format, sha256(html) AS content_sha256, strlen(html)::BIGINT AS byte_size FROM pages
@@ -106,10 +108,9 @@ def manifest_verify(spark, sf):
     docs = table(spark, sf, "documents")
     path = F.when(F.col("doc_id") % 13 == 0, F.concat(F.lit("../x/"), "doc_id")).when(F.col("doc_id") % 17 == 0, F.concat(F.lit("gone/"), "doc_id")).otherwise(F.concat(F.lit("docs/"), "doc_id"))
     sha = F.when(F.col("doc_id") % 11 == 0, F.sha2(F.concat("text", F.lit("x")), 256)).otherwise(F.sha2("text", 256))
-    entries = docs.select("doc_id", path.alias("path"), sha.alias("sha"))
+    entries = docs.select("doc_id", path.alias("path"), sha.alias("content_sha256"))
     files = docs.select(F.concat(F.lit("docs/"), "doc_id").alias("path"), F.sha2("text", 256).alias("actual"))
-    verdict = F.when(F.col("path").rlike(r"^/|(^|/)\.\.(/|$)"), "outside-root").when(F.col("actual").isNull(), "missing").when(F.col("actual") != F.col("sha"), "hash-mismatch")
-    return entries.join(files, "path", "left").select("doc_id", verdict.otherwise("verified").alias("verdict"))
+    return O.verify_manifest(entries, files).select("doc_id", "verdict")
 
 
 @query("""WITH o AS (SELECT o_orderkey AS source_id, o_orderstatus AS kind, o_orderdate AS captured_at, sha256(o_orderpriority) AS content_sha256 FROM orders WHERE o_orderkey % 4 <> 3),
@@ -185,12 +186,7 @@ def dedupe_union(spark, sf):
 SELECT b.id, b.snapshot, min(a.snapshot) AS linked_to FROM b JOIN a ON a.id = b.id AND a.snapshot <> b.snapshot GROUP BY 1, 2""")
 def link_conflicts(spark, sf):
     docs = table(spark, sf, "documents").select(F.md5(F.col("text").cast("binary")).alias("id"), F.col("doc_id").alias("snapshot"))
-    # the smallest and next smallest snapshot of an id say whether another one has it
-    least = docs.groupBy("id").agg(F.min("snapshot").alias("m1"))
-    second = docs.join(least, "id").filter("snapshot <> m1").groupBy("id").agg(F.min("snapshot").alias("m2"))
-    known = least.join(second, "id")
-    linked = F.when(F.col("m1") != F.col("snapshot"), F.col("m1")).otherwise(F.col("m2"))
-    return docs.filter("snapshot % 2 = 0").join(known, "id").select("id", "snapshot", linked.alias("linked_to"))
+    return O.link_conflicts(docs, docs.filter("snapshot % 2 = 0"))
 
 
 @query("SELECT text_sha, count(*) AS documents, min(doc_id) AS first_id FROM (SELECT sha256(text) AS text_sha, doc_id FROM documents) GROUP BY 1 HAVING count(*) > 1")
@@ -209,39 +205,34 @@ def corpus_minus(spark, sf):
     return table(spark, sf, "labels").select("doc_id").subtract(table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id")))
 
 
-@query("SELECT l.doc_id, CASE WHEN d.doc_id IS NULL THEN 'outside-corpus' ELSE 'wrong-hash' END AS problem FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id AND d.doc_id % 50 <> 3 WHERE d.doc_id IS NULL OR l.doc_id % 41 = 7")
+@query("""WITH j AS (SELECT l.doc_id, sha256(CASE WHEN l.doc_id % 41 = 7 THEN d.text || 'x' ELSE d.text END) AS sha FROM labels l JOIN documents d USING (doc_id)), c AS (SELECT doc_id, sha256(text) AS sha FROM documents WHERE doc_id % 50 <> 3)
+SELECT j.doc_id, CASE WHEN c.doc_id IS NULL THEN 'outside-corpus' ELSE 'wrong-hash' END AS problem FROM j LEFT JOIN c ON c.doc_id = j.doc_id WHERE c.doc_id IS NULL OR c.sha <> j.sha""")
 def qrels_outside_corpus(spark, sf):
-    corpus = table(spark, sf, "documents").filter("doc_id % 50 <> 3").select("doc_id", F.lit(True).alias("there"))
-    rows = table(spark, sf, "labels").select("doc_id").join(corpus, "doc_id", "left")
-    return rows.filter("there is null or doc_id % 41 = 7").select("doc_id", F.when(F.col("there").isNull(), "outside-corpus").otherwise("wrong-hash").alias("problem"))
+    docs = table(spark, sf, "documents")
+    then = F.sha2(F.when(F.col("doc_id") % 41 == 7, F.concat("text", F.lit("x"))).otherwise(F.col("text")), 256)  # judged on another text
+    judged = table(spark, sf, "labels").select("doc_id").join(docs, "doc_id").select(F.col("doc_id").alias("id"), then.alias("document_sha256"))
+    corpus = docs.filter("doc_id % 50 <> 3").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("document_sha256"))
+    return O.judged_outside(judged, corpus).withColumnRenamed("id", "doc_id")
 
 
-@query("""WITH e AS (SELECT source, list_sort(list(DISTINCT lang)) AS ids FROM documents GROUP BY 1), a AS (SELECT source, list_sort(list(DISTINCT lang)) AS ids FROM documents WHERE n_chars > 500 GROUP BY 1)
-SELECT e.source, array_to_string(e.ids, ',') AS expected, coalesce(array_to_string(a.ids, ','), '') AS actual, coalesce(e.ids = a.ids, false) AS equal FROM e LEFT JOIN a USING (source)""")
+@query("""WITH e AS (SELECT DISTINCT source, lang FROM documents), a AS (SELECT DISTINCT source, lang FROM documents WHERE n_chars > 500)
+SELECT source, count(e.lang) AS expected, count(a.lang) AS actual, count(e.lang) = count(a.lang) AND count(e.lang) = count(*) AS equal FROM e FULL JOIN a USING (source, lang) GROUP BY source""")
 def id_set_equality(spark, sf):
     docs = table(spark, sf, "documents")
-    ids = F.sort_array(F.collect_set("lang"))
-    a = docs.groupBy("source").agg(ids.alias("e"))
-    b = docs.filter("n_chars > 500").groupBy("source").agg(ids.alias("a"))
-    return a.join(b, "source", "left").select("source", F.array_join("e", ",").alias("expected"), F.coalesce(F.array_join("a", ","), F.lit("")).alias("actual"), F.coalesce(F.col("e") == F.col("a"), F.lit(False)).alias("equal"))
+    return O.sets_equal(docs, docs.filter("n_chars > 500"), "source", "lang")
 
 
 @query("""SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, count(*) AS documents, sum(strlen(text))::BIGINT AS bytes, count(DISTINCT sha256(text)) AS contents, grouping(lang, source)::INT AS level
 FROM documents GROUP BY GROUPING SETS ((lang), (source), ())""")
 def corpus_profile(spark, sf):
-    docs = table(spark, sf, "documents").select("lang", "source", F.octet_length("text").alias("bytes"), F.sha2("text", 256).alias("sha"))
-    rows = docs.groupingSets([["lang"], ["source"], []], "lang", "source").agg(F.count(F.lit(1)).alias("documents"), F.sum("bytes").alias("bytes"), F.countDistinct("sha").alias("contents"), F.grouping_id().cast("int").alias("level"))
-    return rows.withColumns({c: F.coalesce(c, F.lit("")) for c in ("lang", "source")})
+    return O.profile(table(spark, sf, "documents"), ["lang", "source"]).withColumns({c: F.coalesce(c, F.lit("")) for c in ("lang", "source")})
 
 
 @query("SELECT doc_id, CASE WHEN d.source = 'src' || (doc_id % 20) AND sha256(text) = sha256(d2t) THEN 'matched' WHEN sha256(text) <> sha256(d2t) THEN 'hash-differs' ELSE 'source-differs' END AS verdict FROM (SELECT *, CASE WHEN doc_id % 19 = 0 THEN text || ' ' ELSE text END AS d2t FROM documents) d")
 def manifest_document_join(spark, sf):
     docs = table(spark, sf, "documents")
-    entries = docs.select("doc_id", F.concat(F.lit("src"), F.col("doc_id") % 20).alias("entry_source"), F.sha2(F.when(F.col("doc_id") % 19 == 0, F.concat("text", F.lit(" "))).otherwise(F.col("text")), 256).alias("entry_sha"))
-    artifacts = docs.select("doc_id", "source", F.sha2("text", 256).alias("sha"))
-    same = F.col("entry_sha") == F.col("sha")
-    verdict = F.when(same & (F.col("entry_source") == F.col("source")), "matched").when(~same, "hash-differs").otherwise("source-differs")
-    return entries.join(artifacts, "doc_id").select("doc_id", verdict.alias("verdict"))
+    entries = docs.select("doc_id", F.concat(F.lit("src"), F.col("doc_id") % 20).alias("source"), F.sha2(F.when(F.col("doc_id") % 19 == 0, F.concat("text", F.lit(" "))).otherwise(F.col("text")), 256).alias("content_sha256"))
+    return O.match_documents(entries, docs.select("doc_id", "source", F.sha2("text", 256).alias("content_sha256")), "doc_id")
 
 
 @query("""SELECT id, rule FROM (SELECT o_orderkey AS id, unnest(list_filter([CASE WHEN o_totalprice <= 1000 THEN 'price-too-low' END, CASE WHEN o_orderstatus NOT IN ('O', 'F') THEN 'status-unknown' END, CASE WHEN o_orderdate >= TIMESTAMP '1998-01-01' THEN 'date-too-late' END], lambda r: r IS NOT NULL)) AS rule FROM orders)""")
@@ -252,9 +243,10 @@ def contract_violations(spark, sf):
 
 @query(f"""SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(replace(lower(regexp_replace(d.text, '{W}', '', 'g')), 'ß', 'ss'), replace(lower(regexp_replace(b.text, '{W}', '', 'g')), 'ß', 'ss'))""")
 def anchor_support(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", T.quote_key(F.col("text")).alias("key"))
-    items = table(spark, sf, "benchmark").select("item_id", T.quote_key(F.col("text")).alias("anchor"))
-    return docs.join(items, F.contains("key", "anchor")).select("item_id", "doc_id")
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), T.quote_key(F.col("text")).alias("text"))
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("item"), T.quote_key(F.col("text")).alias("text"))
+    found = containing(docs, items, AT_LETTERS)  # keys have no white space
+    return found.select(F.col("item").alias("item_id"), F.col("id").alias("doc_id"))
 
 
 @query(f"SELECT doc_id, md5(replace(lower(regexp_replace(text, '{W}', '', 'g')), 'ß', 'ss')) AS key FROM documents")

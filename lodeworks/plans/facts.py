@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import facts as O
-from ..operators.corpus import first_of
+from ..operators import trust as S
+from ..operators.corpus import snapshot_versions
 from .base import query, sql, table
 
 W = T.WS
@@ -85,24 +86,20 @@ def _filter_rows(quote: str = "'") -> str:
 @query(f"""WITH {DUCK_FACTS}, f(case_id, company, kind, after) AS (VALUES {_filter_rows()}),
 slim AS MATERIALIZED (SELECT id, lower(company) AS c, kind, deadline FROM recs),
 hit AS (SELECT case_id, slim.id FROM f CROSS JOIN slim WHERE (f.company IS NULL OR lower(f.company) = c) AND (f.kind IS NULL OR f.kind = slim.kind) AND (f.after IS NULL OR slim.deadline >= f.after::DATE)),
-agg AS (SELECT case_id, count(*) AS found, md5(string_agg(id::VARCHAR, ',' ORDER BY id::VARCHAR)) AS ids FROM hit GROUP BY case_id)
-SELECT case_id, coalesce(found, 0) AS found, coalesce(ids, '') AS ids FROM f LEFT JOIN agg USING (case_id)""")
+agg AS (SELECT case_id, count(*) AS found, sum(id)::BIGINT AS ids FROM hit GROUP BY case_id)
+SELECT case_id, coalesce(found, 0) AS found, coalesce(ids, 0) AS ids FROM f LEFT JOIN agg USING (case_id)""")
 def job_search_batch(spark, sf):
-    cases = spark.createDataFrame(_FILTERS, "case_id int, f_company string, f_kind string, f_after string")
-    meets = (F.col("f_company").isNull() | (T.company_key(F.col("f_company")) == T.company_key(F.col("company")))) & (F.col("f_kind").isNull() | (F.col("f_kind") == F.col("kind")))
-    meets = meets & (F.col("f_after").isNull() | (F.col("deadline") >= F.col("f_after").cast("date")))
-    hits = records(spark, sf).join(F.broadcast(cases), meets)  # a fixed set of 32 cases
-    got = hits.groupBy("case_id").agg(F.count(F.lit(1)).alias("found"), F.md5(F.array_join(F.sort_array(F.collect_list(F.col("id").cast("string"))), ",").cast("binary")).alias("ids"))
+    cases = spark.createDataFrame(_FILTERS, "case_id int, company string, kind string, after string")
+    got = O.job_search_batch(records(spark, sf), cases).groupBy("case_id").agg(F.count(F.lit(1)).alias("found"), F.sum("id").alias("ids"))
     rows = cases.select("case_id").join(got, "case_id", "left")
-    return rows.select("case_id", F.coalesce("found", F.lit(0)).alias("found"), F.coalesce("ids", F.lit("")).alias("ids"))
+    return rows.select("case_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("found", "ids")])
 
 
 @query(f"""WITH {DUCK_FACTS} SELECT id, CASE WHEN kind IS NULL THEN 'unknown-type' WHEN id % 7 = 0 THEN 'reversed-range' WHEN id % 11 = 0 THEN 'limit-out-of-bounds' ELSE 'valid' END AS verdict FROM recs""")
 def filter_contract(spark, sf):
     rows = records(spark, sf).withColumn("limit", F.when(F.col("id") % 11 == 0, 500).otherwise(10))
     rows = rows.withColumn("after", F.lit("1996-01-01")).withColumn("before", F.when(F.col("id") % 7 == 0, "1995-01-01").otherwise("1997-01-01"))
-    verdict = F.when(F.col("kind").isNull(), "unknown-type").when(F.col("after") > F.col("before"), "reversed-range").when(~F.col("limit").between(1, 50), "limit-out-of-bounds")
-    return rows.select("id", verdict.otherwise("valid").alias("verdict"))
+    return rows.select("id", O.filter_problem(F.col("kind"), F.col("after"), F.col("before"), F.col("limit")).alias("verdict"))
 
 
 @query("""WITH e AS (SELECT o_orderkey AS id, unnest([o_orderpriority, o_orderstatus]) AS v, unnest(['priority', 'status']) AS k FROM orders),
@@ -112,20 +109,17 @@ def constraints_retained(spark, sf):
     o = table(spark, sf, "orders")
     pairs = lambda p: F.explode(F.map_from_arrays(F.array(F.lit("priority"), F.lit("status")), F.array(p, F.col("o_orderstatus"))))
     expected = o.select(F.col("o_orderkey").alias("id"), pairs(F.col("o_orderpriority")).alias("k", "v"))
-    actual = o.select(F.col("o_orderkey").alias("id"), pairs(F.when(F.col("o_orderkey") % 6 == 0, "none").otherwise(F.lower("o_orderpriority"))).alias("k", "a"))
-    same = F.coalesce(F.lower("v") == F.lower("a"), F.lit(False))
-    return expected.join(actual, ["id", "k"], "left").groupBy("id").agg(F.bool_and(same).alias("retained"))
+    actual = o.select(F.col("o_orderkey").alias("id"), pairs(F.when(F.col("o_orderkey") % 6 == 0, "none").otherwise(F.lower("o_orderpriority"))).alias("k", "v"))
+    return O.constraints_retained(expected, actual)
 
 
-@query("""WITH cur AS (SELECT user_id, arg_max(event_type, event_id) AS kind FROM events GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1 AS active FROM events)
-SELECT r.user_id, r.event_id, r.event_type FROM r JOIN cur ON cur.user_id = r.user_id AND cur.kind = r.event_type WHERE r.active""")
+@query("""WITH cur AS (SELECT user_id, arg_max(event_type, event_id) AS kind FROM events GROUP BY 1), r AS (SELECT user_id, event_type, arg_max(event_id, event_id) FILTER (WHERE event_id % 4 <> 0) AS event_id FROM events GROUP BY 1, 2)
+SELECT r.user_id, r.event_id, sha256(r.event_type) AS sha FROM r JOIN cur ON cur.user_id = r.user_id AND cur.kind = r.event_type WHERE r.event_id IS NOT NULL""")
 def current_records(spark, sf):
-    from pyspark.sql import Window
-
-    e = table(spark, sf, "events")
-    snapshots = e.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("event_type"))
-    last = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("event_id")))
-    return e.withColumn("n", last).filter("n = 1").join(snapshots, ["user_id", "event_type"]).select("user_id", "event_id", "event_type")
+    """Every event is a snapshot's observation; all but each fourth also make a record of it."""
+    e = table(spark, sf, "events").select(F.col("user_id").alias("source"), F.sha2("event_type", 256).alias("sha"), F.col("event_id").alias("seq"), F.col("ts").alias("at"))
+    found = O.both_current(e.filter("seq % 4 <> 0").select("source", "sha", "seq"), snapshot_versions(e))
+    return found.select(F.col("source").alias("user_id"), F.col("seq").alias("event_id"), "sha")
 
 
 _CITED = """SELECT doc_id AS answer, doc_id % 3 AS claim, 0 AS ordinal, CASE WHEN doc_id % 7 = 0 THEN doc_id + 1000000 ELSE doc_id END AS evidence_id,
@@ -138,22 +132,26 @@ _QK = lambda c: f"replace(lower(regexp_replace({c}, '{W}', '', 'g')), 'ß', 'ss'
 SELECT answer, claim, ordinal, CASE WHEN n > 1 THEN 'duplicate' WHEN text IS NULL THEN 'outside-evidence' WHEN NOT contains({_QK('text')}, {_QK('quote')}) THEN 'quote-not-found' END AS issue FROM n""")
 def citation_check(spark, sf):
     docs = table(spark, sf, "documents")
-    cited = sql(spark, sf, _CITED, documents=docs)
+    cited = sql(spark, sf, _CITED, "documents")
     return O.citation_issues(cited, docs.select(F.col("doc_id").alias("evidence_id"), "text"), ["answer", "claim"]).select("answer", "claim", "ordinal", "issue")
 
 
 @query(f"""WITH c AS ({_CITED}) SELECT answer AS record, concat('fact_', claim) AS field, ordinal, CASE WHEN text IS NULL THEN 'outside-evidence' WHEN NOT contains({_QK('text')}, {_QK('quote')}) THEN 'quote-not-found' END AS issue FROM c LEFT JOIN documents d ON d.doc_id = c.evidence_id""")
 def fact_grounding(spark, sf):
     docs = table(spark, sf, "documents")
-    cited = sql(spark, sf, _CITED, documents=docs)
+    cited = sql(spark, sf, _CITED, "documents")
     checked = O.citation_issues(cited, docs.select(F.col("doc_id").alias("evidence_id"), "text"))
     return checked.select(F.col("answer").alias("record"), F.concat(F.lit("fact_"), "claim").alias("field"), "ordinal", "issue")
 
 
-@query("SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id % 3 <> 0)")
+@query("""WITH c AS (SELECT l.doc_id AS record, sha256(d.text) AS snapshot, CASE WHEN l.doc_id % 7 = 0 THEN l.doc_id + 1 ELSE l.doc_id END AS evidence_id FROM labels l JOIN documents d USING (doc_id))
+SELECT record, evidence_id FROM c WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = c.evidence_id AND sha256(d.text) = c.snapshot)""")
 def citation_lineage(spark, sf):
-    linked = table(spark, sf, "embeddings").filter("vec_id % 3 <> 0").select(F.col("vec_id").alias("doc_id"))
-    return table(spark, sf, "labels").select("doc_id").join(linked, "doc_id", "left_anti")
+    """A record's snapshot is its document's content; each seventh cites the next document's evidence."""
+    docs = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("snapshot"))
+    cited = F.when(F.col("doc_id") % 7 == 0, F.col("doc_id") + 1).otherwise(F.col("doc_id"))
+    citations = table(spark, sf, "labels").join(docs, "doc_id").select(F.col("doc_id").alias("record"), "snapshot", cited.alias("evidence_id"))
+    return O.unlinked_citations(citations, docs.select("snapshot", F.col("doc_id").alias("evidence_id"))).select("record", "evidence_id")
 
 
 _LABEL = "CASE WHEN toxic = 1 THEN 'uncertain' WHEN quality = 1 THEN 'supported' ELSE 'unsupported' END"
@@ -184,13 +182,14 @@ def record_activation(spark, sf):
     return O.activation(e, e.select("snapshot").filter("snapshot % 10 <> 0"))
 
 
-@query(f"WITH {DUCK_FACTS} SELECT id, concat(title, ' at ', company) AS heading, coalesce(kind, 'not stated') AS kind_text, coalesce(strftime(deadline, '%Y-%m-%d'), 'not stated') AS deadline_text, concat('order-', id) AS cited FROM recs WHERE id % 10 = 0 UNION ALL SELECT item_id, substring(text, 1, 20), 'claim', 'not stated', concat('item-', item_id) FROM benchmark")
+@query(f"""WITH {DUCK_FACTS}, s AS (SELECT 'job' AS section, id, concat(title, ' at ', company) AS heading, concat('type: ', coalesce(kind, 'not stated'), '; deadline: ', coalesce(strftime(deadline, '%Y-%m-%d'), 'not stated')) AS body, CASE WHEN id % 23 <> 0 THEN concat('order-', id) END AS cited, true AS grounded FROM recs
+UNION ALL SELECT 'claim', item_id, 'claim', text, concat('item-', item_id), item_id % 6 <> 0 FROM benchmark)
+SELECT section, id, heading, body, cited, CASE WHEN cited IS NULL THEN 'missing-source' WHEN NOT grounded THEN 'invalid-grounding' WHEN id % 31 = 0 THEN 'outside-scope' END AS problem FROM s""")
 def report_rows(spark, sf):
-    jobs = records(spark, sf).filter("id % 10 = 0")
-    none = F.lit("not stated")
-    rows = jobs.select("id", F.concat("title", F.lit(" at "), "company").alias("heading"), F.coalesce("kind", none).alias("kind_text"), F.coalesce(F.date_format("deadline", "yyyy-MM-dd"), none).alias("deadline_text"), F.concat(F.lit("order-"), "id").alias("cited"))
-    claims = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.substring("text", 1, 20).alias("heading"), F.lit("claim").alias("kind_text"), none.alias("deadline_text"), F.concat(F.lit("item-"), "item_id").alias("cited"))
-    return rows.unionByName(claims)
+    jobs = records(spark, sf).withColumn("evidence_id", F.when(F.col("id") % 23 != 0, F.concat(F.lit("order-"), "id")))
+    claims = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text", F.concat(F.lit("item-"), "item_id").alias("evidence_id"), (F.col("item_id") % 6 != 0).alias("grounded"))
+    scope = jobs.select("id", "evidence_id").unionByName(claims.select("id", "evidence_id")).filter("id % 31 <> 0").select("evidence_id")
+    return O.report_rows(jobs, claims, scope)
 
 
 _HOST = "rtrim(regexp_extract(lower(trim(url)), '^https?://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '.')"
@@ -209,10 +208,9 @@ def _pages(spark, sf):
 
 
 def _registry(spark, sf):
-    """(company, domain, id): the newest row of each company and domain, unless it is revoked."""
     base = _pages(spark, sf).select(F.concat("company", F.lit("."), "domain").alias("domain"), "company", "page_id").groupBy("domain", "company").agg(F.min("page_id").alias("id"))
     log = base.withColumns({"version": F.lit(1), "status": F.lit("active")}).unionByName(base.filter("id % 5 = 0").withColumns({"version": F.lit(2), "status": F.lit("revoked")}))
-    return first_of(log, ["company", "domain"], F.desc("version"), F.col("id")).filter("status = 'active'").select("company", "domain", "id")
+    return S.registry_current(log)
 
 
 @query(f"WITH {DUCK_REGISTRY} SELECT domain, company, id FROM cur")
@@ -221,35 +219,30 @@ def registry_current(spark, sf):
 
 
 def _matches(spark, sf):
-    """Pages with the first registry row of their company whose domain is their host or a suffix of it: an equi-join on suffixes."""
-    pages = _pages(spark, sf)
-    n = F.size("labels")
-    suffixes = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice("labels", i, n - i + 1), "."))
-    wide = pages.select("page_id", "company", F.explode(suffixes).alias("domain"))
-    hits = wide.join(_registry(spark, sf), ["company", "domain"])
-    return hits.groupBy("page_id").agg(F.min_by("domain", "id").alias("matched"))
+    return S.domain_matches(_pages(spark, sf), _registry(spark, sf))
+
+
+def _official(spark, sf):
+    return table(spark, sf, "pages").select("page_id", "url", (F.col("page_id") % 3 != 0).alias("official"))
+
+
+_DUCK_MATCHES = f"{DUCK_REGISTRY}, m AS (SELECT n.page_id, arg_min(c.domain, c.id) AS matched FROM named n JOIN cur c ON c.company = n.company AND (n.host = c.domain OR ends_with(n.host, '.' || c.domain)) GROUP BY 1)"
 
 
-@query(f"WITH {DUCK_REGISTRY} SELECT n.page_id, arg_min(c.domain, c.id) AS matched FROM named n JOIN cur c ON c.company = n.company AND (n.host = c.domain OR ends_with(n.host, '.' || c.domain)) GROUP BY 1")
+@query(f"WITH {_DUCK_MATCHES} SELECT * FROM m")
 def domain_match(spark, sf):
     return _matches(spark, sf)
 
 
-@query(f"""WITH {DUCK_REGISTRY}, m AS (SELECT n.page_id, arg_min(c.domain, c.id) AS matched FROM named n JOIN cur c ON c.company = n.company AND (n.host = c.domain OR ends_with(n.host, '.' || c.domain)) GROUP BY 1)
-SELECT CASE WHEN p.page_id % 3 = 0 THEN 'not_applicable' WHEN m.matched IS NULL THEN 'unverified' ELSE 'verified' END AS verdict, count(*) AS pages, count(DISTINCT m.matched) AS domains FROM pages p LEFT JOIN m USING (page_id) GROUP BY 1""")
+@query(f"""WITH {_DUCK_MATCHES} SELECT CASE WHEN p.page_id % 3 = 0 THEN 'not_applicable' WHEN m.matched IS NULL THEN 'unverified' ELSE 'verified' END AS verdict, count(*) AS pages, count(DISTINCT m.matched) AS domains FROM pages p LEFT JOIN m USING (page_id) GROUP BY 1""")
 def source_audit(spark, sf):
-    rows = table(spark, sf, "pages").select("page_id").join(_matches(spark, sf), "page_id", "left")
-    verdict = F.when(F.col("page_id") % 3 == 0, "not_applicable").when(F.col("matched").isNull(), "unverified").otherwise("verified")
-    return rows.groupBy(verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("pages"), F.countDistinct("matched").alias("domains"))
+    audited = S.source_audit(_official(spark, sf), _matches(spark, sf))
+    return audited.groupBy("verdict").agg(F.count(F.lit(1)).alias("pages"), F.countDistinct("matched").alias("domains"))
 
 
-@query(f"""WITH {DUCK_REGISTRY}, m AS (SELECT n.page_id, arg_min(c.domain, c.id) AS matched FROM named n JOIN cur c ON c.company = n.company AND (n.host = c.domain OR ends_with(n.host, '.' || c.domain)) GROUP BY 1)
-SELECT p.page_id, array_to_string(list_filter([CASE WHEN m.matched IS NULL THEN 'ownership-unverified' END, CASE WHEN p.page_id % 3 = 0 THEN 'cross-check-required' END, CASE WHEN NOT starts_with(lower(p.url), 'https://') THEN 'not-https' END, 'freshness-unverified'], lambda x: x IS NOT NULL), ',') AS reasons, true AS manual_review FROM pages p LEFT JOIN m USING (page_id)""")
+@query(f"""WITH {_DUCK_MATCHES} SELECT p.page_id, array_to_string(list_filter([CASE WHEN m.matched IS NULL THEN 'ownership-unverified' END, CASE WHEN p.page_id % 3 = 0 THEN 'cross-check-required' END, CASE WHEN NOT starts_with(lower(p.url), 'https://') THEN 'not-https' END, 'freshness-unverified'], lambda x: x IS NOT NULL), ',') AS reasons, true AS manual_review FROM pages p LEFT JOIN m USING (page_id)""")
 def source_assessment(spark, sf):
-    rows = table(spark, sf, "pages").select("page_id", "url").join(_matches(spark, sf), "page_id", "left")
-    reasons = F.array(F.when(F.col("matched").isNull(), "ownership-unverified"), F.when(F.col("page_id") % 3 == 0, "cross-check-required"), F.when(~F.lower("url").startswith("https://"), "not-https"), F.lit("freshness-unverified"))
-    kept = F.filter(reasons, lambda x: x.isNotNull())
-    return rows.select("page_id", F.array_join(kept, ",").alias("reasons"), (F.size(kept) > 0).alias("manual_review"))
+    return S.source_assessment(_official(spark, sf), _matches(spark, sf)).withColumn("reasons", F.array_join("reasons", ","))
 
 
 @query(f"WITH {DUCK_REGISTRY} SELECT page_id, host, domain, coalesce(company, '') AS company FROM named")
@@ -261,7 +254,7 @@ def company_domain_keys(spark, sf):
 def domain_fingerprint(spark, sf):
     domain = T.domain_key(F.concat(F.lit("S"), "s_suppkey", F.lit(".Example.com.")))
     parts = [T.company_key(F.col("s_name")), domain, F.concat(F.lit("ref-"), "s_nationkey"), F.lit("2024-01-01"), F.lit("reviewer"), F.when(F.col("s_suppkey") % 5 == 0, "revoked").otherwise("active")]
-    return table(spark, sf, "supplier").select("s_suppkey", F.sha2(F.concat_ws("\x1f", *parts), 256).alias("fingerprint"))
+    return table(spark, sf, "supplier").select("s_suppkey", S.domain_fingerprint(*parts).alias("fingerprint"))
 
 
 @query("SELECT page_id, code, retryable, action FROM (SELECT page_id, CASE WHEN length(html) < 1500 THEN 'no-extractable-content' WHEN page_id % 17 = 0 THEN 'document-read-failed' END AS code FROM pages) JOIN (VALUES ('no-extractable-content', false, 'use-fallback-extractor-or-manual-review'), ('document-read-failed', true, 'retry-source-read')) f(code, retryable, action) USING (code)")

@@ -33,26 +33,29 @@ def record_decode(spark, sf):
     return records(spark, sf).select("id", text.alias("json")).select("id", D.record_status(F.col("json")).alias("status"))
 
 
-#: Recognized regions made from words of documents: a line of four words, some blank or of low confidence.
+#: Recognized regions made from all words of documents: pages of six lines of four words, some blank or of low confidence.
 def _regions(spark, sf):
-    words = table(spark, sf, "documents").select("doc_id", F.posexplode(F.slice(F.split("text", r"\s+"), 1, 24)).alias("i", "text"))
+    words = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", r"\s+")).alias("n", "text"))
+    words = words.select("doc_id", F.floor(F.col("n") / 24).cast("int").alias("page"), (F.col("n") % 24).alias("i"), "text")
     x0, y0 = (F.col("i") % 4) * 0.25, F.floor(F.col("i") / 4) * 0.15 + (F.col("i") % 2) * 0.01
     box = F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in ((x0, y0), (x0 + 0.2, y0), (x0 + 0.2, y0 + 0.1), (x0, y0 + 0.1))])
-    return words.select("doc_id", "text", F.when(F.col("i") % 9 == 8, 0.3).otherwise(0.9).alias("confidence"), box.alias("polygon"))
+    return words.select("doc_id", "page", "text", F.when(F.col("i") % 9 == 8, 0.3).otherwise(0.9).alias("confidence"), box.alias("polygon"))
 
 
-@query("""WITH w AS (SELECT doc_id, unnest(list_slice(regexp_split_to_array(text, '\\s+'), 1, 24)) AS text, unnest(range(least(24, len(regexp_split_to_array(text, '\\s+'))))) AS i FROM documents)
-SELECT doc_id, count(*) AS regions FROM w WHERE trim(text) <> '' AND i % 9 <> 8 GROUP BY doc_id""")
+_DUCK_REGIONS = r"""w AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\s+')) AS text, unnest(range(len(regexp_split_to_array(text, '\s+')))) AS n FROM documents),
+r AS (SELECT doc_id, (n // 24)::INT AS page, n % 24 AS i, text FROM w WHERE trim(text) <> '' AND (n % 24) % 9 <> 8)"""
+
+
+@query(f"WITH {_DUCK_REGIONS} SELECT doc_id, page, count(*) AS regions FROM r GROUP BY doc_id, page")
 def ocr_region_filter(spark, sf):
     kept = D.region_filter(_regions(spark, sf)).filter("problem is null")
-    return kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("regions"))
+    return kept.groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("regions"))
 
 
-@query("""WITH w AS (SELECT doc_id, unnest(list_slice(regexp_split_to_array(text, '\\s+'), 1, 24)) AS text, unnest(range(least(24, len(regexp_split_to_array(text, '\\s+'))))) AS i FROM documents)
-SELECT doc_id, md5(string_agg(line, chr(10) ORDER BY k)) AS digest FROM (SELECT doc_id, i // 4 AS k, string_agg(text, ' ' ORDER BY i) AS line FROM w WHERE trim(text) <> '' AND i % 9 <> 8 GROUP BY doc_id, i // 4) GROUP BY doc_id""")
+@query(f"""WITH {_DUCK_REGIONS} SELECT doc_id, page, md5(string_agg(line, chr(10) ORDER BY k)) AS digest FROM (SELECT doc_id, page, i // 4 AS k, string_agg(text, ' ' ORDER BY i) AS line FROM r GROUP BY doc_id, page, i // 4) GROUP BY doc_id, page""")
 def ocr_reading_order(spark, sf):
     kept = D.region_filter(_regions(spark, sf)).filter("problem is null")
-    return D.reading_order(kept, "doc_id").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+    return D.reading_order(kept, "doc_id", "page").select("doc_id", "page", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 @query("""WITH t AS (SELECT doc_id, quality, toxic, doc_id % 4 AS kind FROM labels)

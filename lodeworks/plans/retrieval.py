@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
+from ..sources.scratch import new_folder, written
 from .base import DUCK_BM25, DUCK_QRELS, chunks_of, duck_tokens, qrels_of, queries_of, query, table
 
 
@@ -78,9 +79,9 @@ def dense_pairs(spark, sf):
 FROM den JOIN documents d ON d.doc_id = den.id) SELECT query, source, id, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 3""")
 def dense_source_local(spark, sf):
     vectors = _vectors(spark, sf)
-    scored = R.dense_scores(vectors.filter("id % 25 = 0").withColumnRenamed("id", "query"), vectors)
-    placed = scored.join(chunks_of(spark, sf, "source").select("id", "source"), "id")
-    return R.topk(placed, 3, ["query", "source"]).select("query", "source", "id", F.round("score", 6).alias("score"), "rank")
+    placed = vectors.join(chunks_of(spark, sf, "source").select("id", "source"), "id")
+    scored = R.dense_scores(vectors.filter("id % 25 = 0").withColumnRenamed("id", "query"), placed, keep=["source"])
+    return R.topk(scored, 3, ["query", "source"]).select("query", "source", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"WITH {DUCK_DENSE}, t AS (SELECT query, id, score FROM den WHERE score > 0.05) SELECT query, id, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM t) WHERE rank <= 10")
@@ -94,29 +95,34 @@ def ranked_topk(spark, sf):
 SELECT vec_id, len(v)::INT AS dimension, round(sqrt(list_dot_product(v, v)), 5) AS norm,
   CASE WHEN len(v) <> 64 THEN 'wrong-dimension' WHEN sqrt(list_dot_product(v, v)) = 0 THEN 'zero' ELSE 'valid' END AS verdict FROM e""")
 def vector_validate(spark, sf):
-    e = table(spark, sf, "embeddings")
-    v = F.col("embedding")
-    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    norm = F.sqrt(R.dot(v, v))
-    verdict = F.when(F.size(v) != 64, "wrong-dimension").when(bad, "not-finite").when(norm == 0, "zero").otherwise("valid")
-    return e.select("vec_id", F.size(v).alias("dimension"), F.round(norm, 5).alias("norm"), verdict.alias("verdict"))
+    vectors = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return R.vector_verdicts(vectors, 64).select("vec_id", "dimension", F.round("norm", 5).alias("norm"), "verdict")
+
+
+def _indexed(spark, sf):
+    """Documents that have a vector, as chunks, and their vectors."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("document_sha256"), F.lit("structure-v1").alias("chunker_version"))
+    vectors = _vectors(spark, sf)
+    return docs.join(vectors.select("id"), "id", "left_semi"), vectors
+
 
+_DUCK_INDEX = """c AS (SELECT doc_id::VARCHAR AS id, doc_id, sha256(text) AS sha FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)),
+f AS (SELECT 'corpus_' || sha256('[' || string_agg('{"chunker_version":"structure-v1","document_sha256":"' || sha || '","evidence_id":"' || id || '"}', ',' ORDER BY id) || ']') AS fingerprint FROM c)"""
 
-@query("SELECT count(*) AS vectors, count(DISTINCT vec_id) AS ids, min(len(embedding))::INT AS least_dimension, max(len(embedding))::INT AS dimension, count(*) = count(DISTINCT vec_id) AND min(len(embedding)) = max(len(embedding)) AS usable FROM embeddings")
+
+@query(f"WITH {_DUCK_INDEX} SELECT fingerprint, 'given' AS embedder, 'structure-v1' AS chunker_version, 64 AS dimension, (SELECT count(*) FROM c) AS vectors FROM f")
 def dense_index_build(spark, sf):
-    size = F.size("embedding")
-    e = table(spark, sf, "embeddings").agg(F.count(F.lit(1)).alias("vectors"), F.countDistinct("vec_id").alias("ids"), F.min(size).alias("least_dimension"), F.max(size).alias("dimension"))
-    return e.withColumn("usable", (F.col("vectors") == F.col("ids")) & (F.col("least_dimension") == F.col("dimension")))
+    chunks, vectors = _indexed(spark, sf)
+    return R.dense_index(chunks, vectors, new_folder(spark, "index"), embedder="given", dimension=64).drop("digest", "path")
 
 
-@query("""SELECT count(*) FILTER (WHERE e.vec_id IS NULL) AS not_stored, count(*) FILTER (WHERE d.doc_id IS NULL) AS unknown_ids,
-count(*) FILTER (WHERE e.vec_id IS NULL OR d.doc_id IS NULL) = 0 AS reuse FROM (SELECT doc_id FROM documents) d FULL JOIN (SELECT vec_id FROM embeddings) e ON d.doc_id = e.vec_id""")
+@query("""SELECT 'corpus-fingerprint' AS problem, 1::BIGINT AS found UNION ALL SELECT 'embedder', 1 UNION ALL
+SELECT 'not-stored', count(*) FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings) AND doc_id % 10 = 0 UNION ALL SELECT 'unknown-ids', count(*) FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings) AND doc_id % 10 = 1""")
 def dense_index_guard(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("doc_id"))
-    e = table(spark, sf, "embeddings").select("vec_id")
-    both = d.join(e, d["doc_id"] == e["vec_id"], "full")
-    missing, unknown = F.count_if(F.col("vec_id").isNull()), F.count_if(F.col("doc_id").isNull())
-    return both.agg(missing.alias("not_stored"), unknown.alias("unknown_ids"), (missing + unknown == 0).alias("reuse"))
+    """An index without each tenth chunk, asked to serve the chunks but for another tenth, with another embedder."""
+    chunks, vectors = _indexed(spark, sf)
+    header = R.dense_index(chunks.filter("id % 10 <> 0"), vectors, new_folder(spark, "index"), embedder="given", dimension=64)
+    return R.dense_index_problems(header, chunks.filter("id % 10 <> 1"), embedder="other", dimension=64)
 
 
 DUCK_HYBRID = f"""{DUCK_BM25}, {DUCK_QRELS.strip()},
@@ -125,7 +131,7 @@ norms AS (SELECT id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v)
 qvec AS (SELECT query, min(qrels.id) AS vid FROM qrels JOIN vecs ON vecs.id = qrels.id GROUP BY query),
 hden AS (SELECT q.query, n.id, round(list_dot_product(n.v, m.v), 9) AS score FROM qvec q JOIN norms m ON m.id = q.vid, norms n JOIN documents d ON d.doc_id = n.id),
 hdenr AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM hden),
-hbmr AS (SELECT query, id, rank, score FROM bmr WHERE query IN (SELECT query FROM qvec)),
+hbmr AS (SELECT query, id, rank, score FROM bmr),
 branch AS (SELECT query, id, rank, 'bm25' AS r FROM hbmr UNION ALL SELECT query, id, rank, 'dense' AS r FROM hdenr),
 fus AS (SELECT query, id, round(sum(1.0 / (60 + rank)), 9) AS score, max(CASE WHEN r = 'bm25' THEN rank END)::INT AS bm25_rank, max(CASE WHEN r = 'dense' THEN rank END)::INT AS dense_rank
   FROM branch WHERE rank <= 20 GROUP BY query, id),
@@ -133,7 +139,7 @@ fusr AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id
 
 
 def _hybrid_branches(spark, sf):
-    """Whole rankings by BM25 and by cosine for the queries that have a vector: the one of their smallest gold document."""
+    """Scores by BM25 for all queries, by cosine for those that have a vector: the one of their smallest gold document."""
     vectors = _vectors(spark, sf)
     gold = qrels_of(spark, sf)
     first = gold.join(vectors.select("id"), "id").groupBy("query").agg(F.min("id").alias("vid"))
@@ -141,21 +147,25 @@ def _hybrid_branches(spark, sf):
     stored = vectors.join(chunks_of(spark, sf).select("id"), "id", "left_semi")
     shifted = wanted.withColumn("query", -F.col("query") - 1)  # a query's number is no vector's id
     dense = R.dense_scores(shifted, stored).withColumn("query", -F.col("query") - 1)
-    lexical = R.bm25_scores(queries_of(spark, sf), chunks_of(spark, sf)).join(first.select("query"), "query", "left_semi")
-    return R.topk(lexical, None), R.topk(dense, None), gold
+    return R.bm25_scores(queries_of(spark, sf), chunks_of(spark, sf)), dense, gold
+
+
+def _fused(lexical, dense, k=None, candidates=20):
+    """Each branch cut to its candidates, then fused."""
+    return R.rrf_fuse({"bm25": R.topk(lexical, candidates), "dense": R.topk(dense, candidates)}, k=k)
 
 
 @query(f"WITH {DUCK_HYBRID} SELECT query, id, round(score, 6) AS score, bm25_rank, dense_rank, rank::INT AS rank FROM fusr")
 def rrf_fuse(spark, sf):
     lexical, dense, _ = _hybrid_branches(spark, sf)
-    return R.rrf_fuse({"bm25": lexical, "dense": dense}, candidates=20).withColumn("score", F.round("score", 6))
+    return _fused(lexical, dense).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {DUCK_HYBRID} SELECT query, id, round(score, 6) AS score, bm25_rank, dense_rank, rank::INT AS rank, (SELECT count(*) FROM documents) AS corpus_size FROM fusr WHERE rank <= 5")
 def hybrid_search(spark, sf):
     lexical, dense, _ = _hybrid_branches(spark, sf)
     size = chunks_of(spark, sf).agg(F.count(F.lit(1)).alias("corpus_size"))
-    return R.rrf_fuse({"bm25": lexical, "dense": dense}, k=5, candidates=20).withColumn("score", F.round("score", 6)).crossJoin(F.broadcast(size))
+    return _fused(lexical, dense, 5).withColumn("score", F.round("score", 6)).crossJoin(F.broadcast(size))  # one row
 
 
 DUCK_SCOPE = f"""{DUCK_HYBRID},
@@ -172,7 +182,7 @@ def _scoped(spark, sf):
     sources = gold.join(docs, "id").select("query", "source").distinct()
     allowed = sources.join(docs, "source").select("query", "id")
     fused = R.rrf_fuse({"bm25": R.rescope(lexical, allowed, 20), "dense": R.rescope(dense, allowed, 20)})
-    return fused, R.rrf_fuse({"bm25": lexical, "dense": dense}, candidates=20), gold
+    return fused, _fused(lexical, dense), gold
 
 
 @query(f"WITH {DUCK_SCOPE} SELECT query, id, round(score, 6) AS score, rank::INT AS rank FROM sfusr WHERE rank <= 5")
@@ -239,7 +249,7 @@ SELECT c AS candidates, k AS constant, count(*) FILTER (WHERE q.id IS NOT NULL)
 FROM gr LEFT JOIN qrels q ON q.query = gr.query AND q.id = gr.id WHERE rank <= 5 GROUP BY c, k""")
 def rrf_grid(spark, sf):
     lexical, dense, gold = _hybrid_branches(spark, sf)
-    rows = lexical.select("query", "id", "rank").unionByName(dense.select("query", "id", "rank")).filter("rank <= 20")
+    rows = R.topk(lexical, 20).select("query", "id", "rank").unionByName(R.topk(dense, 20).select("query", "id", "rank"))
     grid = spark.sql("SELECT candidates, constant FROM VALUES (5), (10), (20) a(candidates), VALUES (10), (30), (60) b(constant)")
     spread = rows.crossJoin(F.broadcast(grid)).filter("rank <= candidates")  # the grid is a fixed table of nine rows
     fused = spread.groupBy("candidates", "constant", "query", "id").agg(F.round(F.sum(1.0 / (F.col("constant") + F.col("rank"))), 9).alias("score"))
@@ -257,17 +267,18 @@ def lexical_diagnosis(spark, sf):
 
     texts = chunks_of(spark, sf).select("id", tokens(F.col("text")).alias("t"))
     asked = queries_of(spark, sf).select("query", tokens(F.col("text")).alias("q"))
-    rows = qrels_of(spark, sf).join(texts, "id").join(asked, "query").select("query", "id", F.size(F.array_intersect("t", "q")).alias("overlap"))
-    rows = rows.join(_bm25(spark, sf, None).select("query", "id", "rank"), ["query", "id"], "left")
+    gold = qrels_of(spark, sf)
+    rows = gold.join(texts, "id").join(asked, "query").select("query", "id", F.size(F.array_intersect("t", "q")).alias("overlap"))
+    scored = written(R.bm25_scores(queries_of(spark, sf), chunks_of(spark, sf)).select("query", "id", "score"), "scores")
+    rows = rows.join(R.rank_among(scored, gold), ["query", "id"], "left")
     kind = F.when(F.col("overlap") == 0, "no-lexical-overlap").when(F.col("rank") <= 5, "retrieved").otherwise("ranked-below-cutoff")
     return rows.select("query", "id", "overlap", "rank", kind.alias("class"))
 
 
 @query(f"""WITH {DUCK_SCOPE}, {_duck_metrics('sfusr', 5, 's')}, {_duck_metrics('fusr', 5, 'u')}
-SELECT s.query, round(s.rr, 6) AS scoped_rr, round(u.rr, 6) AS unscoped_rr, round(s.rr - u.rr, 6) AS delta FROM s JOIN u USING (query) JOIN qvec USING (query)""")
+SELECT s.query, round(s.rr, 6) AS scoped_rr, round(u.rr, 6) AS unscoped_rr, round(s.rr - u.rr, 6) AS delta FROM s JOIN u USING (query)""")
 def scoped_comparison(spark, sf):
-    scoped, whole, gold = _scoped(spark, sf)
-    judged = gold.join(whole.select("query").distinct(), "query", "left_semi")
+    scoped, whole, judged = _scoped(spark, sf)
     a = R.retrieval_metrics(scoped, judged, 5).select("query", F.col("rr").alias("scoped_rr"))
     b = R.retrieval_metrics(whole, judged, 5).select("query", F.col("rr").alias("unscoped_rr"))
     return _rounded(a.join(b, "query").withColumn("delta", F.col("scoped_rr") - F.col("unscoped_rr")))
@@ -292,27 +303,19 @@ def answer_widening(spark, sf):
 
 @query("""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
 u AS (SELECT vec_id, label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM e),
-p AS (SELECT a.vec_id, min(b.vec_id) FILTER (WHERE a.label = b.label) AS pos, min(b.vec_id) FILTER (WHERE a.label <> b.label) AS neg
-  FROM u a JOIN u b ON a.vec_id // 25 = b.vec_id // 25 AND b.vec_id > a.vec_id WHERE a.vec_id % 25 = 0 GROUP BY 1)
+p AS (SELECT vec_id, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS pos FROM u WHERE label IS NOT NULL),
+l AS (SELECT label, min(vec_id) AS least FROM u WHERE label IS NOT NULL GROUP BY 1),
+n AS (SELECT u.vec_id, min(l.least) AS neg FROM u JOIN l ON l.label <> u.label GROUP BY 1)
 SELECT p.vec_id AS query, pos AS positive, neg AS negative, round(list_dot_product(q.v, x.v) - list_dot_product(q.v, y.v), 6) AS margin
-FROM p JOIN u q ON q.vec_id = p.vec_id JOIN u x ON x.vec_id = pos JOIN u y ON y.vec_id = neg""")
+FROM p JOIN n USING (vec_id) JOIN u q ON q.vec_id = p.vec_id JOIN u x ON x.vec_id = pos JOIN u y ON y.vec_id = neg""")
 def embedding_margin(spark, sf):
-    e = table(spark, sf, "embeddings").select("vec_id", "label", R.unit(F.col("embedding")).alias("v"))
-    # candidates are the 25 vectors of a block, an equi-join of bounded size
-    asked = e.filter("vec_id % 25 = 0").select(F.col("vec_id").alias("query"), F.col("label").alias("own"), F.floor(F.col("vec_id") / 25).alias("block"))
-    near = e.select("vec_id", "label", F.floor(F.col("vec_id") / 25).alias("block")).join(asked, "block").filter("vec_id > query")
-    least = lambda c: F.min(F.when(c, F.col("vec_id")))
-    rows = near.groupBy("query").agg(least(F.col("label") == F.col("own")).alias("positive"), least(F.col("label") != F.col("own")).alias("negative"))
-    rows = rows.filter("positive is not null and negative is not null")
-    for name in ("query", "positive", "negative"):
-        rows = rows.join(e.select(F.col("vec_id").alias(name), F.col("v").alias(f"v_{name}")), name)
-    return rows.select("query", "positive", "negative", F.round(R.dot(F.col("v_query"), F.col("v_positive")) - R.dot(F.col("v_query"), F.col("v_negative")), 6).alias("margin"))
-
-
-@query(f"""WITH {DUCK_BM25} SELECT query, to_json(list({{'evidence_id': bmr.id, 'rank': rank, 'text': substring(d.text, 1, 40)}} ORDER BY rank))::VARCHAR AS payload, count(*) AS evidence
-FROM bmr JOIN documents d ON d.doc_id = bmr.id WHERE rank <= 3 GROUP BY query""")
+    e = table(spark, sf, "embeddings").filter("label is not null").select("vec_id", "label", F.col("embedding").alias("vector"))
+    return R.embedding_margins(e).select("query", "positive", "negative", F.round("margin", 6).alias("margin"))
+
+
+@query(f"""WITH {DUCK_BM25} SELECT query, to_json(list({{'evidence_id': bmr.id, 'rank': rank, 'source_reference': d.source, 'text': d.text}} ORDER BY rank))::VARCHAR AS payload,
+array_to_string(list(bmr.id ORDER BY rank), ',') AS allowed, count(*) AS evidence FROM bmr JOIN documents d ON d.doc_id = bmr.id WHERE rank <= 3 GROUP BY query""")
 def evidence_pack(spark, sf):
-    ranked = _bm25(spark, sf, 3).select("query", "id", "rank").join(chunks_of(spark, sf), "id")
-    item = F.struct("rank", F.struct(F.col("id").alias("evidence_id"), "rank", F.substring("text", 1, 40).alias("text")).alias("item"))
-    packed = ranked.groupBy("query").agg(F.sort_array(F.collect_list(item)).alias("items"), F.count(F.lit(1)).alias("evidence"))
-    return packed.select("query", F.to_json(F.transform("items", lambda x: x["item"])).alias("payload"), "evidence")
+    ranked = _bm25(spark, sf, 3).select("query", "id", "rank")
+    packed = R.evidence_pack(ranked, chunks_of(spark, sf, F.col("source").alias("source_reference")))
+    return packed.select("query", "payload", F.array_join(F.transform("allowed", lambda x: x.cast("string")), ",").alias("allowed"), "evidence")

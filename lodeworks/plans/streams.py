@@ -2,82 +2,111 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import functions as F
 
 from ..operators import chunking as C
+from ..sources.reports import read_report, write_report
 from ..streaming import state as S
 from .base import query, table
 from .corpus import DUCK_CHUNKS, DUCK_EVENTS
 
 _SNAP = f"""WITH {DUCK_EVENTS}, s AS (SELECT source, sha, min(seq) AS f, max(seq) AS l, arg_min(seen, seq) AS a, max(seen) AS z FROM obs GROUP BY source, sha)
 SELECT source, sha, row_number() OVER (PARTITION BY source ORDER BY f)::INT AS version, epoch_us(a) AS first_us, epoch_us(z) AS last_us, l = max(l) OVER (PARTITION BY source) AS is_current FROM s"""
-_PREF = """WITH w AS (SELECT user_id AS owner, event_type AS key, event_id AS seq, event_type = 'error' AS deletes FROM events), g AS (SELECT *, max(CASE WHEN deletes THEN seq END) OVER (PARTITION BY owner) AS gone FROM w)
+#: Owners consent but for every eighth write; `signup` isn't a key that may be kept.
+_PREF = """WITH w AS (SELECT user_id AS owner, event_type AS key, event_id AS seq, event_type = 'error' AS deletes FROM events WHERE event_type = 'error' OR (event_id % 8 <> 0 AND event_type IN ('click', 'view', 'purchase'))), g AS (SELECT *, max(CASE WHEN deletes THEN seq END) OVER (PARTITION BY owner) AS gone FROM w)
 SELECT owner, key, count(*) AS revision FROM g WHERE NOT deletes AND seq > coalesce(gone, -1) GROUP BY owner, key"""
 
 
+def _stream(spark, path):
+    S.rocksdb_state(spark)
+    return S.read_stream(spark, path)
+
+
 @query(_SNAP)
 def stream_snapshots(spark, sf):
-    events = S.read_stream(spark, f"{sf}/events.parquet")
+    events = _stream(spark, f"{sf}/events.parquet")
     rows = events.select(F.col("user_id").alias("source"), F.sha2("event_type", 256).alias("sha"), F.col("event_id").alias("seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
     state = S.keyed(rows, "source", S.Snapshots, "source long, sha string, version int, first_us long, last_us long, is_current boolean")
     return S.latest(S.drain(state), "source")
 
 
+def _writes(events):
+    writes = events.select(F.col("user_id").alias("owner"), F.col("event_type").alias("key"), F.col("event_id").alias("seq"), (F.col("event_type") == "error").alias("deletes"), (F.col("event_id") % 8 != 0).alias("consented"))
+    return S.allowed_writes(writes, ["click", "view", "purchase"])
+
+
 @query(_PREF)
 def preferences(spark, sf):
-    e = table(spark, sf, "events")
-    return S.preference_log(e.select(F.col("user_id").alias("owner"), F.col("event_type").alias("key"), F.col("event_id").alias("seq"), (F.col("event_type") == "error").alias("deletes")))
+    return S.preference_log(_writes(table(spark, sf, "events")))
 
 
 @query(_PREF)
 def stream_preferences(spark, sf):
-    events = S.read_stream(spark, f"{sf}/events.parquet")
-    rows = events.select(F.col("user_id").alias("owner"), F.col("event_type").alias("key"), F.col("event_id").alias("seq"), (F.col("event_type") == "error").alias("deletes"))
-    state = S.keyed(rows, "owner", S.Preferences, "owner long, key string, revision long")
+    state = S.keyed(_writes(_stream(spark, f"{sf}/events.parquet")).drop("consented"), "owner", S.Preferences, "owner long, key string, revision long")
     return S.latest(S.drain(state), "owner").filter("key is not null")
 
 
 @query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations WHERE trim(text) <> '') WHERE n <= 12")
 def stream_conversations(spark, sf):
-    turns = S.read_stream(spark, f"{sf}/conversations.parquet").filter("trim(text) <> ''").select("conv_id", "turn", "role")
+    turns = _stream(spark, f"{sf}/conversations.parquet").filter("trim(text) <> ''").select("conv_id", "turn", "role")
     return S.latest(S.drain(S.keyed(turns, "conv_id", S.Conversations, "conv_id long, turn long, role string")), "conv_id")
 
 
-@query("WITH s AS (SELECT user_id AS owner, max(ts) AS seen FROM events GROUP BY 1) SELECT owner, epoch_us(seen) AS seen_us, seen + INTERVAL 1 DAY > (SELECT max(ts) FROM events) AS active FROM s")
+_SESSIONS = "WITH s AS (SELECT user_id AS owner, max(ts) AS seen FROM events GROUP BY 1) SELECT owner, epoch_us(seen) AS seen_us, seen + INTERVAL 6 HOUR > (SELECT max(ts) FROM events) AS active FROM s"
+_LIFE_US = 6 * 3_600_000_000
+
+
+@query(_SESSIONS)
+def active_sessions(spark, sf):
+    seen = table(spark, sf, "events").select(F.col("user_id").alias("owner"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    return S.active_sessions(seen, _LIFE_US)
+
+
+@query(_SESSIONS)
 def stream_active_sessions(spark, sf):
-    seen = S.read_stream(spark, f"{sf}/events.parquet").groupBy(F.col("user_id").alias("owner")).agg(F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("seen_us"))
-    sessions = S.latest(S.drain(seen), "owner")
-    now = table(spark, sf, "events").agg(F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("now"))  # one row
-    return sessions.crossJoin(F.broadcast(now)).select("owner", "seen_us", (F.col("seen_us") + 86_400_000_000 > F.col("now")).alias("active"))
+    """A session's timer ends it six hours after its owner was last seen, as the watermark passes."""
+    events = _stream(spark, f"{sf}/events.parquet").withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "0 seconds")
+    seen = events.select(F.col("user_id").alias("owner"), "at", F.unix_micros("at").alias("us"), F.lit(_LIFE_US).alias("life_us"))
+    return S.latest(S.drain(S.keyed(seen, "owner", S.Sessions, "owner long, seen_us long, active boolean", timers=True)), "owner")
 
 
 @query(f"WITH RECURSIVE {DUCK_CHUNKS} SELECT md5(concat(source, '|', chunk_ordinal, '|', text)) AS id, count(DISTINCT 1) AS copies FROM chunks GROUP BY 1")
 def stream_ingest(spark, sf):
-    docs = S.read_stream(spark, f"{sf}/documents.parquet").select("source", "text")
+    docs = _stream(spark, f"{sf}/documents.parquet").select("source", "text")
     chunks = C.structure_chunk(docs).select(F.md5(F.concat_ws("|", "source", "chunk_ordinal", "text").cast("binary")).alias("id")).dropDuplicates(["id"])
     rows = S.drain(chunks, "append")
     return rows.groupBy("id").agg(F.count(F.lit(1)).alias("copies"))
 
 
-@query("SELECT doc_id, text_chars FROM (SELECT doc_id, length(text)::BIGINT AS text_chars FROM documents WHERE length(text) > 0)", name="beir_scan")
+@query("""SELECT 'corpus' AS part, doc_id::VARCHAR AS id, md5(trim('t' || (doc_id % 3) || chr(10) || text)) AS value FROM documents WHERE text <> ''
+UNION ALL SELECT 'query', item_id::VARCHAR, md5(text) FROM benchmark UNION ALL SELECT 'qrel', item_id::VARCHAR, concat('d', item_id, ':', item_id % 3) FROM benchmark WHERE item_id % 3 > 0""", name="beir_scan")
 def beir_scan(spark, sf):
-    """Documents exported as a BEIR corpus in the shared folder, and read back."""
+    """Documents and passages exported as a BEIR folder, and all three parts read back."""
     from ..sources.files import beir_scan as scan
 
     folder = S._folder(spark) + "/beir"
-    docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
-    docs.select(F.col("doc_id").cast("string").alias("_id"), F.lit("").alias("title"), "text").write.json(f"{folder}/corpus.jsonl")
+    docs, items = table(spark, sf, "documents").filter("text <> ''"), table(spark, sf, "benchmark")
+    docs.select(F.col("doc_id").cast("string").alias("_id"), F.concat(F.lit("t"), F.col("doc_id") % 3).alias("title"), "text").write.json(f"{folder}/corpus.jsonl")
     items.select(F.col("item_id").cast("string").alias("_id"), "text").write.json(f"{folder}/queries.jsonl")
-    items.select(F.col("item_id").cast("string").alias("query"), F.lit("0").alias("id"), F.lit(1).alias("grade")).write.option("sep", "\t").option("header", True).csv(f"{folder}/qrels/test.tsv")
-    corpus, _, _ = scan(spark, folder)
-    # the scan trims: compare by the digest of what both sides trim alike
-    return corpus.join(docs.select(F.col("doc_id").cast("string").alias("id"), "doc_id", F.length("text").cast("long").alias("text_chars")), "id").filter("problem is null").select("doc_id", "text_chars")
-
-
-@query("SELECT query, rank, digest FROM (SELECT item_id AS query, 1 AS rank, sha256(text) AS digest FROM benchmark)")
+    items.select(F.col("item_id").cast("string").alias("query-id"), F.concat(F.lit("d"), "item_id").alias("corpus-id"), (F.col("item_id") % 3).alias("score")).write.option("sep", "\t").option("header", True).csv(f"{folder}/qrels/test.tsv")
+    corpus, queries, qrels = scan(spark, folder)
+    digest = lambda c: F.md5(F.col(c).cast("binary"))
+    parts = [
+        corpus.select(F.lit("corpus").alias("part"), "id", F.coalesce("problem", digest("text")).alias("value")),
+        queries.select(F.lit("query").alias("part"), F.col("query").alias("id"), digest("text").alias("value")),
+        qrels.select(F.lit("qrel").alias("part"), F.col("query").alias("id"), F.concat_ws(":", "id", F.col("grade").cast("string")).alias("value")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("SELECT doc_id AS case_id, quality = 1 AS passed, toxic::DOUBLE AS penalty, (SELECT round(avg(quality), 6) FROM labels) AS pass_rate, (SELECT count(*) FROM labels) AS cases, 'run-1' AS run_id FROM labels")
 def report_sink(spark, sf):
-    """A report's rows written once (a second write to the same place is an error) and read back."""
+    """A run's cases and metrics written once, and read back."""
     folder = S._folder(spark) + "/report"
-    rows = table(spark, sf, "benchmark").select(F.col("item_id").alias("query"), F.lit(1).alias("rank"), F.sha2("text", 256).alias("digest"))
-    rows.write.mode("errorifexists").parquet(folder)
-    return spark.read.schema(rows.schema).parquet(folder)
+    cases = table(spark, sf, "labels").select(F.col("doc_id").alias("case_id"), (F.col("quality") == 1).alias("passed"), F.col("toxic").cast("double").alias("penalty"))
+    metrics = cases.agg(F.round(F.avg(F.col("passed").cast("double")), 6).alias("pass_rate"), F.count(F.lit(1)).alias("cases"))
+    write_report(cases, metrics, folder, run_id="run-1", dataset_id="labels", finished_at=datetime(2026, 1, 1, tzinfo=timezone.utc))
+    header, rows = read_report(spark, folder, "pass_rate double, cases long")
+    return rows.crossJoin(F.broadcast(header.select("metrics.*", "run_id")))  # one row

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,13 +28,20 @@ def artifact_inventory(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """The rows of a CSV file, or of a folder of them, with file and row: 2 for the first behind a file's header.
+
+    Quoted values may hold line breaks, so a file is one split; a byte order mark is no part of a header, and every file must
+    have the given one.
+    """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    head = spark.read.text(path).limit(1).first()
-    names = (head[0].lstrip("﻿") if head else "").split(",")
-    if names != columns:
-        raise ValueError(f"header {names} instead of {columns}")
-    rows = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
-    return rows.withColumn("row", F.monotonically_increasing_id() + 2)
+    read = spark.read.schema(schema).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE").csv(path)
+    placed = read.select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("_at"))
+    rows = placed.withColumn("row", F.row_number().over(Window.partitionBy("file").orderBy("_at")))
+    header = F.array(F.regexp_replace(columns[0], "^\ufeff", ""), *columns[1:])
+    wrong = rows.filter("row = 1").filter(~F.coalesce(header == F.array(*[F.lit(c) for c in columns]), F.lit(False))).select("file", header.alias("header")).take(1)
+    if wrong:
+        raise ValueError(f"{wrong[0].file}: header {wrong[0].header} instead of {columns}")
+    return rows.filter("row > 1").drop("_at")
 
 
 def manifest_scan(spark: SparkSession, path: str) -> DataFrame:

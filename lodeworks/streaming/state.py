@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
@@ -13,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ..sources.scratch import new_folder
+
 
 def conversation_window(turns: DataFrame, most: int = 12) -> DataFrame:
     """The last turns (conv_id, turn, ..) of each conversation: the twin of stream_conversations."""
@@ -20,8 +20,15 @@ def conversation_window(turns: DataFrame, most: int = 12) -> DataFrame:
     return ranked.filter(F.col("_n") <= most).drop("_n")
 
 
+def allowed_writes(writes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The writes (owner, key, seq, deletes, consented) that may be kept: deletes, and what its owner consented to, of an allowed key."""
+    if not keys:
+        raise ValueError("no preference key is allowed")
+    return writes.filter(F.col("deletes") | (F.coalesce("consented", F.lit(False)) & F.trim("key").isin(*keys))).withColumn("key", F.trim("key"))
+
+
 def preference_log(writes: DataFrame) -> DataFrame:
-    """writes (owner, key, seq, deletes) to (owner, key, revision): writes since the owner's last delete."""
+    """Allowed writes (owner, key, seq, deletes) to (owner, key, revision): writes since the owner's last delete."""
     last = Window.partitionBy("owner")
     rows = writes.withColumn("gone", F.max(F.when(F.col("deletes"), F.col("seq"))).over(last))
     kept = rows.filter(~F.col("deletes") & (F.col("seq") > F.coalesce("gone", F.lit(-1))))
@@ -97,9 +104,44 @@ class Conversations(StatefulProcessor):
         pass
 
 
+class Sessions(StatefulProcessor):
+    """Sessions by owner, open until a time after they were last seen: an event-time timer ends them once the watermark is there."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.expires = handle.getValueState("expires", "seen_us long, expires_ms long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        known = self.expires.get()
+        before = known[0] if known else None
+        inputs = pd.concat(list(rows))
+        seen = max(int(inputs["us"].max()), before if before is not None else 0)
+        ends = (seen + int(inputs["life_us"].iloc[0])) // 1000
+        if known and known[1] != ends:
+            self.handle.deleteTimer(known[1])
+        if not known or known[1] != ends:
+            self.handle.registerTimer(ends)
+        self.expires.update((seen, ends))
+        yield pd.DataFrame([(key[0], seen, True)], columns=["owner", "seen_us", "active"])
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        seen = self.expires.get()[0]
+        self.expires.clear()
+        yield pd.DataFrame([(key[0], seen, False)], columns=["owner", "seen_us", "active"])
+
+    def close(self) -> None:
+        pass
+
+
+def active_sessions(seen: DataFrame, life_us: int) -> DataFrame:
+    """The batch twin of Sessions over the whole log seen (owner, us): (owner, seen_us, active), as of the last time in it."""
+    last = seen.groupBy("owner").agg(F.max("us").alias("seen_us"))
+    now = seen.agg(F.max("us").alias("now"))
+    return last.crossJoin(F.broadcast(now)).select("owner", "seen_us", (F.col("seen_us") + life_us > F.col("now")).alias("active"))  # one row
+
+
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
+    return new_folder(spark, "streams")
 
 
 def drain(stream: DataFrame, mode: str = "update") -> DataFrame:
@@ -124,16 +166,21 @@ def latest(drained: DataFrame, key: str) -> DataFrame:
     return drained.join(last, [key, "batch"], "left_semi").drop("batch")
 
 
-def keyed(rows: DataFrame, key: str, processor: Callable[[], StatefulProcessor], schema: str) -> DataFrame:
-    return rows.groupBy(key).transformWithStateInPandas(processor(), outputStructType=schema, outputMode="update", timeMode="none")
+def keyed(rows: DataFrame, key: str, processor: Callable[[], StatefulProcessor], schema: str, timers: bool = False) -> DataFrame:
+    return rows.groupBy(key).transformWithStateInPandas(processor(), outputStructType=schema, outputMode="update", timeMode="eventTime" if timers else "none")
 
 
 def read_stream(spark: SparkSession, path: str) -> DataFrame:
-    """A table's files as a stream, one file after another."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 4)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
+    """A table's files as a stream, one file after another; the state of keyed() needs RocksDB, which the session must name as its
+    state store (`rocksdb_state`)."""
+    files = spark.read.parquet(path)
+    reader = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 4)
+    if files.select("_metadata.file_name").filter(F.col("_metadata.file_name") == path.rpartition("/")[2]).isEmpty():
         return reader.parquet(path)
-    folder, _, name = path.rpartition("/")  # a stream reads folders: this one's file of that name
+    folder, _, name = path.rpartition("/")  # the path is one file, and a stream reads folders: this one's file of that name
     return reader.option("pathGlobFilter", name).parquet(folder)
+
+
+def rocksdb_state(spark: SparkSession) -> None:
+    """Sets the session's state store to RocksDB, which processors with map and list state and timers need."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

@@ -49,7 +49,7 @@ def main(argv):
     import __spark_entry__ as entry
 
     sf_dir = argv[0] if argv else "/root/testdata/sf0.001"
-    spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.driver.memory", "6g").getOrCreate()
+    spark = SparkSession.builder.master(os.environ.get("COMPARE_MASTER", "local[8]")).config("spark.sql.shuffle.partitions", "8").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.driver.memory", "6g").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     con, queries, oracles, bad = duck(sf_dir), entry.queries(), entry.oracle_sql(), 0
     for name in argv[1:] or sorted(oracles):
