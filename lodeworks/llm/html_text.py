@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -48,61 +49,79 @@ P_SCOPE = frozenset("button caption html marquee object table td template th".sp
 class Line:
     text: list[str] = field(default_factory=list)
     tags: int = 1
-    path: tuple[int, ...] = ()
-    furniture: bool = False
-    inside: tuple[int, ...] = ()  # open elements that are furniture by their name, or forms
-    boxed: bool = False  # within an article or main that isn't such an element itself
+    node: int = 0  # the element in which its text begins
+    linked: int = 0  # characters within links
+
+
+@dataclass
+class Node:
+    """An element by its parent's number, which is less than its own, with what it takes over from its parents."""
+
+    parent: int
+    tag: str
+    furniture: bool = False  # by its kind or that of an element around
+    boxed: bool = False  # within an article or main that isn't furniture by name
+    named: int = 0  # the nearest element, itself included, that is furniture by name, or a form
 
 
 class Lines(HTMLParser):
-    """Collects one line for each run of text between block tags, with its tags and the open containers."""
+    """Collects one line for each run of text between block tags, with its tags and its element. Every tag takes a step or few,
+    however deep elements lie in one another and whether they are closed or not."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = [Line()]
-        self.open: list[tuple[str, int, bool]] = []  # name, number, furniture
-        self.named: set[int] = set()  # furniture by name, or forms: decided when the page is known
-        self.inner: dict[int, str] = {}
-        self.number = 0
+        self.nodes: list[Node] = [Node(0, "")]
+        self.open: list[int] = [0]
+        self.opened: Counter[str] = Counter()  # how many elements of a kind are open
 
     def _new(self) -> None:
         last = self.lines[-1]
         if last.text or last.tags > 1:
             self.lines.append(Line())
 
+    def _close(self, place: int) -> None:
+        for n in self.open[place:]:
+            self.opened[self.nodes[n].tag] -= 1
+        del self.open[place:]
+
+    def _close_last(self, tag: str, scope: frozenset[str] = frozenset()) -> None:
+        """Closes the innermost open element of a kind, and those in it; not beyond an element of `scope`."""
+        if not self.opened[tag]:
+            return
+        for i in range(len(self.open) - 1, 0, -1):
+            kind = self.nodes[self.open[i]].tag
+            if kind == tag:
+                return self._close(i)
+            if kind in scope:
+                return None
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
             self._new()
         self.lines[-1].tags += 1
         if tag in CLOSES_P:
-            self._close_p()
-        if tag in CLOSES and self.open and self.open[-1][0] in CLOSES[tag]:
-            self.open.pop()
+            self._close_last("p", P_SCOPE)
+        if tag in CLOSES and self.nodes[self.open[-1]].tag in CLOSES[tag]:
+            self._close(len(self.open) - 1)
         if tag == "br":
             self.lines[-1].text.append(" ")
         if tag in VOID:
             return
-        self.number += 1
-        self.inner[self.number] = tag
-        if self._named(tag, dict(attrs)):
-            self.named.add(self.number)
-        self.open.append((tag, self.number, bool(self.open) and self.open[-1][2] or self._furniture(tag, dict(attrs))))
+        given, up, number = dict(attrs), self.nodes[self.open[-1]], len(self.nodes)
+        named = self._named(tag, given)
+        boxed = up.boxed or tag in CONTAINERS and not named
+        self.nodes.append(Node(self.open[-1], tag, up.furniture or self._furniture(tag, given), boxed, number if named else up.named))
+        self.open.append(number)
+        self.opened[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID and tag in ("script", "style", "svg", "path"):
             self.handle_endtag(tag)
 
-    def _close_p(self) -> None:
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == "p":
-                del self.open[i:]
-            elif self.open[i][0] not in P_SCOPE:
-                continue
-            return
-
     def _outside(self) -> bool:
-        return not any(name in CONTAINERS for name, _, _ in self.open)
+        return not any(self.opened[name] for name in CONTAINERS)
 
     def _named(self, tag: str, attrs: dict[str, str | None]) -> bool:
         if tag in ("html", "body"):
@@ -124,48 +143,73 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.lines[-1].tags += 1
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                break
+        self._close_last(tag)
         if tag in BLOCK:
             self._new()
 
     def handle_data(self, data: str) -> None:
-        line = self.lines[-1]
-        furniture = bool(self.open) and self.open[-1][2]
-        inside = tuple(n for _, n, _ in self.open if n in self.named)
-        if line.text and (line.furniture, line.inside) != (furniture, inside) and data.strip():
+        line, own = self.lines[-1], self.nodes[self.open[-1]]
+        before = self.nodes[line.node]
+        if line.text and (before.furniture, before.named) != (own.furniture, own.named) and data.strip():
             if any(t.strip() for t in line.text):
                 self.lines.append(line := Line())
             else:
                 line.text.clear()
         if not line.text or not any(t.strip() for t in line.text):
-            line.furniture, line.path = furniture, tuple(n for name, n, _ in self.open if name in BLOCK)
-            line.inside, line.boxed = inside, any(name in CONTAINERS and n not in self.named for name, n, _ in self.open)
+            line.node, line.linked = self.open[-1], 0
         line.text.append(data)
+        if self.opened["a"]:
+            line.linked += len(data.strip())
 
 
-def parse(html: str) -> tuple[list[tuple[str, int, tuple[int, ...], bool]], dict[int, str]]:
-    """[(text, tags, open blocks, furniture)] of the lines that have text, and the names of the blocks."""
+@dataclass
+class Page:
+    """The lines that have text, each with its element and whether it is furniture, and the tree of elements."""
+
+    texts: list[str]
+    tags: np.ndarray
+    linked: np.ndarray
+    at: np.ndarray
+    furniture: np.ndarray
+    nodes: list[Node]
+
+    def within(self, weights: np.ndarray) -> np.ndarray:
+        """The sum of each element's lines, those in elements inside it included."""
+        sums = np.bincount(self.at, weights, len(self.nodes)).tolist()
+        for n in range(len(self.nodes) - 1, 0, -1):
+            sums[self.nodes[n].parent] += sums[n]
+        return np.array(sums)
+
+    def inside(self, chosen: np.ndarray) -> np.ndarray:
+        """Whether each line lies in one of the chosen elements."""
+        under = chosen.tolist()
+        for n in range(1, len(self.nodes)):
+            under[n] = under[n] or under[self.nodes[n].parent]
+        return np.array(under)[self.at]
+
+
+def parse(html: str) -> Page:
     parser = Lines()
     parser.feed(html)
     parser.close()
+    nodes = parser.nodes
     lines = [(text, x) for x in parser.lines if (text := " ".join("".join(x.text).split()))]
-    dropped = parser.named - _wrappers([(len(text), x) for text, x in lines if not x.furniture])
-    return [(text, x.tags, x.path, x.furniture or not dropped.isdisjoint(x.inside)) for text, x in lines], parser.inner
+    at = np.array([x.node for _, x in lines], np.int64)
+    furniture = np.array([nodes[x.node].furniture for _, x in lines], bool)
+    page = Page([t for t, _ in lines], np.array([x.tags for _, x in lines], float), np.array([x.linked for _, x in lines]), at, furniture, nodes)
+    named = np.array([i > 0 and node.named == i for i, node in enumerate(nodes)])
+    if len(lines) and named.any():
+        page.furniture = furniture | page.inside(named & ~_wrappers(page))
+    return page
 
 
-def _wrappers(lines: list[tuple[int, Line]]) -> set[int]:
-    """Elements named like furniture, and forms, around most of the page: more than half of the text of its <article>
-    and <main> elements, or of all text where they have none. They lay out the page, and aren't its furniture."""
-    text = [x for x in lines if x[1].boxed] or lines
-    weight: dict[int, int] = {}
-    for length, line in text:
-        for n in line.inside:
-            weight[n] = weight.get(n, 0) + length
-    half = sum(length for length, _ in text) / 2
-    return {n for n, w in weight.items() if w > half}
+def _wrappers(page: Page) -> np.ndarray:
+    """Elements around most of the page: more than half of the text of its <article> and <main> elements, or of all text
+    where they have none. Named like furniture, or forms, they lay out the page, and aren't its furniture."""
+    lengths = np.where(page.furniture, 0, [len(t) for t in page.texts]).astype(float)
+    boxed = lengths * np.array([page.nodes[n].boxed for n in page.at])
+    weights = boxed if boxed.any() else lengths
+    return page.within(weights) > weights.sum() / 2
 
 
 def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
@@ -177,17 +221,19 @@ def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
 
 
 def threshold(values: np.ndarray, rounds: int = 30) -> float:
-    """The border of two clusters of the values: the middle of their means, repeated until it stays."""
+    """The border of two clusters of the values: the middle of their means, repeated until it stays. Values whose clusters lie
+    near each other, the lower mean above half of the higher one, are one cluster, and the border is below them."""
     border = float(values.mean())
     for _ in range(rounds):
         high, low = values[values > border], values[values <= border]
         if not len(high) or not len(low):
-            break
+            return float(values.min())
         moved = (float(high.mean()) + float(low.mean())) / 2
         if abs(moved - border) < 1e-9:
             break
         border = moved
-    return border
+    high, low = values[values > border], values[values <= border]
+    return border if len(high) and len(low) and 2 * low.mean() < high.mean() else float(values.min())
 
 
 def main_text(html: str | None, sigma: float = 1.0) -> str:
@@ -195,33 +241,38 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
 
     Ratios of text to tags are smoothed over the lines and parted in two clusters. The article is in the outermost
     <article> and <main> elements with content lines, where these hold half of the content or more, else in the innermost
-    block that holds all content lines and isn't only a part of an article, such as a list or a table. Of these regions,
-    all lines stay but page furniture, in page order.
+    block that holds all content lines and isn't only a part of an article, such as a list or a table. Of <article> and
+    <main>, all lines stay but page furniture, in page order. Elsewhere, lines of the lower cluster go if links make up
+    most of them, or if they stand before or behind all content lines and are no paragraph, heading, item or cell.
     """
-    lines, names = parse(html or "")
-    lengths = np.array([0 if f else len(t) for t, _, _, f in lines], float)
+    page = parse(html or "")
+    lengths = np.where(page.furniture, 0, [len(t) for t in page.texts]).astype(float)
     if not lengths.any():
         return ""
-    scores = smoothed(lengths / np.array([t for _, t, _, _ in lines]), sigma)
-    border = threshold(scores)
-    content = (lengths > 0) & (scores >= border)
-    if not content.any():
-        content = lengths > 0
+    scores = smoothed(lengths / page.tags, sigma)
+    seen = lengths > 0
+    content = seen & (scores >= threshold(scores[seen]))
     total = float(lengths[content].sum())
-    weight: dict[int, float] = {}
-    boxes: dict[int, float] = {}
-    for i in np.flatnonzero(content):
-        for block in set(lines[i][2]):
-            weight[block] = weight.get(block, 0.0) + lengths[i]
-        outer = next((b for b in lines[i][2] if names[b] in CONTAINERS), None)
-        if outer is not None:
-            boxes[outer] = boxes.get(outer, 0.0) + lengths[i]
-    if boxes and sum(boxes.values()) >= 0.5 * total:
-        regions = set(boxes)
+    nodes = page.nodes
+    outer = [0] * len(nodes)  # the outermost article or main around each element, itself included
+    for n in range(1, len(nodes)):
+        outer[n] = outer[nodes[n].parent] or (n if nodes[n].tag in CONTAINERS else 0)
+    boxes = np.bincount(np.array(outer)[page.at[content]], lengths[content], len(nodes))
+    boxes[0] = 0
+    if boxes.sum() >= 0.5 * total:
+        kept = seen & page.inside(boxes > 0)
     else:
-        regions = {max(whole)} if (whole := [b for b, w in weight.items() if w >= total and names[b] not in PARTS]) else set()
-    kept = (t for t, _, path, furniture in lines if not furniture and (not regions or not regions.isdisjoint(path)))
-    return "\n".join(kept)
+        weights = page.within(np.where(content, lengths, 0))
+        whole = [n for n in range(1, len(nodes)) if weights[n] >= total and nodes[n].tag in BLOCK and nodes[n].tag not in PARTS]
+        region = np.zeros(len(nodes), bool)
+        region[whole[-1] if whole else 0] = True
+        places = np.flatnonzero(content)
+        beside = np.ones(len(content), bool)
+        beside[places[0] : places[-1] + 1] = False
+        part = page.inside(np.array([node.tag in PARTS and node.tag != "span" for node in nodes]))
+        menu = page.linked > 0.5 * np.maximum(lengths, 1)
+        kept = seen & page.inside(region) & (content | ~(menu | beside & ~part))
+    return "\n".join(t for t, k in zip(page.texts, kept.tolist(), strict=True) if k)
 
 
 def extract(pages: DataFrame, sigma: float = 1.0) -> DataFrame:

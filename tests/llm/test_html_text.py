@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 import numpy as np
 
@@ -94,3 +95,39 @@ def test_no_content_is_left_out_beside_a_long_inner_block():
 def test_all_articles_with_content_stay():
     page = f"<body><article><h1>One</h1><p>{LONG} 1</p><p>{LONG} 2</p></article><div>x</div><article><p>{LONG} 3</p></article></body>"
     assert html_text.main_text(page) == f"One\n{LONG} 1\n{LONG} 2\n{LONG} 3"
+
+
+TEXT = "long article text goes on and on with many words in it, so that it is clearly content. " * 4
+
+
+def test_menus_of_plain_pages_go():
+    """Without article or main: lines of links, and short ones round the text that are no paragraph, heading or cell."""
+    page = f"""<body><div id=m1><a href=a>Home</a> <a href=b>News</a> <a href=c>Shop</a></div><div>Monday</div><h1>Title</h1><p>{TEXT}</p><div>short</div>
+    <p>{TEXT}</p><p>The end.</p><div><a href=x>Terms</a> | <a href=y>Privacy</a></div><div>Place 12</div></body>"""
+    assert html_text.main_text(page).split("\n") == ["Title", TEXT.strip(), "short", TEXT.strip(), "The end."]
+    assert html_text.main_text("<div><p>one</p></div>") == "one" and html_text.main_text("<div>one</div>") == "one"
+
+
+def test_names_of_wrappers_and_even_articles():
+    for page in ('<div class="layout no-sidebar"><p>{}</p></div>', '<div class="has-comments"><article><p>{}</p></article></div>', '<article class="related-work"><p>{}</p></article>', '<form id=search><main><p>{}</p></main></form>'):
+        assert html_text.main_text(page.format(TEXT)) == TEXT.strip()
+    two = f"<article><p>{TEXT}</p><p>{TEXT}</p></article><article><p>{TEXT[:-100]}</p></article>"
+    assert html_text.main_text(two).split("\n") == [TEXT.strip(), TEXT.strip(), TEXT[:-100].strip()]
+
+
+def test_time_follows_the_page():
+    """Pages of many unclosed or nested elements: a hundred thousand of them take seconds, not hours."""
+    start = time.time()
+    n = 100_000
+    assert html_text.main_text("<p>word word" * n).count("\n") == n - 1
+    assert html_text.main_text("<div>x" * n).count("x") == n
+    assert html_text.main_text("<div>x</span></b>" * n).count("x") == n
+    assert time.time() - start < 60
+
+
+def test_pages_without_article_by_their_ratios(spark):
+    """The given pages with their <article> tags taken out, of articles of some length: nothing but the ratios is left to go by."""
+    rows = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    some = [(plain(h), re.sub(r"</?article[^>]*>", "", h)) for h in rows if len(plain(h)) > 600]
+    same = sum(html_text.main_text(bare) == want for want, bare in some)
+    assert len(some) > 100 and same > 0.98 * len(some)
