@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -82,12 +83,12 @@ def distance(masks: dict[str, int], length: int, text: str, budget: int) -> tupl
 class Matcher:
     """All items of one slice; finds which of them a text contains within their budgets."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float = ERROR_RATE):
+    def __init__(self, items: list[tuple[int | None, str]], rate: float = ERROR_RATE):
         self.texts: list[str] = []
-        self.ids: list[list[int]] = []
+        self.ids: list[list[int | None]] = []
         place: dict[str, int] = {}
         leaves: dict[str, list[tuple[int, Node]]] = defaultdict(list)
-        for item, text in sorted(items):
+        for item, text in sorted(items, key=lambda x: (x[0] is None, x)):
             text = normal(text)
             if not text:
                 continue
@@ -119,13 +120,13 @@ class Matcher:
             best = (found[0], lo + found[1])
         return best
 
-    def find(self, text: str) -> dict[int, tuple[int, int]]:
-        """{item: (distance, end in the normal text)} of the nearest, then first occurrence."""
+    def find(self, text: str) -> list[tuple[int | None, int, int, int]]:
+        """(item, distance, length, end in the normal text) of each item's nearest, then first occurrence, by item."""
         best: dict[int, tuple[int, int]] = {}
         if not self.any:
-            return best
+            return []
         text = normal(text)
-        done: dict[int, list[int]] = {}
+        done: dict[int, set[int]] = {}
         for last, (size, found) in self.automaton.iter(text):
             end = last + 1
             for k, leaf in found:
@@ -137,18 +138,32 @@ class Matcher:
                     continue
                 got = self.climb(text, end - size, end, leaf)
                 if got is not None:
-                    done.setdefault(k, []).append(begin)
+                    done.setdefault(k, set()).add(begin)
                     best[k] = min(best.get(k, got), got)
-        return {item: at for k, at in best.items() for item in self.ids[k]}
+        found = [(item, d, len(self.texts[k]), end) for k, (d, end) in best.items() for item in self.ids[k]]
+        return sorted(found, key=lambda x: (x[0] is None, x[0] or 0, x))
 
 
-def slices(items: DataFrame, most_bytes: int) -> list[list[tuple[int, str]]]:
-    """The items in lists of about most_bytes of text at most, so that each list may be sent to every task."""
-    rows = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("item_id is not null and text is not null")
+_built: dict[str, Matcher] = {}
+
+
+def _matcher(name: str, items: list[tuple[int | None, str]], rate: float) -> Matcher:
+    """The matcher of a slice, built once by each worker and kept until the next slice."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = Matcher(items, rate)
+    return _built[name]
+
+
+def slices(items: DataFrame, most_bytes: int) -> Iterator[list[tuple[int | None, str]]]:
+    """The items in lists of about most_bytes of text at most, one after another, so that each may be sent to every task and
+    no more than one is held."""
+    rows = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("text is not null")
     total = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = max(1, -(-total // most_bytes))
-    own = F.pmod(F.xxhash64("item_id"), F.lit(n))
-    return [[(r.item_id, r.text) for r in (rows if n == 1 else rows.filter(own == i)).toLocalIterator()] for i in range(n)]
+    own = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+    for i in range(n):
+        yield [(r.item_id, r.text) for r in (rows if n == 1 else rows.filter(own == i)).toLocalIterator()]
 
 
 def overlaps(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, most_bytes: int = 4 << 20) -> DataFrame:
@@ -157,40 +172,41 @@ def overlaps(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, most_b
     docs: doc_id, text; items: item_id, text; other columns are ignored. A document contains an item if some part of
     its text is within rate times the item's length of it by edit distance, both in lower case with white space as one
     blank. distance is the least one, length the item's, end where the nearest occurrence ends (the first, of ties) in
-    the document's normal text. Null and empty texts contain nothing, empty items are in nothing; repeated rows are
-    matched each. More than most_bytes of items are matched slice by slice.
+    the document's normal text. Null and empty texts contain nothing, null and empty items are in nothing; repeated rows
+    are matched each, and rows of either without an id have a null one. More than most_bytes of items are matched slice by
+    slice, each against all documents.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     names, kinds = ["doc_id", "item_id", "distance", "length", "end"], "doc_id long, item_id long, distance int, length int, end long"
 
-    def matched(some: list[tuple[int, str]]) -> DataFrame:
-        sent = spark.sparkContext.broadcast(some)
-        lengths = {item: len(normal(text)) for item, text in some}
+    def matched(some: list[tuple[int | None, str]]) -> DataFrame:
+        sent, name = spark.sparkContext.broadcast(some), uuid.uuid4().hex
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(sent.value, rate)
+            matcher = _matcher(name, sent.value, rate)
             for batch in batches:
-                out: list[tuple] = []
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    out += [(doc, item, d, lengths[item], end) for item, (d, end) in sorted(matcher.find(text or "").items())]
+                out = [(doc, *found) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for found in matcher.find(text or "")]
                 columns = list(zip(*out, strict=True)) or [()] * 5
                 types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
         return rows.mapInArrow(each, kinds)
 
-    return reduce(DataFrame.unionByName, [matched(some) for some in slices(items, most_bytes)])
+    return reduce(DataFrame.unionByName, map(matched, slices(items, most_bytes)))
 
 
 def clean(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, most_bytes: int = 4 << 20) -> DataFrame:
-    """The rows of docs that contain no benchmark item; all columns stay as they are."""
+    """The rows of docs that contain no benchmark item, by the rules of overlaps(); all columns stay as they are.
+
+    Documents of null and empty texts stay, items without an id count like any other.
+    """
     spark, at, names, schema = docs.sparkSession, docs.columns.index("text"), docs.columns, docs.schema
     for some in slices(items, most_bytes):
-        sent = spark.sparkContext.broadcast(some)
+        sent, name = spark.sparkContext.broadcast(some), uuid.uuid4().hex
 
-        def each(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(sent.value, rate)
+        def each(batches: Iterator[pa.RecordBatch], sent=sent, name=name) -> Iterator[pa.RecordBatch]:
+            matcher = _matcher(name, sent.value, rate)
             for batch in batches:
                 keep = [not matcher.find(t or "") for t in batch.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays(batch.filter(pa.array(keep, pa.bool_())).columns, names)

@@ -155,16 +155,33 @@ def mix(docs: DataFrame, recipe: Recipe | None = None, domain: Column | None = N
     return placed.withColumn("taken_tokens", F.col("epochs_full") * F.col("tokens") + F.col("partial_tokens"))
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """The first n words of a text, with one blank between them."""
+    return F.array_join(F.slice(F.split(F.trim(F.translate(text, _BLANK[1:], " " * 5)), WHITE), F.lit(1), n.cast("int")), " ")
+
+
 def select_documents(docs: DataFrame, recipe: Recipe | None = None, domain: Column | None = None) -> DataFrame:
-    """The rows of docs as often as the recipe takes them whole, with all columns as they are."""
+    """The rows of docs as often as the recipe takes them, with all columns as they are.
+
+    The text at the end of a leaf's prefix comes once more cut to the words that are taken of it, with n_chars, if there is
+    such a column, of what is left; so the leaves meet their targets to the word. Texts without words, null ones too, aren't
+    taken. Null lang or source make a leaf of the empty name, rows without doc_id take part, repeated rows are texts of
+    their own; of texts with one key the one of fewer words comes first. An empty table gives no rows.
+    """
     recipe = recipe or Recipe()
     row = F.struct(*docs.columns).alias("row")
     rows = docs.select(F.col("doc_id").cast("long"), *_leaves(domain), n_words(F.col("text")).alias("tokens"), row)
     narrow = cut(rows.drop("row"), "mix-tokens")
     placed = _placed(rows, plan(narrow, recipe), recipe, ["row"])
     whole = F.col("epochs_full") + F.when((F.col("partial_tokens") == F.col("tokens")) & (F.col("tokens") > 0), 1).otherwise(0)
-    copies = placed.select("row", whole.cast("int").alias("n")).filter("n > 0")
-    return copies.select("row", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")
+    some = (F.col("partial_tokens") > 0) & (F.col("partial_tokens") < F.col("tokens"))
+    taken = placed.select("row", F.when(F.col("tokens") > 0, whole).otherwise(0).cast("int").alias("n"), F.when(some, F.col("partial_tokens")).alias("words"))
+    times = F.concat(F.array_repeat(F.lit(None).cast("long"), F.col("n")), F.when(F.col("words").isNotNull(), F.array("words")).otherwise(F.array().cast("array<long>")))
+    each = taken.select("row", F.explode(times).alias("words"))
+    shorter = first_words(F.col("row.text"), F.col("words"))
+    changed = {"text": shorter} | ({"n_chars": F.length(shorter).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    values = [F.when(F.col("words").isNull(), F.col(f"row.`{c}`")).otherwise(changed[c]).alias(c) if c in changed else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    return each.select(*values)
 
 
 def _sql_weight(weights: dict[str, float], name: str) -> str:

@@ -1,6 +1,9 @@
 """Edit matching against a plain dynamic program over every document and item."""
 
 import random
+import time
+
+import numpy as np
 
 from lodeworks.llm import decontaminate
 from lodeworks.llm.queries import QUERIES
@@ -36,14 +39,14 @@ def test_every_match_is_found():
         item, text = rng.choice(items)
         around = [" ".join(word() for _ in range(rng.randint(0, 20))) for _ in range(2)]
         doc = f"{around[0]} {edited(rng, text, rng.randint(0, 6))} {around[1]}"
-        got = matcher.find(doc)
+        got = {item: (d, length) for item, d, length, _ in matcher.find(doc)}
         flat = decontaminate.normal(doc)
         for i, t in items:
             t = decontaminate.normal(t)
             d, _ = plain(t, flat)
             assert (i in got) == (d <= int(0.1 * len(t)))
             if i in got:
-                assert got[i][0] == d
+                assert got[i] == (d, len(t))
                 hits += 1
     assert hits > 50
 
@@ -73,7 +76,40 @@ def test_odd_rows_and_slices(spark):
     items = spark.createDataFrame([(10, passage, 1), (11, passage, 1), (12, "", 1), (13, None, 1), (None, "clean words only", 1)], "item_id long, text string, doc_id int")
     for most in (4 << 20, 100):  # in one slice, and in several
         got = decontaminate.overlaps(docs, items, most_bytes=most).collect()
-        assert sorted((r.doc_id or 0, r.item_id, r.distance) for r in got) == sorted([(d, i, e) for d, e in ((3, 1), (0, 0), (4, 0), (4, 0)) for i in (10, 11)])
+        named = sorted((r.doc_id or 0, r.item_id, r.distance) for r in got if r.item_id is not None)
+        assert named == sorted([(d, i, e) for d, e in ((3, 1), (0, 0), (4, 0), (4, 0)) for i in (10, 11)])
+        assert [(r.doc_id, r.distance) for r in got if r.item_id is None] == [(5, 0)]
         kept = decontaminate.clean(docs, items, most_bytes=most)
-        assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 5]
+        assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2]
+        assert sorted(r.doc_id for r in decontaminate.clean(docs, items.filter("item_id is not null"), most_bytes=most).collect()) == [1, 2, 5]
     assert decontaminate.overlaps(docs, items.limit(0)).count() == 0 == decontaminate.overlaps(docs.limit(0), items).count()
+
+
+def test_query_equals_all_pairs(spark, sf_dir):
+    """Every document and item of the smallest tables, whole texts, both ways; an exact occurrence needs no table."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    items = [(i.item_id, decontaminate.normal(i.text)) for i in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    got = {(r.doc_id, r.item_id) for r in QUERIES["op4_decontaminate"](spark, sf_dir).collect()}
+    short = [(d.doc_id, decontaminate.normal(d.text)) for d in docs if d.text and len(d.text) < 1500][:25]
+    want = {(d, i) for d, x in short for i, t in items if t in x or near(t, x, len(t) // 10)}
+    assert want == {(d, i) for d, i in got if d in dict(short)} and want
+
+
+def near(pattern, text, budget):
+    """plain(), column by column over arrays."""
+    steps = np.arange(len(pattern) + 1)
+    codes, column = np.array([ord(c) for c in pattern]), steps.copy()
+    for c in text:
+        put = np.append(0, np.minimum(column[:-1] + (codes != ord(c)), column[1:] + 1))
+        column = np.minimum.accumulate(put - steps) + steps
+        if column[-1] <= budget:
+            return True
+    return False
+
+
+def test_many_near_copies_in_one_text_take_linear_time():
+    passage = "the quick brown fox jumps over the lazy dog again and again"
+    matcher = decontaminate.Matcher([(1, passage)])
+    start = time.time()
+    assert matcher.find((passage.replace("quick", "quack") + " . ") * 8000)[0][:2] == (1, 1)
+    assert time.time() - start < 20

@@ -1,6 +1,7 @@
 """Budgets down the tree against a plain recursion, exact prefixes, and the query against its SQL."""
 
 import hashlib
+import re
 from collections import defaultdict
 
 import duckdb
@@ -87,3 +88,18 @@ def test_odd_rows(spark):
     assert mixing.mix(docs.limit(0)).count() == 0 == mixing.select_documents(docs.limit(0)).count()
     custom = mixing.mix(docs, mixing.Recipe(domains={"x": 1.0}), domain=F.lit("x")).collect()
     assert {r.domain for r in custom} == {"x"}
+
+
+def test_documents_meet_the_targets_to_the_word(spark, sf_dir):
+    """What select_documents() returns, counted plainly, is what mix() says is taken of each document; cut texts are prefixes."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = {r.doc_id: (r.text or "") for r in docs.collect()}
+    want = {r.doc_id: r.taken_tokens for r in mixing.mix(docs).collect() if r.taken_tokens}
+    got, cut = defaultdict(int), 0
+    for r in mixing.select_documents(docs).collect():
+        words = re.findall(r"[^\x20\x09-\x0D]+", r.text)
+        got[r.doc_id] += len(words)
+        if r.text != texts[r.doc_id]:
+            cut += 1
+            assert r.text == " ".join(re.findall(r"[^\x20\x09-\x0D]+", texts[r.doc_id])[: len(words)]) and r.n_chars == len(r.text)
+    assert got == want and cut > 5
