@@ -45,7 +45,7 @@ def test_dense_group_is_counted_exactly(spark, monkeypatch, largest):
     rows += [(200 + i, rows[i][1], 1) for i in range(10)]  # exact copies
     rows += [(300 + i, rng.normal(size=16).tolist(), i % 2) for i in range(100)]
     real = embedding_dedup._degrees
-    monkeypatch.setattr(embedding_dedup, "_degrees", lambda n, c, cosine: real(n, c, cosine, largest))
+    monkeypatch.setattr(embedding_dedup, "_degrees", lambda n, c, cosine, kind: real(n, c, cosine, kind, largest))
     got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), window=8).collect()
     assert {r.vec_id: (r.n_links, r.component_id) for r in got} == plain(rows)
 
