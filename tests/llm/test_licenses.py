@@ -45,7 +45,30 @@ def test_long_and_edited_notices(spark):
 
 
 def test_band_settings():
-    assert 1 - (1 - 0.5**licenses.ROWS) ** licenses.BANDS > 0.998
+    least = 0.8 / (1.1 * 1.25 + 1 - 0.8)
+    assert 1 - (1 - least**licenses.ROWS) ** licenses.BANDS > 0.999
+    for n in range(1, 500):
+        length = licenses.grid(n)
+        width, kept = licenses.width_of(length), -(-8 * n // 10)
+        assert n <= length <= max(n + 1, int(1.1 * n)) and kept / (width + n - kept) > 0.5
+
+
+def test_anchors_lose_no_text():
+    """Any text with 0.8 of a template's shingles has an anchor: of every template, those without one are too few."""
+    words = set(licenses.anchors(licenses.TEMPLATES))
+    for texts in licenses.TEMPLATES.values():
+        for t in texts:
+            shingles = licenses._shingles(t)
+            assert sum(words.isdisjoint(s) for s in shingles) < licenses.CONTAINED * len(shingles)
+
+
+def test_segments_of_long_texts(spark, monkeypatch):
+    """Notices at any place of long texts, over the borders of segments too."""
+    monkeypatch.setattr(licenses, "SEGMENT", 64)
+    mit = licenses.words_of(licenses.TEMPLATES["mit"][4])
+    rows = [(i, " ".join(["filler"] * (40 + 7 * i) + mit + ["words"] * 90)) for i in range(12)]
+    got = {r.doc_id: (r.containment, r.at) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).filter("license = 'mit' and template = 4").collect()}
+    assert got == {i: (1.0, 40 + 7 * i) for i in range(12)}
 
 
 def test_odd_rows(spark):
