@@ -11,27 +11,46 @@ from lodeworks.llm.shared import shared_dir
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is found; those without letters or without a clear language go."""
+    """Keeps documents whose language is found; those without letters or without a clear language go.
+
+    Null and empty texts have none, so they go; rows without an id and repeated rows are judged each; of languages that tie
+    the first by name counts, and its score decides. Other columns stay as they are; an empty table stays one.
+    """
     return langid.keep_identified(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies: the one with the smallest id."""
+    """Keeps one document of each group of near copies: the one with the smallest id.
+
+    Rows without an id come after all others, of rows with one id the one of the least hash of its text stays, of equal rows
+    one. Null and empty texts are copies of one another. Other columns stay as they are.
+    """
     return simhash.keep_representatives(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that contain no benchmark item."""
+    """Keeps documents that contain no benchmark item.
+
+    Null and empty texts contain none, and null and empty items are in none; items and documents without an id count.
+    Repeated rows are judged each, other columns stay as they are.
+    """
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes each document as often as the target weights of its source ask for."""
+    """Takes each document as often as the target weights of its source ask for; the last of a source's prefix in part.
+
+    Texts without words aren't taken; a null language or source counts as one of the empty name; rows without an id and
+    repeated rows are taken like any. Other columns stay as they are, but n_chars of a text that is cut.
+    """
     return mixing.select_documents(docs)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences in the order of training, written as shards, and read from them with their places."""
+    """Token sequences in the order of training, written as shards, and read from them with their documents and places.
+
+    Every row gives its text's ids and an end mark, repeated rows each; a null id stays one; no rows give no shards.
+    """
     return token_shards.write(docs)
 
 

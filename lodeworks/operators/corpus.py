@@ -110,6 +110,22 @@ def sets_equal(expected: DataFrame, actual: DataFrame, by: str, id_: str) -> Dat
     return both.groupBy(by).agg(F.count("e").alias("expected"), F.count("a").alias("actual"), F.bool_and(F.col("e").isNotNull() & F.col("a").isNotNull()).alias("equal"))
 
 
+def duplicate_keys(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, n) of keys that more than one row has."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+def exact_duplicates(documents: DataFrame, id_: str) -> DataFrame:
+    """(text_sha, documents, first_id) of contents that more than one document (id_, text) has."""
+    hashed = documents.select(F.sha2("text", 256).alias("text_sha"), id_)
+    return hashed.groupBy("text_sha").agg(F.count(F.lit(1)).alias("documents"), F.min(id_).alias("first_id")).filter("documents > 1")
+
+
+def missing_ids(wanted: DataFrame, there: DataFrame, id_: str) -> DataFrame:
+    """The distinct ids of wanted that aren't in there."""
+    return wanted.select(id_).distinct().join(there.select(id_).distinct(), id_, "left_anti")
+
+
 def match_documents(entries: DataFrame, artifacts: DataFrame, key: str) -> DataFrame:
     """(key, verdict) of manifest entries (key, source, content_sha256) and artifacts of the same columns: matched, hash-differs,
     source-differs, or which side is missing."""

@@ -108,6 +108,18 @@ def constraints_retained(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return expected.join(given, ["id", "k"], "left").groupBy("id", "k", "v").agg(F.bool_or(same).alias("same")).groupBy("id").agg(F.bool_and("same").alias("retained"))
 
 
+def record_support(judged: DataFrame) -> DataFrame:
+    """Counts of the labels of each record's facts (record, label) and its status: accepted, or what must be looked at."""
+    status = F.when(F.col("unsupported") > 0, "semantic_validation_failed").when(F.col("uncertain") > 0, "manual_review_required")
+    return support_counts(judged, "record").withColumn("status", status.otherwise("accepted"))
+
+
+def answer_support(judged: DataFrame) -> DataFrame:
+    """(answer, claims, support_rate, needs_review) of the labels of each answer's claims (answer, label)."""
+    counts = support_counts(judged, "answer").withColumn("claims", F.col("supported") + F.col("unsupported") + F.col("uncertain"))
+    return counts.select("answer", "claims", F.round(F.try_divide("supported", "claims"), 6).alias("support_rate"), (F.col("supported") < F.col("claims")).alias("needs_review"))
+
+
 def filter_problem(kind: Column, after: Column, before: Column, limit: Column, most: int = 50) -> Column:
     """What is wrong with a search's filters, or valid: an unknown type, a reversed range of deadlines, a limit out of bounds."""
     verdict = F.when(kind.isNull(), "unknown-type").when(after > before, "reversed-range").when(~limit.between(1, most), "limit-out-of-bounds")

@@ -191,18 +191,17 @@ def link_conflicts(spark, sf):
 
 @query("SELECT text_sha, count(*) AS documents, min(doc_id) AS first_id FROM (SELECT sha256(text) AS text_sha, doc_id FROM documents) GROUP BY 1 HAVING count(*) > 1")
 def exact_duplicates(spark, sf):
-    docs = table(spark, sf, "documents").select(F.sha2("text", 256).alias("text_sha"), "doc_id")
-    return docs.groupBy("text_sha").agg(F.count(F.lit(1)).alias("documents"), F.min("doc_id").alias("first_id")).filter("documents > 1")
+    return O.exact_duplicates(table(spark, sf, "documents"), "doc_id")
 
 
 @query("SELECT o_custkey AS key, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1")
 def duplicate_keys(spark, sf):
-    return table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return O.duplicate_keys(table(spark, sf, "orders").select(F.col("o_custkey").alias("key")), "key")
 
 
 @query("SELECT doc_id FROM labels EXCEPT SELECT vec_id FROM embeddings")
 def corpus_minus(spark, sf):
-    return table(spark, sf, "labels").select("doc_id").subtract(table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id")))
+    return O.missing_ids(table(spark, sf, "labels"), table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id")
 
 
 @query("""WITH j AS (SELECT l.doc_id, sha256(CASE WHEN l.doc_id % 41 = 7 THEN d.text || 'x' ELSE d.text END) AS sha FROM labels l JOIN documents d USING (doc_id)), c AS (SELECT doc_id, sha256(text) AS sha FROM documents WHERE doc_id % 50 <> 3)

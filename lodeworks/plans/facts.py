@@ -162,16 +162,14 @@ SELECT *, CASE WHEN unsupported > 0 THEN 'semantic_validation_failed' WHEN uncer
 def fact_support(spark, sf):
     label = F.when(F.col("toxic") == 1, "uncertain").when(F.col("quality") == 1, "supported").otherwise("unsupported")
     judged = table(spark, sf, "labels").select(F.floor(F.col("doc_id") / 5).cast("long").alias("record"), label.alias("label"))
-    status = F.when(F.col("unsupported") > 0, "semantic_validation_failed").when(F.col("uncertain") > 0, "manual_review_required").otherwise("accepted")
-    return O.support_counts(judged, "record").withColumn("status", status)
+    return O.record_support(judged)
 
 
 @query(f"""WITH j AS (SELECT doc_id % 40 AS answer, {_LABEL} AS label FROM labels) SELECT answer, count(*) AS claims, round(count(*) FILTER (WHERE label = 'supported') / count(*), 6) AS support_rate, count(*) FILTER (WHERE label <> 'supported') > 0 AS needs_review FROM j GROUP BY 1""")
 def claim_support(spark, sf):
     label = F.when(F.col("toxic") == 1, "uncertain").when(F.col("quality") == 1, "supported").otherwise("unsupported")
     judged = table(spark, sf, "labels").select((F.col("doc_id") % 40).alias("answer"), label.alias("label"))
-    counts = O.support_counts(judged, "answer").withColumn("claims", F.col("supported") + F.col("unsupported") + F.col("uncertain"))
-    return counts.select("answer", "claims", F.round(F.col("supported") / F.col("claims"), 6).alias("support_rate"), (F.col("supported") < F.col("claims")).alias("needs_review"))
+    return O.answer_support(judged)
 
 
 @query("""WITH v AS (SELECT user_id AS snapshot, event_type AS record, event_id AS seq, user_id % 10 <> 0 AS ok FROM events),

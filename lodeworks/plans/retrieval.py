@@ -220,8 +220,8 @@ SELECT lang, count(*) AS cases, round(avg(recall), 6) AS recall, round(avg(rr),
 def metrics_by_stratum(spark, sf):
     gold = qrels_of(spark, sf)
     scored = R.retrieval_metrics(_bm25(spark, sf, 5), gold, 5)
-    strata = gold.join(chunks_of(spark, sf, "lang"), "id").groupBy("query").agg(F.min("lang").alias("lang"))
-    return _rounded(scored.join(strata, "query").groupingSets([["lang"], []], "lang").agg(F.count(F.lit(1)).alias("cases"), F.avg("recall").alias("recall"), F.avg("rr").alias("mrr"), F.avg("ndcg").alias("ndcg")))
+    strata = gold.join(chunks_of(spark, sf, "lang"), "id").groupBy("query").agg(F.min("lang").alias("stratum"))
+    return R.metric_means(scored, strata).withColumnRenamed("stratum", "lang")
 
 
 _CUTS = (1, 3, 5, 10)
@@ -234,12 +234,7 @@ _CUTS = (1, 3, 5, 10)
     + " UNION ALL ".join(f"SELECT {k} AS k, count(*) AS cases, round(avg(recall), 6) AS recall, round(avg(rr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg FROM m{k}" for k in _CUTS)
 )
 def cutoff_sweep(spark, sf):
-    ranking, gold = _bm25(spark, sf, max(_CUTS)), qrels_of(spark, sf)
-    parts = [R.retrieval_metrics(ranking, gold, k).agg(F.lit(k).alias("k"), F.count(F.lit(1)).alias("cases"), F.avg("recall").alias("recall"), F.avg("rr").alias("mrr"), F.avg("ndcg").alias("ndcg")) for k in _CUTS]
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return _rounded(whole)
+    return R.cutoff_sweep(_bm25(spark, sf, max(_CUTS)), qrels_of(spark, sf), _CUTS)
 
 
 @query(f"""WITH {DUCK_HYBRID}, grid AS (SELECT c, k FROM (VALUES (5), (10), (20)) a(c), (VALUES (10), (30), (60)) b(k)),
@@ -249,13 +244,7 @@ SELECT c AS candidates, k AS constant, count(*) FILTER (WHERE q.id IS NOT NULL)
 FROM gr LEFT JOIN qrels q ON q.query = gr.query AND q.id = gr.id WHERE rank <= 5 GROUP BY c, k""")
 def rrf_grid(spark, sf):
     lexical, dense, gold = _hybrid_branches(spark, sf)
-    rows = R.topk(lexical, 20).select("query", "id", "rank").unionByName(R.topk(dense, 20).select("query", "id", "rank"))
-    grid = spark.sql("SELECT candidates, constant FROM VALUES (5), (10), (20) a(candidates), VALUES (10), (30), (60) b(constant)")
-    spread = rows.crossJoin(F.broadcast(grid)).filter("rank <= candidates")  # the grid is a fixed table of nine rows
-    fused = spread.groupBy("candidates", "constant", "query", "id").agg(F.round(F.sum(1.0 / (F.col("constant") + F.col("rank"))), 9).alias("score"))
-    ranked = R.topk(fused, 5, ["candidates", "constant", "query"])
-    judged = ranked.join(gold.select("query", "id", F.lit(1).alias("gold")), ["query", "id"], "left")
-    return judged.groupBy("candidates", "constant").agg(F.count("gold").alias("hits"), F.round(F.sum(F.when(F.col("gold") == 1, 1.0 / F.col("rank")).otherwise(0.0)), 6).alias("rr_sum"))
+    return R.rrf_grid([R.topk(lexical, 20), R.topk(dense, 20)], gold, (5, 10, 20), (10, 30, 60))
 
 
 @query(f"""WITH {DUCK_BM25}, {DUCK_QRELS.strip()}, ov AS (SELECT q.query, q.id, len(list_intersect(list_distinct(t.tokens), list_distinct({duck_tokens('b.text')}))) AS overlap
@@ -263,42 +252,26 @@ def rrf_grid(spark, sf):
 SELECT ov.query, ov.id, overlap::INT AS overlap, bmr.rank::INT AS rank, CASE WHEN overlap = 0 THEN 'no-lexical-overlap' WHEN bmr.rank <= 5 THEN 'retrieved' ELSE 'ranked-below-cutoff' END AS class
 FROM ov LEFT JOIN bmr ON bmr.query = ov.query AND bmr.id = ov.id""")
 def lexical_diagnosis(spark, sf):
-    from ..functions.text import lexical_tokens as tokens
-
-    texts = chunks_of(spark, sf).select("id", tokens(F.col("text")).alias("t"))
-    asked = queries_of(spark, sf).select("query", tokens(F.col("text")).alias("q"))
-    gold = qrels_of(spark, sf)
-    rows = gold.join(texts, "id").join(asked, "query").select("query", "id", F.size(F.array_intersect("t", "q")).alias("overlap"))
-    scored = written(R.bm25_scores(queries_of(spark, sf), chunks_of(spark, sf)).select("query", "id", "score"), "scores")
-    rows = rows.join(R.rank_among(scored, gold), ["query", "id"], "left")
-    kind = F.when(F.col("overlap") == 0, "no-lexical-overlap").when(F.col("rank") <= 5, "retrieved").otherwise("ranked-below-cutoff")
-    return rows.select("query", "id", "overlap", "rank", kind.alias("class"))
+    queries, chunks = queries_of(spark, sf), chunks_of(spark, sf)
+    scored = written(R.bm25_scores(queries, chunks).select("query", "id", "score"), "scores")
+    return R.lexical_diagnosis(qrels_of(spark, sf), queries, chunks, scored, 5)
 
 
 @query(f"""WITH {DUCK_SCOPE}, {_duck_metrics('sfusr', 5, 's')}, {_duck_metrics('fusr', 5, 'u')}
 SELECT s.query, round(s.rr, 6) AS scoped_rr, round(u.rr, 6) AS unscoped_rr, round(s.rr - u.rr, 6) AS delta FROM s JOIN u USING (query)""")
 def scoped_comparison(spark, sf):
-    scoped, whole, judged = _scoped(spark, sf)
-    a = R.retrieval_metrics(scoped, judged, 5).select("query", F.col("rr").alias("scoped_rr"))
-    b = R.retrieval_metrics(whole, judged, 5).select("query", F.col("rr").alias("unscoped_rr"))
-    return _rounded(a.join(b, "query").withColumn("delta", F.col("scoped_rr") - F.col("unscoped_rr")))
+    return _rounded(R.compared_scopes(*_scoped(spark, sf)))
 
 
 @query(f"WITH {DUCK_BM25}, n AS (SELECT b.item_id AS query, count(bmr.id) AS found FROM benchmark b LEFT JOIN bmr ON bmr.query = b.item_id AND bmr.rank <= 5 AND bmr.score >= 25 GROUP BY 1) SELECT query, found, CASE WHEN found = 0 THEN 'insufficient_evidence' ELSE 'answerable' END AS status, found > 0 AS model_called FROM n")
 def insufficient_evidence(spark, sf):
-    found = _bm25(spark, sf, 5).filter("score >= 25").groupBy("query").agg(F.count(F.lit(1)).alias("found"))
-    rows = queries_of(spark, sf).select("query").join(found, "query", "left").withColumn("found", F.coalesce("found", F.lit(0)))
-    return rows.select("query", "found", F.when(F.col("found") == 0, "insufficient_evidence").otherwise("answerable").alias("status"), (F.col("found") > 0).alias("model_called"))
+    return R.answerable(queries_of(spark, sf), _bm25(spark, sf, 5), 25)
 
 
 @query(f"""WITH {DUCK_BM25}, n AS (SELECT query, count(*) FILTER (WHERE rank <= 3 AND score >= 40) AS first_found, count(*) FILTER (WHERE rank <= 6) AS widened FROM bmr GROUP BY query)
 SELECT query, first_found, CASE WHEN first_found = 0 THEN 6 ELSE 3 END AS k, first_found = 0 AS retried, CASE WHEN first_found = 0 THEN widened ELSE first_found END AS evidence FROM n""")
 def answer_widening(spark, sf):
-    ranked = _bm25(spark, sf, 6)
-    first = F.count_if((F.col("rank") <= 3) & (F.col("score") >= 40))
-    rows = ranked.groupBy("query").agg(first.alias("first_found"), F.count(F.lit(1)).alias("widened"))
-    retried = F.col("first_found") == 0
-    return rows.select("query", "first_found", F.when(retried, 6).otherwise(3).alias("k"), retried.alias("retried"), F.when(retried, F.col("widened")).otherwise(F.col("first_found")).alias("evidence"))
+    return R.widened(_bm25(spark, sf, 6), 40, 3)
 
 
 @query("""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
