@@ -46,3 +46,37 @@ def test_odd_rows(spark):
     assert by[0].predicted == 0 and by[1].predicted == 1
     assert {r.score for r in quality.assess(docs, labels.limit(0)).collect()} == {0.5}
     assert quality.assess(docs.limit(0), labels).count() == 0
+
+
+def test_fit_equals_plain_least_squares(spark):
+    """All of the fit over a small table, row by row in plain arrays: standardized statistics, waves, ridge, steps, scores."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    labels = [(r.doc_id, r.quality) for r in spark.read.parquet("/root/testdata/sf0.001/labels.parquet").collect()]
+    waves, gamma, penalty, bins = 16, 0.05, 1e-3, 64
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    quality.shared_dir(spark)
+    model = quality.fit(docs, marks, waves=waves, gamma=gamma, penalty=penalty, bins=bins)
+    texts = dict(rows)
+    own = [(quality.statistics((texts[d] or "").encode()), q) for d, q in labels if d in texts and zlib.crc32(str(d).encode()) % 5]
+    x, y = np.array([a for a, _ in own]), np.array([float(q) for _, q in own])
+    sd = x.std(axis=0)
+    rng = np.random.default_rng(20240607)
+    weights, shift = rng.normal(0, np.sqrt(2 * gamma), (x.shape[1], waves)), rng.uniform(0, 2 * np.pi, waves)
+
+    def features(stats):
+        z = np.clip((stats - x.mean(axis=0)) / np.where(sd > 1e-9, sd, 1), -6, 6)
+        return np.column_stack([np.sqrt(2 / waves) * np.cos(z @ weights + shift), np.ones(len(z))])
+
+    f = features(x)
+    padded = np.vstack([f, np.sqrt(penalty * len(y)) * np.eye(waves + 1)])
+    ridge = np.linalg.lstsq(padded, np.append(y - y.mean(), np.zeros(waves + 1)), rcond=None)[0]
+    assert np.allclose(model.ridge, ridge, atol=1e-7)
+    raw = f @ ridge
+    of = np.clip(np.floor(raw / (4 / bins)), -bins // 2, bins // 2)
+    kinds = np.unique(of)
+    n, mean_y, mean_raw = (np.array([g(of == k) for k in kinds]) for g in (np.sum, lambda m: y[m].mean(), lambda m: raw[m].mean()))
+    steps = [max(min((n[i : j + 1] @ mean_y[i : j + 1]) / n[i : j + 1].sum() for j in range(k, len(n))) for i in range(k + 1)) for k in range(len(n))]
+    everything = np.array([quality.statistics((t or "").encode()) for _, t in rows])
+    want = np.clip(np.interp(features(everything) @ ridge, mean_raw, steps), 0, 1)
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    assert np.allclose([got[d] for d, _ in rows], want, atol=1e-6)
