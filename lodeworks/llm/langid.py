@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -72,36 +72,30 @@ def fit(docs: DataFrame, sample_rows: int = 2000, least: int = 2, parts: int = 5
     draw = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1_000_003)) / 1_000_003.0
     sample = rows.select("lang", "text", draw.alias("draw")).filter(F.col("draw") < share[F.col("lang")])
     counted = sample.select("lang", "text").mapInArrow(_count, "lang string, word string, n long")
-    words = counted.groupBy("word", "lang").agg(F.sum("n").alias("n"))
-    known = words.groupBy("word").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by"))
-    return tabulate(langs, ((r["word"], {x["lang"]: x["n"] for x in r["by"]}) for r in known.filter(F.col("total") >= least).toLocalIterator()))
-
-
-def tabulate(langs: list[str], counted: Iterator[tuple[str, dict[str, int]]]) -> Model:
-    column = {lang: i for i, lang in enumerate(langs)}
-    words: dict[str, int] = {}
-    counts: list[np.ndarray] = []
-    grams: dict[str, np.ndarray] = {}
-    for word, by in counted:
-        row = np.zeros(len(langs))
-        for lang, n in by.items():
-            row[column[lang]] = n
-        words[word] = len(counts)
-        counts.append(row)
-        for n in GRAMS:
-            for g in marked(word, n):
-                if g in grams:
-                    grams[g] = grams[g] + row
-                else:
-                    grams[g] = row
+    by_lang = [F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, lang in enumerate(langs)]
+    known = counted.groupBy("word").agg(F.sum("n").alias("total"), *by_lang).filter(F.col("total") >= least).toArrow()  # of the sample
+    return _table(langs, known["word"].to_pylist(), np.stack([known[f"n{i}"].to_numpy() for i in range(len(langs))], axis=1).astype(float))
+
+
+def tabulate(langs: list[str], counted: Iterable[tuple[str, dict[str, int]]]) -> Model:
+    """The model of words with their counts by language."""
+    words = dict(counted)
+    return _table(langs, list(words), np.array([[by.get(lang, 0) for lang in langs] for by in words.values()], float).reshape(-1, len(langs)))
+
+
+def _table(langs: list[str], words: list[str], counts: np.ndarray) -> Model:
+    """Smoothed log frequencies of the words, and of the n-grams of each length in them."""
     smooth = lambda rows: np.log((rows + 0.1) / (rows.sum(axis=0) + 0.1 * (len(rows) + 1)))
-    blocks, index, start = [smooth(np.array(counts).reshape(-1, len(langs)))], {}, len(counts)
+    blocks, index, start = [smooth(counts)], {}, len(words)
     for n in GRAMS:
-        own = [g for g in grams if len(g) == n]
-        index |= {g: start + i for i, g in enumerate(own)}
+        own: dict[str, int] = {}
+        grams = np.fromiter((own.setdefault(g, len(own)) for word in words for g in marked(word, n)), np.int64)
+        of = np.repeat(np.arange(len(words)), [max(1, len(w) + 3 - n) if n > 1 else len(w) for w in words])
+        rows = np.stack([np.bincount(grams, counts[of, i], len(own)) for i in range(len(langs))], axis=1)
+        index |= {g: start + i for g, i in own.items()}
         start += len(own)
-        blocks.append(smooth(np.array([grams[g] for g in own]).reshape(-1, len(langs))))
-    return Model(langs, words, index, np.concatenate(blocks))
+        blocks.append(smooth(rows))
+    return Model(langs, {w: i for i, w in enumerate(words)}, index, np.concatenate(blocks))
 
 
 class Scorer:
