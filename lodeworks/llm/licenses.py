@@ -119,19 +119,6 @@ def _signature(hashes: Column) -> Column:
     return F.array(*[F.transform(hashes, lambda h: F.xxhash64(h, F.lit(i))) for i in range(BANDS * ROWS)])
 
 
-def _levels(rows: Column, most: int) -> Column:
-    """[rows, their least values of two in a row, of four ..], up to `most` in a row: a window's least value is that of two of
-    them. Behind the end fewer count."""
-
-    def more(levels: list[Column], reach: int) -> Column:
-        if 2 * reach > most:
-            return F.array(*levels)
-        double = F.transform(levels[-1], lambda row: F.zip_with(row, F.slice(row, F.lit(reach + 1), F.size(row)), lambda x, y: F.least(x, y)))
-        return _let(double, lambda level: more([*levels, level], 2 * reach))
-
-    return _let(rows, lambda level: more([level], 1))
-
-
 def _template_table(spark: SparkSession, templates: dict[str, tuple[str, ...]]) -> DataFrame:
     """(license, template, length, shingles, bands), a row for each template: a fixed, small table."""
     rows = []
@@ -148,10 +135,10 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, c
     """(doc_id, license, template, containment, at) for each document and license notice it has.
 
     docs: doc_id, text; other columns are ignored. Texts are cut in runs of a-z and 0-9, lower-cased, and in shingles of
-    five words. Overlapping windows of each length that templates have go over all shingles; a window whose MinHash agrees
+    five words. Overlapping windows of each length that templates have go over the shingles; a window whose MinHash agrees
     with a template's in a band is a candidate, and is verified, with its whole size more on both sides, by the exact share
-    of the template's shingles that it has: `contained` or more. Texts, and parts of long texts, without one of few words,
-    without which none can have that share of any template, are passed over. containment is the best window's, `at` the first word's place of the
+    of the template's shingles that it has: `contained` or more. Windows without one of few words, without which none can
+    have that share of any template, are passed over. containment is the best window's, `at` the first word's place of the
     earliest such window. Null and empty texts have none; a template of fewer than five words is one shingle; rows without
     doc_id are scanned too, as one document; repeated rows with one doc_id count as one document.
 
@@ -177,37 +164,39 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, c
 
     def segments(w: Column, hs: Column) -> Column:
         """Parts of a text's shingles, of those that may have a notice: the place of the first window, what windows reach and
-        what is verified before and behind them, and where that begins."""
+        what is verified before and behind them, where that begins, and where the few words stand."""
 
         def segment(at: Column) -> Column:
-            base = F.greatest(at - around, F.lit(0))
-            reach = F.slice(w, at + 1, F.lit(SEGMENT + around + SHINGLE))
+            base, end = F.greatest(at - around, F.lit(0)), F.least(at + SEGMENT + around + SHINGLE, F.size(w)) - 1
             inside = F.slice(hs, base + 1, at - base + SEGMENT + 3 * around)
-            return F.struct(at.alias("at"), base.alias("base"), inside.alias("hs"), F.size(hs).alias("n"), F.arrays_overlap(reach, F.array(*map(F.lit, some))).alias("may"))
+            marks = F.filter(F.transform(F.sequence(at, F.greatest(at, end)), lambda i: F.when(F.get(w, i).isin(some), i)), lambda i: i.isNotNull())
+            return F.struct(at.alias("at"), base.alias("base"), inside.alias("hs"), F.size(hs).alias("n"), marks.alias("marks"))
 
-        return F.filter(F.transform(F.sequence(F.lit(0), F.size(hs) - 1, F.lit(SEGMENT)), segment), lambda x: x["may"])
+        return F.filter(F.transform(F.sequence(F.lit(0), F.size(hs) - 1, F.lit(SEGMENT)), segment), lambda x: F.size(x["marks"]) > 0)
 
-    def candidates(levels: Column) -> Column:
+    def candidates(sig: Column) -> Column:
         found = []
         for length in sorted(known):
             step, width, at = max(1, length // 4), width_of(length), F.col("at")
-            level = width.bit_length() - 1  # windows of this many, doubled, cover one of `width`
             first, last = F.ceil(at / step).cast("int") * step, F.least(at + SEGMENT, F.col("n")) - 1
-            places = F.when(first <= last, F.sequence(first, F.greatest(first, last), F.lit(step))).otherwise(F.array().cast("array<int>"))
 
-            def window(k: Column) -> Column:  # called before the next length is taken
-                least = lambda row: F.least(F.get(row, k - at), F.get(row, k - at + width - (1 << level)))
-                bands = _bands(lambda i: least(F.get(F.get(levels, F.lit(level)), i)))
+            def around_mark(m: Column) -> Column:  # these are called before the next length is taken
+                lo = F.greatest(F.ceil((m - (width + SHINGLE - 2)) / step).cast("int") * step, first)
+                hi = F.least(m, last)
+                return F.when(lo <= hi, F.sequence(lo, F.greatest(lo, hi), F.lit(step))).otherwise(F.array().cast("array<int>"))
+
+            def window(k: Column) -> Column:
+                bands = _bands(lambda i: F.array_min(F.slice(F.get(sig, i), k - at + 1, F.lit(width))))
                 return F.struct(F.lit(length).alias("length"), k.alias("place"), bands.alias("bands"))
 
-            own = sorted(known[length])
+            places, own = F.array_distinct(F.flatten(F.transform("marks", around_mark))), sorted(known[length])
             found.append(F.filter(F.transform(places, window), lambda w: F.exists(w["bands"], lambda b: b.isin(own))))
         return F.concat(*found)
 
     made = _let(_words(F.col("text")), lambda w: _let(hashes(w), lambda hs: segments(w, hs)))
-    cut = texts.select("doc_id", F.inline(made).alias("at", "base", "hs", "n", "may"))
+    cut = texts.select("doc_id", F.inline(made).alias("at", "base", "hs", "n", "marks"))
     reached = F.slice("hs", F.col("at") - F.col("base") + 1, F.lit(SEGMENT + around))
-    met = cut.select("doc_id", "base", "hs", F.inline(_let(_levels(_signature(reached), around), candidates)).alias("length", "place", "bands"))
+    met = cut.select("doc_id", "base", "hs", F.inline(_let(_signature(reached), candidates)).alias("length", "place", "bands"))
     joined = met.join(F.broadcast(wanted.withColumnRenamed("bands", "template_bands")), "length").filter(F.arrays_overlap("bands", "template_bands"))
     width = F.col("length") + F.greatest(F.floor(F.col("length") / 4), F.lit(1)).cast("int") - 1
     start = F.greatest(F.col("place") - width, F.lit(0))
