@@ -126,9 +126,7 @@ class Scorer:
         words = _WORD.findall(text.lower())
         get = self.model.words.get
         ids = np.array([get(w, -1) for w in words], np.int64)
-        total = np.bincount(ids[ids >= 0], minlength=0)
-        rows = np.flatnonzero(total)
-        logs = total[rows] @ self.model.table[rows] if len(rows) else np.zeros(len(self.model.langs))
+        logs = self.model.table[ids[ids >= 0]].sum(axis=0)
         for i in np.flatnonzero(ids < 0).tolist():
             logs = logs + self.unseen(words[i])
         best = int(np.argmax(logs))
