@@ -6,7 +6,6 @@ import unicodedata
 from collections.abc import Callable, Iterator, Sequence
 from html.parser import HTMLParser
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -191,28 +190,31 @@ def edit_distance(a: Sequence, b: Sequence) -> int:
     return score
 
 
-_EDITS = T.StructType([T.StructField(c, T.StringType()) for c in ("expected", "actual")] + [T.StructField(c, T.IntegerType()) for c in ("chars", "words", "char_edits", "word_edits")])
-
-
-@F.pandas_udf(_EDITS)
-def _edits(expected: pd.Series, actual: pd.Series) -> pd.DataFrame:
-    """Both texts in compatibility form with white space collapsed, lengths of the expected one, and edits between them."""
-    rows = []
-    for pair in zip(expected, actual, strict=True):
-        e, a = (" ".join(unicodedata.normalize("NFKC", x or "").split()) for x in pair)
-        rows.append((e, a, len(e), len(e.split()), edit_distance(e, a), edit_distance(e.split(), a.split())))
-    return pd.DataFrame(rows, columns=["expected", "actual", "chars", "words", "char_edits", "word_edits"])
+_EDITS = [("expected", T.StringType(), pa.string()), ("actual", T.StringType(), pa.string())] + [(c, T.IntegerType(), pa.int32()) for c in ("chars", "words", "char_edits", "word_edits")]
 
 
 def ocr_error_rates(pairs: DataFrame) -> DataFrame:
     """pairs (.., expected, actual) with exact, edits and rates by characters and words.
 
     Both texts are put in Unicode's compatibility form with white space collapsed; null counts as empty. Whole texts are
-    compared, of any length. Pairs whose expected text is blank have no rates and go.
+    compared, of any length. Pairs whose expected text is blank have no rates and go. The work follows the square of a text's
+    length, so pairs are dealt anew over the tasks, however few partitions they come in.
     """
-    rest = [c for c in pairs.columns if c not in ("expected", "actual")]
-    rows = pairs.select(*rest, _edits("expected", "actual").alias("e")).select(*rest, "e.*").filter("chars > 0")
-    rows = rows.withColumn("exact", F.col("expected") == F.col("actual"))
+    spark, rest = pairs.sparkSession, [c for c in pairs.columns if c not in ("expected", "actual")]
+    names = [*rest, *[c for c, _, _ in _EDITS]]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for pair in zip(batch.column(len(rest)).to_pylist(), batch.column(len(rest) + 1).to_pylist(), strict=True):
+                e, a = (" ".join(unicodedata.normalize("NFKC", x or "").split()) for x in pair)
+                rows.append((e, a, len(e), len(e.split()), edit_distance(e, a), edit_distance(e.split(), a.split())))
+            columns = [pa.array(c, k) for c, (_, _, k) in zip(list(zip(*rows, strict=True)) or [()] * len(_EDITS), _EDITS, strict=True)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(rest))], *columns], names)
+
+    schema = T.StructType([*[pairs.schema[c] for c in rest], *[T.StructField(c, k) for c, k, _ in _EDITS]])
+    spread = pairs.select(*rest, "expected", "actual").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("expected", "actual"))
+    rows = spread.mapInArrow(each, schema).filter("chars > 0").withColumn("exact", F.col("expected") == F.col("actual"))
     return rows.withColumn("cer", F.try_divide("char_edits", "chars")).withColumn("wer", F.try_divide("word_edits", "words"))
 
 

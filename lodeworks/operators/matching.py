@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import spread
+
 #: Pieces in a row that a text must share with an item before the whole item is looked for in it.
 PIECES = 4
 #: Where texts are cut in pieces: at white space, or for texts without any at frequent letters and marks.
@@ -33,7 +35,7 @@ def containing(texts: DataFrame, items: DataFrame, cut: str = AT_BLANKS) -> Data
     items give nothing; repeated rows give rows each.
     """
     items = items.filter("text <> ''").select("item", F.col("text").alias("wanted"), F.array_min(_runs(F.col("text"), cut, True)).alias("run"))
-    runs = texts.select("id", F.explode(F.array_distinct(_runs(F.col("text"), cut, False))).alias("run"))
+    runs = spread(texts.select("id", "text")).select("id", F.explode(F.array_distinct(_runs(F.col("text"), cut, False))).alias("run"))
     maybe = runs.join(items.filter("run is not null").select("item", "run"), "run").select("item", "id").distinct()
     wanted = items.filter("run is not null").select("item", "wanted")
     found = texts.select("id", "text").join(maybe, "id").join(wanted, "item").filter(F.contains("text", "wanted")).select("item", "id")

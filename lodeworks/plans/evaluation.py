@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import decoding as D
 from ..operators import evaluation as E
 from ..operators import retrieval as R
-from ..operators import decoding as D
 from ..operators.chunking import ordered_digest
+from ..sources.scratch import written
 from .base import query, sql, table
 from .retrieval import DUCK_HYBRID, _duck_metrics, _hybrid_branches
 
@@ -164,7 +165,7 @@ def ocr_error_rates(spark, sf):
 @query(f"""WITH {_DUCK_OCR}, h AS (SELECT 'ocr_dataset_' || sha256(string_agg(doc_id || ':' || sha256(expected), ',' ORDER BY doc_id)) AS dataset FROM e WHERE expected <> '')
 SELECT dataset, 'translate-eo' AS recognizer, count(*) AS cases, round(avg(CASE WHEN exact THEN 1.0 ELSE 0 END), 6) AS exact_rate, round(avg(char_edits / chars), 6) AS macro_cer, round(sum(char_edits) / sum(chars), 6) AS micro_cer, round(avg(word_edits / words), 6) AS macro_wer, round(sum(word_edits) / sum(words), 6) AS micro_wer FROM o, h GROUP BY dataset""")
 def ocr_batch(spark, sf):
-    rates = _ocr(spark, sf)
+    rates = written(_ocr(spark, sf), "rates")
     cases = rates.select("doc_id", F.concat_ws(":", F.col("doc_id").cast("string"), F.sha2("expected", 256)).alias("item"))
     digest = ordered_digest(cases, "item", "doc_id").select(F.concat(F.lit("ocr_dataset_"), "digest").alias("dataset"), F.lit("translate-eo").alias("recognizer"))
     return E.ocr_batch(rates).crossJoin(F.broadcast(digest))  # one row each

@@ -44,3 +44,9 @@ def numbered(rows: DataFrame, column: str, first: int = 0) -> DataFrame:
     offsets = rows.sparkSession.createDataFrame(starts, "_part int, _start long")
     joined = placed.join(F.broadcast(offsets), "_part")  # a row for each partition
     return joined.withColumn(column, F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt over all cores where they come in fewer partitions than there are cores, as one small file does; else as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
