@@ -68,9 +68,13 @@ def plain_model(rows, least=2):
                 for g in plain_grams(w, n):
                     grams[n][g, lang] += c
 
+    totals = {}
+
     def logs(counts, keys, key):
         kinds = len(keys)
-        sums = {lang: sum(counts[k, lang] for k in keys) for lang in langs}
+        if id(counts) not in totals:
+            totals[id(counts)] = {lang: sum(counts[k, lang] for k in keys) for lang in langs}
+        sums = totals[id(counts)]
         return {lang: math.log((counts[key, lang] + 0.1) / (sums[lang] + 0.1 * (kinds + 1))) for lang in langs}
 
     kinds = {n: {g for g, _ in grams[n]} for n in grams}
