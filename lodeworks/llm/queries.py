@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embedding_dedup, html_text, langid, licenses, lm, mixing, quality, simhash, token_shards
+from . import decontaminate, embedding_dedup, html_text, langid, licenses, lm, mixing, periodic_runs, quality, simhash, token_shards
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op10_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.find(periodic_runs.with_repetitions(table(spark, sf_dir, "documents"))))
+
+
 QUERIES = {
     "op1_token_shards": op1_token_shards,
     "op2_lm_score": op2_lm_score,
@@ -62,6 +66,7 @@ QUERIES = {
     "op8_source_mixing": op8_source_mixing,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_quality_score": op10_quality_score,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 #: Operators that SQL can't express (own hashes, learned models, parsers) have none; tests hold them against brute force.
