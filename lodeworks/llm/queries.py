@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, html_text, langid, licenses, lm, mixing, periodic_runs, quality, simhash, token_shards
+from . import decontaminate, embedding_dedup, hard_negatives, html_text, langid, licenses, lm, mixing, periodic_runs, quality, quality_rules, simhash, token_shards
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +56,15 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(periodic_runs.find(periodic_runs.with_repetitions(table(spark, sf_dir, "documents"))))
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), label, F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_token_shards": op1_token_shards,
     "op2_lm_score": op2_lm_score,
@@ -67,9 +77,12 @@ QUERIES = {
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_quality_score": op10_quality_score,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_quality_rules": op12_quality_rules,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 #: Operators that SQL can't express (own hashes, learned models, parsers) have none; tests hold them against brute force.
 ORACLES: dict[str, str] = {
     "op8_source_mixing": mixing.oracle_sql(),
+    "op13_hard_negatives": hard_negatives.oracle_sql(),
 }
