@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -25,13 +26,24 @@ FURNITURE = frozenset(
     " canvas audio video menu dialog map math datalist".split()
 )
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
-FURNITURE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|sponsor(?:ed|s)?|promo(?:tion|s)?|banners?|nav|navbar|navigation|menu|menus"
-    r"|breadcrumbs?|sidebars?|side-?bar|footer|foot|masthead|site-?header|page-?header|topbar|toolbar|cookies?|consent|gdpr|notices?|alerts?"
-    r"|popups?|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend(?:ed|ations)?|comments?|commentlist"
-    r"|respond|disqus|replies|reply|pagination|pager|widgets?|search|skip-?link|copyright)(?:$|[\s_-]|\d)",
-    re.I,
+#: Words of class and id names that say what is no part of a text, those that say where on a page something is, and which of
+#: the latter go with `header` when it is the page's own. A name of words of both kinds names furniture; one with a word of
+#: its own beside them, such as related-work, only hints at it.
+FURNITURE_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion promotions banner"
+    " banners nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars footer footers foot cookie cookies consent gdpr notice"
+    " notices alert alerts popup popups modal overlay newsletter subscribe signup login share sharing social related recommend recommended"
+    " recommendations comment comments commentlist commentform respond disqus replies reply pagination pager widget widgets search skip copyright toolbar".split()
 )
+HEADER_WORDS = frozenset("header masthead topbar pageheader siteheader".split())
+LAYOUT_WORDS = frozenset(
+    "area section list box block wrap wrapper container content inner outer panel row column col item items group bar link links button buttons icon"
+    " icons post posts article articles page site main top bottom left right side middle center primary secondary global form thread count feed unit"
+    " slot zone field text body title label image img div info success warning error danger large small".split()
+)
+PAGE_WORDS = frozenset("site page global top main wrap wrapper container inner bar row left right".split())
+#: Ids of sections inside an article that don't stand for a heading's words.
+READERS = frozenset("comment comments commentlist commentform respond disqus replies sidebar newsletter".split())
 CONTAINERS = frozenset(("article", "main"))
 #: Parts of an article that are never its region.
 PARTS = frozenset(
@@ -62,6 +74,27 @@ class Node:
     furniture: bool = False  # by its kind or that of an element around
     boxed: bool = False  # within an article or main that isn't furniture by name
     named: int = 0  # the nearest element, itself included, that is furniture by name, or a form
+    hinted: int = 0  # the nearest one whose name hints at it
+
+
+@lru_cache(maxsize=1 << 14)
+def named_by(names: str, header: bool) -> tuple[int, bool]:
+    """Whether a class or id names furniture (2), hints at it (1) or neither (0), and whether it is what readers leave.
+
+    Names are told apart by blanks, their words by hyphens, underscores and capitals. header: the page's header counts.
+    """
+    found, readers = 0, False
+    for name in names.split():
+        words = [w.lower() for w in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+", name)]
+        others = [w for w in words if w not in FURNITURE_WORDS and not w.isdigit()]
+        if "".join(words) in FURNITURE_WORDS or (len(others) < len([w for w in words if not w.isdigit()]) and all(w in LAYOUT_WORDS or w in HEADER_WORDS for w in others)):
+            found = 2
+        elif header and ("".join(words) in HEADER_WORDS or any(w in HEADER_WORDS for w in words) and all(w in HEADER_WORDS or w in PAGE_WORDS or w.isdigit() for w in words)):
+            found = 2
+        elif len(others) < len(words) and any(w in FURNITURE_WORDS for w in words) and not words[0] in ("no", "has", "with", "without", "is"):
+            found = max(found, 1)
+        readers |= any(w in READERS for w in words)
+    return found, readers
 
 
 class Lines(HTMLParser):
@@ -74,6 +107,16 @@ class Lines(HTMLParser):
         self.nodes: list[Node] = [Node(0, "")]
         self.open: list[int] = [0]
         self.opened: Counter[str] = Counter()  # how many elements of a kind are open
+        self.over = False
+
+    def close(self) -> None:
+        self.over = True
+        super().close()
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        """A comment that no one closes goes on to the page's end."""
+        end = super().parse_comment(i, report)
+        return len(self.rawdata) if end < 0 and self.over else end
 
     def _new(self) -> None:
         last = self.lines[-1]
@@ -109,9 +152,9 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         given, up, number = dict(attrs), self.nodes[self.open[-1]], len(self.nodes)
-        named = self._named(tag, given)
-        boxed = up.boxed or tag in CONTAINERS and not named
-        self.nodes.append(Node(self.open[-1], tag, up.furniture or self._furniture(tag, given), boxed, number if named else up.named))
+        name = self._name(tag, given, up)
+        boxed = up.boxed or tag in CONTAINERS and name < 2
+        self.nodes.append(Node(self.open[-1], tag, up.furniture or self._furniture(tag, given), boxed, number if name == 2 else up.named, number if name == 1 else up.hinted))
         self.open.append(number)
         self.opened[tag] += 1
 
@@ -123,12 +166,19 @@ class Lines(HTMLParser):
     def _outside(self) -> bool:
         return not any(self.opened[name] for name in CONTAINERS)
 
-    def _named(self, tag: str, attrs: dict[str, str | None]) -> bool:
+    def _name(self, tag: str, attrs: dict[str, str | None], up: Node) -> int:
+        """2 for furniture by name, 1 for a hint. Ids of headings, paragraphs and the like are anchors, named by their words; so
+        may be those of sections in an article, unless they are what readers leave."""
         if tag in ("html", "body"):
-            return False
-        names = [attrs.get(k) or "" for k in ("class", "id")]
-        header = self._outside() and any(re.search(r"(?:^|\s)header(?:$|\s)", n, re.I) for n in names)
-        return tag == "form" or header or any(FURNITURE_NAMES.search(n) for n in names)
+            return 0
+        if tag == "form":
+            return 2
+        found = named_by(attrs.get("class") or "", self._outside())[0]
+        own = attrs.get("id") or ""
+        if own and found < 2 and tag not in PARTS:
+            by_id, readers = named_by(own, self._outside())
+            found = max(found, 1 if by_id == 2 and up.boxed and tag == "section" and not readers else by_id)
+        return found
 
     def _furniture(self, tag: str, attrs: dict[str, str | None]) -> bool:
         if tag in FURNITURE:
@@ -150,7 +200,7 @@ class Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         line, own = self.lines[-1], self.nodes[self.open[-1]]
         before = self.nodes[line.node]
-        if line.text and (before.furniture, before.named) != (own.furniture, own.named) and data.strip():
+        if line.text and (before.furniture, before.named, before.hinted) != (own.furniture, own.named, own.hinted) and data.strip():
             if any(t.strip() for t in line.text):
                 self.lines.append(line := Line())
             else:
@@ -188,7 +238,7 @@ class Page:
         return np.array(under)[self.at]
 
 
-def parse(html: str) -> Page:
+def parse(html: str, sigma: float = 1.0) -> Page:
     parser = Lines()
     parser.feed(html)
     parser.close()
@@ -197,19 +247,54 @@ def parse(html: str) -> Page:
     at = np.array([x.node for _, x in lines], np.int64)
     furniture = np.array([nodes[x.node].furniture for _, x in lines], bool)
     page = Page([t for t, _ in lines], np.array([x.tags for _, x in lines], float), np.array([x.linked for _, x in lines]), at, furniture, nodes)
-    named = np.array([i > 0 and node.named == i for i, node in enumerate(nodes)])
-    if len(lines) and named.any():
-        page.furniture = furniture | page.inside(named & ~_wrappers(page))
+    if any(node.named or node.hinted for node in nodes) and not furniture.all():
+        _by_name(page, sigma)
     return page
 
 
-def _wrappers(page: Page) -> np.ndarray:
-    """Elements around most of the page: more than half of the text of its <article> and <main> elements, or of all text
-    where they have none. Named like furniture, or forms, they lay out the page, and aren't its furniture."""
+def _content(page: Page, sigma: float) -> np.ndarray:
+    """Whether each line is in the upper cluster of the smoothed ratios of text to tags."""
     lengths = np.where(page.furniture, 0, [len(t) for t in page.texts]).astype(float)
-    boxed = lengths * np.array([page.nodes[n].boxed for n in page.at])
-    weights = boxed if boxed.any() else lengths
-    return page.within(weights) > weights.sum() / 2
+    seen = lengths > 0
+    scores = smoothed(lengths / page.tags, sigma)
+    return seen & (scores >= threshold(scores[seen])) if seen.any() else seen
+
+
+def _by_name(page: Page, sigma: float) -> None:
+    """Marks the lines of elements that are furniture by name, of whatever length.
+
+    A name isn't furniture's where a page has nothing else: if all prose of its articles and mains, or without these all of
+    the page's, is inside named elements, the least nested one with the most of it, and those around it, are the page's
+    layout. Prose are lines of the upper ratio cluster, and paragraphs and the like of five words, that aren't mostly links.
+    A hint counts where more than half of an element's text are links, or where it has no prose and is no heading,
+    paragraph or the like itself.
+    """
+    nodes, n = page.nodes, len(page.nodes)
+    lengths = np.where(page.furniture, 0, [len(t) for t in page.texts]).astype(float)
+    part = np.array([node.tag in PARTS for node in nodes])
+    wordy = np.array([t.count(" ") >= 4 for t in page.texts])
+    prose = (lengths > 0) & (page.linked <= 0.5 * lengths) & (_content(page, sigma) | part[page.at] & wordy)
+    if not prose.any():
+        prose = lengths > 0
+    depth = [0] * n
+    for i in range(1, n):
+        depth[i] = depth[nodes[i].parent] + (nodes[i].named == i)
+    of_line = np.array(depth)[page.at]
+    boxed = np.array([node.boxed for node in nodes])[page.at]
+    asked = prose & boxed if (prose & boxed).any() else prose
+    layout: set[int] = set()
+    if of_line[asked].min() > 0:
+        first = asked & (of_line == of_line[asked].min())
+        nearest = np.array([node.named for node in nodes])[page.at]
+        up = int(np.bincount(nearest[first], lengths[first]).argmax())
+        while up:
+            layout.add(up)
+            up = nodes[nodes[up].parent].named
+    named = np.array([i > 0 and node.named == i and i not in layout for i, node in enumerate(nodes)])
+    linked, whole, told = page.within(page.linked), page.within(lengths), page.within(np.where(prose, lengths, 0))
+    hinted = np.array([i > 0 and node.hinted == i for i, node in enumerate(nodes)])
+    hinted &= (linked > 0.5 * whole) | (told == 0) & ~part
+    page.furniture = page.furniture | page.inside(named | hinted)
 
 
 def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
@@ -241,17 +326,18 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
 
     Ratios of text to tags are smoothed over the lines and parted in two clusters. The article is in the outermost
     <article> and <main> elements with content lines, where these hold half of the content or more, else in the innermost
-    block that holds all content lines and isn't only a part of an article, such as a list or a table. Of <article> and
-    <main>, all lines stay but page furniture, in page order. Elsewhere, lines of the lower cluster go if links make up
-    most of them, or if they stand before or behind all content lines and are no paragraph, heading, item or cell.
+    block that holds all content lines and isn't only a part of an article, such as a list or a table. Page furniture goes
+    first: by element, by role, and by name as evidence (see _by_name). Lines of the lower cluster go if links
+    make up most of them; in <article> and <main> only before or behind all its content lines, and only if they are
+    links as a whole. Elsewhere they also go if they stand before or behind all content lines and are no paragraph,
+    heading, item or cell.
     """
-    page = parse(html or "")
+    page = parse(html or "", sigma)
     lengths = np.where(page.furniture, 0, [len(t) for t in page.texts]).astype(float)
     if not lengths.any():
         return ""
-    scores = smoothed(lengths / page.tags, sigma)
     seen = lengths > 0
-    content = seen & (scores >= threshold(scores[seen]))
+    content = _content(page, sigma)
     total = float(lengths[content].sum())
     nodes = page.nodes
     outer = [0] * len(nodes)  # the outermost article or main around each element, itself included
@@ -260,7 +346,14 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     boxes = np.bincount(np.array(outer)[page.at[content]], lengths[content], len(nodes))
     boxes[0] = 0
     if boxes.sum() >= 0.5 * total:
-        kept = seen & page.inside(boxes > 0)
+        box = np.array(outer)[page.at]
+        place = np.arange(len(content))
+        first, last = np.full(len(nodes), len(content)), np.full(len(nodes), -1)
+        np.minimum.at(first, box[content], place[content])
+        np.maximum.at(last, box[content], place[content])
+        edge = (place < first[box]) | (place > last[box])
+        links = page.linked >= np.array([len(t.replace(" ", "")) for t in page.texts])
+        kept = seen & page.inside(boxes > 0) & ~(edge & links)
     else:
         weights = page.within(np.where(content, lengths, 0))
         whole = [n for n in range(1, len(nodes)) if weights[n] >= total and nodes[n].tag in BLOCK and nodes[n].tag not in PARTS]
