@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,14 +60,24 @@ def structure_chunk(fragments: DataFrame, most: int = 800, overlap: int = 100) -
     return fragments.select(*rest, F.posexplode(chunk_texts(F.col("text"), most, overlap)).alias("chunk_ordinal", "text"))
 
 
-def evidence_id(document_sha: Column, source: Column, fragment: Column, chunk: Column, text: Column, chunker: str) -> Column:
-    """Id of a chunk by content and coordinates, with no place within a page, sheet or slide."""
-    none = F.lit(None).cast("string")
-    location = F.struct(
-        none.alias("cell_reference"), F.array().cast("array<string>").alias("heading_path"), none.alias("page_number"), none.alias("sheet_name"),
-        none.alias("slide_number"), none.alias("table_number"), none.alias("table_row_number"),
-    )
-    fields = {"chunk_ordinal": chunk, "chunker_version": F.lit(chunker), "document_sha256": document_sha, "location": location}
+#: The fields of a place within a document, in canonical order.
+LOCATION = "cell_reference string, heading_path array<string>, page_number int, sheet_name string, slide_number int, table_number int, table_row_number int"
+
+
+def location(**known: Column) -> Column:
+    """A place within a document, as a struct of LOCATION; what isn't given is null, and a heading path then empty."""
+    fields = []
+    for name, kind in (f.split() for f in LOCATION.split(", ")):
+        value = known.pop(name, F.lit(None)).cast(kind)
+        fields.append((F.coalesce(value, F.array().cast(kind)) if name == "heading_path" else value).alias(name))
+    if known:
+        raise ValueError(f"no fields of a place: {sorted(known)}")
+    return F.struct(*fields)
+
+
+def evidence_id(document_sha: Column, source: Column, fragment: Column, chunk: Column, text: Column, chunker: str, place: Column | None = None) -> Column:
+    """Id of a chunk by content, coordinates and its place (a struct of LOCATION; null fields where none is given)."""
+    fields = {"chunk_ordinal": chunk, "chunker_version": F.lit(chunker), "document_sha256": document_sha, "location": location() if place is None else place}
     return F.concat(F.lit("ev_"), canonical_sha(fields | {"source_fragment_ordinal": fragment, "source_reference": source, "text": text}))
 
 
@@ -82,25 +93,53 @@ def set_fingerprint(digests: DataFrame, column: str = "digest", digits: int = 4)
     return parts.agg(whole.alias("fingerprint"), F.sum("n").alias("members"))
 
 
+#: Bytes of items that travel to the hash in one row.
+_BLOB = 1 << 22
+
+
 def ordered_digest(rows: DataFrame, item: str, *order: str, before: str = "", between: str = ",", after: str = "") -> DataFrame:
-    """(digest, members): SHA-256 of the items of all rows, joined in a global order: `before`, items with `between`, `after`.
+    """(digest, members): SHA-256 of the items of all rows, joined in a global order: `before`, items with `between`, `after`;
+    rows that are equal in `order` go by their item.
 
-    One digest over one text is a walk in order by its nature: rows are sorted in parallel, and then pass through one hash,
-    batch by batch, so that nothing is held. Where a digest of another definition will do, set_fingerprint() hashes in
-    parallel.
+    One digest over one text is a walk in order by its nature. Rows are sorted in parallel, in ranges, and each range packs
+    its items into large binaries with the range's number and their own; one task then puts these, not the items, in their
+    order and hashes them one after another. Where a digest of another definition will do, set_fingerprint() hashes in parallel.
     """
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest, members = hashlib.sha256(before.encode()), 0
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def row() -> pa.RecordBatch:
+            blob = between.encode().join(held)
+            return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([number]), pa.array([len(held)]), pa.array([blob], pa.binary())], ["part", "number", "members", "blob"])
+
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                digest.update((between if members else "").encode() + text.encode())
-                members += 1
-        digest.update(after.encode())
-        yield pa.RecordBatch.from_arrays([pa.array([digest.hexdigest()]), pa.array([members])], ["digest", "members"])
-
-    ordered = rows.select(F.col(item).cast("string").alias("_item"), *order).orderBy(*order).select("_item")
-    return ordered.coalesce(1).mapInArrow(each, "digest string, members long")
+                held.append(text.encode())
+                size += len(held[-1])
+                if size >= _BLOB:
+                    yield row()
+                    number, held, size = number + 1, [], 0
+        if held:
+            yield row()
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole, members = hashlib.sha256(before.encode()), 0
+        for batch in batches:
+            for n, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if not n:
+                    continue
+                whole.update(between.encode() if members else b"")
+                whole.update(blob.as_buffer())
+                members += n
+        whole.update(after.encode())
+        yield pa.RecordBatch.from_arrays([pa.array([whole.hexdigest()]), pa.array([members])], ["digest", "members"])
+
+    ordered = rows.select(F.col(item).cast("string").alias("_item"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(order)])
+    ordered = ordered.orderBy(*[f"_{i}" for i in range(len(order))], "_item").select("_item")
+    packed = ordered.mapInArrow(pack, "part long, number long, members long, blob binary")
+    packed = packed.unionByName(rows.sparkSession.sql("SELECT -1L AS part, 0L AS number, 0L AS members, X'' AS blob"))  # so that no rows give a digest too
+    return packed.repartition(1).sortWithinPartitions("part", "number").select("members", "blob").mapInArrow(digest, "digest string, members long")
 
 
 def corpus_fingerprint(chunks: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.kept import there
 from .chunking import ordered_digest
 
 
@@ -149,14 +150,33 @@ def profile(documents: DataFrame, by: Sequence[str]) -> DataFrame:
     return rows.groupingSets(sets, *by).agg(F.count(F.lit(1)).alias("documents"), F.sum("bytes").alias("bytes"), F.countDistinct("sha").alias("contents"), F.grouping_id().cast("int").alias("level"))
 
 
+class FrozenConflict(ValueError):
+    """A frozen manifest's place holds other entries than those that it is named by."""
+
+
 def freeze_manifest(entries: DataFrame, folder: str) -> DataFrame:
-    """Writes entries (source_id, entry: canonical JSON) below folder in a place named by their content; (identity, entries, path).
+    """Writes entries (source_id, entry: canonical JSON) below folder in a place named by their content; (identity, entries,
+    path, created).
 
-    The same entries have the same place, where writing them again changes nothing; entries that differ have another one.
+    The entries are written first, and then a marker with their identity and number: what has no marker isn't frozen, and is
+    written anew. A place with a marker stays as it is: created is false if it holds these entries, and it is a conflict if
+    it doesn't, for its entries are read and hashed again. No entries can't be frozen.
     """
-    digest = ordered_digest(entries, "entry", "source_id", before='{"entries":[', after="]}")
-    found = digest.select(F.concat(F.lit("manifest_"), "digest").alias("identity"), F.col("members").alias("entries")).first()
-    path = f"{folder}/identity={found.identity}"
     spark = entries.sparkSession
-    entries.select("entry").write.mode("ignore").text(path)
-    return spark.createDataFrame([(found.identity, found.entries, path)], "identity string, entries long, path string")
+    identity, members = _manifest_identity(entries)
+    if not members:
+        raise ValueError("a manifest without entries can't be frozen")
+    path = f"{folder}/identity={identity}"
+    created = not there(spark, f"{path}/marker")
+    if created:
+        entries.select("source_id", "entry").write.mode("overwrite").parquet(f"{path}/entries")
+        spark.createDataFrame([(identity, members)], "identity string, entries long").coalesce(1).write.mode("overwrite").parquet(f"{path}/marker")
+    marked, held = spark.read.parquet(f"{path}/marker").first(), _manifest_identity(spark.read.parquet(f"{path}/entries"))
+    if marked is None or (marked.identity, marked.entries) != (identity, members) or held != (identity, members):
+        raise FrozenConflict(f"{path} is marked as {marked} and holds {held}, not {(identity, members)}")
+    return spark.createDataFrame([(identity, members, path, created)], "identity string, entries long, path string, created boolean")
+
+
+def _manifest_identity(entries: DataFrame) -> tuple[str, int]:
+    digest = ordered_digest(entries, "entry", "source_id", before='{"entries":[', after="]}").first()
+    return f"manifest_{digest.digest}", digest.members

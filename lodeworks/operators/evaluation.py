@@ -5,6 +5,8 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable, Iterator, Sequence
 from html.parser import HTMLParser
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -286,41 +288,40 @@ _CONTENT = frozenset(("h1", "h2", "h3", "h4", "h5", "h6", "p", "li"))
 _SILENT = frozenset(("script", "style"))
 
 
-class _Blocks(HTMLParser):
-    """Blocks of one page, by parser events: a content tag opens one and closes the one before, its end tag closes it."""
+class _Spans(HTMLParser):
+    """Text with the number and the tag of the block that it stands in. A block begins where its tag opens, whatever is open
+    then, and is over at the first end tag of its kind."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.found: list[tuple[str, int, str, list[str]]] = []
-        self.tag: str | None = None
-        self.parts: list[str] = []
-        self.path: list[str] = []
-        self.silent = 0
-
-    def _end(self) -> None:
-        text = " ".join(" ".join(self.parts).split())
-        if self.tag is not None and text:
-            level = int(self.tag[1]) if self.tag[0] == "h" else 0
-            self.path = _pushed(self.path, level, text)
-            self.found.append((self.tag, level, text, self.path))
-        self.tag, self.parts = None, []
+        self.spans: list[tuple[int, str, str]] = []
+        self.block, self.muted = (0, ""), 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in _SILENT:
-            self.silent += 1
-        elif tag in _CONTENT and not self.silent:
-            self._end()
-            self.tag = tag
+        self.muted += tag in _SILENT
+        if not self.muted and tag in _CONTENT:
+            self.block = (self.block[0] + 1, tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in _SILENT:
-            self.silent = max(0, self.silent - 1)
-        elif tag == self.tag and not self.silent:
-            self._end()
+        if not self.muted and tag == self.block[1]:
+            self.block = (self.block[0], "")
+        self.muted -= tag in _SILENT and self.muted > 0
 
     def handle_data(self, data: str) -> None:
-        if self.tag is not None and not self.silent:
-            self.parts.append(data)
+        if self.block[1] and not self.muted:
+            self.spans.append((*self.block, data))
+
+
+def _blocks(html: str) -> Iterator[tuple[str, int, str, list[str]]]:
+    """(tag, level, text, heading path) of the blocks of a page that have text."""
+    parser, path = _Spans(), []
+    parser.feed(html)
+    parser.close()
+    for (_, tag), spans in groupby(parser.spans, key=itemgetter(0, 1)):
+        if words := " ".join(data for _, _, data in spans).split():
+            level = int(tag[1]) if tag.startswith("h") else 0
+            path = _pushed(path, level, " ".join(words))
+            yield tag, level, " ".join(words), path
 
 
 def html_fragments(pages: DataFrame) -> DataFrame:
@@ -336,11 +337,7 @@ def html_fragments(pages: DataFrame) -> DataFrame:
         for batch in batches:
             rows: list[tuple] = []
             for page, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                blocks = _Blocks()
-                blocks.feed(html or "")
-                blocks.close()
-                blocks._end()
-                rows += [(page, i, *block) for i, block in enumerate(blocks.found)]
+                rows += [(page, i, *block) for i, block in enumerate(_blocks(html or ""))]
             columns = list(zip(*rows, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 

@@ -7,6 +7,7 @@ from datetime import datetime, timezone
 from pyspark.sql import functions as F
 
 from ..operators import chunking as C
+from ..sources.kept import KeptTable
 from ..sources.reports import read_report, write_report
 from ..streaming import state as S
 from .base import query, table
@@ -19,9 +20,7 @@ _PREF = """WITH w AS (SELECT user_id AS owner, event_type AS key, event_id AS se
 SELECT owner, key, count(*) AS revision FROM g WHERE NOT deletes AND seq > coalesce(gone, -1) GROUP BY owner, key"""
 
 
-def _stream(spark, path):
-    S.rocksdb_state(spark)
-    return S.read_stream(spark, path)
+_stream = S.read_stream
 
 
 @query(_SNAP)
@@ -72,12 +71,38 @@ def stream_active_sessions(spark, sf):
     return S.latest(S.drain(S.keyed(seen, "owner", S.Sessions, "owner long, seen_us long, active boolean", timers=True)), "owner")
 
 
+_KEPT = "id string, prefix string, source string, chunk_ordinal int, text string"
+
+
+def _identified(docs):
+    """The chunks of documents (source, text) with an id by content."""
+    id_ = F.md5(F.concat_ws("|", "source", "chunk_ordinal", "text").cast("binary"))
+    return C.structure_chunk(docs).withColumn("id", id_).withColumn("prefix", F.substring("id", 1, 1))
+
+
 @query(f"WITH RECURSIVE {DUCK_CHUNKS} SELECT md5(concat(source, '|', chunk_ordinal, '|', text)) AS id, count(DISTINCT 1) AS copies FROM chunks GROUP BY 1")
 def stream_ingest(spark, sf):
-    docs = _stream(spark, f"{sf}/documents.parquet").select("source", "text")
-    chunks = C.structure_chunk(docs).select(F.md5(F.concat_ws("|", "source", "chunk_ordinal", "text").cast("binary")).alias("id")).dropDuplicates(["id"])
-    rows = S.drain(chunks, "append")
-    return rows.groupBy("id").agg(F.count(F.lit(1)).alias("copies"))
+    """Documents as they come, chunked and appended to a kept table that refuses what it has: the stream itself keeps no state."""
+    folder = S._folder(spark)
+    kept = KeptTable(spark, f"{folder}/kept", _KEPT, "id", ["prefix"])
+    S.run(_identified(_stream(spark, f"{sf}/documents.parquet").select("source", "text")), kept.sink(), folder, "append")
+    return kept.rows().groupBy("id").agg(F.count(F.lit(1)).alias("copies"))
+
+
+@query(f"""WITH RECURSIVE {DUCK_CHUNKS}, c AS (SELECT doc_id % 3 AS part, md5(concat(source, '|', chunk_ordinal, '|', text)) AS id FROM chunks),
+f AS (SELECT id, min(CASE part WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END) AS part FROM c GROUP BY id), n AS (SELECT part, count(*) AS total FROM c GROUP BY part),
+i AS (SELECT part, count(*) AS inserted FROM f GROUP BY part)
+SELECT 'part-' || n.part AS append, total, coalesce(inserted, 0) AS inserted, total - coalesce(inserted, 0) AS skipped, (SELECT count(*) FROM f) AS kept FROM n LEFT JOIN i USING (part)
+UNION ALL SELECT 'all', (SELECT count(*) FROM c), 0, (SELECT count(*) FROM c), (SELECT count(*) FROM f)""")
+def sinks(spark, sf):
+    """Chunks appended in three parts, each twice under its name, and then all again under another: counts of each append."""
+    kept = KeptTable(spark, f"{S._folder(spark)}/kept", _KEPT, "id", ["prefix"])
+    docs = table(spark, sf, "documents").select("doc_id", "source", "text")
+    for part in (0, 1, 2, 0, 1, 2):
+        kept.append(_identified(docs.filter(F.col("doc_id") % 3 == part)), f"part-{part}", "chunk_ordinal")
+    kept.append(_identified(docs), "all", "chunk_ordinal")
+    size = kept.rows().agg(F.count(F.lit(1)).alias("kept"))
+    return kept.log().crossJoin(F.broadcast(size))  # one row
 
 
 @query("""SELECT 'corpus' AS part, doc_id::VARCHAR AS id, md5(trim('t' || (doc_id % 3) || chr(10) || text)) AS value FROM documents WHERE text <> ''

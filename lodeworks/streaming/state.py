@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from typing import Any
 
 import pandas as pd
@@ -133,10 +134,11 @@ class Sessions(StatefulProcessor):
         pass
 
 
-def active_sessions(seen: DataFrame, life_us: int) -> DataFrame:
-    """The batch twin of Sessions over the whole log seen (owner, us): (owner, seen_us, active), as of the last time in it."""
+def active_sessions(seen: DataFrame, life_us: int, delay_us: int = 0) -> DataFrame:
+    """The batch twin of Sessions over the whole log seen (owner, us): (owner, seen_us, active), as of the last time in it less
+    the delay that the stream's watermark allows."""
     last = seen.groupBy("owner").agg(F.max("us").alias("seen_us"))
-    now = seen.agg(F.max("us").alias("now"))
+    now = seen.agg((F.max("us") - delay_us).alias("now"))
     return last.crossJoin(F.broadcast(now)).select("owner", "seen_us", (F.col("seen_us") + life_us > F.col("now")).alias("active"))  # one row
 
 
@@ -144,18 +146,42 @@ def _folder(spark: SparkSession) -> str:
     return new_folder(spark, "streams")
 
 
-def drain(stream: DataFrame, mode: str = "update") -> DataFrame:
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """RocksDB as the state store of streams that start within, which processors with map and list state and timers need; the
+    session's own setting comes back."""
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
+
+
+def run(stream: DataFrame, write: Callable[[DataFrame, int], None], folder: str, mode: str = "update") -> None:
+    """Runs a stream over what is there now, batch by batch, from where the last run in this folder ended."""
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write)
+    with rocksdb_state(stream.sparkSession):
+        started = writer.start()  # takes the settings of now
+    started.awaitTermination()
+
+
+def drain(stream: DataFrame, mode: str = "update", folder: str | None = None) -> DataFrame:
     """Runs a stream over what is there now; its rows with the batch that wrote them, from files of the shared folder.
 
-    A batch that runs again overwrites its own folder, so each is written once.
+    A batch that runs again overwrites its own folder, so each is written once. With the folder of an earlier run the stream
+    goes on from there, and the rows are those of all runs. A stream of which nothing came has no rows.
     """
-    spark, folder = stream.sparkSession, _folder(stream.sparkSession)
+    spark, folder = stream.sparkSession, folder or _folder(stream.sparkSession)
+    spark.createDataFrame([], stream.schema).write.mode("ignore").parquet(f"{folder}/rows/batch=-1")
 
     def write(rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch}")
 
-    run = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start()
-    run.awaitTermination()
+    run(stream, write, folder, mode)
     schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])
     return spark.read.schema(schema).parquet(f"{folder}/rows")
 
@@ -170,17 +196,11 @@ def keyed(rows: DataFrame, key: str, processor: Callable[[], StatefulProcessor],
     return rows.groupBy(key).transformWithStateInPandas(processor(), outputStructType=schema, outputMode="update", timeMode="eventTime" if timers else "none")
 
 
-def read_stream(spark: SparkSession, path: str) -> DataFrame:
-    """A table's files as a stream, one file after another; the state of keyed() needs RocksDB, which the session must name as its
-    state store (`rocksdb_state`)."""
+def read_stream(spark: SparkSession, path: str, files_at_once: int = 4) -> DataFrame:
+    """A table's files as a stream, some files after others."""
     files = spark.read.parquet(path)
-    reader = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 4)
+    reader = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", files_at_once)
     if files.select("_metadata.file_name").filter(F.col("_metadata.file_name") == path.rpartition("/")[2]).isEmpty():
         return reader.parquet(path)
     folder, _, name = path.rpartition("/")  # the path is one file, and a stream reads folders: this one's file of that name
     return reader.option("pathGlobFilter", name).parquet(folder)
-
-
-def rocksdb_state(spark: SparkSession) -> None:
-    """Sets the session's state store to RocksDB, which processors with map and list state and timers need."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
