@@ -9,7 +9,7 @@ from ..operators import evaluation as E
 from ..operators import retrieval as R
 from ..operators.chunking import ordered_digest
 from ..sources.scratch import written
-from .base import query, sql, table
+from .base import qrels_of, query, sql, table
 from .retrieval import DUCK_HYBRID, _duck_metrics, _hybrid_branches
 
 _RUNS = f"{DUCK_HYBRID}, {_duck_metrics('(SELECT * FROM hbmr)', 5, 'b')}, {_duck_metrics('fusr', 5, 'h')}"
@@ -17,9 +17,8 @@ _RUNS = f"{DUCK_HYBRID}, {_duck_metrics('(SELECT * FROM hbmr)', 5, 'b')}, {_duck
 
 def _two_runs(spark, sf):
     """RR at 5 of BM25 alone and of the fusion, for the queries that have gold documents."""
-    lexical, dense, judged = _hybrid_branches(spark, sf)
-    lexical = R.topk(lexical, 20)
-    fused = R.rrf_fuse({"bm25": lexical, "dense": R.topk(dense, 20)})
+    lexical, dense = _hybrid_branches(spark, sf)
+    judged, fused = qrels_of(spark, sf), R.rrf_fuse({"bm25": lexical, "dense": dense})
     return R.retrieval_metrics(lexical, judged, 5), R.retrieval_metrics(fused, judged, 5), judged
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
+from ..operators.chunking import corpus_fingerprint
+from ..operators.embedding import TOKEN_HASH, embedded
 from ..sources.scratch import new_folder, written
 from .base import DUCK_BM25, DUCK_QRELS, chunks_of, duck_tokens, qrels_of, queries_of, query, table
 
@@ -57,22 +59,20 @@ def _vectors(spark, sf, *more):
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), *more)
 
 
-def _dense(spark, sf, k):
-    vectors = _vectors(spark, sf)
-    wanted = vectors.filter("id % 25 = 0").withColumnRenamed("id", "query")
-    return R.topk(R.dense_scores(wanted, vectors), k)
+def _asked(vectors: DataFrame) -> DataFrame:
+    return vectors.filter("id % 25 = 0").select(F.col("id").alias("query"), "vector")
 
 
 @query(f"WITH {DUCK_DENSE} SELECT query, id, round(score, 6) AS score, rank::INT AS rank FROM denr WHERE rank <= 5")
 def dense_search(spark, sf):
-    return _dense(spark, sf, 5).select("query", "id", F.round("score", 6).alias("score"), "rank")
+    vectors = _vectors(spark, sf)
+    return R.dense_search(_asked(vectors), vectors, 5, but_itself=True).select("query", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"WITH {DUCK_DENSE} SELECT query, count(*) AS n, round(avg(score), 6) AS mean_score, round(max(score), 6) AS best FROM den GROUP BY query")
 def dense_pairs(spark, sf):
     vectors = _vectors(spark, sf)
-    scored = R.dense_scores(vectors.filter("id % 25 = 0").withColumnRenamed("id", "query"), vectors)
-    return scored.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean_score"), F.round(F.max("score"), 6).alias("best"))
+    return R.dense_summary(_asked(vectors), vectors).select("query", "n", F.round("mean", 6).alias("mean_score"), F.round("best", 6).alias("best"))
 
 
 @query(f"""WITH {DUCK_DENSE}, r AS (SELECT den.query, d.source, den.id, den.score, row_number() OVER (PARTITION BY query, d.source ORDER BY score DESC, den.id) AS rank
@@ -80,15 +80,13 @@ FROM den JOIN documents d ON d.doc_id = den.id) SELECT query, source, id, round(
 def dense_source_local(spark, sf):
     vectors = _vectors(spark, sf)
     placed = vectors.join(chunks_of(spark, sf, "source").select("id", "source"), "id")
-    scored = R.dense_scores(vectors.filter("id % 25 = 0").withColumnRenamed("id", "query"), placed, keep=["source"])
-    return R.topk(scored, 3, ["query", "source"]).select("query", "source", "id", F.round("score", 6).alias("score"), "rank")
+    return R.dense_search(_asked(vectors), placed, 3, by="source", but_itself=True).select("query", "source", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"WITH {DUCK_DENSE}, t AS (SELECT query, id, score FROM den WHERE score > 0.05) SELECT query, id, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM t) WHERE rank <= 10")
 def ranked_topk(spark, sf):
     vectors = _vectors(spark, sf)
-    scored = R.dense_scores(vectors.filter("id % 25 = 0").withColumnRenamed("id", "query"), vectors).filter("score > 0.05")
-    return R.topk(scored, 10).select("query", "id", F.round("score", 6).alias("score"), "rank")
+    return R.dense_search(_asked(vectors), vectors, 10, least=0.05, but_itself=True).select("query", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)
@@ -125,11 +123,21 @@ def dense_index_guard(spark, sf):
     return R.dense_index_problems(header, chunks.filter("id % 10 <> 1"), embedder="other", dimension=64)
 
 
+_TEXT = "text"
+
+
+def _duck_vectors(name: str, key: str, tokens: str) -> str:
+    """Signed token hashes of tokens (key, t), scaled: name(key, b, x)."""
+    place = f"('0x' || substring(md5(t), 1, 8))::BIGINT % {TOKEN_HASH.dimension} AS b, 1 - 2 * (('0x' || substring(md5(t), 9, 1))::BIGINT % 2) AS s"
+    return f"""{name}_s AS (SELECT {key}, b, sum(s) AS x FROM (SELECT {key}, {place} FROM {tokens}) GROUP BY {key}, b),
+{name} AS (SELECT {key}, b, x / sqrt(sum(x * x) OVER (PARTITION BY {key})) AS x FROM {name}_s QUALIFY sum(x * x) OVER (PARTITION BY {key}) > 0)"""
+
+
 DUCK_HYBRID = f"""{DUCK_BM25}, {DUCK_QRELS.strip()},
-vecs AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
-norms AS (SELECT id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM vecs),
-qvec AS (SELECT query, min(qrels.id) AS vid FROM qrels JOIN vecs ON vecs.id = qrels.id GROUP BY query),
-hden AS (SELECT q.query, n.id, round(list_dot_product(n.v, m.v), 9) AS score FROM qvec q JOIN norms m ON m.id = q.vid, norms n JOIN documents d ON d.doc_id = n.id),
+{_duck_vectors("dvec", "id", "(SELECT id, unnest(tokens) AS t FROM tok)")},
+{_duck_vectors("qvec", "query", f"(SELECT item_id AS query, unnest({duck_tokens('text')}) AS t FROM benchmark)")},
+hsum AS (SELECT query, id, sum(q.x * d.x) AS score FROM qvec q JOIN dvec d USING (b) GROUP BY query, id),
+hden AS (SELECT query, id, round(coalesce(score, 0), 9) AS score FROM (SELECT DISTINCT query FROM qvec) CROSS JOIN (SELECT DISTINCT id FROM dvec) LEFT JOIN hsum USING (query, id)),
 hdenr AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM hden),
 hbmr AS (SELECT query, id, rank, score FROM bmr),
 branch AS (SELECT query, id, rank, 'bm25' AS r FROM hbmr UNION ALL SELECT query, id, rank, 'dense' AS r FROM hdenr),
@@ -138,34 +146,46 @@ fus AS (SELECT query, id, round(sum(1.0 / (60 + rank)), 9) AS score, max(CASE WH
 fusr AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM fus)"""
 
 
-def _hybrid_branches(spark, sf):
-    """Scores by BM25 for all queries, by cosine for those that have a vector: the one of their smallest gold document."""
-    vectors = _vectors(spark, sf)
-    gold = qrels_of(spark, sf)
-    first = gold.join(vectors.select("id"), "id").groupBy("query").agg(F.min("id").alias("vid"))
-    wanted = first.join(vectors.withColumnRenamed("id", "vid"), "vid").select("query", "vector")
-    stored = vectors.join(chunks_of(spark, sf).select("id"), "id", "left_semi")
-    shifted = wanted.withColumn("query", -F.col("query") - 1)  # a query's number is no vector's id
-    dense = R.dense_scores(shifted, stored).withColumn("query", -F.col("query") - 1)
-    return R.bm25_scores(queries_of(spark, sf), chunks_of(spark, sf)), dense, gold
+def _embedded(spark, sf):
+    """The queries' vectors and the chunks', by source, from their texts alone."""
+    chunks = embedded(chunks_of(spark, sf, "source"), instruction=TOKEN_HASH.document_instruction)
+    return embedded(queries_of(spark, sf), instruction=TOKEN_HASH.query_instruction), chunks
+
 
+def _hybrid_branches(spark, sf, candidates=20):
+    """The candidates of each query by BM25 and by cosine."""
+    asked, chunks = _embedded(spark, sf)
+    return _bm25(spark, sf, candidates), R.dense_search(asked, chunks, candidates)
 
-def _fused(lexical, dense, k=None, candidates=20):
-    """Each branch cut to its candidates, then fused."""
-    return R.rrf_fuse({"bm25": R.topk(lexical, candidates), "dense": R.topk(dense, candidates)}, k=k)
+
+@query(f"WITH {_duck_vectors('v', 'item_id', f'(SELECT item_id, unnest({duck_tokens(_TEXT)}) AS t FROM benchmark)')} SELECT item_id AS query, round(sqrt(sum(x * x)), 6) AS norm, count(*) AS used, sum(b * (x > 0)::INT)::BIGINT AS up, sum(b * (x < 0)::INT)::BIGINT AS down, '{TOKEN_HASH.identity}' AS embedder FROM v WHERE x <> 0 GROUP BY item_id")
+def text_embedding(spark, sf):
+    """Vectors of the benchmark's passages, by their length and by where they count up and down."""
+    rows = embedded(queries_of(spark, sf)).filter("vector IS NOT NULL").select("query", F.posexplode("vector").alias("b", "x")).filter("x <> 0")
+    side = lambda c: F.sum(F.when(c, F.col("b")).otherwise(0)).cast("long")
+    return rows.groupBy("query").agg(F.round(F.sqrt(F.sum(F.col("x") * F.col("x"))), 6).alias("norm"), F.count(F.lit(1)).alias("used"), side(F.col("x") > 0).alias("up"), side(F.col("x") < 0).alias("down"), F.lit(TOKEN_HASH.identity).alias("embedder"))
 
 
 @query(f"WITH {DUCK_HYBRID} SELECT query, id, round(score, 6) AS score, bm25_rank, dense_rank, rank::INT AS rank FROM fusr")
 def rrf_fuse(spark, sf):
-    lexical, dense, _ = _hybrid_branches(spark, sf)
-    return _fused(lexical, dense).withColumn("score", F.round("score", 6))
+    lexical, dense = _hybrid_branches(spark, sf)
+    return R.rrf_fuse({"bm25": lexical, "dense": dense}).withColumn("score", F.round("score", 6))
+
 
+def _versioned(spark, sf):
+    """Chunks with what tells their corpus apart: the documents, whole."""
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", F.sha2("text", 256).alias("document_sha256"), F.lit("whole-v1").alias("chunker_version"))
 
-@query(f"WITH {DUCK_HYBRID} SELECT query, id, round(score, 6) AS score, bm25_rank, dense_rank, rank::INT AS rank, (SELECT count(*) FROM documents) AS corpus_size FROM fusr WHERE rank <= 5")
+
+_DUCK_CORPUS = """(SELECT 'corpus_' || sha256('[' || string_agg('{"chunker_version":"whole-v1","document_sha256":"' || sha256(text) || '","evidence_id":"' || doc_id || '"}', ',' ORDER BY doc_id::VARCHAR) || ']') FROM documents)"""
+
+
+@query(f"WITH {DUCK_HYBRID} SELECT query, id, round(score, 6) AS score, bm25_rank, dense_rank, rank::INT AS rank, (SELECT count(*) FROM documents) AS corpus_size, 'whole-v1' AS chunker_version, {_DUCK_CORPUS} AS corpus_fingerprint, '{TOKEN_HASH.identity}' AS embedder FROM fusr WHERE rank <= 5")
 def hybrid_search(spark, sf):
-    lexical, dense, _ = _hybrid_branches(spark, sf)
-    size = chunks_of(spark, sf).agg(F.count(F.lit(1)).alias("corpus_size"))
-    return _fused(lexical, dense, 5).withColumn("score", F.round("score", 6)).crossJoin(F.broadcast(size))  # one row
+    lexical, dense = _hybrid_branches(spark, sf)
+    chunks = _versioned(spark, sf)
+    report = corpus_fingerprint(chunks.withColumn("evidence_id", F.col("id").cast("string"))).select(F.col("members").alias("corpus_size"), F.lit("whole-v1").alias("chunker_version"), F.col("fingerprint").alias("corpus_fingerprint"), F.lit(TOKEN_HASH.identity).alias("embedder"))
+    return R.rrf_fuse({"bm25": lexical, "dense": dense}, k=5).withColumn("score", F.round("score", 6)).crossJoin(F.broadcast(report))  # one row
 
 
 DUCK_SCOPE = f"""{DUCK_HYBRID},
@@ -176,26 +196,43 @@ sfus AS (SELECT query, id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELEC
 sfusr AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM sfus)"""
 
 
+def _scopes(spark, sf):
+    """(query, source): the sources that a passage is from, which is where it may be sought."""
+    return qrels_of(spark, sf).join(chunks_of(spark, sf, "source").select("id", "source"), "id").select("query", "source").distinct()
+
+
 def _scoped(spark, sf):
-    lexical, dense, gold = _hybrid_branches(spark, sf)
-    docs = chunks_of(spark, sf, "source").select("id", "source")
-    sources = gold.join(docs, "id").select("query", "source").distinct()
-    allowed = sources.join(docs, "source").select("query", "id")
-    fused = R.rrf_fuse({"bm25": R.rescope(lexical, allowed, 20), "dense": R.rescope(dense, allowed, 20)})
-    return fused, _fused(lexical, dense), gold
+    """The fused ranking within each query's sources: scores are those over the whole corpus, ranks are within."""
+    scopes = written(_scopes(spark, sf), "scopes")
+    asked, chunks = _embedded(spark, sf)
+    allowed = asked.join(scopes.groupBy("query").agg(F.collect_set("source").alias("scopes")), "query")
+    lexical = R.rescope(R.bm25_scores(queries_of(spark, sf), chunks_of(spark, sf)), chunks_of(spark, sf, "source"), scopes, 20)
+    return R.rrf_fuse({"bm25": lexical, "dense": R.dense_search(allowed, chunks, 20, scope="source")})
 
 
 @query(f"WITH {DUCK_SCOPE} SELECT query, id, round(score, 6) AS score, rank::INT AS rank FROM sfusr WHERE rank <= 5")
 def hybrid_scoped(spark, sf):
-    return _scoped(spark, sf)[0].filter("rank <= 5").select("query", "id", F.round("score", 6).alias("score"), "rank")
+    return _scoped(spark, sf).filter("rank <= 5").select("query", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"WITH {DUCK_SCOPE} SELECT b.query, b.id, rank::INT AS rank FROM (SELECT hbmr.query, hbmr.id, row_number() OVER (PARTITION BY hbmr.query ORDER BY score DESC, hbmr.id) AS rank FROM hbmr JOIN scope USING (query, id)) b WHERE rank <= 10")
 def source_scope(spark, sf):
-    lexical, _, gold = _hybrid_branches(spark, sf)
-    docs = chunks_of(spark, sf, "source").select("id", "source")
-    allowed = gold.join(docs, "id").select("query", "source").distinct().join(docs, "source")
-    return R.rescope(lexical, allowed, 10).select("query", "id", "rank")
+    lexical = R.bm25_scores(queries_of(spark, sf), chunks_of(spark, sf))
+    return R.rescope(lexical, chunks_of(spark, sf, "source"), _scopes(spark, sf), 10).select("query", "id", "rank")
+
+
+@query(f"WITH {DUCK_BM25} SELECT 'even' AS batch, query, id, round(score, 6) AS score, rank::INT AS rank FROM bmr WHERE rank <= 5 AND query % 2 = 0 UNION ALL SELECT 'odd', query, id, round(score, 6), rank::INT FROM bmr WHERE rank <= 5 AND query % 2 = 1")
+def bm25_stored_search(spark, sf):
+    """One stored index, guarded, that serves two batches of queries."""
+    chunks, folder = _versioned(spark, sf), new_folder(spark, "bm25")
+    header = R.bm25_store(chunks, folder)
+    if problems := R.bm25_index_problems(header, chunks).collect():
+        raise ValueError(f"the index can't serve these chunks: {problems}")
+    batches = []
+    for name, rest in (("even", 0), ("odd", 1)):
+        ranked = R.topk(R.bm25_stored_scores(queries_of(spark, sf).filter(F.col("query") % 2 == rest), header), 5)
+        batches.append(ranked.select(F.lit(name).alias("batch"), "query", "id", F.round("score", 6).alias("score"), "rank"))
+    return batches[0].unionByName(batches[1])
 
 
 def _duck_metrics(ranking: str, k: int, name: str = "m") -> str:
@@ -231,7 +268,7 @@ _CUTS = (1, 3, 5, 10)
     f"WITH {DUCK_BM25}, {DUCK_QRELS.strip()}, "
     + ", ".join(_duck_metrics("bmr", k, f"m{k}") for k in _CUTS)
     + " "
-    + " UNION ALL ".join(f"SELECT {k} AS k, count(*) AS cases, round(avg(recall), 6) AS recall, round(avg(rr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg FROM m{k}" for k in _CUTS)
+    + " UNION ALL ".join(f"SELECT {k} AS k, count(*) AS cases, round(avg(recall), 6) AS recall, round(avg(rr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg, count(*) FILTER (WHERE rr < 1 OR recall < 1 OR ndcg < 1) AS failed FROM m{k}" for k in _CUTS)
 )
 def cutoff_sweep(spark, sf):
     return R.cutoff_sweep(_bm25(spark, sf, max(_CUTS)), qrels_of(spark, sf), _CUTS)
@@ -243,24 +280,53 @@ gr AS (SELECT *, row_number() OVER (PARTITION BY c, k, query ORDER BY score DESC
 SELECT c AS candidates, k AS constant, count(*) FILTER (WHERE q.id IS NOT NULL) AS hits, round(sum(CASE WHEN q.id IS NOT NULL THEN 1.0 / rank ELSE 0 END), 6) AS rr_sum
 FROM gr LEFT JOIN qrels q ON q.query = gr.query AND q.id = gr.id WHERE rank <= 5 GROUP BY c, k""")
 def rrf_grid(spark, sf):
-    lexical, dense, gold = _hybrid_branches(spark, sf)
-    return R.rrf_grid([R.topk(lexical, 20), R.topk(dense, 20)], gold, (5, 10, 20), (10, 30, 60))
+    return R.rrf_grid(_hybrid_branches(spark, sf), qrels_of(spark, sf), (5, 10, 20), (10, 30, 60))
 
 
-@query(f"""WITH {DUCK_BM25}, {DUCK_QRELS.strip()}, ov AS (SELECT q.query, q.id, len(list_intersect(list_distinct(t.tokens), list_distinct({duck_tokens('b.text')}))) AS overlap
-  FROM qrels q JOIN tok t ON t.id = q.id JOIN benchmark b ON b.item_id = q.query)
-SELECT ov.query, ov.id, overlap::INT AS overlap, bmr.rank::INT AS rank, CASE WHEN overlap = 0 THEN 'no-lexical-overlap' WHEN bmr.rank <= 5 THEN 'retrieved' ELSE 'ranked-below-cutoff' END AS class
-FROM ov LEFT JOIN bmr ON bmr.query = ov.query AND bmr.id = ov.id""")
-def lexical_diagnosis(spark, sf):
+_REASONS = """list_filter([CASE WHEN first_rank IS NULL THEN 'no-relevant-evidence-retrieved' END, CASE WHEN first_rank > 1 THEN 'first-relevant-result-ranked-late' END,
+CASE WHEN recall < 1 THEN 'incomplete-recall' END, CASE WHEN ndcg < 1 THEN 'suboptimal-relevance-order' END], lambda r: r IS NOT NULL)"""
+
+
+@query(f"WITH {DUCK_BM25}, {DUCK_QRELS.strip()}, {_duck_metrics('bmr', 10)} SELECT query, array_to_string({_REASONS}, ',') AS reasons FROM m WHERE len({_REASONS}) > 0")
+def failure_reasons(spark, sf):
+    """What is wrong with each case at the largest cutoff."""
+    measured = R.retrieval_metrics(_bm25(spark, sf, max(_CUTS)), qrels_of(spark, sf), max(_CUTS))
+    return R.failure_reasons(measured).select("query", F.array_join("reasons", ",").alias("reasons"))
+
+
+_DUCK_DIAGNOSIS = f"""{DUCK_BM25}, {DUCK_QRELS.strip()}, qtok AS (SELECT item_id AS query, list_distinct({duck_tokens('text')}) AS t FROM benchmark),
+ov AS (SELECT q.query, q.id, q.grade, list_sort(list_filter(qtok.t, lambda x: list_contains(tok.tokens, x))) AS matched FROM qrels q JOIN tok ON tok.id = q.id JOIN qtok USING (query)),
+dg AS (SELECT ov.query, ov.id, ov.grade, matched, bmr.rank::INT AS rank, CASE WHEN len(matched) = 0 THEN 'no-lexical-overlap' WHEN bmr.rank <= 5 THEN 'retrieved' ELSE 'ranked-below-cutoff' END AS status
+  FROM ov LEFT JOIN bmr ON bmr.query = ov.query AND bmr.id = ov.id)"""
+
+
+def _diagnosed(spark, sf):
     queries, chunks = queries_of(spark, sf), chunks_of(spark, sf)
     scored = written(R.bm25_scores(queries, chunks).select("query", "id", "score"), "scores")
-    return R.lexical_diagnosis(qrels_of(spark, sf), queries, chunks, scored, 5)
+    return R.lexical_diagnosis(qrels_of(spark, sf), queries, chunks, scored, 5), queries
+
+
+@query(f"WITH {_DUCK_DIAGNOSIS} SELECT query, id, grade, array_to_string(matched, ' ') AS matched_terms, rank, status FROM dg")
+def lexical_diagnosis(spark, sf):
+    return _diagnosed(spark, sf)[0].withColumn("matched_terms", F.array_join("matched_terms", " "))
+
+
+@query(f"""WITH {_DUCK_DIAGNOSIS}, c AS (SELECT query, bool_and(status = 'no-lexical-overlap') AS whole, bool_or(status = 'no-lexical-overlap') AS part, bool_or(status = 'ranked-below-cutoff') AS below,
+  min(rank) FILTER (WHERE status = 'retrieved') AS best FROM dg GROUP BY query),
+f AS (SELECT query, list_filter(CASE WHEN len(t) = 0 THEN ['query-produced-no-tokens'] ELSE [CASE WHEN whole THEN 'no-gold-lexical-overlap' WHEN part THEN 'partial-gold-lexical-overlap' END,
+  CASE WHEN below THEN 'gold-ranked-below-cutoff' END, CASE WHEN best > 1 THEN 'relevant-results-ranked-late' END] END, lambda x: x IS NOT NULL) AS fs FROM c JOIN qtok USING (query))
+SELECT query, coalesce(fs[1], 'lexical-overlap-covered') AS classification, CASE WHEN len(fs) = 0 THEN 'lexical-overlap-covered' ELSE array_to_string(fs, ',') END AS factors FROM f""")
+def case_diagnosis(spark, sf):
+    diagnosed, queries = _diagnosed(spark, sf)
+    return R.case_diagnosis(diagnosed, queries).withColumn("factors", F.array_join("factors", ","))
 
 
 @query(f"""WITH {DUCK_SCOPE}, {_duck_metrics('sfusr', 5, 's')}, {_duck_metrics('fusr', 5, 'u')}
 SELECT s.query, round(s.rr, 6) AS scoped_rr, round(u.rr, 6) AS unscoped_rr, round(s.rr - u.rr, 6) AS delta FROM s JOIN u USING (query)""")
 def scoped_comparison(spark, sf):
-    return _rounded(R.compared_scopes(*_scoped(spark, sf)))
+    lexical, dense = _hybrid_branches(spark, sf)
+    whole = R.rrf_fuse({"bm25": lexical, "dense": dense})
+    return _rounded(R.compared_scopes(_scoped(spark, sf), whole, qrels_of(spark, sf), places=chunks_of(spark, sf, "source"), allowed=_scopes(spark, sf)))
 
 
 @query(f"WITH {DUCK_BM25}, n AS (SELECT b.item_id AS query, count(bmr.id) AS found FROM benchmark b LEFT JOIN bmr ON bmr.query = b.item_id AND bmr.rank <= 5 AND bmr.score >= 25 GROUP BY 1) SELECT query, found, CASE WHEN found = 0 THEN 'insufficient_evidence' ELSE 'answerable' END AS status, found > 0 AS model_called FROM n")
