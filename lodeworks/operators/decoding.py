@@ -85,22 +85,22 @@ def _lines(regions: list[tuple[float, float, float, str]]) -> str:
     """Text of one page's regions (top, left, bottom, text), as reading_order() says."""
     lines: list[list] = []  # top, bottom, [(left, text)]
     for top, left, bottom, text in sorted(regions):
-        for line in lines:
-            shared = min(line[1], bottom) - max(line[0], top)
-            if shared >= 0.5 * min(line[1] - line[0], bottom - top) - 1e-12:
-                line[0], line[1] = min(line[0], top), max(line[1], bottom)
-                line[2].append((left, text))
-                break
-        else:
+        shares = [(min(a_bottom, bottom) - max(a_top, top)) / (min(a_bottom - a_top, bottom - top) or 1.0) for a_top, a_bottom, _ in lines]
+        best = max(range(len(lines)), key=shares.__getitem__, default=None)  # of equal shares the first
+        if best is None or shares[best] < 0.5:
             lines.append([top, bottom, [(left, text)]])
-    return "\n".join(" ".join(t for _, t in sorted(items)) for _, _, items in sorted(lines))
+        else:
+            line = lines[best]
+            lines[best] = [min(line[0], top), max(line[1], bottom), [*line[2], (left, text)]]
+    return "\n".join(text for _, _, items in sorted(lines, key=lambda line: line[0]) for _, text in sorted(items, key=lambda item: item[0]))
 
 
 def reading_order(regions: DataFrame, *page: str) -> DataFrame:
-    """(page columns, text): a page's regions as lines, greedily grouped by a vertical overlap of half the smaller height or more.
+    """(page columns, text): a page's regions in reading order, one to a line of text.
 
-    Regions come from the top; each joins the first line that it overlaps enough with, else begins one. Lines go by
-    their top, regions of a line by their left. A page's regions meet in one row, as many as a page holds.
+    Regions come from the top; each joins the line with which it shares most of the smaller one's height, if that is half
+    or more, of equal ones the first, and else begins a line. Lines go by their top, regions of a line by their left. A
+    page's regions meet in one row, as many as a page holds.
     """
     region = F.struct(*[F.col(c).cast("double").alias(c) for c in ("top", "left", "bottom")], "text")
     pages = regions.groupBy(*page).agg(F.collect_list(region).alias("rs"))

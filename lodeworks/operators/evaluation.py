@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..sources.scratch import numbered
 
@@ -325,13 +326,14 @@ def _blocks(html: str) -> Iterator[tuple[str, int, str, list[str]]]:
 
 
 def html_fragments(pages: DataFrame) -> DataFrame:
-    """pages (page long, html) to (page, ordinal, tag, level, text, heading_path): headings, paragraphs and list items in order.
+    """pages (page, html) to (page, ordinal, tag, level, text, heading_path): headings, paragraphs and list items in order.
 
     Tags, references and quoting are read as HTML parsers do; text outside of blocks and in scripts and styles goes. A null
     or empty page, or one without such blocks, has no rows.
     """
     names = ["page", "ordinal", "tag", "level", "text", "heading_path"]
-    kinds = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.string()))
+    schema = T.StructType([pages.schema["page"], *T.StructType.fromDDL("ordinal int, tag string, level int, text string, heading_path array<string>").fields])
+    kinds = [f.type for f in to_arrow_schema(schema)]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -341,5 +343,4 @@ def html_fragments(pages: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    rows = pages.select(F.col("page").cast("long"), F.col("html").cast("string"))
-    return rows.mapInArrow(each, "page long, ordinal int, tag string, level int, text string, heading_path array<string>")
+    return pages.select("page", F.col("html").cast("string")).mapInArrow(each, schema)

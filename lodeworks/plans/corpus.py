@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking as C
+from ..operators import contracts
 from ..operators import corpus as O
 from ..operators.matching import AT_LETTERS, containing
 from ..sources.scratch import new_folder
-from .base import query, table
+from .base import query, sql, table
 
 W = T.WS
 _FLAT = f"trim(regexp_replace(text, '{W}+', ' ', 'g'))"
@@ -234,10 +235,77 @@ def manifest_document_join(spark, sf):
     return O.match_documents(entries, docs.select("doc_id", "source", F.sha2("text", 256).alias("content_sha256")), "doc_id")
 
 
-@query("""SELECT id, rule FROM (SELECT o_orderkey AS id, unnest(list_filter([CASE WHEN o_totalprice <= 1000 THEN 'price-too-low' END, CASE WHEN o_orderstatus NOT IN ('O', 'F') THEN 'status-unknown' END, CASE WHEN o_orderdate >= TIMESTAMP '1998-01-01' THEN 'date-too-late' END], lambda r: r IS NOT NULL)) AS rule FROM orders)""")
+#: Six entities of the given tables, as text that Spark and DuckDB read alike, with rows that break their rules.
+_ENTITIES = {
+    "domain": ("supplier", "SELECT concat('d', s_suppkey) AS id, CASE WHEN s_suppkey % 50 = 0 THEN 'pending' WHEN s_suppkey % 3 = 0 THEN 'revoked' ELSE 'active' END AS status, concat('f', s_suppkey - CASE WHEN s_suppkey % 40 = 1 THEN 1 ELSE 0 END) AS record_fingerprint FROM supplier"),
+    "chunk": (
+        "documents",
+        "SELECT concat('ev', doc_id) AS evidence_id, doc_id % 13 - 1 AS source_fragment_ordinal, CASE WHEN doc_id % 31 <> 5 THEN doc_id % 4 END AS chunk_ordinal, CASE WHEN doc_id % 3 = 0 THEN doc_id % 7 END AS page_number, CASE WHEN doc_id % 3 = 1 THEN doc_id % 8 END AS slide_number,"
+        " CASE WHEN doc_id % 5 = 0 THEN 1 END AS table_number, CASE WHEN doc_id % 10 = 0 OR doc_id % 33 = 1 THEN 1 END AS table_row_number FROM documents",
+    ),
+    "snapshot": (
+        "events",
+        "SELECT concat('s', event_id) AS snapshot_id, concat('u', user_id) AS source_reference, concat('c', event_id % 6) AS content_sha256, event_id % 9 AS version_number, event_id - 5 AS byte_size, CASE WHEN event_id % 17 = 0 THEN 'txt' ELSE 'pdf' END AS document_format,"
+        " event_id AS first_observed_at, event_id - CASE WHEN event_id % 19 = 0 THEN 1 ELSE 0 END AS last_observed_at, event_id % 23 = 0 AS is_current FROM events",
+    ),
+    "link": ("documents", "SELECT concat('s', doc_id * 3) AS snapshot_id, concat('ev', doc_id - CASE WHEN doc_id % 8 = 1 THEN 1 WHEN doc_id % 8 = 2 THEN 10000000 ELSE 0 END) AS evidence_id FROM documents"),
+    "record": (
+        "orders",
+        "SELECT concat('r', o_orderkey) AS record_id, concat('fp', o_orderkey - CASE WHEN o_orderkey % 71 = 0 THEN o_orderkey % 142 ELSE 0 END) AS record_fingerprint, concat('s', o_orderkey % 700) AS source_snapshot_id, o_orderkey % 29 = 0 AS is_current,"
+        " CASE o_orderkey % 4 WHEN 0 THEN 'normalized' WHEN 1 THEN 'not_stated' WHEN 2 THEN 'manual_review_required' ELSE CASE WHEN o_orderkey % 12 = 3 THEN 'unclear' ELSE 'not_stated' END END AS deadline_status,"
+        " CASE WHEN o_orderkey % 4 IN (0, 2) OR o_orderkey % 20 = 1 THEN 'raw' END AS deadline_raw, CASE WHEN o_orderkey % 4 = 0 AND o_orderkey % 16 <> 0 THEN o_orderdate END AS deadline, CASE WHEN o_orderkey % 4 = 2 AND o_orderkey % 10 <> 4 THEN 'reason' END AS deadline_reason,"
+        " CASE WHEN o_orderkey % 58 <> 0 THEN o_orderdate END AS activated_at, CASE WHEN o_orderkey % 87 <> 0 THEN 'run' END AS activation_reference FROM orders",
+    ),
+    "citation": ("lineitem", "SELECT concat('r', l_orderkey + CASE WHEN l_partkey % 97 = 0 THEN 1000000000 ELSE 0 END) AS record_id, concat('field', l_linenumber % 3) AS field_path, l_linenumber - CASE WHEN l_suppkey % 7 = 0 THEN 3 ELSE 0 END AS citation_ordinal, concat('ev', l_partkey % 1300) AS evidence_id FROM lineitem"),
+}
+
+
+def _duck_rule(entity: str, key: str, rule: str, broken: str) -> str:
+    return f"SELECT '{entity}' AS entity, {key} AS key, '{rule}' AS rule FROM {entity} WHERE {broken}"
+
+
+def _duck_twice(entity: str, key: str, rule: str, columns: str, where: str = "true") -> str:
+    return f"SELECT '{entity}', {key}, '{rule}' FROM (SELECT *, count(*) OVER (PARTITION BY {columns}) AS n FROM {entity} WHERE {where}) WHERE n > 1"
+
+
+_CITATION = "concat_ws('|', record_id, field_path, citation_ordinal)"
+_DUCK_VIOLATIONS = "WITH " + ", ".join(f"{n} AS ({text})" for n, (_, text) in _ENTITIES.items()) + " " + " UNION ALL ".join(
+    [
+        _duck_rule("domain", "id", "status-known", "status NOT IN ('active', 'revoked')"),
+        _duck_twice("domain", "id", "one-fingerprint", "record_fingerprint"),
+        _duck_rule("chunk", "evidence_id", "source_fragment_ordinal-from-0", "source_fragment_ordinal < 0"),
+        _duck_rule("chunk", "evidence_id", "chunk_ordinal-missing", "chunk_ordinal IS NULL"),
+        _duck_rule("chunk", "evidence_id", "page_number-from-1", "page_number < 1"),
+        _duck_rule("chunk", "evidence_id", "slide_number-from-1", "slide_number < 1"),
+        _duck_rule("chunk", "evidence_id", "row-within-table", "table_row_number IS NOT NULL AND table_number IS NULL"),
+        _duck_rule("snapshot", "snapshot_id", "format-known", "document_format = 'txt'"),
+        _duck_rule("snapshot", "snapshot_id", "size-from-0", "byte_size < 0"),
+        _duck_rule("snapshot", "snapshot_id", "version-from-1", "version_number < 1"),
+        _duck_rule("snapshot", "snapshot_id", "observed-in-order", "last_observed_at < first_observed_at"),
+        _duck_twice("snapshot", "snapshot_id", "one-version-of-content", "source_reference, content_sha256"),
+        _duck_twice("snapshot", "snapshot_id", "one-content-of-version", "source_reference, version_number"),
+        _duck_twice("snapshot", "snapshot_id", "one-current-of-source", "source_reference", "is_current"),
+        _duck_twice("link", "concat_ws('|', snapshot_id, evidence_id)", "one-snapshot-of-evidence", "evidence_id"),
+        _duck_rule("link", "concat_ws('|', snapshot_id, evidence_id)", "snapshot-there", "snapshot_id NOT IN (SELECT snapshot_id FROM snapshot)"),
+        _duck_rule("link", "concat_ws('|', snapshot_id, evidence_id)", "evidence-there", "evidence_id NOT IN (SELECT evidence_id FROM chunk)"),
+        _duck_rule("record", "record_id", "deadline-status-known", "deadline_status = 'unclear'"),
+        _duck_rule("record", "record_id", "deadline-consistent", "(deadline_status = 'normalized' AND (deadline IS NULL OR deadline_reason IS NOT NULL)) OR (deadline_status = 'not_stated' AND (deadline_raw IS NOT NULL OR deadline IS NOT NULL OR deadline_reason IS NOT NULL)) OR (deadline_status = 'manual_review_required' AND (deadline_raw IS NULL OR deadline IS NOT NULL OR deadline_reason IS NULL))"),
+        _duck_rule("record", "record_id", "current-was-activated", "is_current AND (activated_at IS NULL OR activation_reference IS NULL)"),
+        _duck_twice("record", "record_id", "one-fingerprint", "record_fingerprint"),
+        _duck_twice("record", "record_id", "one-current-of-snapshot", "source_snapshot_id", "is_current"),
+        _duck_rule("record", "record_id", "snapshot-there", "source_snapshot_id NOT IN (SELECT snapshot_id FROM snapshot)"),
+        _duck_rule("citation", _CITATION, "ordinal-from-1", "citation_ordinal < 1"),
+        _duck_twice("citation", _CITATION, "one-key", "record_id, field_path, citation_ordinal"),
+        _duck_rule("citation", _CITATION, "record-there", "record_id NOT IN (SELECT record_id FROM record)"),
+        _duck_rule("citation", _CITATION, "evidence-there", "evidence_id NOT IN (SELECT evidence_id FROM chunk)"),
+    ]
+)
+
+
+@query(_DUCK_VIOLATIONS)
 def contract_violations(spark, sf):
-    rules = {"price-too-low": F.col("o_totalprice") <= 1000, "status-unknown": ~F.col("o_orderstatus").isin("O", "F"), "date-too-late": F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp")}
-    return O.violations(table(spark, sf, "orders"), "o_orderkey", rules)
+    """Rules of rows, unique keys and references of six entities, made of the given tables."""
+    return contracts.violations({name: sql(spark, sf, text, source) for name, (source, text) in _ENTITIES.items()})
 
 
 @query(f"""SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(replace(lower(regexp_replace(d.text, '{W}', '', 'g')), 'ß', 'ss'), replace(lower(regexp_replace(b.text, '{W}', '', 'g')), 'ß', 'ss'))""")

@@ -52,9 +52,24 @@ def ocr_region_filter(spark, sf):
     return kept.groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("regions"))
 
 
-@query(f"""WITH {_DUCK_REGIONS} SELECT doc_id, page, md5(string_agg(line, chr(10) ORDER BY k)) AS digest FROM (SELECT doc_id, page, i // 4 AS k, string_agg(text, ' ' ORDER BY i) AS line FROM r GROUP BY doc_id, page, i // 4) GROUP BY doc_id, page""")
+#: Pages of four groups of three overlapping regions: the third overlaps the first enough, but more of it the second, and
+#: stands left of both; where the second is lost, it belongs to the first.
+def _overlapping(spark, sf):
+    words = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", r"\s+")).alias("n", "text"))
+    words = words.select("doc_id", F.floor(F.col("n") / 12).cast("int").alias("page"), (F.col("n") % 12).alias("i"), "n", "text")
+    kind, base = F.col("i") % 3, F.floor(F.col("i") / 3) * 0.25
+    x0, top, bottom = (F.when(kind == 0, a).when(kind == 1, b).otherwise(c) for a, b, c in ((0.5, 0.25, 0.0), (0.0, 0.06, 0.065), (0.1, 0.16, 0.11)))
+    box = F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in ((x0, base + top), (x0 + 0.2, base + top), (x0 + 0.2, base + bottom), (x0, base + bottom))])
+    return words.select("doc_id", "page", "text", F.when(F.col("n") % 7 == 6, 0.3).otherwise(0.9).alias("confidence"), box.alias("polygon"))
+
+
+@query(r"""WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\s+')) AS text, unnest(range(len(regexp_split_to_array(text, '\s+')))) AS n FROM documents),
+r AS (SELECT doc_id, (n // 12)::INT AS page, (n % 12) // 3 AS g, n % 3 AS kind, text FROM w WHERE trim(text) <> '' AND n % 7 <> 6),
+k AS (SELECT *, bool_or(kind = 1) OVER (PARTITION BY doc_id, page, g) AS second FROM r),
+o AS (SELECT *, CASE WHEN second THEN [0, 2, 1][kind + 1] ELSE [1, 9, 0][kind + 1] END AS place FROM k)
+SELECT doc_id, page, md5(string_agg(text, chr(10) ORDER BY g, place)) AS digest FROM o GROUP BY doc_id, page""")
 def ocr_reading_order(spark, sf):
-    kept = D.region_filter(_regions(spark, sf)).filter("problem is null")
+    kept = D.region_filter(_overlapping(spark, sf)).filter("problem is null")
     return D.reading_order(kept, "doc_id", "page").select("doc_id", "page", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 

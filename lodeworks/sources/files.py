@@ -22,7 +22,7 @@ def document_format(path: Column) -> Column:
 
 
 def artifact_inventory(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, format, content_sha256, byte_size) of the files below a folder."""
+    """(path, format, content_sha256, byte_size) of the files below a folder; Spark lists none of no bytes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     return files.select("path", document_format(F.col("path")).alias("format"), F.sha2("content", 256).alias("content_sha256"), F.col("length").alias("byte_size"))
 

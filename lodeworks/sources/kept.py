@@ -55,6 +55,10 @@ class KeptTable:
     def rows(self) -> DataFrame:
         return self._named().drop("append").select(*self.schema.fieldNames())
 
+    def of(self, name: str) -> DataFrame:
+        """The rows that one append brought."""
+        return self._named().filter(F.col("append") == name).select(*self.schema.fieldNames())
+
     def append(self, incoming: DataFrame, name: str, *order: Column) -> DataFrame:
         """Adds the rows of incoming whose key isn't there, of each key the first in the given order (none: any one); its line
         of the log: how many rows came, how many were added and how many weren't. Rows without a key aren't."""
