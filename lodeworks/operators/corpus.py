@@ -143,11 +143,34 @@ def judged_outside(judged: DataFrame, corpus: DataFrame) -> DataFrame:
     return rows.select("id", problem.alias("problem")).filter("problem is not null")
 
 
-def profile(documents: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Documents, bytes and distinct contents of documents (.., text), by each of the columns and over all (level as in grouping_id)."""
-    rows = documents.select(*by, F.octet_length("text").alias("bytes"), F.sha2("text", 256).alias("sha"))
-    sets = [[c] for c in by] + [[]]
-    return rows.groupingSets(sets, *by).agg(F.count(F.lit(1)).alias("documents"), F.sum("bytes").alias("bytes"), F.countDistinct("sha").alias("contents"), F.grouping_id().cast("int").alias("level"))
+def profile(documents: DataFrame, by: Sequence[str], published: Column | None = None) -> DataFrame:
+    """(dimension, value, documents, bytes, contents, duplicate_groups, duplicate_documents, missing_dates) of documents (.., text),
+    for each value of each of the columns, and for all (dimension `all`, value null).
+
+    duplicate_groups: contents that more than one document has, duplicate_documents: the documents that have them;
+    missing_dates: documents without `published`. Rows are summed by value and content first, with map-side sums.
+    """
+    one = lambda name, value: F.struct(F.lit(name).alias("dimension"), value.cast("string").alias("value"))
+    places = F.array(*[one(c, F.col(c)) for c in by], one("all", F.lit(None)))
+    dated = F.lit(False) if published is None else published.isNull()
+    rows = documents.select(F.explode(places).alias("p"), F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("sha"), dated.cast("long").alias("missing"))
+    same = rows.groupBy("p.dimension", "p.value", "sha").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.sum("missing").alias("missing"))
+    again = F.col("n") > 1
+    return same.groupBy("dimension", "value").agg(
+        F.sum("n").alias("documents"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("contents"), F.count_if(again).alias("duplicate_groups"),
+        F.sum(F.when(again, F.col("n")).otherwise(0)).alias("duplicate_documents"), F.sum("missing").alias("missing_dates"),
+    )
+
+
+def current_chunks(chunks: DataFrame, links: DataFrame, snapshots: DataFrame, chunker_version: str, source: str | None = None) -> DataFrame:
+    """The chunks (evidence_id, source, chunker_version, ..) of one chunker version, of one source if it is named, that are linked
+    (snapshot_id, evidence_id) to current snapshots (snapshot_id, is_current); in the order of a reader:
+    source, fragment, chunk and id, as far as chunks have these columns."""
+    some = chunks.filter(F.col("chunker_version") == chunker_version)
+    some = some if source is None else some.filter(F.col("source") == source)
+    now = links.join(snapshots.filter("is_current").select("snapshot_id"), "snapshot_id", "left_semi").select("evidence_id")
+    order = [c for c in ("source", "source_fragment_ordinal", "chunk_ordinal", "evidence_id") if c in chunks.columns]
+    return some.join(now, "evidence_id", "left_semi").orderBy(*order)
 
 
 class FrozenConflict(ValueError):

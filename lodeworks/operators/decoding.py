@@ -115,3 +115,26 @@ def reading_order(regions: DataFrame, *page: str) -> DataFrame:
 def verdict(task: Column, checks: dict[str, tuple[Sequence[str], Column]]) -> Column:
     """True if all checks that apply to the task (those that list it) hold."""
     return F.forall(F.array(*[F.when(task.isin(*tasks), ok).otherwise(True) for tasks, ok in checks.values()]), lambda x: x)
+
+
+def task_checks(outcomes: DataFrame) -> DataFrame:
+    """outcomes with the checks of a task as columns: ids_match, status_right, grounded, evidence_cited, terms_quoted, in_scope.
+
+    outcomes: expected_ids and ids (the same, in whatever order, as often as they occur), expected_status and status,
+    grounding_valid, target_evidence and cited (all targets are cited), required_terms and quoted (the text of all quotes holds
+    each term), sources and scope (all cited sources are in scope). A missing list is an empty one, and missing flags don't hold.
+    """
+    empty = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    checks = {
+        "ids_match": F.sort_array(empty("ids")) == F.sort_array(empty("expected_ids")),
+        "status_right": F.col("status") == F.col("expected_status"),
+        "grounded": F.col("grounding_valid"),
+        "evidence_cited": F.size(F.array_except(empty("target_evidence"), empty("cited"))) == 0,
+        "terms_quoted": F.forall(empty("required_terms"), lambda t: F.contains(F.coalesce("quoted", F.lit("")), t)),
+        "in_scope": F.size(F.array_except(empty("sources"), empty("scope"))) == 0,
+    }
+    return outcomes.withColumns({n: F.coalesce(c, F.lit(False)) for n, c in checks.items()})
+
+
+#: Which checks a task must pass.
+TASK_CHECKS = {"search": ("ids_match",), "answer": ("status_right", "grounded", "evidence_cited", "terms_quoted"), "mixed": ("ids_match", "status_right", "grounded", "evidence_cited", "terms_quoted", "in_scope"), "refuse": ("status_right",)}

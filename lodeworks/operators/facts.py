@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import company_key, fold, location_key, quote_key
+from ..functions.text import WS, company_key, fold, location_key, quote_key, recruitment_type
 
 
 def citation_issues(citations: DataFrame, evidence: DataFrame, claim: Sequence[str] | None = None) -> DataFrame:
@@ -87,42 +88,86 @@ def job_search_batch(records: DataFrame, cases: DataFrame, most_cases: int = 10_
     """(case_id, id) of the records (id, company, kind, deadline) that meet each case (case_id, company, kind, after).
 
     Cases that name a company or kind find their records by equi-joins on it; only what asks for neither meets every record,
-    and its rows are that large by what is asked. Cases, counted first, may be `most_cases` at most.
+    and its rows are that large by what is asked. Cases, counted first, go to all tasks in blocks of about `most_cases`, one
+    after another, each against all records.
     """
-    if cases.count() > most_cases:
-        raise ValueError(f"more than {most_cases} cases at once")
+    blocks = max(1, -(-cases.count() // most_cases))
     own = {c: F.col(f"_{c}") for c in ("company", "kind", "after")}
     asked = cases.select("case_id", *[F.col(c).alias(f"_{c}") for c in own])
     record = {c: F.col(c) for c in ("company", "kind", "deadline")}
-    wanted = F.broadcast(asked)  # of a counted size
-    by_company = records.join(wanted.filter("_company is not null"), company_key(own["company"]) == company_key(record["company"]))
-    by_kind = records.join(wanted.filter("_company is null and _kind is not null"), own["kind"] == record["kind"])
-    by_none = records.join(wanted.filter("_company is null and _kind is null"))
-    return by_company.unionByName(by_kind).unionByName(by_none).filter(meets(own, record)).select("case_id", "id")
 
+    def block(i: int) -> DataFrame:
+        wanted = F.broadcast(asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("case_id"), F.lit(blocks)) == i))  # of a counted size
+        by_company = records.join(wanted.filter("_company is not null"), company_key(own["company"]) == company_key(record["company"]))
+        by_kind = records.join(wanted.filter("_company is null and _kind is not null"), own["kind"] == record["kind"])
+        by_none = records.join(wanted.filter("_company is null and _kind is null"))
+        return by_company.unionByName(by_kind).unionByName(by_none)
 
-def constraints_retained(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """(id, retained): whether each of an id's expected filters (id, k, v) is among its actual ones (id, k, v), folded."""
-    given = actual.select("id", "k", F.col("v").alias("_a"))
-    same = F.coalesce(fold(F.trim("v")) == fold(F.trim("_a")), F.lit(False))
-    return expected.join(given, ["id", "k"], "left").groupBy("id", "k", "v").agg(F.bool_or(same).alias("same")).groupBy("id").agg(F.bool_and("same").alias("retained"))
-
+    return reduce(DataFrame.unionByName, [block(i) for i in range(blocks)]).filter(meets(own, record)).select("case_id", "id")
 
-def record_support(judged: DataFrame) -> DataFrame:
-    """Counts of the labels of each record's facts (record, label) and its status: accepted, or what must be looked at."""
-    status = F.when(F.col("unsupported") > 0, "semantic_validation_failed").when(F.col("uncertain") > 0, "manual_review_required")
-    return support_counts(judged, "record").withColumn("status", status.otherwise("accepted"))
 
+def _place(text: Column) -> Column:
+    """A place without white space and without one 市 at its end; its letters stay as they are."""
+    return F.regexp_replace(F.regexp_replace(text, WS, ""), "市$", "")
 
-def answer_support(judged: DataFrame) -> DataFrame:
-    """(answer, claims, support_rate, needs_review) of the labels of each answer's claims (answer, label)."""
-    counts = support_counts(judged, "answer").withColumn("claims", F.col("supported") + F.col("unsupported") + F.col("uncertain"))
-    return counts.select("answer", "claims", F.round(F.try_divide("supported", "claims"), 6).alias("support_rate"), (F.col("supported") < F.col("claims")).alias("needs_review"))
 
+def constraints_retained(expected: DataFrame, actual: DataFrame, default_limit: str = "10") -> DataFrame:
+    """(id, retained): whether each of an id's expected filters (id, k, v) is among its actual ones (id, k, v).
 
-def filter_problem(kind: Column, after: Column, before: Column, limit: Column, most: int = 50) -> Column:
-    """What is wrong with a search's filters, or valid: an unknown type, a reversed range of deadlines, a limit out of bounds."""
-    verdict = F.when(kind.isNull(), "unknown-type").when(after > before, "reversed-range").when(~limit.between(1, most), "limit-out-of-bounds")
+    Values must be equal as they are, but: types are what their aliases stand for, and one that is no alias is
+    never equal; places go without white space and a final 市; titles are folded, and one that is a code is enough
+    as a part of the actual title. A missing limit counts as the default one.
+    """
+    given = actual.select("id", "k", F.col("v").alias("_a"))
+    rows = expected.join(given, ["id", "k"], "left").withColumn("_a", F.coalesce("_a", F.when(F.col("k") == "limit", default_limit)))
+    title, asked = fold(F.col("_a")), fold(F.col("v"))
+    same = (
+        F.when(F.col("k") == "recruitment_type", recruitment_type(F.col("_a")) == recruitment_type(F.col("v")))
+        .when(F.col("k") == "location", _place(F.col("_a")) == _place(F.col("v")))
+        .when(F.col("k") == "job_title", (title == asked) | (asked.rlike("^j[0-9]+$") & F.contains(title, asked)))
+        .otherwise(F.col("_a") == F.col("v"))
+    )
+    each = rows.groupBy("id", "k", "v").agg(F.bool_or(F.coalesce(same, F.lit(False))).alias("same"))
+    return each.groupBy("id").agg(F.bool_and("same").alias("retained"))
+
+
+def record_support(judged: DataFrame, grounding: DataFrame | None = None) -> DataFrame:
+    """Counts of the labels of each record's facts (record, label) and its status: accepted, or what must be looked at.
+
+    grounding (record, valid), if given, comes first: a record whose citations don't hold is grounding_failed, its facts aren't
+    judged, and it has a row without any.
+    """
+    counts = support_counts(judged, "record")
+    failed = F.lit(False)
+    if grounding is not None:
+        bad = grounding.groupBy("record").agg((~F.bool_and("valid")).alias("_failed")).filter("_failed")
+        counts = support_counts(judged.join(bad, "record", "left_anti"), "record").withColumn("_failed", F.lit(False))
+        counts = counts.unionByName(bad.select("record", *[F.lit(0).cast("long").alias(x) for x in ("supported", "unsupported", "uncertain")], "_failed"))
+        failed = F.col("_failed")
+    status = F.when(failed, "grounding_failed").when(F.col("unsupported") > 0, "semantic_validation_failed").when(F.col("uncertain") > 0, "manual_review_required")
+    return counts.withColumn("status", status.otherwise("accepted")).drop("_failed")
+
+
+def answer_support(claims: DataFrame, judged: DataFrame) -> DataFrame:
+    """(answer, claims, unjudged, support_rate, needs_review) of the claims of answers (answer, claim, evidence: how many cited
+    chunks are at hand), by the labels of those that were judged (answer, claim, label).
+
+    A claim without evidence at hand has an insufficient context: it is never sent to a judge, and a label that it has all the same doesn't count.
+    """
+    labels = judged.select("answer", "claim", "label")
+    rows = claims.join(labels, ["answer", "claim"], "left")
+    bare = F.coalesce(F.col("evidence") == 0, F.lit(True))
+    label = F.when(bare, "insufficient_context").otherwise(F.coalesce("label", F.lit("insufficient_context")))
+    counts = rows.withColumn("label", label).groupBy("answer").agg(F.count(F.lit(1)).alias("claims"), F.count_if(bare).alias("unjudged"), F.count_if(F.col("label") == "supported").alias("supported"))
+    return counts.select("answer", "claims", "unjudged", F.round(F.try_divide("supported", "claims"), 6).alias("support_rate"), (F.col("supported") < F.col("claims")).alias("needs_review"))
+
+
+def filter_problem(kind: Column, after: Column, before: Column, limit: Column, most: int = 50, texts: Sequence[Column] = (), arguments: Column | None = None, known: Sequence[str] = ()) -> Column:
+    """What is wrong with a search's filters, or valid: an argument that isn't known, a blank text, an unknown type, a reversed range
+    of deadlines, a limit out of bounds. Nulls are filters that aren't asked for, but the type."""
+    blank = reduce(lambda a, b: a | b, [F.coalesce(F.trim(t) == "", F.lit(False)) for t in texts], F.lit(False))
+    unknown = F.lit(False) if arguments is None else F.size(F.array_except(arguments, F.array(*[F.lit(k) for k in known]))) > 0
+    verdict = F.when(unknown, "unknown-argument").when(blank, "blank-text").when(kind.isNull(), "unknown-type").when(after > before, "reversed-range").when(~limit.between(1, most), "limit-out-of-bounds")
     return verdict.otherwise("valid")
 
 

@@ -160,11 +160,15 @@ def snapshot_transitions(spark, sf):
     return O.snapshot_log(_observations(spark, sf)).select("source", "seq", "created", "content_changed")
 
 
-@query(f"""WITH RECURSIVE {DUCK_CHUNKS}, cur AS (SELECT user_id, arg_max(event_type, event_id) AS kind FROM events GROUP BY user_id)
-SELECT c.doc_id, c.chunk_ordinal::INT AS chunk_ordinal, kind FROM chunks c JOIN cur ON cur.user_id = c.doc_id""")
+@query(f"""WITH RECURSIVE {DUCK_CHUNKS}, cur AS (SELECT DISTINCT user_id FROM events WHERE event_id % 2 = 0)
+SELECT doc_id, chunk_ordinal::INT AS chunk_ordinal, CASE WHEN doc_id % 5 = 0 THEN 'old' ELSE 'now' END AS chunker_version FROM chunks WHERE doc_id % 5 <> 0 AND doc_id IN (SELECT user_id FROM cur)""")
 def current_chunks(spark, sf):
-    current = table(spark, sf, "events").groupBy(F.col("user_id").alias("doc_id")).agg(F.max_by("event_type", "event_id").alias("kind"))
-    return _chunks(spark, sf).join(current, "doc_id").select("doc_id", "chunk_ordinal", "kind")
+    """A document's snapshot is current if its user has an even event; each fifth document was cut by an older chunker."""
+    made = F.when(F.col("doc_id") % 5 == 0, "old").otherwise("now")
+    chunks = _chunks(spark, sf).withColumns({"evidence_id": F.concat_ws(":", "doc_id", "chunk_ordinal"), "chunker_version": made})
+    links = chunks.select(F.concat(F.lit("snap_"), "doc_id").alias("snapshot_id"), "evidence_id")
+    seen = table(spark, sf, "events").groupBy(F.concat(F.lit("snap_"), "user_id").alias("snapshot_id")).agg(F.bool_or(F.col("event_id") % 2 == 0).alias("is_current"))
+    return O.current_chunks(chunks, links, seen, "now").select("doc_id", "chunk_ordinal", "chunker_version")
 
 
 @query("""WITH e AS (SELECT DISTINCT md5(text) AS id FROM documents WHERE doc_id % 3 = 0), i AS (SELECT md5(text) AS id, doc_id FROM documents),
@@ -222,10 +226,19 @@ def id_set_equality(spark, sf):
     return O.sets_equal(docs, docs.filter("n_chars > 500"), "source", "lang")
 
 
-@query("""SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, count(*) AS documents, sum(strlen(text))::BIGINT AS bytes, count(DISTINCT sha256(text)) AS contents, grouping(lang, source)::INT AS level
-FROM documents GROUP BY GROUPING SETS ((lang), (source), ())""")
+_PROFILED = "SELECT *, CASE WHEN doc_id % 3 = 0 THEN 'html' ELSE 'pdf' END AS format, CASE WHEN doc_id % 4 = 0 THEN 'revoked' ELSE 'active' END AS status, CASE WHEN doc_id % 6 <> 1 THEN doc_id END AS published FROM documents"
+_PROFILE_BY = ("lang", "source", "format", "status")
+
+
+def _duck_profile(name: str, value: str) -> str:
+    return f"""SELECT '{name}' AS dimension, v AS value, sum(n)::BIGINT AS documents, sum(bytes)::BIGINT AS bytes, count(*) AS contents, count(*) FILTER (WHERE n > 1) AS duplicate_groups,
+  coalesce(sum(n) FILTER (WHERE n > 1), 0)::BIGINT AS duplicate_documents, sum(missing)::BIGINT AS missing_dates
+  FROM (SELECT {value} AS v, sha256(text) AS sha, count(*) AS n, sum(strlen(text)) AS bytes, count(*) FILTER (WHERE published IS NULL) AS missing FROM d GROUP BY 1, 2) GROUP BY v"""
+
+
+@query(f"WITH d AS ({_PROFILED}) " + " UNION ALL ".join(_duck_profile(c, c) for c in _PROFILE_BY) + " UNION ALL " + _duck_profile("all", "NULL::VARCHAR"))
 def corpus_profile(spark, sf):
-    return O.profile(table(spark, sf, "documents"), ["lang", "source"]).withColumns({c: F.coalesce(c, F.lit("")) for c in ("lang", "source")})
+    return O.profile(sql(spark, sf, _PROFILED, "documents"), _PROFILE_BY, F.col("published"))
 
 
 @query("SELECT doc_id, CASE WHEN d.source = 'src' || (doc_id % 20) AND sha256(text) = sha256(d2t) THEN 'matched' WHEN sha256(text) <> sha256(d2t) THEN 'hash-differs' ELSE 'source-differs' END AS verdict FROM (SELECT *, CASE WHEN doc_id % 19 = 0 THEN text || ' ' ELSE text END AS d2t FROM documents) d")
@@ -332,11 +345,19 @@ def safe_turn(spark, sf):
     return rows.select("conv_id", "turn", F.md5(F.col("t").cast("binary")).alias("digest"), F.contains("whole", F.lit("[redacted bearer token]")).alias("redacted"), (F.length("whole") > 600).alias("cut"))
 
 
-@query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations WHERE trim(text) <> '') WHERE n <= 12")
+#: Turns of conversations, some of which are old ones without a role, hold a token, or are of a role that isn't kept.
+_TURNS = "SELECT conv_id, turn, CASE WHEN turn % 7 = 0 THEN NULL WHEN turn % 11 = 5 THEN 'tool' ELSE role END AS role, CASE WHEN conv_id % 5 = 0 THEN concat(text, ' Bearer abc.def-1 end') ELSE text END AS text FROM conversations"
+DUCK_TURNS = f"""tu AS ({_TURNS}), nt AS (SELECT conv_id, turn, coalesce(role, 'user') AS role, {_CLEAN.replace('x,', 'text,')} AS t FROM tu),
+kept AS (SELECT conv_id, turn, role, CASE WHEN length(t) > 600 THEN rtrim(substring(t, 1, 599)) || '…' ELSE t END AS text FROM nt WHERE role IN ('user', 'assistant') AND t <> '')"""
+
+
+@query(f"WITH {DUCK_TURNS} SELECT conv_id, turn, role, md5(text) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM kept) WHERE n <= 12")
 def conversation_window(spark, sf):
     from ..streaming.state import conversation_window as window
+    from ..streaming.state import normalized_turns
 
-    return window(table(spark, sf, "conversations").filter("trim(text) <> ''"), 12).select("conv_id", "turn", "role")
+    rows = window(normalized_turns(sql(spark, sf, _TURNS, "conversations")), 12)
+    return rows.select("conv_id", "turn", "role", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 @query(f"""WITH r AS (SELECT source, unnest(list_filter([CASE WHEN trim(regexp_replace(text, '{W}+', ' ', 'g')) = '' THEN 'blank' END, CASE WHEN regexp_matches(text, '[\\x00-\\x08\\x0b-\\x1f]') THEN 'control-character' END, CASE WHEN regexp_matches(text, 'Bearer\\s+\\S+') THEN 'bearer' END,

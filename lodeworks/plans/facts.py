@@ -95,22 +95,30 @@ def job_search_batch(spark, sf):
     return rows.select("case_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("found", "ids")])
 
 
-@query(f"""WITH {DUCK_FACTS} SELECT id, CASE WHEN kind IS NULL THEN 'unknown-type' WHEN id % 7 = 0 THEN 'reversed-range' WHEN id % 11 = 0 THEN 'limit-out-of-bounds' ELSE 'valid' END AS verdict FROM recs""")
+@query(f"""WITH {DUCK_FACTS} SELECT id, CASE WHEN id % 13 = 0 THEN 'unknown-argument' WHEN id % 17 = 0 THEN 'blank-text' WHEN kind IS NULL THEN 'unknown-type' WHEN id % 7 = 0 THEN 'reversed-range' WHEN id % 11 = 0 THEN 'limit-out-of-bounds' ELSE 'valid' END AS verdict FROM recs""")
 def filter_contract(spark, sf):
     rows = records(spark, sf).withColumn("limit", F.when(F.col("id") % 11 == 0, 500).otherwise(10))
     rows = rows.withColumn("after", F.lit("1996-01-01")).withColumn("before", F.when(F.col("id") % 7 == 0, "1995-01-01").otherwise("1997-01-01"))
-    return rows.select("id", O.filter_problem(F.col("kind"), F.col("after"), F.col("before"), F.col("limit")).alias("verdict"))
+    given = F.when(F.col("id") % 13 == 0, F.array(F.lit("company"), F.lit("salary"))).otherwise(F.array(F.lit("company")))
+    blank = F.when(F.col("id") % 17 == 0, "  ").when(F.col("id") % 3 == 0, F.col("title"))
+    problem = O.filter_problem(F.col("kind"), F.col("after"), F.col("before"), F.col("limit"), texts=[F.col("company"), blank], arguments=given, known=["company", "title", "kind", "after", "before", "limit"])
+    return rows.select("id", problem.alias("verdict"))
 
 
-@query("""WITH e AS (SELECT o_orderkey AS id, unnest([o_orderpriority, o_orderstatus]) AS v, unnest(['priority', 'status']) AS k FROM orders),
-a AS (SELECT o_orderkey AS id, unnest([CASE WHEN o_orderkey % 6 = 0 THEN 'none' ELSE lower(o_orderpriority) END, o_orderstatus]) AS v, unnest(['priority', 'status']) AS k FROM orders)
-SELECT e.id, bool_and(coalesce(lower(e.v) = lower(a.v), false)) AS retained FROM e LEFT JOIN a ON a.id = e.id AND a.k = e.k GROUP BY e.id""")
+#: Expected and actual filters by order: one of six ways in which they agree or not.
+_WANTED = """SELECT o_orderkey AS id, 'recruitment_type' AS k, CASE WHEN o_orderkey % 7 = 0 THEN 'unheard of' ELSE '校招' END AS v FROM orders
+UNION ALL SELECT o_orderkey, 'location', concat('Bei jing', CASE WHEN o_orderkey % 2 = 0 THEN '市' ELSE '' END) FROM orders
+UNION ALL SELECT o_orderkey, 'job_title', CASE WHEN o_orderkey % 3 = 0 THEN concat('J', o_orderkey) ELSE 'Data Engineer' END FROM orders
+UNION ALL SELECT o_orderkey, 'company', o_orderpriority FROM orders UNION ALL SELECT o_orderkey, 'limit', CASE WHEN o_orderkey % 5 = 0 THEN '20' ELSE '10' END FROM orders"""
+_GIVEN = """SELECT o_orderkey AS id, 'recruitment_type' AS k, CASE WHEN o_orderkey % 7 = 0 THEN 'unheard of' WHEN o_orderkey % 11 = 0 THEN 'intern' ELSE ' Campus ' END AS v FROM orders
+UNION ALL SELECT o_orderkey, 'location', CASE WHEN o_orderkey % 13 = 0 THEN 'beijing' ELSE 'Beijing 市' END FROM orders
+UNION ALL SELECT o_orderkey, 'job_title', CASE WHEN o_orderkey % 3 = 0 THEN concat('the j', o_orderkey, ' job') WHEN o_orderkey % 17 = 0 THEN 'Senior data engineer' ELSE 'DATA ENGINEER' END FROM orders
+UNION ALL SELECT o_orderkey, 'company', CASE WHEN o_orderkey % 6 = 0 THEN lower(o_orderpriority) ELSE o_orderpriority END FROM orders"""
+
+
+@query("""SELECT o_orderkey AS id, o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0 AND (o_orderkey % 3 = 0 OR o_orderkey % 17 <> 0) AND (o_orderkey % 6 <> 0 OR lower(o_orderpriority) = o_orderpriority) AND o_orderkey % 5 <> 0 AS retained FROM orders""")
 def constraints_retained(spark, sf):
-    o = table(spark, sf, "orders")
-    pairs = lambda p: F.explode(F.map_from_arrays(F.array(F.lit("priority"), F.lit("status")), F.array(p, F.col("o_orderstatus"))))
-    expected = o.select(F.col("o_orderkey").alias("id"), pairs(F.col("o_orderpriority")).alias("k", "v"))
-    actual = o.select(F.col("o_orderkey").alias("id"), pairs(F.when(F.col("o_orderkey") % 6 == 0, "none").otherwise(F.lower("o_orderpriority"))).alias("k", "v"))
-    return O.constraints_retained(expected, actual)
+    return O.constraints_retained(sql(spark, sf, _WANTED, "orders"), sql(spark, sf, _GIVEN, "orders"))
 
 
 @query("""WITH cur AS (SELECT user_id, arg_max(event_type, event_id) AS kind FROM events GROUP BY 1), r AS (SELECT user_id, event_type, arg_max(event_id, event_id) FILTER (WHERE event_id % 4 <> 0) AS event_id FROM events GROUP BY 1, 2)
@@ -158,18 +166,24 @@ _LABEL = "CASE WHEN toxic = 1 THEN 'uncertain' WHEN quality = 1 THEN 'supported'
 
 
 @query(f"""WITH j AS (SELECT doc_id // 5 AS record, {_LABEL} AS label FROM labels), s AS (SELECT record, count(*) FILTER (WHERE label = 'supported') AS supported, count(*) FILTER (WHERE label = 'unsupported') AS unsupported, count(*) FILTER (WHERE label = 'uncertain') AS uncertain FROM j GROUP BY 1)
-SELECT *, CASE WHEN unsupported > 0 THEN 'semantic_validation_failed' WHEN uncertain > 0 THEN 'manual_review_required' ELSE 'accepted' END AS status FROM s""")
+SELECT record, CASE WHEN record % 9 = 4 THEN 0 ELSE supported END AS supported, CASE WHEN record % 9 = 4 THEN 0 ELSE unsupported END AS unsupported, CASE WHEN record % 9 = 4 THEN 0 ELSE uncertain END AS uncertain,
+  CASE WHEN record % 9 = 4 THEN 'grounding_failed' WHEN unsupported > 0 THEN 'semantic_validation_failed' WHEN uncertain > 0 THEN 'manual_review_required' ELSE 'accepted' END AS status FROM s""")
 def fact_support(spark, sf):
+    """Five labels make a record; of each ninth record, one citation isn't grounded."""
     label = F.when(F.col("toxic") == 1, "uncertain").when(F.col("quality") == 1, "supported").otherwise("unsupported")
-    judged = table(spark, sf, "labels").select(F.floor(F.col("doc_id") / 5).cast("long").alias("record"), label.alias("label"))
-    return O.record_support(judged)
+    judged = table(spark, sf, "labels").select("doc_id", F.floor(F.col("doc_id") / 5).cast("long").alias("record"), label.alias("label"))
+    last = judged.groupBy("record").agg(F.max("doc_id").alias("doc_id"))
+    grounding = judged.select("record", "doc_id").join(last.withColumn("last", F.lit(True)), ["record", "doc_id"], "left")
+    return O.record_support(judged, grounding.select("record", (F.col("last").isNull() | (F.col("record") % 9 != 4)).alias("valid")))
 
 
-@query(f"""WITH j AS (SELECT doc_id % 40 AS answer, {_LABEL} AS label FROM labels) SELECT answer, count(*) AS claims, round(count(*) FILTER (WHERE label = 'supported') / count(*), 6) AS support_rate, count(*) FILTER (WHERE label <> 'supported') > 0 AS needs_review FROM j GROUP BY 1""")
+@query(f"""WITH j AS (SELECT doc_id % 40 AS answer, CASE WHEN doc_id % 13 = 5 THEN 'insufficient_context' ELSE {_LABEL} END AS label FROM labels)
+SELECT answer, count(*) AS claims, count(*) FILTER (WHERE label = 'insufficient_context') AS unjudged, round(count(*) FILTER (WHERE label = 'supported') / count(*), 6) AS support_rate, count(*) FILTER (WHERE label <> 'supported') > 0 AS needs_review FROM j GROUP BY 1""")
 def claim_support(spark, sf):
+    """Claims cite two chunks; of each thirteenth, neither is at hand, so it isn't judged."""
     label = F.when(F.col("toxic") == 1, "uncertain").when(F.col("quality") == 1, "supported").otherwise("unsupported")
-    judged = table(spark, sf, "labels").select((F.col("doc_id") % 40).alias("answer"), label.alias("label"))
-    return O.answer_support(judged)
+    rows = table(spark, sf, "labels").select((F.col("doc_id") % 40).alias("answer"), F.col("doc_id").alias("claim"), label.alias("label"), F.when(F.col("doc_id") % 13 == 5, 0).otherwise(2).alias("evidence"))
+    return O.answer_support(rows.drop("label"), rows.filter("evidence > 0").drop("evidence"))
 
 
 @query("""WITH v AS (SELECT user_id AS snapshot, event_type AS record, event_id AS seq, user_id % 10 <> 0 AS ok FROM events),

@@ -73,10 +73,17 @@ def ocr_reading_order(spark, sf):
     return D.reading_order(kept, "doc_id", "page").select("doc_id", "page", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@query("""WITH t AS (SELECT doc_id, quality, toxic, doc_id % 4 AS kind FROM labels)
-SELECT doc_id, CASE kind WHEN 0 THEN 'search' WHEN 1 THEN 'mixed' WHEN 2 THEN 'answer' ELSE 'refuse' END AS task, CASE kind WHEN 0 THEN quality = 1 WHEN 1 THEN quality = 1 AND toxic = 0 WHEN 2 THEN toxic = 0 ELSE quality = 0 END AS passed FROM t""")
+#: Outcomes of tasks as text for both engines: what was asked and what came, with things that go wrong.
+_OUTCOMES = """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'search' WHEN 1 THEN 'mixed' WHEN 2 THEN 'answer' ELSE 'refuse' END AS task, concat('a,b,', source) AS expected_ids, concat(source, ',', CASE WHEN doc_id % 9 = 0 THEN 'a' ELSE 'b,a' END) AS ids,
+  CASE WHEN doc_id % 4 = 3 THEN 'refused' ELSE 'answered' END AS expected_status, CASE WHEN doc_id % 4 = 3 AND doc_id % 5 <> 0 THEN 'refused' ELSE 'answered' END AS status, doc_id % 7 <> 0 AS grounding_valid,
+  concat('e', doc_id) AS target_evidence, concat(CASE WHEN doc_id % 11 = 0 THEN 'e' ELSE concat('e', doc_id) END, ',x') AS cited, concat(source, ',', lang) AS required_terms, concat('it says ', source, ' and ', CASE WHEN doc_id % 13 <> 0 THEN lang ELSE 'no more' END) AS quoted,
+  source AS sources, CASE WHEN doc_id % 17 = 0 THEN 'elsewhere' ELSE concat('s,', source) END AS scope FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL"""
+
+
+@query(f"""WITH t AS ({_OUTCOMES}), c AS (SELECT doc_id, task, doc_id % 9 <> 0 AS m, doc_id % 5 <> 0 AS r, doc_id % 7 <> 0 AND doc_id % 11 <> 0 AND (doc_id % 13 <> 0 OR contains(quoted, split_part(required_terms, ',', 2))) AS e, doc_id % 17 <> 0 AS s FROM t)
+SELECT doc_id, task, CASE task WHEN 'search' THEN m WHEN 'mixed' THEN m AND e AND s WHEN 'answer' THEN e ELSE r END AS passed FROM c""")
 def task_verdict(spark, sf):
-    rows = table(spark, sf, "labels").withColumn("task", F.element_at(F.array(*[F.lit(x) for x in ("search", "mixed", "answer", "refuse")]), (F.col("doc_id") % 4 + 1).cast("int")))
-    good, safe = F.col("quality") == 1, F.col("toxic") == 0
-    checks = {"ids_match": (("search", "mixed"), good), "grounded": (("mixed", "answer"), safe), "refused": (("refuse",), ~good)}
-    return rows.select("doc_id", "task", D.verdict(F.col("task"), checks).alias("passed"))
+    lists = ("expected_ids", "ids", "target_evidence", "cited", "required_terms", "sources", "scope")
+    checked = D.task_checks(sql(spark, sf, _OUTCOMES, "documents").withColumns({c: F.split(c, ",") for c in lists}))
+    by_check = {c: [t for t, cs in D.TASK_CHECKS.items() if c in cs] for cs in D.TASK_CHECKS.values() for c in cs}
+    return checked.select("doc_id", "task", D.verdict(F.col("task"), {c: (tasks, F.col(c)) for c, tasks in by_check.items()}).alias("passed"))

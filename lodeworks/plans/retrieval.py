@@ -9,7 +9,7 @@ from ..operators import retrieval as R
 from ..operators.chunking import corpus_fingerprint
 from ..operators.embedding import TOKEN_HASH, embedded
 from ..sources.scratch import new_folder, written
-from .base import DUCK_BM25, DUCK_QRELS, chunks_of, duck_tokens, qrels_of, queries_of, query, table
+from .base import DUCK_BM25, DUCK_QRELS, chunks_of, duck_tokens, qrels_of, queries_of, query, sql, table
 
 
 def _bm25(spark: SparkSession, sf: str, k: int | None) -> DataFrame:
@@ -340,6 +340,16 @@ def answer_widening(spark, sf):
     return R.widened(_bm25(spark, sf, 6), 40, 3)
 
 
+_REPLANS = """SELECT conv_id, turn, role, CASE turn % 4 WHEN 0 THEN 'insufficient_evidence' WHEN 1 THEN 'no_matches' WHEN 2 THEN 'answered' ELSE 'tool_error' END AS result_code, conv_id % 3 AS replan_count, CASE WHEN role = 'user' THEN 'read' WHEN conv_id % 2 = 0 THEN 'write' ELSE 'read' END AS operation FROM conversations"""
+
+
+@query(f"""WITH r AS ({_REPLANS}) SELECT conv_id, turn, result_code, replan_count, operation, CASE WHEN operation = 'read' AND replan_count = 0 AND turn % 4 < 2 THEN 'replan_once' ELSE 'stop' END AS decision,
+CASE WHEN operation = 'write' THEN 'write-operation-never-replanned' WHEN replan_count > 0 THEN 'replan-limit-reached' WHEN turn % 4 < 2 THEN result_code ELSE 'non-recoverable-result' END AS reason FROM r""")
+def replan_audit(spark, sf):
+    """What each turn's outcome leads to, with its reason: the audit of widened and repeated questions."""
+    return R.replanning(sql(spark, sf, _REPLANS, "conversations")).drop("role")
+
+
 @query("""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
 u AS (SELECT vec_id, label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM e),
 p AS (SELECT vec_id, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS pos FROM u WHERE label IS NOT NULL),

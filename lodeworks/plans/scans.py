@@ -32,14 +32,21 @@ def domain_registry_scan(spark, sf):
     return S.domain_registry_scan(spark, path).select(F.col("company").cast("long").alias("company"), F.array_join("problems", ",").alias("problems"))
 
 
-@query("SELECT concat('set-', l.doc_id // 100) AS dataset_id, l.doc_id::VARCHAR AS case_id, concat('e', l.doc_id) AS id, (quality + 1)::INT AS grade FROM labels l")
+@query("""SELECT concat('set-', l.doc_id // 100) AS dataset_id, l.doc_id::VARCHAR AS case_id, CASE WHEN doc_id % 19 <> 0 THEN concat('e', l.doc_id) ELSE ' ' END AS id, CASE WHEN doc_id % 23 <> 0 THEN (quality + 1)::INT END AS grade,
+CASE WHEN doc_id // 100 % 4 = 1 THEN 'annotated-by-blank' WHEN doc_id // 100 % 4 = 2 THEN 'status-unknown' WHEN doc_id % 17 = 0 THEN 'case-blank' WHEN doc_id % 19 = 0 THEN 'evidence-blank' WHEN doc_id % 23 = 0 THEN 'grade-invalid' END AS problem FROM labels l""")
 def qrels_scan(spark, sf):
-    judgment = F.array(F.struct(F.concat(F.lit("e"), "doc_id").alias("evidence_id"), (F.col("quality") + 1).alias("relevance_grade"), F.lit("t").alias("evidence_text")))
-    case = F.struct(F.col("doc_id").cast("string").alias("case_id"), F.lit("q").alias("query"), judgment.alias("judgments"))
-    sets = table(spark, sf, "labels").groupBy(F.concat(F.lit("set-"), F.floor(F.col("doc_id") / 100)).alias("dataset_id")).agg(F.collect_list(case).alias("cases"))  # a hundred ids each
+    """Gold sets of a hundred ids each, written and read back; some lack parts of their header, some of their cases or judgments."""
+    d = F.col("doc_id")
+    grade = F.when(d % 23 == 0, "high").otherwise((F.col("quality") + 1).cast("string"))
+    judgment = F.array(F.struct(F.when(d % 19 != 0, F.concat(F.lit("e"), d)).otherwise(F.lit(" ")).alias("evidence_id"), grade.alias("relevance_grade"), F.lit("t").alias("evidence_text")))
+    case = F.struct(d.cast("string").alias("case_id"), F.when(d % 17 == 0, "").otherwise("q").alias("query"), judgment.alias("judgments"))
+    number = F.floor(d / 100)
+    sets = table(spark, sf, "labels").groupBy(number.alias("n")).agg(F.collect_list(case).alias("cases"))  # a hundred ids each
+    kind = F.col("n") % 4
+    header = {"dataset_id": F.concat(F.lit("set-"), "n"), "annotated_by": F.when(kind != 1, "someone"), "source_reference": F.lit("s"), "chunker_version": F.lit("c"), "tokenizer_version": F.lit("t"), "annotation_status": F.when(kind == 2, "draft").otherwise("reviewed"), "document_sha256": F.sha2(F.col("n").cast("string"), 256)}
     path = _folder(spark) + "/gold"
-    sets.write.json(path)
-    return S.qrels_scan(spark, path, lines=True).select("dataset_id", "case_id", "id", "grade")
+    sets.select(*[c.alias(n) for n, c in header.items()], "cases").write.json(path)
+    return S.qrels_scan(spark, path, lines=True).select("dataset_id", "case_id", "id", "grade", "problem")
 
 
 @query("SELECT concat('plan-', event_id // 100) AS dataset_id, event_id AS case_id, CASE WHEN event_id % 9 = 0 THEN 'case-keys' ELSE '' END AS problem FROM events")

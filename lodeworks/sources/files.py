@@ -74,13 +74,31 @@ def domain_registry_scan(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("problems", problems).withColumn("verified_at", verified)
 
 
+_HEADER = ("dataset_id", "annotated_by", "source_reference", "chunker_version", "tokenizer_version")
+
+
 def qrels_scan(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """(dataset_id, case_id, query, id, grade) of a nested JSON gold set: one to a file, or one to a line."""
-    judgment = "struct<evidence_id:string,relevance_grade:int,evidence_text:string>"
-    schema = f"dataset_id string, annotation_status string, document_sha256 string, chunker_version string, tokenizer_version string, cases array<struct<case_id:string,query:string,judgments:array<{judgment}>>>"
-    rows = spark.read.schema(schema).option("multiLine", not lines).json(path).select("dataset_id", F.explode("cases").alias("c"))
-    rows = rows.select("dataset_id", "c.case_id", "c.query", F.explode("c.judgments").alias("j"))
-    return rows.select("dataset_id", "case_id", "query", F.col("j.evidence_id").alias("id"), F.col("j.relevance_grade").alias("grade"))
+    """(dataset_id, case_id, query, id, grade, problem) of nested JSON gold sets: one to a file, or one to a line.
+
+    problem says what is wrong, first with the set, then with the case or judgment: set-unreadable, <field>-blank,
+    status-unknown, document-digest-invalid, no-cases; case-blank, no-judgments, evidence-blank, grade-invalid; null if nothing.
+    A set or case that has nothing below it keeps a row.
+    """
+    judgment = "struct<evidence_id:string,relevance_grade:string,evidence_text:string>"
+    schema = f"annotation_status string, document_sha256 string, {', '.join(f'{c} string' for c in _HEADER)}, cases array<struct<case_id:string,query:string,judgments:array<{judgment}>>>, _corrupt string"
+    rows = spark.read.schema(schema).option("multiLine", not lines).option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    of_set = F.when(F.col("_corrupt").isNotNull(), "set-unreadable")
+    for c in _HEADER:
+        of_set = of_set.when(blank(c), f"{c.replace('_', '-')}-blank")
+    of_set = of_set.when(~F.coalesce(F.col("annotation_status").isin("provisional", "reviewed"), F.lit(False)), "status-unknown")
+    of_set = of_set.when(~F.coalesce(F.col("document_sha256").rlike("^[0-9a-fA-F]{64}$"), F.lit(False)), "document-digest-invalid").when(F.coalesce(F.size("cases"), F.lit(0)) < 1, "no-cases")
+    cases = rows.select("dataset_id", of_set.alias("of_set"), F.explode_outer("cases").alias("c"))
+    of_case = F.when(blank("c.case_id") | blank("c.query"), "case-blank").when(F.coalesce(F.size("c.judgments"), F.lit(0)) < 1, "no-judgments")
+    judged = cases.select("dataset_id", "of_set", "c.case_id", "c.query", of_case.alias("of_case"), F.explode_outer("c.judgments").alias("j"))
+    grade = F.when(F.col("j.relevance_grade").rlike("^[0-9]{1,9}$"), F.col("j.relevance_grade")).cast("int")
+    of_judgment = F.when(blank("j.evidence_id"), "evidence-blank").when(~F.coalesce(grade >= 1, F.lit(False)), "grade-invalid")
+    return judged.select("dataset_id", "case_id", "query", F.col("j.evidence_id").alias("id"), grade.alias("grade"), F.coalesce("of_set", "of_case", of_judgment).alias("problem"))
 
 
 def gold_dataset_scan(texts: DataFrame, case_keys: list[str], case_schema: str) -> DataFrame:

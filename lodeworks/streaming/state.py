@@ -12,9 +12,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions.text import safe_turn
 from ..sources.scratch import new_folder
 
 
+def normalized_turns(turns: DataFrame) -> DataFrame:
+    """turns (.., role, text) with roles and texts as they are kept: a turn without a role is an old one, and its user's; texts are
+    redacted, trimmed and cut as safe_turn() does. Turns of another role, or without text, aren't kept."""
+    rows = turns.withColumns({"role": F.coalesce("role", F.lit("user")), "text": safe_turn(F.col("text"))})
+    return rows.filter(F.col("role").isin("user", "assistant") & (F.col("text") != ""))
+
+
 def conversation_window(turns: DataFrame, most: int = 12) -> DataFrame:
     """The last turns (conv_id, turn, ..) of each conversation: the twin of stream_conversations."""
     ranked = turns.withColumn("_n", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn"))))
