@@ -4,7 +4,8 @@ Texts are coded once, in chunks of many texts with words of their own. Whatever
 asks for: it sends the distinct keys that it holds (words, pairs, triples, histories) with what it adds to them, hashed over
 buckets; a bucket adds up all chunks' parts and answers each with the totals, in the order asked. So every n-gram is counted
 over the whole corpus, goes out once from each chunk however often it occurs, and no table of the model is ever sent to all.
-With the answers a chunk has all arcs, failure weights and states that its texts meet, and walks them from left to right.
+With the answers a chunk has all arcs, failure weights and states that its texts meet: they make its automaton, through which
+its texts go from left to right, each with a state of its own.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ LEAST = 2
 #: Words of a chunk, and keys that a bucket adds up, about. Neither changes a score.
 CHUNK = 1 << 20
 BUCKET = 1 << 22
-_PARTITIONS = 1 << 14
+#: Buckets are 2 ** 14 at most, one for a partition: a chunk's row for a bucket then still holds dozens of keys.
+_BITS = 14
 _TINY = 1e-9
 
 
@@ -202,8 +204,6 @@ def _answers(asked: DataFrame, columns: dict[int, int], bits: int, check: bool =
     Over a bucket's keys, kinds counts those with a first total above 0, once and twice those with 1 and 2, total sums it.
     check: the last column isn't added up but must be the same for a key everywhere; clash says that it wasn't.
     """
-    parts = min(1 << bits, _PARTITIONS)
-
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         held: list[tuple] = []
         for batch in batches:
@@ -232,7 +232,7 @@ def _answers(asked: DataFrame, columns: dict[int, int], bits: int, check: bool =
             out = [(r[0], r[1], r[2], b"".join(_planes(a[i]) for a in answered), np.packbits(owned[i]).tobytes(), *(sums if i == 0 else (0, 0, 0, 0, False))) for i, r in enumerate(rows)]
             yield from _table(out, _ANSWERED).to_batches()
 
-    dealt = asked.repartitionById(parts, F.shiftright("bucket", max(0, bits - parts.bit_length() + 1)).cast("int")).sortWithinPartitions("phase", "bucket")
+    dealt = asked.repartitionById(1 << bits, F.col("bucket").cast("int")).sortWithinPartitions("phase", "bucket")
     return dealt.mapInArrow(each, _ANSWERED)
 
 
@@ -261,6 +261,72 @@ class Counts:
 _WORDS, _PAIRS, _OF_WORD, _TRIPLES, _OF_PAIR = range(5)
 
 
+#: Tokens that a lane walks: longer texts are walked by several lanes at once, each from the two tokens before its own.
+LANE = 512
+
+
+@dataclass(frozen=True)
+class Automaton:
+    """States are histories: the empty one, words, pairs of words. An arc over a word has a weight (log10 of a probability)
+    and leads to the longest history of the model that then ends there; a state that has none for a word fails: its failure
+    arc, which takes no word, leads to the history without its first word, at a weight. The empty history has arcs for all.
+
+    keys: state * words + word of the arcs of words and pairs, ascending, with weights and targets. roots, first: weights
+    and targets of the empty history's arcs, by word. fails, costs: the failure arc of each state.
+    """
+
+    keys: np.ndarray
+    weights: np.ndarray
+    targets: np.ndarray
+    roots: np.ndarray
+    first: np.ndarray
+    fails: np.ndarray
+    costs: np.ndarray
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One word from each state: the weights of all arcs taken, failures included, and the states that it leads to."""
+        total, at, left = np.zeros(len(state)), state.copy(), np.arange(len(state))
+        while len(left):
+            now, over = at[left], word[left]
+            empty = now == 0
+            done = left[empty]
+            total[done] += self.roots[word[done]]
+            at[done] = self.first[word[done]]
+            left, now, over = left[~empty], now[~empty], over[~empty]
+            if not len(left):
+                break
+            wanted = now * len(self.first) + over
+            place = np.searchsorted(self.keys, wanted)
+            place[place == len(self.keys)] = 0
+            found = self.keys[place] == wanted if len(self.keys) else np.zeros(len(left), bool)
+            total[left[found]] += self.weights[place[found]]
+            at[left[found]] = self.targets[place[found]]
+            left, now = left[~found], now[~found]
+            total[left] += self.costs[now]
+            at[left] = self.fails[now]
+        return total, at
+
+    def walk(self, words: np.ndarray, begins: np.ndarray, own: np.ndarray, texts: int) -> np.ndarray:
+        """The score of each text: its tokens are taken one by one from left to right, and its state goes with it; all texts of
+        a chunk move together. own: tokens that count; those before them only lead to the state in which these begin."""
+        ends = np.append(begins[1:], len(words))
+        skips = np.array([int(np.argmax(own[b : b + 3])) for b in begins.tolist()], np.int64) if len(begins) else np.zeros(0, np.int64)
+        lanes = -(-(ends - begins - skips) // LANE)
+        of = np.repeat(np.arange(len(begins)), lanes)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+        start = begins[of] + skips[of] + nth * LANE
+        warm = np.minimum(2, start - begins[of])
+        length = np.minimum(start + LANE, ends[of]) - start + warm
+        order = np.argsort(-length, kind="stable")
+        start, warm, length, of = (start - warm)[order], warm[order], length[order], of[order]
+        state, score = np.zeros(len(of), np.int64), np.zeros(len(of))
+        for t in range(int(length.max(initial=0))):
+            active = int(np.searchsorted(-length, -t, "left"))  # lanes that have a token left
+            weight, state[:active] = self.step(state[:active], words[start[:active] + t])
+            score[:active] += np.where(warm[:active] <= t, weight, 0.0)
+        return np.bincount(of, score, texts)
+
+
 class Walk:
     """What a chunk knows of the model so far: each step takes its answers and asks for what comes next."""
 
@@ -307,7 +373,8 @@ class Walk:
             zeros = np.zeros(c.n)
             return list(zip(c.rows, c.docs, tokens.tolist(), zeros.astype(int).tolist(), zeros.tolist(), zeros.tolist(), strict=True))
         base = np.log10((n + 0.1) / (all_.tokens + 0.1 * (all_.kinds + 1)))
-        single = np.log10(np.where(n > 0, np.maximum(n - all_.discount, _TINY), max(all_.discount * all_.kinds, _TINY)) / all_.tokens)
+        kinds = self.n1  # of each word
+        single = np.log10(np.where(kinds > 0, np.maximum(kinds - all_.discount, _TINY), max(all_.discount * all_.kinds, _TINY)) / all_.tokens)
 
         def failure(sums: list[np.ndarray], of: np.ndarray, off: float, below: np.ndarray | float) -> np.ndarray:
             """log10 of what a state's arcs leave over what their lower probabilities leave."""
@@ -323,23 +390,25 @@ class Walk:
         fail2[asked] = failure(sums, self.n2[asked], DISCOUNT, self.n1[c.b[asked]])
         (n3,), _ = _told(self.answers, _TRIPLES, c.triple_keys, 1)
 
-        # The walk: at each token the state is the longest history in the model, its pair, else its word. The token's arc is
-        # taken from there if there is one; else the failure arc's weight is added, and the shorter history's state is next.
-        pair, before = c.pair[own], c.pair[own - 1]
-        of_pair = (before >= 0) & np.append(self.kept2, False)[before] & (c.place[own] >= 2)
-        triple = c.triple[own]
-        arc3 = (triple >= 0) & np.append(n3 >= LEAST, False)[triple]
-        arc2 = (pair >= 0) & np.append(self.kept2, False)[pair]
-        steps = np.zeros(len(own))
-        steps[arc3] = np.log10((n3[triple[arc3]] - DISCOUNT) / self.n2[before[arc3]])
-        fails = of_pair & ~arc3
-        steps[fails] += fail2[before[fails]]
-        at2 = ~arc3 & arc2
-        steps[at2] += np.log10((self.n2[pair[at2]] - DISCOUNT) / self.n1[c.a[pair[at2]]])
-        at1 = ~arc3 & ~arc2
-        steps[at1] += fail1[c.at[own[at1] - 1]] + single[at1]
-        sums = [np.bincount(text, w, c.n) for w in (n > 0, base, steps)]
-        return list(zip(c.rows, c.docs, tokens.tolist(), sums[0].astype(int).tolist(), sums[1].tolist(), sums[2].tolist(), strict=True))
+        model = self._automaton(single, fail1, fail2, n3)
+        score = model.walk(c.at, np.flatnonzero(np.append(True, c.text[1:] != c.text[:-1])) if len(c.at) else np.zeros(0, np.int64), c.own, c.n)
+        sums = [np.bincount(text, w, c.n) for w in (n > 0, base)]
+        return list(zip(c.rows, c.docs, tokens.tolist(), sums[0].astype(int).tolist(), sums[1].tolist(), score.tolist(), strict=True))
+
+    def _automaton(self, single: np.ndarray, fail1: np.ndarray, fail2: np.ndarray, n3: np.ndarray) -> Automaton:
+        """The part of the model that this chunk's texts can meet. State 0 is the empty history, then come words, then pairs."""
+        c = self.chunk
+        width, pairs = len(c.codes), len(self.n2)
+        word_state = np.where(self.n1 >= LEAST, 1 + np.arange(width), 0)
+        pair_state = 1 + width + np.arange(pairs)
+        p, t = np.flatnonzero(self.kept2), np.flatnonzero(n3 >= LEAST)
+        last = c.b[c.lower[t]]
+        keys = np.concatenate([word_state[c.a[p]] * width + c.b[p], pair_state[c.history[t]] * width + last])
+        weights = np.concatenate([np.log10((self.n2[p] - DISCOUNT) / self.n1[c.a[p]]), np.log10((n3[t] - DISCOUNT) / self.n2[c.history[t]])])
+        targets = np.concatenate([pair_state[p], pair_state[c.lower[t]]])
+        order = np.argsort(keys)
+        fails = np.concatenate([np.zeros(1 + width, np.int64), word_state[c.b]])
+        return Automaton(keys[order], weights[order], targets[order], single, word_state, fails, np.concatenate([[0.0], fail1, fail2]))
 
 
 _SCORED = "row long, doc_id long, n_tokens long, n_known long, base_score double, score double"
@@ -353,15 +422,22 @@ def score(docs: DataFrame, parts: int = 10, chunk: int = CHUNK, bucket: int = BU
     With nothing learned both scores are 0. Other columns are ignored. Words are told apart by 64 bits, and checked by 32
     more: should two share a code, all is coded anew with another seed; pairs and triples are told apart by 64 bits.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "lm")
+    scratch = Scratch(docs.sparkSession, "lm")
+    try:
+        return _scored(docs, parts, chunk, bucket, scratch)
+    except BaseException:
+        scratch.drop_all_but()  # a bucketed table is known to the session's catalog
+        raise
+
+
+def _scored(docs: DataFrame, parts: int, chunk: int, bucket: int, scratch: Scratch) -> DataFrame:
     learned = ~held_out(F.col("doc_id"), parts)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), learned.alias("learned"))
     for seed in range(8):
         chunks = scratch.bucketed(encode(rows, chunk, seed), f"chunks-{seed}", "chunk")
         start = int.from_bytes(xxhash.xxh3_128_digest(START, seed)[:8], "little")
         size, firsts = chunks.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("firsts"), F.lit(0))).first()
-        bits = max(1, (size // bucket).bit_length())
+        bits = min(_BITS, max(1, (size // bucket).bit_length()))
 
         def words(batches: Iterator[pa.RecordBatch], start: int = start, bits: int = bits) -> Iterator[pa.RecordBatch]:
             for batch in batches:

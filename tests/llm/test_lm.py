@@ -149,3 +149,28 @@ def brute_of_tables(train, texts):
         own = tokens(text)
         scores.append(math.log10(p2("<s>", own[0])) + sum(math.log10(p3(a, b, w)) for a, b, w in zip(["<s>", *own], own, own[1:])))
     return scores, uni
+
+
+def test_automaton_by_hand():
+    """Three words; a pair state that fails to its last word's, and that to the empty history, each at its cost."""
+    a, b, c = 0, 1, 2
+    keys = np.array([(1 + a) * 3 + b, 4 * 3 + c])  # a -> b leads to the pair state 4, and from there c to the state of c
+    model = lm.Automaton(keys, np.array([-0.5, -0.25]), np.array([4, 1 + c]), np.array([-1.0, -2.0, -3.0]), np.array([1 + a, 1 + b, 1 + c]), np.array([0, 0, 0, 0, 1 + b]), np.array([0.0, -0.1, -0.2, -0.3, -0.7]))
+    weight, state = model.step(np.array([0, 1 + a, 4, 4, 1 + c]), np.array([b, b, c, a, c]))
+    assert np.allclose(weight, [-2.0, -0.5, -0.25, -0.7 - 0.2 - 1.0, -0.3 - 3.0]) and state.tolist() == [1 + b, 4, 1 + c, 1 + a, 1 + c]
+    words = np.array([a, b, c, a] * 700)
+    whole = model.walk(words, np.array([0]), np.ones(len(words), bool), 1)
+    state, total = np.zeros(1, np.int64), 0.0
+    for w in words:
+        step, state = model.step(state, np.array([w]))
+        total += step[0]
+    assert math.isclose(whole[0], total, rel_tol=1e-12) and len(words) > 5 * lm.LANE
+
+
+def test_query_scores_equal_plain_backoff_over_the_real_vocabulary(spark, sf_dir):
+    """All documents of the smallest tables, whole, against the backoff over dictionaries."""
+    docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())
+    want, _ = brute_of_tables([t for d, t in docs if not out(d)], [t for _, t in docs])
+    got = {r.doc_id: r.score for r in QUERIES["op2_lm_score"](spark, sf_dir).collect()}
+    for (d, _), w in zip(docs, want, strict=True):
+        assert math.isclose(got[d], w, rel_tol=1e-9, abs_tol=1e-9), d
