@@ -241,20 +241,21 @@ def ocr_fields(fields: DataFrame) -> DataFrame:
 def latency_summary(calls: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Mean, nearest-rank percentiles, extremes and outcomes of calls (value in seconds, failed, started), and calls a second.
 
-    A group's percentiles come from its distinct values and how often each is there, added up before they meet.
-    throughput is over the time from the first start to the last; null if that is none.
+    Percentiles are those of the nearest rank. All values are sorted in ranges and numbered, so a value's rank is its number
+    less its group's first one, and no task holds a group. throughput is over the time from the first start to the last; null
+    if that is none.
     """
     by = list(by)
-    values = calls.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("n"), F.count_if("failed").alias("failed"), F.min("started").alias("began"), F.max("started").alias("ended"))
-    upto = Window.partitionBy(*by).orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = values.filter("value is not null").withColumn("upto", F.sum("n").over(upto))
-    sums = values.groupBy(*by).agg(
-        F.sum("n").alias("n"), F.sum(F.when(F.col("value").isNotNull(), F.col("n"))).alias("valued"), F.sum("failed").alias("failed"), F.min("began").alias("began"), F.max("ended").alias("ended"),
-        (F.sum(F.col("value") * F.col("n")) / F.sum(F.when(F.col("value").isNotNull(), F.col("n")))).alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"),
+    sums = calls.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.count("value").alias("valued"), F.count_if("failed").alias("failed"), F.min("started").alias("began"), F.max("started").alias("ended"),
+        F.avg("value").alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"),
     )
-    joined = placed.join(sums.select(*by, "valued"), by) if by else placed.crossJoin(F.broadcast(sums.select("valued")))
-    rank = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.lit(q) * F.col("valued")), F.col("value")))
-    ranks = joined.groupBy(*by).agg(*[rank(q).alias(name) for name, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))])
+    ordered = numbered(calls.filter("value is not null").select(*by, "value").orderBy(*by, "value"), "_no")
+    firsts = ordered.groupBy(*by).agg(F.min("_no").alias("_first"), F.count(F.lit(1)).alias("_valued"))
+    placed = ordered.join(firsts, by) if by else ordered.crossJoin(F.broadcast(firsts))  # one row
+    rank = F.col("_no") - F.col("_first") + 1
+    at = lambda q: F.min(F.when(rank == F.ceil(F.lit(q) * F.col("_valued")), F.col("value")))
+    ranks = placed.groupBy(*by).agg(*[at(q).alias(name) for name, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))])
     whole = sums.join(ranks, by, "left") if by else sums.crossJoin(F.broadcast(ranks))
     seconds = (F.unix_micros(F.col("ended").cast("timestamp")) - F.unix_micros(F.col("began").cast("timestamp"))) / 1e6
     return whole.select(*by, F.round("mean", 6).alias("mean"), "p50", "p95", "p99", "least", "most", (F.col("n") - F.col("failed")).alias("succeeded"), "failed", F.round(F.try_divide(F.col("n"), seconds), 6).alias("throughput"))

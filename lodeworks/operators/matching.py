@@ -26,20 +26,39 @@ def _runs(text: Column, cut: str, inner: bool) -> Column:
     return F.get(F.transform(F.array(F.split(text, cut)), of), F.lit(0))  # split once for each row
 
 
-def containing(texts: DataFrame, items: DataFrame, cut: str = AT_BLANKS) -> DataFrame:
+def _inner(text: Column, cut: str) -> Column:
+    """The longest of a text's pieces but the first and the last, which may go on in the text around; null without any."""
+    pieces = F.split(text, cut)
+    inner = F.filter(F.slice(pieces, 2, F.greatest(F.size(pieces) - 2, F.lit(0))), lambda p: p != "")
+    return F.array_max(F.transform(inner, lambda p: F.struct(F.length(p).alias("n"), p.alias("piece"))))["piece"]
+
+
+def containing(texts: DataFrame, items: DataFrame, cut: str = AT_BLANKS, most_short: int = 10_000) -> DataFrame:
     """(item, id) for each of texts (id, text) that contains an item's text, of items (item, text), as it is.
 
     If a text contains an item, it has all of the item's inner pieces, whole and in a row; so each item is looked up by
     one run of its inner pieces (the one of the least hash), by an equi-join on hashes, and only texts that share it are
-    searched. Items of too few pieces for that are searched for in every text; they should be few. Nulls and empty
-    items give nothing; repeated rows give rows each.
+    searched. Items of too few pieces for a run are looked up by their longest inner piece in the same way. Those
+    that have none, of one or two pieces, are searched for in every text: they are counted first, and taken in blocks of
+    about `most_short`, one after another. Nulls and empty items give nothing; repeated rows give rows each.
     """
-    items = items.filter("text <> ''").select("item", F.col("text").alias("wanted"), F.array_min(_runs(F.col("text"), cut, True)).alias("run"))
-    runs = spread(texts.select("id", "text")).select("id", F.explode(F.array_distinct(_runs(F.col("text"), cut, False))).alias("run"))
-    maybe = runs.join(items.filter("run is not null").select("item", "run"), "run").select("item", "id").distinct()
-    wanted = items.filter("run is not null").select("item", "wanted")
-    found = texts.select("id", "text").join(maybe, "id").join(wanted, "item").filter(F.contains("text", "wanted")).select("item", "id")
-    short = items.filter("run is null")
-    if short.isEmpty():
-        return found
-    return found.unionByName(texts.join(short, F.contains(texts["text"], F.col("wanted"))).select("item", "id"))
+    items = items.filter("text <> ''").select("item", F.col("text").alias("wanted"), F.array_min(_runs(F.col("text"), cut, True)).alias("run"), _inner(F.col("text"), cut).alias("piece"))
+    some = spread(texts.select("id", "text"))
+
+    def sought(keys: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+        maybe = keys.join(wanted.select("item", key), key).select("item", "id").distinct()
+        return texts.select("id", "text").join(maybe, "id").join(wanted.select("item", "wanted"), "item").filter(F.contains("text", "wanted")).select("item", "id")
+
+    runs = some.select("id", F.explode(F.array_distinct(_runs(F.col("text"), cut, False))).alias("run"))
+    found = sought(runs, items.filter("run is not null"), "run")
+    few = items.filter("run is null")
+    counts = few.agg(F.count("piece").alias("pieces"), F.count_if(F.col("piece").isNull()).alias("short")).first()
+    if counts.pieces:
+        pieces = some.select("id", F.explode(F.array_distinct(F.split("text", cut))).alias("piece"))
+        found = found.unionByName(sought(pieces, few.filter("piece is not null"), "piece"))
+    if counts.short:
+        short, blocks = few.filter("piece is null"), -(-counts.short // most_short)
+        for i in range(blocks):
+            block = F.broadcast(short.filter(F.pmod(F.xxhash64("item", "wanted"), F.lit(blocks)) == i))  # of a counted size
+            found = found.unionByName(texts.join(block, F.contains(texts["text"], F.col("wanted"))).select("item", "id"))
+    return found

@@ -25,11 +25,30 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}/{uuid.uuid4().hex}"
 
 
+#: Folders of written() by application, so that drop_written() knows them.
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def written(rows: DataFrame, name: str) -> DataFrame:
-    """rows as a table written once: what several parts of a plan read is made once, and survives lost executors."""
-    path = new_folder(rows.sparkSession, name)
+    """rows as a table written once: what several parts of a plan read is made once, and survives lost executors.
+
+    The table lies in the shared folder until drop_written().
+    """
+    spark = rows.sparkSession
+    path = new_folder(spark, name)
     rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Removes the tables that written() has left in this application, once no result needs them any more; how many there were."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+    return len(paths)
 
 
 def numbered(rows: DataFrame, column: str, first: int = 0) -> DataFrame:
@@ -47,6 +66,19 @@ def numbered(rows: DataFrame, column: str, first: int = 0) -> DataFrame:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """rows dealt over all cores where they come in fewer partitions than there are cores, as one small file does; else as they are."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    """rows dealt over all cores where their plan reads less than a split for each, as one small file is; else as they are.
+
+    The size is what Spark estimates of the plan: nothing runs to learn it.
+    """
+    spark = rows.sparkSession
+    cores, split = spark.sparkContext.defaultParallelism, spark.conf.get("spark.sql.files.maxPartitionBytes")
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return rows.repartition(cores) if size < cores * _bytes(split) else rows
+
+
+def _bytes(size: str) -> int:
+    """A size such as 128MB or 134217728b as a number."""
+    number, unit = size.lower().rstrip("b"), 1
+    if number[-1:] in "kmgt":
+        number, unit = number[:-1], 1024 ** ("kmgt".index(number[-1]) + 1)
+    return int(number) * unit
