@@ -52,6 +52,19 @@ def mixed(codes: list[np.ndarray]) -> np.ndarray:
     return x
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and the place of each key among them. Keys and places are sorted in one number if both fit."""
+    bits = max(1, len(keys)).bit_length()
+    if not len(keys) or int(keys.max()).bit_length() + bits > 63:
+        return np.unique(keys, return_inverse=True)
+    both = np.sort(keys << bits | np.arange(len(keys)))
+    order, keys = both & (1 << bits) - 1, both >> bits
+    new = np.append(True, keys[1:] != keys[:-1])
+    found = np.empty(len(keys), np.int64)
+    found[order] = np.cumsum(new) - 1
+    return keys[new], found
+
+
 def _planes(numbers: np.ndarray) -> bytes:
     """64-bit numbers by the place of their bytes, so that the zeros of small ones lie together and pack well."""
     return numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
@@ -150,7 +163,7 @@ class Chunk:
         last = np.flatnonzero((self.place >= 1) & often[self.at])
         last = last[often[self.at[last - 1]]]
         width = max(1, len(self.codes))
-        keys, found = np.unique(self.at[last - 1] * width + self.at[last], return_inverse=True)
+        keys, found = _distinct(self.at[last - 1] * width + self.at[last])
         self.pair = np.full(len(self.at), -1)
         self.pair[last] = found
         self.a, self.b = np.divmod(keys, width)
@@ -163,7 +176,7 @@ class Chunk:
         last = np.flatnonzero((self.place >= 2) & self.own & kept[self.pair])
         last = last[kept[self.pair[last - 1]]]
         width = max(1, len(self.codes))
-        keys, found = np.unique(self.pair[last - 1] * width + self.at[last], return_inverse=True)
+        keys, found = _distinct(self.pair[last - 1] * width + self.at[last])
         self.triple = np.full(len(self.at), -1)
         self.triple[last] = found
         self.history, word = np.divmod(keys, width)
@@ -262,20 +275,22 @@ _WORDS, _PAIRS, _OF_WORD, _TRIPLES, _OF_PAIR = range(5)
 
 
 #: Tokens that a lane walks: longer texts are walked by several lanes at once, each from the two tokens before its own.
-LANE = 512
+LANE = 256
 
 
 @dataclass(frozen=True)
 class Automaton:
-    """States are histories: the empty one, words, pairs of words. An arc over a word has a weight (log10 of a probability)
-    and leads to the longest history of the model that then ends there; a state that has none for a word fails: its failure
-    arc, which takes no word, leads to the history without its first word, at a weight. The empty history has arcs for all.
+    """States are histories: the empty one (0), words, pairs of words from `pairs` on. An arc over a word has a weight (log10 of
+    a probability) and leads to the longest history of the model that then ends there. A state that has no arc for a word
+    fails: its failure arc, which takes no word, leads to the history without its first word, at a weight. The empty
+    history has arcs for all words.
 
-    keys: state * words + word of the arcs of words and pairs, ascending, with weights and targets. roots, first: weights
-    and targets of the empty history's arcs, by word. fails, costs: the failure arc of each state.
+    sources, weights, targets: the arcs of pairs and words. roots, first: weights and targets of the empty history's arcs, by
+    word. fails, costs: the failure arc of each state.
     """
 
-    keys: np.ndarray
+    pairs: int
+    sources: np.ndarray
     weights: np.ndarray
     targets: np.ndarray
     roots: np.ndarray
@@ -283,34 +298,28 @@ class Automaton:
     fails: np.ndarray
     costs: np.ndarray
 
-    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """One word from each state: the weights of all arcs taken, failures included, and the states that it leads to."""
-        total, at, left = np.zeros(len(state)), state.copy(), np.arange(len(state))
-        while len(left):
-            now, over = at[left], word[left]
-            empty = now == 0
-            done = left[empty]
-            total[done] += self.roots[word[done]]
-            at[done] = self.first[word[done]]
-            left, now, over = left[~empty], now[~empty], over[~empty]
-            if not len(left):
-                break
-            wanted = now * len(self.first) + over
-            place = np.searchsorted(self.keys, wanted)
-            place[place == len(self.keys)] = 0
-            found = self.keys[place] == wanted if len(self.keys) else np.zeros(len(left), bool)
-            total[left[found]] += self.weights[place[found]]
-            at[left[found]] = self.targets[place[found]]
-            left, now = left[~found], now[~found]
-            total[left] += self.costs[now]
-            at[left] = self.fails[now]
-        return total, at
-
-    def walk(self, words: np.ndarray, begins: np.ndarray, own: np.ndarray, texts: int) -> np.ndarray:
+    def step(self, state: np.ndarray, word: np.ndarray, of_pair: np.ndarray, of_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One word from each state: the weights of all arcs taken, failures included, and the states that it leads to.
+
+        of_pair, of_word: the arcs (-1: none) over the word that the two words before it, or the last one, may have; one is
+        taken only by the state that it begins in.
+        """
+        total, at, to, left = np.zeros(len(state)), state, np.zeros(len(state), np.int64), np.ones(len(state), bool)
+        for arc in (of_pair, of_word):
+            taken = left & (arc >= 0) & (self.sources[arc] == at) if len(self.sources) else np.zeros(len(state), bool)
+            total = np.where(taken, total + self.weights[arc], total) if taken.any() else total
+            to = np.where(taken, self.targets[arc], to) if taken.any() else to
+            left = left & ~taken
+            failing = left & (at >= self.pairs) if arc is of_pair else left
+            total = total + np.where(failing, self.costs[at], 0.0)
+            at = np.where(failing, self.fails[at], at)
+        return total + np.where(left, self.roots[word], 0.0), np.where(left, self.first[word], to)
+
+    def walk(self, words: np.ndarray, of_pair: np.ndarray, of_word: np.ndarray, begins: np.ndarray, own: np.ndarray, texts: int) -> np.ndarray:
         """The score of each text: its tokens are taken one by one from left to right, and its state goes with it; all texts of
         a chunk move together. own: tokens that count; those before them only lead to the state in which these begin."""
         ends = np.append(begins[1:], len(words))
-        skips = np.array([int(np.argmax(own[b : b + 3])) for b in begins.tolist()], np.int64) if len(begins) else np.zeros(0, np.int64)
+        skips = np.array([int(np.argmax(own[b : b + 3])) for b in begins.tolist()], np.int64)
         lanes = -(-(ends - begins - skips) // LANE)
         of = np.repeat(np.arange(len(begins)), lanes)
         nth = np.arange(len(of)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
@@ -320,10 +329,11 @@ class Automaton:
         order = np.argsort(-length, kind="stable")
         start, warm, length, of = (start - warm)[order], warm[order], length[order], of[order]
         state, score = np.zeros(len(of), np.int64), np.zeros(len(of))
-        for t in range(int(length.max(initial=0))):
-            active = int(np.searchsorted(-length, -t, "left"))  # lanes that have a token left
-            weight, state[:active] = self.step(state[:active], words[start[:active] + t])
-            score[:active] += np.where(warm[:active] <= t, weight, 0.0)
+        active = np.searchsorted(-length, -np.arange(int(length.max(initial=0))), "left").tolist()  # lanes that have a token left
+        for t, n in enumerate(active):
+            at = start[:n] + t
+            weight, state[:n] = self.step(state[:n], words[at], of_pair[at], of_word[at])
+            score[:n] += weight if t >= 2 else np.where(warm[:n] <= t, weight, 0.0)
         return np.bincount(of, score, texts)
 
 
@@ -390,25 +400,27 @@ class Walk:
         fail2[asked] = failure(sums, self.n2[asked], DISCOUNT, self.n1[c.b[asked]])
         (n3,), _ = _told(self.answers, _TRIPLES, c.triple_keys, 1)
 
-        model = self._automaton(single, fail1, fail2, n3)
-        score = model.walk(c.at, np.flatnonzero(np.append(True, c.text[1:] != c.text[:-1])) if len(c.at) else np.zeros(0, np.int64), c.own, c.n)
+        model, of_pair, of_word = self._automaton(single, fail1, fail2, n3)
+        begins = np.flatnonzero(np.append(True, c.text[1:] != c.text[:-1]))
+        score = model.walk(c.at, of_pair, of_word, begins, c.own, c.n)
         sums = [np.bincount(text, w, c.n) for w in (n > 0, base)]
         return list(zip(c.rows, c.docs, tokens.tolist(), sums[0].astype(int).tolist(), sums[1].tolist(), score.tolist(), strict=True))
 
-    def _automaton(self, single: np.ndarray, fail1: np.ndarray, fail2: np.ndarray, n3: np.ndarray) -> Automaton:
-        """The part of the model that this chunk's texts can meet. State 0 is the empty history, then come words, then pairs."""
+    def _automaton(self, single: np.ndarray, fail1: np.ndarray, fail2: np.ndarray, n3: np.ndarray) -> tuple[Automaton, np.ndarray, np.ndarray]:
+        """The part of the model that this chunk's texts can meet, and the arcs that each token may be taken by."""
         c = self.chunk
         width, pairs = len(c.codes), len(self.n2)
         word_state = np.where(self.n1 >= LEAST, 1 + np.arange(width), 0)
         pair_state = 1 + width + np.arange(pairs)
         p, t = np.flatnonzero(self.kept2), np.flatnonzero(n3 >= LEAST)
-        last = c.b[c.lower[t]]
-        keys = np.concatenate([word_state[c.a[p]] * width + c.b[p], pair_state[c.history[t]] * width + last])
+        sources = np.concatenate([word_state[c.a[p]], pair_state[c.history[t]]])
         weights = np.concatenate([np.log10((self.n2[p] - DISCOUNT) / self.n1[c.a[p]]), np.log10((n3[t] - DISCOUNT) / self.n2[c.history[t]])])
         targets = np.concatenate([pair_state[p], pair_state[c.lower[t]]])
-        order = np.argsort(keys)
+        arc_of_pair, arc_of_triple = np.full(pairs + 1, -1), np.full(len(n3) + 1, -1)  # a place of -1 means none
+        arc_of_pair[p], arc_of_triple[t] = np.arange(len(p)), len(p) + np.arange(len(t))
         fails = np.concatenate([np.zeros(1 + width, np.int64), word_state[c.b]])
-        return Automaton(keys[order], weights[order], targets[order], single, word_state, fails, np.concatenate([[0.0], fail1, fail2]))
+        model = Automaton(1 + width, sources, weights, targets, single, word_state, fails, np.concatenate([[0.0], fail1, fail2]))
+        return model, arc_of_triple[c.triple], arc_of_pair[c.pair]
 
 
 _SCORED = "row long, doc_id long, n_tokens long, n_known long, base_score double, score double"

@@ -154,15 +154,18 @@ def brute_of_tables(train, texts):
 def test_automaton_by_hand():
     """Three words; a pair state that fails to its last word's, and that to the empty history, each at its cost."""
     a, b, c = 0, 1, 2
-    keys = np.array([(1 + a) * 3 + b, 4 * 3 + c])  # a -> b leads to the pair state 4, and from there c to the state of c
-    model = lm.Automaton(keys, np.array([-0.5, -0.25]), np.array([4, 1 + c]), np.array([-1.0, -2.0, -3.0]), np.array([1 + a, 1 + b, 1 + c]), np.array([0, 0, 0, 0, 1 + b]), np.array([0.0, -0.1, -0.2, -0.3, -0.7]))
-    weight, state = model.step(np.array([0, 1 + a, 4, 4, 1 + c]), np.array([b, b, c, a, c]))
-    assert np.allclose(weight, [-2.0, -0.5, -0.25, -0.7 - 0.2 - 1.0, -0.3 - 3.0]) and state.tolist() == [1 + b, 4, 1 + c, 1 + a, 1 + c]
+    # Arc 0: a -> b leads to the pair state 4, and arc 1 from there over c to the state of c.
+    arcs = np.array([1 + a, 4]), np.array([-0.5, -0.25]), np.array([4, 1 + c])
+    model = lm.Automaton(4, *arcs, np.array([-1.0, -2.0, -3.0]), np.array([1 + a, 1 + b, 1 + c]), np.array([0, 0, 0, 0, 1 + b]), np.array([0.0, -0.1, -0.2, -0.3, -0.7]))
+    state, word = np.array([0, 1 + a, 4, 4, 1 + c]), np.array([b, b, c, a, c])
+    weight, to = model.step(state, word, np.array([-1, -1, 1, -1, 1]), np.array([0, 0, -1, -1, -1]))  # some arcs begin elsewhere
+    assert np.allclose(weight, [-2.0, -0.5, -0.25, -0.7 - 0.2 - 1.0, -0.3 - 3.0]) and to.tolist() == [1 + b, 4, 1 + c, 1 + a, 1 + c]
     words = np.array([a, b, c, a] * 700)
-    whole = model.walk(words, np.array([0]), np.ones(len(words), bool), 1)
+    of_pair, of_word = np.where(words == c, 1, -1), np.where(words == b, 0, -1)
+    whole = model.walk(words, of_pair, of_word, np.array([0]), np.ones(len(words), bool), 1)
     state, total = np.zeros(1, np.int64), 0.0
-    for w in words:
-        step, state = model.step(state, np.array([w]))
+    for i in range(len(words)):
+        step, state = model.step(state, words[i : i + 1], of_pair[i : i + 1], of_word[i : i + 1])
         total += step[0]
     assert math.isclose(whole[0], total, rel_tol=1e-12) and len(words) > 5 * lm.LANE
 
@@ -174,3 +177,11 @@ def test_query_scores_equal_plain_backoff_over_the_real_vocabulary(spark, sf_dir
     got = {r.doc_id: r.score for r in QUERIES["op2_lm_score"](spark, sf_dir).collect()}
     for (d, _), w in zip(docs, want, strict=True):
         assert math.isclose(got[d], w, rel_tol=1e-9, abs_tol=1e-9), d
+
+
+def test_distinct_keys():
+    rng = np.random.default_rng(6)
+    for top, n in ((5, 40), (10**9, 3000), (2**62, 3000), (1, 1), (1, 0)):
+        keys = rng.integers(0, top, n)
+        for got, want in zip(lm._distinct(keys), np.unique(keys, return_inverse=True), strict=True):
+            assert (got == want).all()
