@@ -200,7 +200,7 @@ def _fragments(spark, sf):
 _TAGS = "'h1', 'h2', 'h3', 'h4', 'h5', 'h6', 'p', 'li'"
 _DECODE = "regexp_replace(array_to_string(list(tok ORDER BY pos), ' '), '', '')"
 for _e, _c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&amp;", "&")):
-    _DECODE = f"replace({_DECODE}, '{_e}', '{_c}')"
+    _DECODE = f"regexp_replace({_DECODE}, '{_e}?', '{_c}', 'g')"  # the semicolon may be missing, as in HTML
 
 
 _DUCK_FRAGMENTS = f"""c AS (SELECT page_id AS page, regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>', '', 'g'), '<[^>]*>|[^<]+') AS toks FROM pages),

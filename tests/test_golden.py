@@ -5,6 +5,7 @@ import math
 import random
 from datetime import datetime, timezone
 
+import duckdb
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -12,8 +13,10 @@ from pyspark.sql import functions as F
 from lodeworks.functions import text as T
 from lodeworks.operators import chunking, corpus, evaluation, matching, retrieval, trust
 from lodeworks.operators import facts as facts_ops
+from lodeworks.plans.registry import ORACLES, QUERIES
 from lodeworks.sources import files, reports
 from lodeworks.streaming import state
+from tests.compare import differ
 
 
 def one(spark, expr, text):
@@ -155,6 +158,17 @@ def test_html_fragments_as_parsers_read(spark):
     assert {(r.page, r.ordinal): r.heading_path for r in evaluation.heading_paths(blocks).collect()} == {(r.page, r.ordinal): r.heading_path for r in got}
 
 
+@pytest.mark.parametrize("name", ["html_fragments", "heading_path", "located_evidence", "parsed_documents"])
+def test_references_without_semicolon_equal_sql(spark, tmp_path, name):
+    pages = [(1, "<h1>a &amp; b&&amp</h1><p>x &quot</p><li>&am &lt;i&gt &copy 2 &middot c&amp;lt; &amp;amp</li>"), (2, "<p>&amp")]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(1, "one &amp two")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    for t in ("pages", "documents"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    assert differ(QUERIES[name](spark, str(tmp_path)), con, ORACLES[name]) is None
+
+
 def test_containing_equals_all_pairs(spark):
     rng = random.Random(5)
     words = "ab cd ef gh ij kl mn".split()
