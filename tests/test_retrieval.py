@@ -3,9 +3,11 @@
 import hashlib
 import json
 import math
+import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodeworks.operators import retrieval as R
 from lodeworks.operators.embedding import TOKEN_HASH, EmbeddingSpec, embedded
@@ -160,3 +162,44 @@ def test_margins_need_no_row_of_all_labels(spark):
     rows = [(i, "abcd"[i % 4], [float(i), 1.0]) for i in range(1, 13)]
     got = R.embedding_margins(spark.createDataFrame(rows, "vec_id int, label string, vector array<double>")).collect()
     assert {(r.query, r.positive, r.negative) for r in got} == {(i, i + 4, 2 if i % 4 == 1 else 1) for i in range(1, 9)}
+
+
+def _texts(spark, n=600, seed=3):
+    """Chunks with copies, common words and places, one without a place, one without text, and queries."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(rng.choices(words, [1 / (j + 1) for j in range(40)], k=rng.randint(1, 30))), "abc"[i % 3]) for i in range(n)]
+    rows += [(n + i, rows[7][1], "abc"[i % 3]) for i in range(50)] + [(n + 60, rows[7][1], None), (n + 61, None, "a")]
+    chunks = spark.createDataFrame(rows, "id int, text string, source string").repartition(3)
+    asked = [(q, " ".join(rng.choices(words, k=4))) for q in range(12)] + [(20, "nothing here"), (21, "")]
+    return chunks, spark.createDataFrame(asked, "query int, text string")
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_bm25_by_tasks_equals_all_scores(spark, monkeypatch, small):
+    """The first rows of each query, of each place and within places are those of all scores; also in blocks of queries."""
+    if small:
+        monkeypatch.setattr(R, "_SENT", 1 << 12)
+        monkeypatch.setattr(R, "_MATCHES", 50)
+    chunks, asked = _texts(spark)
+    key = lambda df, *more: sorted((r.query, *[r[c] for c in more], r.rank, r.id, round(r.score, 7), tuple(r.matched_terms)) for r in df.collect())
+    scored = R.bm25_scores(asked, chunks.drop("source"))
+    assert key(R.bm25_search(asked, chunks, 7)) == key(R.topk(scored, 7))
+    local = R.topk(R.bm25_scores(asked, chunks, ["source"]), 4, ["query", "source"])
+    assert key(R.bm25_search(asked, chunks, 4, by="source"), "source") == key(local, "source")
+    allowed = spark.createDataFrame([(q, s) for q in range(12) for s in "abc"[: q % 3 + 1]], "query int, source string")
+    scoped = R.bm25_search(asked.join(allowed.groupBy("query").agg(F.collect_set("source").alias("scopes")), "query"), chunks, 6, place="source")
+    assert key(scoped) == key(R.rescope(scored, chunks, allowed, 6))
+    some = spark.createDataFrame([(q, i) for q in range(12) for i in (3, 7, 77, 601, 640, 661)], "query int, id int")
+    rank = lambda df: {(r.query, r.id): r["rank"] for r in df.collect()}
+    assert rank(R.bm25_ranks(asked, chunks, some)) == rank(R.rank_among(scored, some))
+
+
+def test_bm25_search_shuffles_no_scores(spark, tmp_path):
+    chunks, asked = _texts(spark)
+    stages = R.bm25_search(asked, chunks, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in stages and "Join" not in stages and "Aggregate" not in stages
+    whole = chunks.filter("text is not null").select("id", "text", F.sha2("text", 256).alias("document_sha256"), F.lit("v1").alias("chunker_version"))
+    header = R.bm25_store(whole, str(tmp_path / "index"))
+    key = lambda df: sorted((r.query, r["rank"], r.id, r.score, tuple(r.matched_terms)) for r in df.collect())
+    assert key(R.bm25_stored_search(asked, header, 5)) == key(R.bm25_search(asked, whole, 5))
