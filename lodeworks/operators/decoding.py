@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # The fields of a job record.
 SCALAR_FACTS = ("company", "job_title", "job_code", "recruitment_type", "publication_date", "application_deadline")
@@ -84,14 +87,18 @@ def region_filter(regions: DataFrame, least: float = 0.5) -> DataFrame:
 def _lines(regions: list[tuple[float, float, float, str]]) -> str:
     """Text of one page's regions (top, left, bottom, text), as reading_order() says."""
     lines: list[list] = []  # top, bottom, [(left, text)]
+    near: list[list] = []  # lines that reach below the region: others share nothing with it, or with what comes after
     for top, left, bottom, text in sorted(regions):
-        shares = [(min(a_bottom, bottom) - max(a_top, top)) / (min(a_bottom - a_top, bottom - top) or 1.0) for a_top, a_bottom, _ in lines]
-        best = max(range(len(lines)), key=shares.__getitem__, default=None)  # of equal shares the first
+        near = [line for line in near if line[1] > top]
+        shares = [(min(a_bottom, bottom) - max(a_top, top)) / (min(a_bottom - a_top, bottom - top) or 1.0) for a_top, a_bottom, _ in near]
+        best = max(range(len(near)), key=shares.__getitem__, default=None)  # of equal shares the first
         if best is None or shares[best] < 0.5:
             lines.append([top, bottom, [(left, text)]])
+            near.append(lines[-1])
         else:
-            line = lines[best]
-            lines[best] = [min(line[0], top), max(line[1], bottom), [*line[2], (left, text)]]
+            line = near[best]
+            line[0], line[1] = min(line[0], top), max(line[1], bottom)
+            line[2].append((left, text))
     return "\n".join(text for _, _, items in sorted(lines, key=lambda line: line[0]) for _, text in sorted(items, key=lambda item: item[0]))
 
 
@@ -99,17 +106,31 @@ def reading_order(regions: DataFrame, *page: str) -> DataFrame:
     """(page columns, text): a page's regions in reading order, one to a line of text.
 
     Regions come from the top; each joins the line with which it shares most of the smaller one's height, if that is half
-    or more, of equal ones the first, and else begins a line. Lines go by their top, regions of a line by their left. A
-    page's regions meet in one row, as many as a page holds.
+    or more, of equal ones the first, and else begins a line. Lines go by their top, regions of a line by their left. Regions
+    are sorted by page and walked as they come, batch after batch; a task holds one page, as many regions as that has.
     """
-    region = F.struct(*[F.col(c).cast("double").alias(c) for c in ("top", "left", "bottom")], "text")
-    pages = regions.groupBy(*page).agg(F.collect_list(region).alias("rs"))
-
-    @F.pandas_udf("string")
-    def lines(rs: pd.Series) -> pd.Series:
-        return rs.map(lambda page: _lines([(r["top"], r["left"], r["bottom"], r["text"]) for r in page]))
-
-    return pages.select(*page, lines("rs").alias("text"))
+    at, schema = len(page), T.StructType([*[regions.schema[c] for c in page], T.StructField("text", T.StringType())])
+    kinds = [f.type for f in to_arrow_schema(schema)]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        last: tuple | None = None
+        for batch in batches:
+            done: list[tuple] = []
+            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            for own, some in groupby(rows, key=lambda row: row[:at]):
+                if last is not None and own != last:
+                    done.append((*last, _lines(held)))
+                    held = []
+                last = own
+                held += [row[at:] for row in some]
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], schema.names)
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((*last, _lines(held)), kinds, strict=True)], schema.names)
+
+    flat = regions.select(*page, *[F.col(c).cast("double").alias(c) for c in ("top", "left", "bottom")], "text")
+    return flat.repartition(*page).sortWithinPartitions(*page).mapInArrow(walk, schema)
 
 
 def verdict(task: Column, checks: dict[str, tuple[Sequence[str], Column]]) -> Column:

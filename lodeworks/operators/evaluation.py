@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from html.parser import HTMLParser
 from itertools import groupby
-from operator import itemgetter
+from operator import itemgetter, ne
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -165,8 +166,11 @@ def quality_gate(metrics: DataFrame, rules: dict[str, tuple[str, str, float]]) -
 
 
 def edit_distance(a: Sequence, b: Sequence) -> int:
-    """Least number of items put in, left out or changed from a to b: the bits of one number hold a whole column of the table,
-    so that a step takes a few operations on it, and only one column is held."""
+    """Least number of items put in, left out or changed from a to b.
+
+    Of equal lengths it is at most the number of places that differ, and never less than the number of items that one side has
+    more of: where both are the same, as with changed items only, that is it. Else the bits of one number hold a whole column
+    of the table, so that a step takes a few operations on it, and only one column is held."""
     start = 0
     while start < min(len(a), len(b)) and a[start] == b[start]:
         start += 1
@@ -176,6 +180,10 @@ def edit_distance(a: Sequence, b: Sequence) -> int:
     a, b = a[start : len(a) - end], b[start : len(b) - end]
     if not a or not b:
         return max(len(a), len(b))
+    if len(a) == len(b):
+        changed = sum(map(ne, a, b))
+        if (Counter(a) - Counter(b)).total() == changed:
+            return changed
     masks: dict = {}
     for i, x in enumerate(a):
         masks[x] = masks.get(x, 0) | 1 << i
@@ -200,8 +208,8 @@ def ocr_error_rates(pairs: DataFrame) -> DataFrame:
     """pairs (.., expected, actual) with exact, edits and rates by characters and words.
 
     Both texts are put in Unicode's compatibility form with white space collapsed; null counts as empty. Whole texts are
-    compared, of any length. Pairs whose expected text is blank have no rates and go. The work follows the square of a text's
-    length, so pairs are dealt anew over the tasks, however few partitions they come in.
+    compared, of any length. Pairs whose expected text is blank have no rates and go. The work follows a text's length, or
+    its square where more than single items were changed, so pairs are dealt anew over the tasks, however few partitions they come in.
     """
     spark, rest = pairs.sparkSession, [c for c in pairs.columns if c not in ("expected", "actual")]
     names = [*rest, *[c for c, _, _ in _EDITS]]

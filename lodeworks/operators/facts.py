@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import WS, company_key, fold, location_key, quote_key, recruitment_type
+from ..sources.scratch import in_parts
 
 
 def citation_issues(citations: DataFrame, evidence: DataFrame, claim: Sequence[str] | None = None) -> DataFrame:
@@ -118,17 +119,25 @@ def constraints_retained(expected: DataFrame, actual: DataFrame, default_limit:
     never equal; places go without white space and a final 市; titles are folded, and one that is a code is enough
     as a part of the actual title. A missing limit counts as the default one.
     """
-    given = actual.select("id", "k", F.col("v").alias("_a"))
-    rows = expected.join(given, ["id", "k"], "left").withColumn("_a", F.coalesce("_a", F.when(F.col("k") == "limit", default_limit)))
-    title, asked = fold(F.col("_a")), fold(F.col("v"))
-    same = (
-        F.when(F.col("k") == "recruitment_type", recruitment_type(F.col("_a")) == recruitment_type(F.col("v")))
-        .when(F.col("k") == "location", _place(F.col("_a")) == _place(F.col("v")))
-        .when(F.col("k") == "job_title", (title == asked) | (asked.rlike("^j[0-9]+$") & F.contains(title, asked)))
-        .otherwise(F.col("_a") == F.col("v"))
-    )
-    each = rows.groupBy("id", "k", "v").agg(F.bool_or(F.coalesce(same, F.lit(False))).alias("same"))
-    return each.groupBy("id").agg(F.bool_and("same").alias("retained"))
+    k, v = F.col("k"), F.col("v")
+    key = F.when(k == "recruitment_type", recruitment_type(v)).when(k == "location", _place(v)).when(k == "job_title", fold(v)).otherwise(v)
+    asked = expected.select("id", F.lit(True).alias("asked"), "k", key.alias("key"))
+    given = actual.filter("id is not null").withColumn("v", F.coalesce(v, F.when(k == "limit", default_limit))).select("id", F.lit(False).alias("asked"), "k", key.alias("key"))
+    filters = F.collect_list(F.struct("asked", "k", "key"))  # an id's filters, of both sides
+    rows = asked.unionByName(given)
+    rows = in_parts(rows, "id").groupBy("id").agg(filters.alias("all"))
+    rows = rows.select("id", F.filter("all", lambda f: f["asked"]).alias("wanted"), F.filter("all", lambda f: ~f["asked"]).alias("given"))
+
+    def same(w: Column, key: Column) -> Column:
+        code = (w["k"] == "job_title") & w["key"].rlike("^j[0-9]+$") & F.contains(key, w["key"])
+        return F.coalesce((key == w["key"]) | code, F.lit(False))
+
+    def held(w: Column) -> Column:
+        none = ~F.exists("given", lambda g: F.coalesce(g["k"] == w["k"], F.lit(False)))
+        default = none & F.coalesce(w["k"] == "limit", F.lit(False)) & same(w, F.lit(default_limit))
+        return default | F.exists("given", lambda g: F.coalesce(g["k"] == w["k"], F.lit(False)) & same(w, g["key"]))
+
+    return rows.filter(F.size("wanted") > 0).select("id", F.forall("wanted", held).alias("retained"))
 
 
 def record_support(judged: DataFrame, grounding: DataFrame | None = None) -> DataFrame:

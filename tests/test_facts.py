@@ -100,3 +100,13 @@ def test_current_chunks_in_order(spark):
     seen = spark.createDataFrame([("a", True), ("b", False), ("c", True)], "snapshot_id string, is_current boolean")
     assert [r.evidence_id for r in corpus.current_chunks(chunks, links, seen, "v1").collect()] == ["e1", "e2", "e3"]
     assert [r.evidence_id for r in corpus.current_chunks(chunks, links, seen, "v1", "t").collect()] == ["e3"]
+
+
+def test_filters_of_an_id_meet_in_parts_of_their_size(spark):
+    """No join by filter, and no fewer parts than the size asks for; null ids, lists and missing limits as a join has them."""
+    wanted = spark.createDataFrame([(1, "limit", "10"), (2, "limit", "20"), (3, "location", "x"), (3, "location", "y"), (4, "kind", "a"), (None, "kind", "a"), (5, "kind", None), (6, "limit", "10")], "id int, k string, v string")
+    given = spark.createDataFrame([(3, "location", "y"), (3, "location", "x"), (None, "kind", "a"), (5, "kind", None), (6, "limit", None), (7, "kind", "a")], "id int, k string, v string")
+    kept = facts.constraints_retained(wanted, given)
+    assert {r.id: r.retained for r in kept.collect()} == {1: True, 2: False, 3: True, 4: False, None: False, 5: False, 6: True}
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "RepartitionByExpression [id" in plan

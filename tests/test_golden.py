@@ -291,3 +291,23 @@ def test_link_conflicts_name_another_snapshot(spark):
     known = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("c", 4)], "id string, snapshot long")
     new = spark.createDataFrame([("a", 1), ("a", 9), ("b", 3), ("c", 5), ("d", 6)], "id string, snapshot long")
     assert sorted(tuple(r) for r in corpus.link_conflicts(known, new).collect()) == [("a", 1, 2), ("a", 9, 1), ("c", 5, 4)]
+
+
+def test_changed_items_need_no_table():
+    """Long texts with changed items only take time by their length."""
+    import time
+
+    rng = random.Random(2)
+    text = "".join(rng.choice("abdeo ") for _ in range(400_000))
+    start = time.time()
+    assert evaluation.edit_distance(text, text.translate(str.maketrans("eo", "c0"))) == text.count("e") + text.count("o")
+    assert time.time() - start < 5
+
+
+def test_long_page_is_read_line_by_line(spark):
+    """A page of many lines takes time by its regions, and pages that go on over batches stay whole."""
+    from lodeworks.operators import decoding
+
+    rows = spark.range(60_000).selectExpr("id % 2 AS page", "CAST(id div 2 AS DOUBLE) AS top", "CAST(id div 2 AS DOUBLE) + 0.9 AS bottom", "0.0D AS left", "CAST(id AS STRING) AS text")
+    got = {r.page: r.text for r in decoding.reading_order(rows, "page").collect()}
+    assert got == {p: "\n".join(str(i) for i in range(p, 60_000, 2)) for p in (0, 1)}
