@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import decoding as D
+from ..sources.scratch import spread
 from .base import query, sql, table
 from .facts import DUCK_FACTS, records
 
@@ -55,7 +56,7 @@ def ocr_region_filter(spark, sf):
 #: Pages of four groups of three overlapping regions: the third overlaps the first enough, but more of it the second, and
 #: stands left of both; where the second is lost, it belongs to the first.
 def _overlapping(spark, sf):
-    words = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", r"\s+")).alias("n", "text"))
+    words = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", r"\s+")).alias("n", "text"))
     words = words.select("doc_id", F.floor(F.col("n") / 12).cast("int").alias("page"), (F.col("n") % 12).alias("i"), "n", "text")
     kind, base = F.col("i") % 3, F.floor(F.col("i") / 3) * 0.25
     x0, top, bottom = (F.when(kind == 0, a).when(kind == 1, b).otherwise(c) for a, b, c in ((0.5, 0.25, 0.0), (0.0, 0.06, 0.065), (0.1, 0.16, 0.11)))
