@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import os
+import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -93,8 +95,8 @@ def set_fingerprint(digests: DataFrame, column: str = "digest", digits: int = 4)
     return parts.agg(whole.alias("fingerprint"), F.sum("n").alias("members"))
 
 
-#: Bytes of items that travel to the hash in one row.
-_BLOB = 1 << 22
+#: Bytes of items that travel to the hash in one row; an Arrow batch holds ten thousand of these.
+_BLOB = 1 << 14
 
 
 def ordered_digest(rows: DataFrame, item: str, *order: str, before: str = "", between: str = ",", after: str = "") -> DataFrame:
@@ -102,8 +104,9 @@ def ordered_digest(rows: DataFrame, item: str, *order: str, before: str = "", be
     rows that are equal in `order` go by their item.
 
     One digest over one text is a walk in order by its nature. Rows are sorted in parallel, in ranges, and each range packs
-    its items into large binaries with the range's number and their own; one task then puts these, not the items, in their
-    order and hashes them one after another. Where a digest of another definition will do, set_fingerprint() hashes in parallel.
+    its items into binaries with the range's number and their own; one task then lays these, not the items, in a file as they
+    come and hashes them one after another in their order: it holds their places, so its memory hardly follows the rows.
+    Where a digest of another definition will do, set_fingerprint() hashes in parallel.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,13 +127,20 @@ def ordered_digest(rows: DataFrame, item: str, *order: str, before: str = "", be
             yield row()
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole, members = hashlib.sha256(before.encode()), 0
-        for batch in batches:
-            for n, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        whole, members, places, end = hashlib.sha256(before.encode()), 0, [], 0
+        with tempfile.TemporaryFile(dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None) as held:
+            for batch in batches:
+                for *place, blob in zip(*[c.to_pylist() for c in batch.columns[:3]], batch.column(3), strict=True):
+                    data = blob.as_buffer()
+                    places.append((*place, end, data.size))
+                    held.write(data)
+                    end += data.size
+            for _, _, n, start, size in sorted(places):
                 if not n:
                     continue
+                held.seek(start)
                 whole.update(between.encode() if members else b"")
-                whole.update(blob.as_buffer())
+                whole.update(held.read(size))
                 members += n
         whole.update(after.encode())
         yield pa.RecordBatch.from_arrays([pa.array([whole.hexdigest()]), pa.array([members])], ["digest", "members"])
@@ -139,7 +149,7 @@ def ordered_digest(rows: DataFrame, item: str, *order: str, before: str = "", be
     ordered = ordered.orderBy(*[f"_{i}" for i in range(len(order))], "_item").select("_item")
     packed = ordered.mapInArrow(pack, "part long, number long, members long, blob binary")
     packed = packed.unionByName(rows.sparkSession.sql("SELECT -1L AS part, 0L AS number, 0L AS members, X'' AS blob"))  # so that no rows give a digest too
-    return packed.repartition(1).sortWithinPartitions("part", "number").select("members", "blob").mapInArrow(digest, "digest string, members long")
+    return packed.repartition(1).mapInArrow(digest, "digest string, members long")
 
 
 def corpus_fingerprint(chunks: DataFrame) -> DataFrame:
