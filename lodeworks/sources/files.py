@@ -124,14 +124,18 @@ def beir_scan(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, D
     return corpus, queries, judged.filter("grade > 0")
 
 
-def evaluation_catalog(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, family, dataset_id, version, status, cases, metrics) of the JSON reports below a folder; unreadable ones are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(folder)
-    doc = files.select("path", "modificationTime", F.col("content").cast("string").alias("json"))
+def evaluation_catalog(spark: SparkSession, folder: str, lines: bool = False) -> DataFrame:
+    """(path, family, dataset_id, version, status, cases, metrics) of the JSON reports below a folder, one to a file, or one to a
+    line; unreadable ones are left out."""
+    read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
+    if lines:
+        doc = read.format("text").load(folder).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modificationTime"), F.col("value").alias("json"))
+    else:
+        doc = read.format("binaryFile").load(folder).select("path", "modificationTime", F.col("content").cast("string").alias("json"))
     get = lambda p: F.get_json_object("json", p)
     metrics = F.map_filter(F.from_json(get("$.metrics"), "map<string,string>"), lambda k, v: v.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"))
     n_cases = F.coalesce(F.when(get("$.cases").rlike(r"^\d+$"), get("$.cases").cast("int")), F.json_array_length(get("$.cases")))
     good = doc.filter(F.json_object_keys("json").isNotNull())
     family = F.when(F.contains("path", F.lit("/experiments/")), "experiment").otherwise("dataset")
     rows = good.select("path", family.alias("family"), get("$.dataset_id").alias("dataset_id"), get("$.dataset_version").alias("version"), get("$.annotation_status").alias("status"), n_cases.alias("cases"), F.transform_values(metrics, lambda k, v: v.cast("double")).alias("metrics"), "modificationTime")
-    return rows.orderBy(F.desc("family"), F.desc("modificationTime"), "path")
+    return rows.orderBy(F.desc("family"), F.desc("modificationTime"), "path", "dataset_id", "version")
