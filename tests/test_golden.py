@@ -181,6 +181,21 @@ def test_containing_equals_all_pairs(spark):
     assert want
 
 
+def test_texts_searched_for_items_are_not_shuffled(spark, tmp_path):
+    rng = random.Random(6)
+    texts = [(i, " ".join(f"{rng.getrandbits(40):x}" for _ in range(300))) for i in range(100)]
+    items = [(i, x[20:200]) for i, x in texts[:10]]
+    spark.createDataFrame(texts, "id long, text string").write.parquet(f"{tmp_path}/texts")
+    spark.createDataFrame(items, "item long, text string").write.parquet(f"{tmp_path}/items")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")  # less than the texts, more than the items
+    try:
+        found = matching.containing(spark.read.parquet(f"{tmp_path}/texts"), spark.read.parquet(f"{tmp_path}/items"))
+        assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted(tuple(r) for r in found.collect()) == [(i, i) for i in range(10)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_rank_among_counts_what_stands_before(spark):
     scored = spark.createDataFrame([(q, i, float((i * 7) % 5)) for q in (1, 2) for i in range(20)], "query long, id long, score double")
     ranks = {(r.query, r.id): r.rank for r in retrieval.topk(scored, None).collect()}
