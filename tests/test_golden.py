@@ -181,7 +181,9 @@ def test_containing_equals_all_pairs(spark):
     assert want
 
 
-def test_texts_searched_for_items_are_not_shuffled(spark, tmp_path):
+@pytest.mark.parametrize("sent", [matching._SENT, 0])
+def test_texts_searched_for_items_are_not_shuffled(spark, tmp_path, monkeypatch, sent):
+    monkeypatch.setattr(matching, "_SENT", sent)
     rng = random.Random(6)
     texts = [(i, " ".join(f"{rng.getrandbits(40):x}" for _ in range(300))) for i in range(100)]
     items = [(i, x[20:200]) for i, x in texts[:10]]
@@ -196,6 +198,20 @@ def test_texts_searched_for_items_are_not_shuffled(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+@pytest.mark.parametrize("sent", [None, 0])
+def test_items_that_tasks_get_or_join(spark, monkeypatch, sent):
+    """Both ways of looking items up find the same, also for rows without an id; few items are looked up without a row for each piece of a text."""
+    if sent is not None:
+        monkeypatch.setattr(matching, "_SENT", sent)
+    texts = [(1, "a b\u00e9 c d e f g"), (2, " b\u00e9 c  d e f"), (None, "x a b\u00e9 c d e f g y"), (1, "c d e f g h"), (4, None), (5, ""), (6, "\u4e00\u4e8c a b\u00e9 c d e f")]
+    items = [(1, "a b\u00e9 c d e f"), (1, "c d e"), (2, "d e f g h"), (None, "b\u00e9 c d"), (3, "e f"), (4, "q r s t u v"), (5, None), (6, ""), (7, "c  d e"), (8, "c  d e")]
+    key = lambda p: tuple((x is None, x) for x in p)
+    want = sorted(((i, t) for i, x in items for t, y in texts if x and y and x in y), key=key)
+    found = matching.containing(spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(items, "item long, text string"))
+    assert sorted((tuple(r) for r in found.collect()), key=key) == want
+    assert sent == 0 or "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_rank_among_counts_what_stands_before(spark):
     scored = spark.createDataFrame([(q, i, float((i * 7) % 5)) for q in (1, 2) for i in range(20)], "query long, id long, score double")
     ranks = {(r.query, r.id): r.rank for r in retrieval.topk(scored, None).collect()}
